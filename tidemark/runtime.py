@@ -64,3 +64,9 @@ def local_part(path: str) -> str | None:
 def tasks_for(spark: SparkSession) -> int:
     """Number of tasks for one wave of Python work after a shuffle."""
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """`df` over at least as many partitions as there are cores, for CPU-heavy row-wise work on few, small files."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
