@@ -29,3 +29,14 @@ marked AS (SELECT *, CASE WHEN n_records <= 2 THEN 'rare' WHEN n_records >= 0.05
 """
 ORACLE["p2_found"] = _P2 + "SELECT field_name, term, mark FROM marked WHERE mark IS NOT NULL"
 ORACLE["p2_counts"] = _P2 + "SELECT field_name, term, n, n_records, mark FROM marked"
+
+_P6 = """
+WITH recs AS (SELECT DISTINCT _id, headline, short_description FROM stored_news),
+words AS (SELECT _id, unnest(regexp_extract_all(lower(headline), '[\\p{L}\\p{N}]+')) AS term FROM recs
+  UNION ALL SELECT _id, unnest(regexp_extract_all(lower(short_description), '[\\p{L}\\p{N}]+')) FROM recs),
+tfs AS (SELECT _id, term, count(*) AS tf FROM words GROUP BY 1, 2),
+dfs AS (SELECT term, count(*) AS df FROM tfs GROUP BY 1),
+scored AS (SELECT _id, term, CASE WHEN df > 1 THEN tf * ln((SELECT count(DISTINCT _id) FROM stored_news)::DOUBLE / df) ELSE 0 END AS w FROM tfs JOIN dfs USING (term)),
+ordered AS (SELECT *, row_number() OVER (PARTITION BY _id ORDER BY w DESC) AS n, lead(w) OVER (PARTITION BY _id ORDER BY w DESC) AS second FROM scored)
+"""
+ORACLE["p6_found"] = _P6 + "SELECT _id AS news_id, term FROM ordered WHERE n = 1 AND w > 0 AND w > 1.05 * coalesce(second, 0)"

@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..runtime import read_table
+from .leakage import RUN, leaks
 from .packing import CAPACITY, pack_items
+from .parsimony import distinctive_terms
 from .rankagg import aggregate_ranks, top_by
 from .termfreq import term_counts
 
@@ -42,6 +44,18 @@ def p5_significance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked.select("query_id", "doc_id", F.round("rho", 9).alias("rho"), "rra_place")
 
 
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best term of each record, where it stands clear of the others."""
+    best = distinctive_terms(read_table(spark, sf_dir, "stored_news"), "_id", ["headline", "short_description"], best_only=1.05)
+    return best.selectExpr("_id AS news_id", "term")
+
+
+def p6_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every term of every record with its counts, its share of the record's own model and its weight."""
+    terms = distinctive_terms(read_table(spark, sf_dir, "stored_news"), "_id", ["headline", "short_description"])
+    return terms.selectExpr("_id AS news_id", "term", "tf", "df", "round(p, 6) AS p", "round(weight, 6) AS weight")
+
+
 def _p8(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", (F.octet_length(F.coalesce("text", F.lit(""))) + 1).alias("tokens"))
     return pack_items(docs, "doc_id", "tokens", CAPACITY)
@@ -57,11 +71,30 @@ def p8_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _p8(spark, sf_dir).withColumnRenamed("start", "token_start").withColumnRenamed("stop", "token_stop")
 
 
+def _p9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, items = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "eval_items")
+    return leaks(docs, "doc_id", "text", items, "item_id", "text")
+
+
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents and the items of which they hold at least 40 consecutive letters or digits."""
+    return _p9(spark, sf_dir).where(f"run >= {RUN}").select("doc_id", "item_id")
+
+
+def p9_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document and item with a similar window: matched windows, best similarity, longest run."""
+    return _p9(spark, sf_dir)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p2_found": p2_found,
     "p2_counts": p2_counts,
     "p5_found": p5_found,
     "p5_significance": p5_significance,
+    "p6_found": p6_found,
+    "p6_terms": p6_terms,
     "p8_found": p8_found,
     "p8_containers": p8_containers,
+    "p9_found": p9_found,
+    "p9_leaks": p9_leaks,
 }
