@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..runtime import read_table
 from .leakage import RUN, leaks
+from .neighbours import nearest
 from .packing import CAPACITY, pack_items
 from .parsimony import distinctive_terms
 from .rankagg import aggregate_ranks, top_by
@@ -56,6 +57,18 @@ def p6_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return terms.selectExpr("_id AS news_id", "term", "tf", "df", "round(p, 6) AS p", "round(weight, 6) AS weight")
 
 
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of cosine 0.85 or more where one is among the five most similar to the other."""
+    near = nearest(read_table(spark, sf_dir, "news_vectors"), "doc_id", "embedding", 5, least=0.85)
+    return near.select(F.least("a", "b").alias("doc_a"), F.greatest("a", "b").alias("doc_b")).distinct()
+
+
+def p7_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five most similar records found for every record whose id is divisible by 50, against all records."""
+    near = nearest(read_table(spark, sf_dir, "news_vectors"), "doc_id", "embedding", 5, asking="key % 50 = 0")
+    return near.select(F.col("a").alias("doc_id"), F.col("b").alias("similar_id"), F.round("cosine", 6).alias("cosine"), "place")
+
+
 def _p8(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", (F.octet_length(F.coalesce("text", F.lit(""))) + 1).alias("tokens"))
     return pack_items(docs, "doc_id", "tokens", CAPACITY)
@@ -93,6 +106,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p5_significance": p5_significance,
     "p6_found": p6_found,
     "p6_terms": p6_terms,
+    "p7_found": p7_found,
+    "p7_neighbours": p7_neighbours,
     "p8_found": p8_found,
     "p8_containers": p8_containers,
     "p9_found": p9_found,
