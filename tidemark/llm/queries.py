@@ -13,6 +13,7 @@ from .neighbours import nearest
 from .packing import CAPACITY, pack_items
 from .parsimony import distinctive_terms
 from .rankagg import aggregate_ranks, top_by
+from .sentences import split_sentences
 from .termfreq import term_counts
 
 
@@ -99,6 +100,11 @@ def p9_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _p9(spark, sf_dir)
 
 
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every sentence of every document with its place."""
+    return split_sentences(read_table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p2_found": p2_found,
     "p2_counts": p2_counts,
@@ -112,4 +118,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p8_containers": p8_containers,
     "p9_found": p9_found,
     "p9_leaks": p9_leaks,
+    "p10_found": p10_found,
 }
