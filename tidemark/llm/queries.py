@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..runtime import read_table
 from .leakage import RUN, leaks
+from .names import name_clusters, name_variants
 from .neighbours import nearest
 from .packing import CAPACITY, pack_items
 from .parsimony import distinctive_terms
@@ -31,6 +32,16 @@ def p2_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _p2(spark, sf_dir)
 
 
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of spellings in `authors` that denote the same person or organisation."""
+    return name_variants(read_table(spark, sf_dir, "stored_news"), "authors", read_table(spark, sf_dir, "given_names"))
+
+
+def p4_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every spelling with the entity it denotes."""
+    return name_clusters(read_table(spark, sf_dir, "stored_news"), "authors", read_table(spark, sf_dir, "given_names"))
+
+
 def _p5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return aggregate_ranks(read_table(spark, sf_dir, "fused_hits"), "query_id", "doc_id", ["lexical_score", "semantic_score"])
 
@@ -108,6 +119,8 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p2_found": p2_found,
     "p2_counts": p2_counts,
+    "p4_found": p4_found,
+    "p4_clusters": p4_clusters,
     "p5_found": p5_found,
     "p5_significance": p5_significance,
     "p6_found": p6_found,
