@@ -16,6 +16,28 @@ from .parsimony import distinctive_terms
 from .rankagg import aggregate_ranks, top_by
 from .sentences import split_sentences
 from .termfreq import term_counts
+from .truncation import truncated
+
+
+def _p1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of the stored descriptions, by feed, and of their delivered copies, by worker; each row once."""
+    news = read_table(spark, sf_dir, "stored_news").select("_id", "feed", "short_description").where("short_description <> ''").distinct()
+    hits = read_table(spark, sf_dir, "semantic_hits").select("hit_id", "doc_id", "worker", "short_description").where("short_description <> ''").distinct()
+    stored = news.selectExpr("'stored_news' AS tbl", "feed AS source", "_id AS row_id", "short_description AS text", "cast(null AS string) AS parent")
+    parents = news.selectExpr("_id AS doc_id", "short_description AS parent")
+    copies = hits.join(parents, "doc_id", "left").selectExpr("'semantic_hits' AS tbl", "worker AS source", "hit_id AS row_id", "short_description AS text", "parent")
+    return truncated(stored.unionByName(copies))
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows whose description breaks off."""
+    return _p1(spark, sf_dir).where("cut").select("tbl", "row_id").distinct()
+
+
+def p1_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often the descriptions of each feed and worker break off."""
+    scored = _p1(spark, sf_dir)
+    return scored.groupBy("tbl", "source").agg(F.count("*").alias("n_rows"), F.sum(F.col("cut").cast("long")).alias("n_cut"), F.round(F.avg(F.col("cut").cast("double")), 6).alias("cut_rate"))
 
 
 def _p2(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -117,6 +139,8 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "p1_found": p1_found,
+    "p1_rates": p1_rates,
     "p2_found": p2_found,
     "p2_counts": p2_counts,
     "p4_found": p4_found,
