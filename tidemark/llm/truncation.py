@@ -2,8 +2,8 @@
 
 Positives are made: values are cut at a random place, at a word or inside one, or at a length at which their source
 has suspiciously many values end (its field limits), and some get a mark of omission, as senders add. Negatives are
-the values as they are. Those still hold true cuts, so the model is fitted twice: the second time without the values
-the first one takes for cut, neither as negatives nor as material for positives. Values are judged by a model that
+the values as they are, and closed ones without their stop. Those still hold true cuts, so the model is fitted again without the values
+the last one takes for cut, neither as negatives nor as material for positives. Values are judged by a model that
 was not fitted on them.
 
 Features are hashed: the closing characters and their classes, punctuation, the last words and the words before them
@@ -138,7 +138,7 @@ def truncate(text: str, limits: list[int], rng: np.random.Generator) -> str | No
         short = short[: short.rstrip().rfind(" ") + (rng.random() < 0.15)]
     if rng.random() < 0.45:
         short = short.rstrip() + MARKS[rng.integers(len(MARKS))] if rng.random() < 0.7 else short + MARKS[rng.integers(len(MARKS))]
-    return short if short.strip() and short.rstrip() != text.rstrip() and not (_CLOSED.search(short) and not _OMISSION.search(short)) else None
+    return short if short.strip() and short.rstrip() != text.rstrip() and not (_CLOSED.search(short) and not short[-1].isspace() and not _OMISSION.search(short)) else None
 
 
 def descend(rows: np.ndarray, y: np.ndarray, epochs: int = EPOCHS, step: float = STEP, decay: float = DECAY) -> np.ndarray:
@@ -176,6 +176,10 @@ def fit(values: list[tuple[str, str]], limits: dict[str, dict[int, float]], word
             if (short := truncate(t, own, rng)) is not None:
                 made.append(features(short, limits.get(s, {}), words_known))
                 of.append(i)
+    # a finished text may lack its closing stop: values without theirs are intact, too
+    bare = [(i, s, t.rstrip()[:-1]) for i, (s, t) in enumerate(values) if t.rstrip().endswith(".") and not _OMISSION.search(t) and len(t.rstrip()) > 12]
+    stopless = np.array([features(t, limits.get(s, {}), words_known) for _, s, t in bare], dtype=np.int32).reshape(-1, N_FEATURES)
+    bare_of = np.array([i for i, _, _ in bare], dtype=np.int64)
     cut, source = np.array(made, dtype=np.int32).reshape(-1, N_FEATURES), np.array(of, dtype=np.int64)
     keep, half = np.ones(len(values), dtype=bool), np.arange(len(values)) % 2
 
@@ -183,8 +187,9 @@ def fit(values: list[tuple[str, str]], limits: dict[str, dict[int, float]], word
         positive = cut[mine[source]]
         if not len(positive) or not mine.any():
             return np.zeros(WIDTH)
-        rows = np.concatenate([whole[mine], positive])[:, :columns]
-        return descend(rows, np.concatenate([np.zeros(int(mine.sum())), np.ones(len(positive))]))
+        negative = np.concatenate([whole[mine], stopless[mine[bare_of]]])
+        rows = np.concatenate([negative, positive])[:, :columns]
+        return descend(rows, np.concatenate([np.zeros(len(negative)), np.ones(len(positive))]))
 
     for columns in (N_FEATURES - N_LENGTH, N_FEATURES, N_FEATURES):
         judged = np.zeros(len(values))
