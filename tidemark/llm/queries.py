@@ -16,17 +16,19 @@ from .parsimony import distinctive_terms
 from .rankagg import aggregate_ranks, top_by
 from .sentences import split_sentences
 from .termfreq import term_counts
-from .truncation import truncated
+from .truncation import fit_model, truncated
 
 
 def _p1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Scores of the stored descriptions, by feed, and of their delivered copies, by worker; each row once."""
-    news = read_table(spark, sf_dir, "stored_news").select("_id", "feed", "short_description").where("short_description <> ''").distinct()
-    hits = read_table(spark, sf_dir, "semantic_hits").select("hit_id", "doc_id", "worker", "short_description").where("short_description <> ''").distinct()
-    stored = news.selectExpr("'stored_news' AS tbl", "feed AS source", "_id AS row_id", "short_description AS text", "cast(null AS string) AS parent")
+    """Scores of the stored descriptions, by feed, and of their delivered copies, by worker."""
+    news = read_table(spark, sf_dir, "stored_news").select("_id", "feed", "short_description").where("short_description <> ''")
+    hits = read_table(spark, sf_dir, "semantic_hits").select("hit_id", "doc_id", "worker", "short_description").where("short_description <> ''")
+    stored = news.selectExpr("'stored_news' AS tbl", "feed AS source", "_id AS row_id", "short_description AS text")
+    copies = hits.selectExpr("'semantic_hits' AS tbl", "worker AS source", "hit_id AS row_id", "short_description AS text", "doc_id")
+    model = fit_model(stored.unionByName(copies.drop("doc_id")))
     parents = news.selectExpr("_id AS doc_id", "short_description AS parent")
-    copies = hits.join(parents, "doc_id", "left").selectExpr("'semantic_hits' AS tbl", "worker AS source", "hit_id AS row_id", "short_description AS text", "parent")
-    return truncated(stored.unionByName(copies))
+    with_parent = copies.join(parents, "doc_id", "left").drop("doc_id")
+    return truncated(stored.withColumn("parent", F.lit(None).cast("string")), model).unionByName(truncated(with_parent, model))
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,9 +37,9 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p1_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How often the descriptions of each feed and worker break off."""
-    scored = _p1(spark, sf_dir)
-    return scored.groupBy("tbl", "source").agg(F.count("*").alias("n_rows"), F.sum(F.col("cut").cast("long")).alias("n_cut"), F.round(F.avg(F.col("cut").cast("double")), 6).alias("cut_rate"))
+    """How often the descriptions of each feed and worker break off; a row delivered again counts once."""
+    rows = _p1(spark, sf_dir).groupBy("tbl", "source", "row_id").agg(F.max("cut").alias("cut"))
+    return rows.groupBy("tbl", "source").agg(F.count("*").alias("n_rows"), F.count_if("cut").alias("n_cut"), F.round(F.avg(F.col("cut").cast("double")), 6).alias("cut_rate"))
 
 
 def _p2(spark: SparkSession, sf_dir: str) -> DataFrame:

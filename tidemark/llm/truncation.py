@@ -10,23 +10,25 @@ Features are hashed: the closing characters and their classes, punctuation, the
 with names and figures masked, the opening words together with the closing ones (headings and captions close without
 a stop but open alike), whether words of this shape close values elsewhere, and the distance to the source's limits.
 
-The model is fitted on a bounded sample of values (SAMPLE rows, chosen by hash, documented and a parameter); the
+The model is fitted on a bounded sample of values (about SAMPLE rows, chosen by hash, documented and a parameter); the
 length histogram behind the limits covers all values and every value is scored.
 """
 
 from __future__ import annotations
 
+import random
 import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Values the model is fitted on at most.
+#: Values the model is fitted on, about.
 SAMPLE = 24_000
 #: Size of the hashed feature space.
 WIDTH = 1 << 18
@@ -217,33 +219,52 @@ def source_limits(lengths: list[tuple[str, int, int]], least: int = 8) -> dict[s
     return out
 
 
-def truncated(values: DataFrame, sample: int = SAMPLE, seed: int = 7) -> DataFrame:
-    """`values` (tbl, source, row_id, text, parent) with `p`, the probability that `text` was cut, and `cut`.
+@dataclass(frozen=True)
+class Model:
+    """Weights, limits by source, and the words that tell whole from broken ones."""
 
-    `cut`: p is at least THRESHOLD, or `parent` (the stored copy of a delivered text, else null) goes on where `text`
-    stops. Null and empty texts are left out; rows are scored one by one, repeated ones alike. Sources are few; the
-    histogram of lengths by source is the only thing that comes to the driver besides the sample.
+    weights: np.ndarray
+    limits: dict[str, dict[int, float]]
+    words_known: frozenset[str]
+
+
+def fit_model(values: DataFrame, sample: int = SAMPLE, seed: int = 7) -> Model:
+    """The model of `values` (source, text, row_id): limits from all of them, weights from about `sample`.
+
+    The histogram of lengths by source (sources are few) and the sample are all that comes to the driver. Rows are in
+    the sample or not by the hash of their id and text, whatever the partitioning. Null and blank texts are left out.
     """
-    spark: SparkSession = values.sparkSession
-    rows = values.where("text is not null and trim(text) <> ''")
+    rows = values.where("text is not null and trim(text) <> ''").select(F.coalesce("source", F.lit("")).alias("source"), "text", "row_id")
     open_end = ~F.col("text").rlike(r"[.!?][\"”’)]?\s*$") | F.col("text").rlike(r"(…|\.\.\.)\s*$")
     inner = F.col("text").rlike(r"[.!?][\"”’)]?\s\S")  # headings and captions have lengths of their own, but no limit
-    sized = rows.where(open_end & inner).groupBy(F.coalesce("source", F.lit("")).alias("source"), F.length("text").alias("n")).count()
-    limits = source_limits([(r["source"], r["n"], r["count"]) for r in sized.where("count >= 8").collect()])
-    # a bounded sample, the same whatever the partitioning: the smallest hashes
-    picked = rows.select(F.coalesce("source", F.lit("")).alias("source"), "text", F.xxhash64("tbl", "row_id", F.lit(seed)).alias("h")).orderBy("h", "text").limit(sample).collect()
-    words_known = vocabulary([r["text"] for r in picked])
-    weights = fit([(r["source"], r["text"]) for r in picked], limits, words_known, seed)
-    shared = spark.sparkContext.broadcast((weights.astype(np.float32), limits, words_known))
+    sized = rows.groupBy("source", F.length("text").alias("n")).agg(F.count("*").alias("all"), F.count_if(open_end & inner).alias("open"))
+    lengths = sized.collect()  # sources times distinct lengths
+    limits = source_limits([(r["source"], r["n"], r["open"]) for r in lengths if r["open"]])
+    share = min(1.0, sample / max(1, sum(r["all"] for r in lengths)))
+    chance = F.pmod(F.xxhash64("row_id", "text", F.lit(seed)), F.lit(1_000_000))
+    picked = sorted((r["source"], r["text"]) for r in rows.where(chance < int(share * 1_000_000)).select("source", "text").collect())
+    random.Random(seed).shuffle(picked)
+    words_known = vocabulary([t for _, t in picked])
+    return Model(fit(picked, limits, words_known, seed).astype(np.float32), limits, words_known)
+
+
+def truncated(values: DataFrame, model: Model) -> DataFrame:
+    """tbl, source, row_id, p (the probability that the text was cut), cut of `values` (tbl, source, row_id, text, parent).
+
+    `cut`: p is at least THRESHOLD, or `parent` (the stored copy of a delivered text, or null) goes on where the text
+    stops. Null and blank texts are left out; rows are scored one by one, repeated ones alike.
+    """
+    rows = values.where("text is not null and trim(text) <> ''")
+    shared = values.sparkSession.sparkContext.broadcast(model)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        w, known, words_known = shared.value
+        known = shared.value
         for batch in batches:
             texts, sources, parents = (batch.column(i).to_pylist() for i in range(3))
             if not texts:
                 continue
-            idx = np.array([features(t, known.get(s or "", {}), words_known) for s, t in zip(sources, texts, strict=True)], dtype=np.int32)
-            p = 1.0 / (1.0 + np.exp(-w[idx].sum(axis=1, dtype=np.float64)))
+            idx = np.array([features(t, known.limits.get(s or "", {}), known.words_known) for s, t in zip(sources, texts, strict=True)], dtype=np.int32)
+            p = 1.0 / (1.0 + np.exp(-known.weights[idx].sum(axis=1, dtype=np.float64)))
             goes_on = np.array([bool(o) and len(t.rstrip()) < len(o.rstrip()) and o.startswith(t.rstrip()) for t, o in zip(texts, parents, strict=True)], dtype=bool)
             yield pa.RecordBatch.from_arrays([batch.column(3), batch.column(1), batch.column(4), pa.array(p), pa.array((p >= THRESHOLD) | goes_on)], names=["tbl", "source", "row_id", "p", "cut"])
 
