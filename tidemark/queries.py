@@ -5,9 +5,35 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from .functions.text import cache_key, strip, tokens
+from .functions.web import html_to_text, valid_address
+from .operators import boolean, fusion, ranking, survey, vector, workload
+from .operators.index import Index, build_index
 from .operators.multivalue import packed_values
+from .operators.ranking import Ranking, Strategy
+from .plans.query import parse
 from .runtime import read_table
+from .sources import news
+
+# Queries the catalogue runs, chosen from words of the corpus.
+FREE = "port authority election"
+PHRASE = "water board"
+AND, OR, NOT = "harbour AND election", "lighthouse OR vaccine", "NOT council"
+NESTED = '(harbour OR "port authority") AND NOT (election OR NOT council)'
+IMPLICIT = "harbour council"
+DOCUMENT = 17
+
+_held: dict[tuple[str, str], Index] = {}
+
+
+def documents_index(spark: SparkSession, sf_dir: str) -> Index:
+    """The index of `documents`, its tokens kept for the session: every query of the catalogue starts from them."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _held:
+        _held[key] = build_index(read_table(spark, sf_dir, "documents")).persist()
+    return _held[key]
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,4 +42,230 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.selectExpr("_id AS news_id", "item_pos", "item")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p3_found": p3_found}
+def tokenize_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return documents_index(spark, sf_dir).positions
+
+
+def doc_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return documents_index(spark, sf_dir).doc_stats
+
+
+def corpus_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return documents_index(spark, sf_dir).corpus.withColumn("avgdl", F.round("avgdl", 6))
+
+
+def postings_build(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = documents_index(spark, sf_dir).postings
+    return rows.select("term", "doc_id", "tf", F.array_join(F.transform("positions", lambda p: p.cast("string")), ",").alias("positions"))
+
+
+def term_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = documents_index(spark, sf_dir)
+    bm = ranking.term_bounds(index).select("term", "df", "max_tf", F.round("max_score", 6).alias("bm25_bound"))
+    ti = ranking.term_bounds(index, Ranking.TFIDF).select("term", F.round("max_score", 6).alias("tfidf_bound"))
+    return bm.join(ti, "term")
+
+
+def posting_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranking.block_bounds(documents_index(spark, sf_dir)).withColumn("max_score", F.round("max_score", 6))
+
+
+def _boolean(query: str) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, sf_dir: boolean.evaluate(documents_index(spark, sf_dir), parse(query))
+
+
+def _search(query: str, k: int = 10, model: Ranking = Ranking.BM25, strategy: Strategy = Strategy.TOP_K) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, sf_dir: ranking.search(documents_index(spark, sf_dir), query, k, model, strategy)
+
+
+def phrase_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return boolean.phrase_documents(documents_index(spark, sf_dir), PHRASE.split())
+
+
+def phrase_bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranking.search_phrase(documents_index(spark, sf_dir), PHRASE, 10)
+
+
+def bm25_all_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = ranking.score(documents_index(spark, sf_dir), FREE.split())
+    return scored.select("doc_id", F.round("score", 6).alias("score"))
+
+
+def bm25_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranking.top(ranking.score(documents_index(spark, sf_dir), ["election", "harbour", "election"], raw=True), 10)
+
+
+def tfidf_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranking.top(ranking.score(documents_index(spark, sf_dir), ["election", "harbour", "election"], Ranking.TFIDF, raw=True), 10)
+
+
+def explain_doc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    row = ranking.explain(documents_index(spark, sf_dir), FREE + " harbour the", DOCUMENT)
+    return row.select("doc_id", "mode", "lexical_score", "query_terms", "matched_count", "phrase_match", "matched_query", F.array_join("matched_terms", ",").alias("matched_terms"))
+
+
+def retrieval_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranking.retrieval_stats(documents_index(spark, sf_dir), FREE)
+
+
+def _query_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """query_id and distinct terms of the recorded searches."""
+    rows = read_table(spark, sf_dir, "search_queries")
+    return rows.select("query_id", F.array_distinct(tokens(F.col("query_text"))).alias("terms")).where(F.size("terms") > 0)
+
+
+def bm25_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranking.search_many(documents_index(spark, sf_dir), _query_terms(spark, sf_dir), 10)
+
+
+def workload_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = documents_index(spark, sf_dir)
+    return ranking.search_many(index, workload.workload(index), 10)
+
+
+def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector.build_vectors(read_table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
+
+
+def vector_quantize(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _vectors(spark, sf_dir).select("doc_id", F.posexplode("qvec").alias("component", "level"))
+
+
+def _one_embedding(spark: SparkSession, sf_dir: str) -> list[float]:
+    return read_table(spark, sf_dir, "embeddings").where("vec_id = 3").select("embedding").first()[0]
+
+
+def vector_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector.search(_vectors(spark, sf_dir), _one_embedding(spark, sf_dir), 20)
+
+
+def vector_topk_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    queries = read_table(spark, sf_dir, "embeddings").where("vec_id % 50 = 0").selectExpr("vec_id AS query_id", "embedding AS vector")
+    return vector.search_many(_vectors(spark, sf_dir), queries, 5)
+
+
+def _fused(spark: SparkSession, sf_dir: str, limit: int) -> DataFrame:
+    depth = fusion.candidate_depth(limit)
+    lexical = ranking.search(documents_index(spark, sf_dir), FREE, depth)
+    return fusion.fuse(lexical, vector.search(_vectors(spark, sf_dir), _one_embedding(spark, sf_dir), depth), limit)
+
+
+def rrf_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fused list; 0 stands for "not in that list" here, so that columns have one type everywhere."""
+    hits = _fused(spark, sf_dir, 50)
+    return hits.select("rank", "doc_id", "score", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("lexical_score", "semantic_score", "lexical_rank", "semantic_rank")])
+
+
+def _store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read_table(spark, sf_dir, "stored_news").select("_id", *news.FIELDS).distinct()
+
+
+def hybrid_hydrated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hits = fusion.hydrate(_fused(spark, sf_dir, 20), _store(spark, sf_dir))
+    return hits.select("rank", "doc_id", "score", F.col("document.headline").alias("headline"), F.col("document.category").alias("category"))
+
+
+def batch_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fusion.lookup(_store(spark, sf_dir), [40, 7, 999_999_999, 21, 3]).select("ordinal", "_id", "headline")
+
+
+def df_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return workload.bucket_summary(documents_index(spark, sf_dir))
+
+
+def workload_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return workload.workload_terms(documents_index(spark, sf_dir))
+
+
+def value_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return workload.percentiles(read_table(spark, sf_dir, "events"), "value", ["event_type"])
+
+
+#: Markup around a document's text for the page functions; the same string is built in SQL.
+_MARKUP = (
+    "concat('<html><head><style>p{}</style></head><body><!-- page --><nav>menu</nav><h1 class=\"t\">', coalesce(category, ''), '</h1><p>', "
+    "replace(replace(coalesce(text, ''), '&', '&amp;'), '\\n\\n', '</p>\\n\\n <p>'), '</p><br/>&lt;end&gt;<script>var a = 1;</script><footer>foot</footer></body></html>')"
+)
+
+
+def html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = read_table(spark, sf_dir, "documents").select("doc_id", F.expr(_MARKUP).alias("html"))
+    return pages.select("doc_id", html_to_text(F.col("html")).alias("text"))
+
+
+def _sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hits of the semantic searches as sources of an answer."""
+    hits = read_table(spark, sf_dir, "semantic_hits").select("query_id", "hit_rank", "doc_id").where("hit_rank is not null").distinct()
+    stored = _store(spark, sf_dir).selectExpr("_id", "headline", "link AS url", "short_description AS description")
+    return hits.join(stored, hits["doc_id"] == stored["_id"]).selectExpr("query_id", "hit_rank", "doc_id AS id", "headline", "url", "description")
+
+
+def source_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return survey.usable_sources(_sources(spark, sf_dir), "query_id", "hit_rank").select("query_id", "place", "id", "headline", "url")
+
+
+def address_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read_table(spark, sf_dir, "stored_news").groupBy("feed", valid_address(F.col("link")).alias("valid"))
+    return rows.agg(F.count("*").alias("n_rows"))
+
+
+def ndjson_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read_table(spark, sf_dir, "stored_news")
+    lines = rows.select(F.to_json(F.struct(*news.FIELDS)).alias("value"), F.col("_id").alias("line_no"))
+    return news.records_of(lines).withColumnRenamed("line_no", "source_id")
+
+
+def text_file_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    worded = _store(spark, sf_dir).where(strip(F.col("headline")) != "")
+    return news.file_stats(news.text_files(worded))
+
+
+def repeated_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read_table(spark, sf_dir, "search_queries").select(cache_key(F.col("query_text")).alias("query_key"), "query_id")
+    return rows.groupBy("query_key").agg(F.count("*").alias("n"), F.min("query_id").alias("first_id"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "tokenize_positions": tokenize_positions,
+    "doc_lengths": doc_lengths,
+    "corpus_stats": corpus_stats,
+    "postings_build": postings_build,
+    "term_stats": term_stats,
+    "posting_blocks": posting_blocks,
+    "bool_and": _boolean(AND),
+    "bool_or": _boolean(OR),
+    "bool_not": _boolean(NOT),
+    "bool_nested": _boolean(NESTED),
+    "bool_implicit_and": _boolean(IMPLICIT),
+    "phrase_match": phrase_match,
+    "phrase_bm25": phrase_bm25,
+    "bm25_topk": _search(FREE),
+    "bm25_all_scores": bm25_all_scores,
+    "bm25_raw": bm25_raw,
+    "tfidf_topk": _search(FREE, model=Ranking.TFIDF),
+    "tfidf_raw": tfidf_raw,
+    "bool_ranked": _search("harbour AND election"),
+    "bool_not_ranked": _search("election OR NOT harbour"),
+    "wand_topk": _search(FREE, strategy=Strategy.WAND),
+    "block_max_wand_topk": _search(FREE, strategy=Strategy.BLOCK_MAX_WAND),
+    "explain_doc": explain_doc,
+    "retrieval_stats": retrieval_stats,
+    "bm25_batch": bm25_batch,
+    "workload_batch": workload_batch,
+    "vector_quantize": vector_quantize,
+    "vector_topk": vector_topk,
+    "vector_topk_batch": vector_topk_batch,
+    "rrf_fusion": rrf_fusion,
+    "hybrid_hydrated": hybrid_hydrated,
+    "batch_lookup": batch_lookup,
+    "df_buckets": df_buckets,
+    "workload_terms": workload_terms,
+    "value_percentiles": value_percentiles,
+    "html_text": html_text,
+    "source_dedup": source_dedup,
+    "address_check": address_check,
+    "ndjson_ingest": ndjson_ingest,
+    "text_file_stats": text_file_stats,
+    "repeated_queries": repeated_queries,
+    "p3_found": p3_found,
+}
