@@ -23,6 +23,8 @@ from pyspark.sql import functions as F
 from ..runtime import cut
 
 TABLES, PROBES, TARGET, HOT = 8, 2, 8, 4096
+#: Settings for few asking vectors whose neighbours are far away (cosine below 0.6): larger buckets, more probes.
+WIDE_TARGET, WIDE_PROBES, WIDE_HOT = 4000, 8, 65_536
 SLACK = 0.03
 SEED = 20240229
 #: Digits from here on are used to split hot buckets, so they never repeat those of the bucket keys.

@@ -28,7 +28,7 @@ counted AS (SELECT field_name, term, count(*) AS n, count(DISTINCT _id) AS n_rec
 marked AS (SELECT *, CASE WHEN n_records <= 2 THEN 'rare' WHEN n_records >= 0.05 * (SELECT count(DISTINCT _id) FROM stored_news) THEN 'common' END AS mark FROM counted)
 """
 ORACLE["p2_found"] = _P2 + "SELECT field_name, term, mark FROM marked WHERE mark IS NOT NULL"
-ORACLE["p2_counts"] = _P2 + "SELECT field_name, term, n, n_records, mark FROM marked"
+ORACLE["p2_counts"] = _P2 + "SELECT field_name, term, n, n_records, coalesce(mark, '') AS mark FROM marked"
 
 _P6 = """
 WITH recs AS (SELECT DISTINCT _id, headline, short_description FROM stored_news),
@@ -40,3 +40,24 @@ scored AS (SELECT _id, term, CASE WHEN df > 1 THEN tf * ln((SELECT count(DISTINC
 ordered AS (SELECT *, row_number() OVER (PARTITION BY _id ORDER BY w DESC) AS n, lead(w) OVER (PARTITION BY _id ORDER BY w DESC) AS second FROM scored)
 """
 ORACLE["p6_found"] = _P6 + "SELECT _id AS news_id, term FROM ordered WHERE n = 1 AND w > 0 AND w > 1.05 * coalesce(second, 0)"
+ORACLE["p6_terms"] = _P6.replace("scored AS (SELECT _id, term,", "scored AS (SELECT _id, term, tf, df,") + "SELECT _id AS news_id, term, tf::INTEGER AS tf, df, round(w, 6) AS weight FROM scored"
+ORACLE["p5_significance"] = _PLACES + """
+SELECT query_id, doc_id, round(least(1, 2 * least(1 - (1 - r1) * (1 - r1), r2 * r2)), 9) AS rho,
+  row_number() OVER (PARTITION BY query_id ORDER BY round(least(1, 2 * least(1 - (1 - r1) * (1 - r1), r2 * r2)), 9), rrf DESC, doc_id) AS rra_place FROM fused
+"""
+
+ORACLE["p7_found"] = """
+WITH recs AS (SELECT doc_id, min(embedding)::DOUBLE[] AS v FROM news_vectors WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64
+  AND list_aggregate(list_transform(embedding, lambda x: abs(x)), 'max') > 0 GROUP BY 1),
+pairs AS (SELECT a.doc_id AS x, b.doc_id AS y, list_cosine_similarity(a.v, b.v) AS c FROM recs a JOIN recs b ON a.doc_id <> b.doc_id),
+near AS (SELECT x, y FROM pairs WHERE c >= 0.85 QUALIFY row_number() OVER (PARTITION BY x ORDER BY c DESC, y) <= 5)
+SELECT DISTINCT least(x, y) AS doc_a, greatest(x, y) AS doc_b FROM near
+"""
+
+ORACLE["p9_found"] = """
+WITH d AS (SELECT doc_id, regexp_replace(lower(text), '[^\\p{L}\\p{N}]', '', 'g') AS t FROM documents),
+e AS (SELECT item_id, regexp_replace(lower(text), '[^\\p{L}\\p{N}]', '', 'g') AS t FROM eval_items),
+dg AS (SELECT doc_id, substring(t, i, 40) AS g FROM (SELECT doc_id, t, unnest(range(1, length(t) - 38)) AS i FROM d)),
+eg AS (SELECT DISTINCT item_id, substring(t, i, 40) AS g FROM (SELECT item_id, t, unnest(range(1, length(t) - 38)) AS i FROM e))
+SELECT DISTINCT doc_id, item_id FROM dg JOIN eg USING (g)
+"""

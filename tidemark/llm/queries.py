@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..runtime import read_table
 from .leakage import RUN, leaks
 from .names import name_clusters, name_variants
-from .neighbours import nearest
+from .neighbours import WIDE_HOT, WIDE_PROBES, WIDE_TARGET, nearest
 from .packing import CAPACITY, pack_items
 from .parsimony import distinctive_terms
 from .rankagg import aggregate_ranks, top_by
@@ -53,7 +53,7 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p2_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every term and category with its occurrences, records and mark."""
-    return _p2(spark, sf_dir)
+    return _p2(spark, sf_dir).withColumn("mark", F.coalesce("mark", F.lit("")))
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -88,9 +88,15 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p6_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every term of every record with its counts, its share of the record's own model and its weight."""
+    """Every term of every record with its counts and its weight (the part of the result that SQL can state)."""
     terms = distinctive_terms(read_table(spark, sf_dir, "stored_news"), "_id", ["headline", "short_description"])
-    return terms.selectExpr("_id AS news_id", "term", "tf", "df", "round(p, 6) AS p", "round(weight, 6) AS weight")
+    return terms.selectExpr("_id AS news_id", "term", "tf", "df", "round(weight, 6) AS weight")
+
+
+def p6_models(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every term with its converged share of the record's own model."""
+    terms = distinctive_terms(read_table(spark, sf_dir, "stored_news"), "_id", ["headline", "short_description"])
+    return terms.selectExpr("_id AS news_id", "term", "p")
 
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -101,7 +107,8 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p7_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five most similar records found for every record whose id is divisible by 50, against all records."""
-    near = nearest(read_table(spark, sf_dir, "news_vectors"), "doc_id", "embedding", 5, asking="key % 50 = 0")
+    vectors = read_table(spark, sf_dir, "news_vectors")
+    near = nearest(vectors, "doc_id", "embedding", 5, asking="key % 50 = 0", target=WIDE_TARGET, probes=WIDE_PROBES, hot=WIDE_HOT)
     return near.select(F.col("a").alias("doc_id"), F.col("b").alias("similar_id"), F.round("cosine", 6).alias("cosine"), "place")
 
 
@@ -151,6 +158,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p5_significance": p5_significance,
     "p6_found": p6_found,
     "p6_terms": p6_terms,
+    "p6_models": p6_models,
     "p7_found": p7_found,
     "p7_neighbours": p7_neighbours,
     "p8_found": p8_found,

@@ -96,7 +96,7 @@ def aggregate_ranks(df: DataFrame, group: str, item: str, scores: list[str], con
     ranks = F.array_sort(F.array(*[F.coalesce(F.col(f"_p{n}") / F.col(f"_n{n}"), F.lit(1.0)) for n in range(m)]))
     once = once.withColumn("_r", ranks)
     best = F.least(*[beta_tail(k, m, F.element_at("_r", k)) for k in range(1, m + 1)]) if m > 1 else F.element_at("_r", 1)
-    once = once.withColumn("rho", F.least(F.lit(1.0), best * float(m)))
+    once = once.withColumn("rho", F.round(F.least(F.lit(1.0), best * float(m)), 9))
     rrf = reduce(lambda a, b: a + b, [F.coalesce(1.0 / (constant + F.col(f"_p{n}")), F.lit(0.0)) for n in range(m)])
     once = once.withColumn("rrf", rrf)
     ranked = places(once, "_g", [F.col("rho"), F.col("rrf").desc(), F.col("_i")], hot_group).withColumnRenamed("place", "rra_place") if hot else once.withColumn(
