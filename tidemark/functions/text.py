@@ -10,9 +10,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: A word: letters joined by inner marks, figures joined by inner marks, or runs of letters, figures and underscores.
-#: Written without look-around, so the JVM, Python and RE2 agree on it.
-WORD = r"(?:\p{L}\p{M}*(?:['’.:·]\p{L}\p{M}*)+|\p{Nd}\p{M}*(?:[.,;'’⁄]\p{Nd}\p{M}*)+|[\p{L}\p{Nd}\p{M}_])+"
+#: Letters may be joined by the first marks, figures by the second, up to _JOINS times in a word.
+_JOINS = 500
+_LETTERS = rf"\p{{L}}\p{{M}}*(?:['’.:·]\p{{L}}\p{{M}}*){{1,{_JOINS}}}"
+_FIGURES = rf"\p{{Nd}}\p{{M}}*(?:[.,;'’⁄]\p{{Nd}}\p{{M}}*){{1,{_JOINS}}}"
+_RUN = r"[\p{L}\p{Nd}\p{M}_]"
+#: A word: a run of letters, figures, marks and underscores, with joined letters or figures in it. Without look-around,
+#: so the JVM, Python and RE2 agree on it; plain runs are single loops, so long words need no stack.
+WORD = rf"(?:{_RUN}*(?:{_LETTERS}|{_FIGURES})){{1,{_JOINS}}}{_RUN}*|{_RUN}+"
 _WORD = regex.compile(WORD)
 _IGNORABLE = regex.compile(r"\p{Default_Ignorable_Code_Point}+")
 

@@ -45,7 +45,7 @@ _SQUOTED_END = re.compile(rf"'(?=\s*(?:$|{_MARK})|\s+{_WORD}(?=\s|$))")
 _BARE = re.compile(rf"(?:(?!\s*(?:$|{_MARK})|\s+{_WORD}(?:\s|$)).)+", re.S)
 #: A field of this shape holds one bare value; most fields do, and need no grammar.
 _PLAIN = re.compile(rf"[^\s{re.escape(MARKS)}\"'\[({{][^{re.escape(MARKS)}\"\[({{]*")
-_HAS_WORD = re.compile(rf"\s{_WORD}(?=\s|$)|^{_WORD}\s")
+_HAS_WORD = re.compile(rf"(?:^|\s){_WORD}(?=\s|$)")
 
 
 def _quoted(text: str, at: int) -> tuple[str, int] | None:

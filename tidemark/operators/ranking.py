@@ -76,7 +76,7 @@ def score(index: Index, terms: Sequence[str], ranking: Ranking = Ranking.BM25, r
     has = F.arrays_overlap("tokens", F.array(*map(F.lit, each)))
     total = F.coalesce(F.sum("dl"), F.lit(0)).cast("double")
     dfs = [F.count_if(F.array_contains("tokens", t)).alias(f"df{i}") for i, t in enumerate(each)]
-    stats = index.tokens.agg(F.count("*").alias("n"), (total / F.count("*")).alias("avgdl"), *dfs)
+    stats = index.tokens.agg(F.count("*").alias("n"), F.coalesce(F.try_divide(total, F.count("*")), F.lit(0.0)).alias("avgdl"), *dfs)
     docs = index.tokens.where(has if among is None else has & among)
     docs = docs.select("doc_id", "dl", *[tf.alias(f"tf{i}") for i, tf in enumerate(frequencies(each))])
     rows = docs.crossJoin(F.broadcast(stats))  # one row

@@ -49,7 +49,7 @@ def read_ndjson(spark: SparkSession, path: str, keep_blank_headlines: bool = Fal
 def count_invalid(spark: SparkSession, path: str) -> DataFrame:
     """One row: lines, invalid (blank lines are neither)."""
     rows = parse_lines(spark.read.text(path).withColumn("line_no", F.lit(0)))
-    return rows.agg(F.count("*").alias("lines"), F.count_if("not valid").alias("invalid"))
+    return rows.agg(F.count("*").alias("lines"), F.count_if(~F.col("valid")).alias("invalid"))
 
 
 def with_ids(records: DataFrame, name: str = "_id", start: int = 1) -> DataFrame:
