@@ -61,7 +61,9 @@ def distinctive_terms(df: DataFrame, key: str, texts: list[str], head: int = HEA
     no term; a record without terms gives no row; records delivered again count once. `key` must be BIGINT.
     """
     spark = df.sparkSession
-    records = cut(distinct_records(df, key, texts).withColumnRenamed(key, "key"))
+    given = df.select(F.col(key).cast("long").alias("key"), *[F.col(t).alias(f"t{i}") for i, t in enumerate(texts)])
+    texts = [f"t{i}" for i in range(len(texts))]
+    records = cut(distinct_records(given, "key", texts))
     counts = background(records, texts)
     sums = counts.groupBy((F.col("field_name") == RECORDS).alias("all")).agg(F.sum("n").alias("n"), F.count("*").alias("terms")).collect()  # two rows
     n_records = next((r["n"] for r in sums if r["all"]), 0)

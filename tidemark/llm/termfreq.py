@@ -109,7 +109,7 @@ def merge_counts(partial: DataFrame, first_bits: int = FIRST_BITS, more_bits: in
     hashed.withColumn("radix", F.shiftrightunsigned("h", 64 - depth)).write.partitionBy("radix").parquet(f"{spill}/0")
     level, leaves = 0, []
     while True:
-        here = spark.read.parquet(f"{spill}/{level}")
+        here = spark.read.schema(f"{PARTIAL}, h long, radix long").parquet(f"{spill}/{level}")
         # at most 2^bits counts per oversized parent come to the driver
         large = [r["radix"] for r in here.groupBy("radix").count().where(F.col("count") > leaf_rows).collect()]
         if not large or depth + more_bits > 62:

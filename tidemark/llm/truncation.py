@@ -4,7 +4,7 @@ Positives are made: values are cut at a random place, at a word or inside one, o
 has suspiciously many values end (its field limits), and some get a mark of omission, as senders add. Negatives are
 the values as they are, and closed ones without their stop. Those still hold true cuts, so the model is fitted again without the values
 the last one takes for cut, neither as negatives nor as material for positives. Values are judged by a model that
-was not fitted on them.
+was not fitted on them, and open values right at a limit of their source are left out from the start.
 
 Features are hashed: the closing characters and their classes, punctuation, the last words and the words before them
 with names and figures masked, the opening words together with the closing ones (headings and captions close without
@@ -183,7 +183,9 @@ def fit(values: list[tuple[str, str]], limits: dict[str, dict[int, float]], word
     stopless = np.array([features(t, limits.get(s, {}), words_known) for _, s, t in bare], dtype=np.int32).reshape(-1, N_FEATURES)
     bare_of = np.array([i for i, _, _ in bare], dtype=np.int64)
     cut, source = np.array(made, dtype=np.int32).reshape(-1, N_FEATURES), np.array(of, dtype=np.int64)
-    keep, half = np.ones(len(values), dtype=bool), np.arange(len(values)) % 2
+    # open values right at a limit of their source are suspects from the start
+    keep = np.array([not (len(t) in limits.get(s, {}) and (not _CLOSED.search(t) or bool(_OMISSION.search(t)))) for s, t in values], dtype=bool)
+    half = np.arange(len(values)) % 2
 
     def train(mine: np.ndarray, columns: int) -> np.ndarray:
         positive = cut[mine[source]]
@@ -234,7 +236,7 @@ def fit_model(values: DataFrame, sample: int = SAMPLE, seed: int = 7) -> Model:
     The histogram of lengths by source (sources are few) and the sample are all that comes to the driver. Rows are in
     the sample or not by the hash of their id and text, whatever the partitioning. Null and blank texts are left out.
     """
-    rows = values.where("text is not null and trim(text) <> ''").select(F.coalesce("source", F.lit("")).alias("source"), "text", "row_id")
+    rows = values.where(F.col("text").rlike(r"\S")).select(F.coalesce("source", F.lit("")).alias("source"), "text", "row_id")
     open_end = ~F.col("text").rlike(r"[.!?][\"”’)]?\s*$") | F.col("text").rlike(r"(…|\.\.\.)\s*$")
     inner = F.col("text").rlike(r"[.!?][\"”’)]?\s\S")  # headings and captions have lengths of their own, but no limit
     sized = rows.groupBy("source", F.length("text").alias("n")).agg(F.count("*").alias("all"), F.count_if(open_end & inner).alias("open"))
@@ -254,7 +256,7 @@ def truncated(values: DataFrame, model: Model) -> DataFrame:
     `cut`: p is at least THRESHOLD, or `parent` (the stored copy of a delivered text, or null) goes on where the text
     stops. Null and blank texts are left out; rows are scored one by one, repeated ones alike.
     """
-    rows = values.where("text is not null and trim(text) <> ''")
+    rows = values.where(F.col("text").rlike(r"\S"))
     shared = values.sparkSession.sparkContext.broadcast(model)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
