@@ -62,6 +62,20 @@ def test_statistics(spark):
     assert (blank.n, blank.vocab, blank.avgdl) == (1, 0, 0.0)
 
 
+def test_lookups(spark, tmp_path):
+    i = index(spark, {1: "cat cat dog", 2: "cat bird", 3: ""}, 2)
+    i.save(f"file://{tmp_path}/look")
+    for x in (i, Index.load(spark, f"file://{tmp_path}/look")):
+        assert [tuple(r) for r in x.postings_of("cat").collect()] == [(1, 2, [0, 1]), (2, 1, [0])]
+        assert (x.term_frequency("cat", 1), x.term_frequency("cat", 3), x.term_frequency("x", 1)) == (2, 0, 0)
+        assert (x.term_positions("dog", 1), x.term_positions("dog", 2)) == ([2], [])
+        assert (x.document_frequency("cat"), x.document_length(1), x.document_length(9)) == (2, 3, 0)
+        assert x.blocks_of("cat").count() == 1
+    assert ids(boolean.and_query(i, "cat", "dog")) == [1] and ids(boolean.or_query(i, "dog", "bird")) == [1, 2]
+    assert ids(boolean.not_query(i, "cat")) == [3] and ids(boolean.not_query(i, "CAT")) == [1, 2, 3]
+    assert boolean.matches_phrase(i, 1, ["cat", "dog"]) and not boolean.matches_phrase(i, 2, ["cat", "dog"])
+
+
 def test_blocks(spark):
     i = index(spark, {1: "cat cat", 2: "cat dog", 3: "cat cat cat"}, 2)
     cat = [tuple(r)[1:] for r in i.blocks.where("term = 'cat'").orderBy("block_id").select("term", "block_id", "begin", "end", "first_doc", "last_doc", "max_tf", "min_dl").collect()]

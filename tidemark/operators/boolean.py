@@ -104,3 +104,20 @@ def evaluate_by_sets(index: Index, node: Node) -> DataFrame:
     if node.kind is Kind.AND:
         return intersect(*parts)
     return unite(*parts) if node.kind is Kind.OR else complement(index, parts[0])
+
+
+def and_query(index: Index, a: str, b: str) -> DataFrame:
+    """Documents with both terms (terms as they are, not normalised)."""
+    return index.tokens.where(has_term(a) & has_term(b)).select("doc_id")
+
+
+def or_query(index: Index, a: str, b: str) -> DataFrame:
+    return index.tokens.where(has_term(a) | has_term(b)).select("doc_id")
+
+
+def not_query(index: Index, a: str) -> DataFrame:
+    return complement(index, term_documents(index, a))
+
+
+def matches_phrase(index: Index, doc_id: int, terms: list[str]) -> bool:
+    return index.tokens.where((F.col("doc_id") == doc_id) & has_phrase(terms)).limit(1).count() > 0

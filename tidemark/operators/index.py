@@ -110,6 +110,34 @@ class Index:
             return stored
         return posting_blocks(self.term_counts.join(self.doc_stats, "doc_id"), self.block_size)
 
+    def postings_of(self, term: str) -> DataFrame:
+        """doc_id, tf, positions of one term in document order; the stored table is sorted by term, so row groups are
+        skipped by their statistics."""
+        if (stored := self._stored("postings")) is not None:
+            return stored.where(F.col("term") == term).select("doc_id", "tf", "positions").orderBy("doc_id")
+        places = F.transform(F.filter(F.transform("tokens", lambda t, i: F.when(t == F.lit(term), i)), lambda i: i.isNotNull()), lambda i: i)
+        found = self.tokens.where(F.array_contains("tokens", term)).select("doc_id", places.alias("positions"))
+        return found.select("doc_id", F.size("positions").alias("tf"), "positions").orderBy("doc_id")
+
+    def blocks_of(self, term: str) -> DataFrame:
+        return self.blocks.where(F.col("term") == term).orderBy("block_id")
+
+    def term_frequency(self, term: str, doc_id: int) -> int:
+        """0 where the term or the document is unknown."""
+        row = self.postings_of(term).where(F.col("doc_id") == doc_id).select("tf").first()
+        return row[0] if row else 0
+
+    def term_positions(self, term: str, doc_id: int) -> list[int]:
+        row = self.postings_of(term).where(F.col("doc_id") == doc_id).select("positions").first()
+        return row[0] if row else []
+
+    def document_frequency(self, term: str) -> int:
+        return self.tokens.where(F.array_contains("tokens", term)).count()
+
+    def document_length(self, doc_id: int) -> int:
+        row = self.tokens.where(F.col("doc_id") == doc_id).select("dl").first()
+        return row[0] if row else 0
+
     def save(self, folder: str) -> str:
         """Write every table below a new version of `folder`, then point CURRENT to it; returns the version.
 

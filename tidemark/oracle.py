@@ -96,6 +96,9 @@ forms AS (SELECT 0 AS f, b, 1 AS form, place - 1 AS spot, term, 0 AS pos FROM si
   UNION ALL SELECT 1, b, 4, 0, term, place - 1 FROM sized WHERE c > 3 AND place <= 4),
 q AS (SELECT dense_rank() OVER (ORDER BY f, b, form, spot) AS query_id, term, pos FROM forms), {_BATCH}"""
 
+ORACLE["headline_workload_batch"] = ORACLE["workload_batch"].replace("coalesce(text, '')", "coalesce(headline, '')").replace("FROM documents WHERE doc_id IS NOT NULL", "FROM (SELECT DISTINCT _id AS doc_id, headline FROM stored_news)")
+ORACLE["term_postings"] = f"WITH {_TOKS} SELECT doc_id, count(*)::INTEGER AS tf, string_agg(position::VARCHAR, ',' ORDER BY position) AS positions FROM words WHERE term = 'harbour' GROUP BY 1"
+
 _QVEC = """vecs AS (SELECT vec_id AS doc_id, embedding, sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE)))::FLOAT AS norm FROM embeddings),
 quant AS (SELECT doc_id, list_transform(embedding, lambda x: greatest(-127, least(127, round(((x / norm)::FLOAT * 127::FLOAT)::FLOAT)))::TINYINT) AS qvec FROM vecs WHERE norm > 0)"""
 ORACLE["vector_quantize"] = f"WITH {_QVEC} SELECT doc_id, unnest(range(len(qvec)))::INTEGER AS component, unnest(qvec) AS level FROM quant"

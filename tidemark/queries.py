@@ -114,6 +114,26 @@ def _query_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("query_id", F.array_distinct(tokens(F.col("query_text"))).alias("terms")).where(F.size("terms") > 0)
 
 
+def term_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = documents_index(spark, sf_dir).postings_of("harbour")
+    return rows.select("doc_id", "tf", F.array_join(F.transform("positions", lambda p: p.cast("string")), ",").alias("positions"))
+
+
+def headlines_index(spark: SparkSession, sf_dir: str) -> Index:
+    """The index of the distinct stored headlines, kept for the session."""
+    key = (spark.sparkContext.applicationId, sf_dir + "#headlines")
+    if key not in _held:
+        rows = read_table(spark, sf_dir, "stored_news").select("_id", "headline").distinct()
+        _held[key] = build_index(rows, "_id", "headline").persist()
+    return _held[key]
+
+
+def headline_workload_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The workload of one-, two- and four-term queries by frequency bucket over the headlines, as one job."""
+    index = headlines_index(spark, sf_dir)
+    return ranking.search_many(index, workload.workload(index), 10)
+
+
 def bm25_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranking.search_many(documents_index(spark, sf_dir), _query_terms(spark, sf_dir), 10)
 
@@ -250,6 +270,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "block_max_wand_topk": _search(FREE, strategy=Strategy.BLOCK_MAX_WAND),
     "explain_doc": explain_doc,
     "retrieval_stats": retrieval_stats,
+    "term_postings": term_postings,
+    "headline_workload_batch": headline_workload_batch,
     "bm25_batch": bm25_batch,
     "workload_batch": workload_batch,
     "vector_quantize": vector_quantize,

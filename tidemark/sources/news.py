@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import strip, unify_newlines
+from ..runtime import cut
 
 FIELDS = ("headline", "short_description", "category", "authors", "date", "link")
 RECORD = T.StructType([*[T.StructField(f, T.StringType()) for f in FIELDS], T.StructField("_bad", T.StringType())])
@@ -20,11 +21,24 @@ class SourceError(ValueError):
     """A source is missing or cannot give what was asked for."""
 
 
-def numbered(rows: DataFrame, name: str, start: int = 1) -> DataFrame:
-    """`rows` with `name`, consecutive numbers in their present order (as read)."""
-    schema = T.StructType([*rows.schema.fields, T.StructField(name, T.LongType(), False)])
-    pairs = rows.rdd.zipWithIndex().map(lambda p: (*p[0], p[1] + start))
-    return rows.sparkSession.createDataFrame(pairs, schema)
+def numbered(rows: DataFrame, name: str, start: int = 1, settle: bool = False) -> DataFrame:
+    """`rows` with `name`, consecutive numbers in their present order (as read, or as sorted).
+
+    Rows are numbered within their partition, and the rows of earlier partitions (one count per partition) are added;
+    a scan gives the same partitions each time it runs. Sorted rows do not once columns are pruned, so they are
+    materialised first (`settle`).
+    """
+    mark = F.monotonically_increasing_id()
+    marked = rows.withColumn("_mark", mark).withColumn("_part", F.shiftright("_mark", 33)).withColumn("_at", F.col("_mark").bitwiseAND(F.lit((1 << 33) - 1)))
+    if settle:
+        marked = cut(marked)
+    counts = sorted((r["_part"], r["count"]) for r in marked.groupBy("_part").count().collect())
+    before, offsets = start, []
+    for part, n in counts:
+        offsets.append((part, before))
+        before += n
+    table = F.broadcast(rows.sparkSession.createDataFrame(offsets, "_part long, _before long"))
+    return marked.join(table, "_part").withColumn(name, F.col("_at") + F.col("_before")).drop("_mark", "_part", "_at", "_before")
 
 
 def parse_lines(lines: DataFrame) -> DataFrame:
@@ -54,8 +68,7 @@ def count_invalid(spark: SparkSession, path: str) -> DataFrame:
 
 def with_ids(records: DataFrame, name: str = "_id", start: int = 1) -> DataFrame:
     """Records numbered by line order, without gaps."""
-    ordered = records.orderBy("line_no")
-    return numbered(ordered, name, start).drop("line_no")
+    return numbered(records.orderBy("line_no"), name, start, settle=True).drop("line_no")
 
 
 def stored_documents(records: DataFrame) -> DataFrame:
@@ -93,8 +106,8 @@ def read_folder(spark: SparkSession, folder: str) -> DataFrame:
     if not fs.exists(at) or not fs.getFileStatus(at).isDirectory():
         raise SourceError(f"no folder {folder}")
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "false").load(folder)
-    rows = files.select("path", F.decode("content", "UTF-8").alias("text")).orderBy("path")
-    return numbered(rows, "doc_id").select("doc_id", "path", "text")
+    ids = numbered(files.select("path").orderBy("path"), "doc_id", settle=True)  # names only; the contents are read once
+    return files.join(ids, "path").select("doc_id", "path", F.decode("content", "UTF-8").alias("text"))
 
 
 def text_files(documents: DataFrame) -> DataFrame:
