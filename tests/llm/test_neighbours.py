@@ -83,3 +83,13 @@ def test_hadamard_keeps_lengths():
     x = np.random.default_rng(0).normal(size=(5, 16))
     assert np.linalg.norm(hadamard(x), axis=1) == pytest.approx(np.linalg.norm(x, axis=1))
     assert hadamard(hadamard(x)) == pytest.approx(x)
+
+
+@pytest.mark.parametrize("spread", [1e-3, 0.2])
+def test_a_bucket_that_holds_a_third_of_all_rows(spark, spread):
+    rng = np.random.default_rng(9)
+    base = rng.normal(size=WIDTH)
+    vectors = clustered(200) | {9000 + i: (base + spread * rng.normal(size=WIDTH)).tolist() for i in range(100)}
+    near = nearest(frame(spark, vectors.items()), "id", "v", 5, least=0.9, hot=12)
+    want = {i: b for i, b in brute(vectors, 5, 0.9).items() if i >= 9000}
+    assert recall(found(near.where("a >= 9000")), want) >= 0.9

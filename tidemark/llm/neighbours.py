@@ -5,8 +5,8 @@
    takes the axis with the largest component and its sign; `digits` independent rotations make one bucket key. The
    number of digits follows from the number of vectors, so that buckets keep about TARGET members.
 3. A vector lies in its own bucket and also probes the PROBES buckets that are next best by the margin between the
-   best and the second-best axis of one digit. Buckets above HOT members are split by further digits, with the same
-   probing, until they are small or the vectors in them can't be told apart.
+   best and the second-best axis of one digit. Buckets above HOT members are split by further digits, with probing,
+   before their rows meet; what digits can't part is compared in blocks, exactly.
 4. Within a bucket 8-bit copies of the vectors select candidates (the error of the estimate is below SLACK); only
    (id, id) pairs leave the bucket. Distinct pairs are joined with the exact vectors and reranked in double precision.
 """
@@ -29,6 +29,8 @@ SLACK = 0.03
 SEED = 20240229
 #: Digits from here on are used to split hot buckets, so they never repeat those of the bucket keys.
 DIGIT = 64
+#: How often hot buckets are split by a digit before they are compared in blocks.
+LEVELS = 6
 
 
 def hadamard(x: np.ndarray) -> np.ndarray:
@@ -125,26 +127,12 @@ def _entries(table: int, bucket: np.ndarray, keys: pa.Array, packed: pa.Array, o
     return pa.RecordBatch.from_arrays(columns, names=["tbl", "bucket", "key", "code", "own", "ask"])
 
 
-def _bucket_pairs(key: np.ndarray, code: np.ndarray, own: np.ndarray, ask: np.ndarray, table: int, digit: int, k: int, least: float, hot: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def _bucket_pairs(key: np.ndarray, code: np.ndarray, own: np.ndarray, ask: np.ndarray, k: int, least: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """(asking key, candidate key, estimate): per asking row its k best own rows of the bucket from `least` on."""
-    n_own = int(own.sum())
-    if not n_own or not ask.any() or len(key) < 2:
+    if not own.any() or not ask.any() or len(key) < 2:
         return
     unit = code.astype(np.float32)
     unit /= np.maximum(np.linalg.norm(unit, axis=1, keepdims=True), 1e-9)
-    if n_own > hot:
-        at, _ = cross_polytope(padded(unit), table, digit, 1)
-        if np.bincount(at[own, 0]).max() < 0.95 * n_own:  # else these vectors are too close for a digit to part them
-            seconds = np.flatnonzero(ask)
-            rows = np.concatenate([np.arange(len(key)), seconds])
-            spots = np.concatenate([at[:, 0], at[seconds, 1]])
-            owns = np.concatenate([own, np.zeros(len(seconds), bool)])
-            order = np.argsort(spots, kind="stable")
-            edges = np.flatnonzero(np.diff(spots[order])) + 1
-            for part in np.split(order, edges):
-                r = rows[part]
-                yield from _bucket_pairs(key[r], code[r], owns[part], ask[r], table, digit + 1, k, least, hot)
-            return
     base, asking = np.flatnonzero(own), np.flatnonzero(ask)
     for low in range(0, len(asking), 1024):
         rows = asking[low : low + 1024]
@@ -161,7 +149,71 @@ def _bucket_pairs(key: np.ndarray, code: np.ndarray, own: np.ndarray, ask: np.nd
         yield key[rows[r]], names[r, c], sims[r, c]
 
 
-def _matches(k: int, least: float, hot: int):
+def _deeper(level: int):
+    """Entries with one more digit in their bucket; asking rows also probe their second-best vertex."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = batch.num_rows
+            if not n:
+                continue
+            tbl, bucket = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            code = np.frombuffer(b"".join(batch.column(3).to_pylist()), dtype=np.int8).reshape(n, -1)
+            unit = padded(code.astype(np.float32))
+            at = np.zeros((n, 2), dtype=np.int64)
+            for t in np.unique(tbl):
+                rows = np.flatnonzero(tbl == t)
+                at[rows] = cross_polytope(unit[rows], int(t), DIGIT + level, 1)[0]
+            mixed = (bucket[:, None] ^ ((at + 1) * np.int64(0x9E3779B97F4A7C1))) * np.int64(0x2545F4914F6CDD1D)
+            asking = np.flatnonzero(batch.column(5).to_numpy(zero_copy_only=False))
+            yield batch.set_column(1, "bucket", pa.array(mixed[:, 0]))
+            probes = batch.take(pa.array(asking))
+            yield probes.set_column(1, "bucket", pa.array(mixed[asking, 1])).set_column(4, "own", pa.array(np.zeros(len(asking), bool)))
+
+    return run
+
+
+def _cooled(entries: DataFrame, own: DataFrame, hot: int) -> DataFrame:
+    """`entries` with every bucket of more than `hot` own rows split before the rows of a bucket meet in a task.
+
+    Hot buckets get further digits. Where a digit no longer parts them, or after LEVELS of them, their own rows and
+    their asking rows are dealt into blocks, and each block meets each: whatever is left is compared exactly, in
+    tasks of bounded size. `own` are the entries that hold rows, to be counted.
+    """
+    parts, spark = [], entries.sparkSession
+    before: int | None = None
+    for level in range(LEVELS + 1):
+        counts = own.where("own").groupBy("tbl", "bucket").count().where(F.col("count") > hot)
+        found = [tuple(r) for r in counts.collect()]  # at most entries / hot buckets
+        if not found:
+            parts.append(entries)
+            break
+        table = F.broadcast(spark.createDataFrame(found, "tbl int, bucket long, members long"))
+        parts.append(entries.join(table.drop("members"), ["tbl", "bucket"], "left_anti"))
+        rows = cut(entries.join(table, ["tbl", "bucket"]).select("tbl", "bucket", "key", "code", "own", "ask", "members"))
+        most = max(n for _, _, n in found)
+        if level == LEVELS or before is not None and most > 0.9 * before:
+            parts.append(_blocks(rows, hot))
+            break
+        before = most
+        entries = own = cut(rows.drop("members").mapInArrow(_deeper(level), ENTRIES))
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
+def _blocks(rows: DataFrame, hot: int) -> DataFrame:
+    """Every block of own rows of a bucket with every block of its asking rows, as buckets of their own."""
+    n = F.ceil(F.col("members") / hot).cast("int")
+    every, mine = F.sequence(F.lit(0), n - 1), F.pmod(F.xxhash64("key"), n.cast("bigint")).cast("int")
+    bucket = lambda i, j: F.xxhash64("bucket", i, j).alias("bucket")
+    held = rows.where("own").withColumn("i", mine).withColumn("j", F.explode(every)).select("tbl", bucket("i", "j"), "key", "code", F.lit(True).alias("own"), F.lit(False).alias("ask"))
+    asked = rows.where("ask").withColumn("j", mine).withColumn("i", F.explode(every)).select("tbl", bucket("i", "j"), "key", "code", F.lit(False).alias("own"), F.lit(True).alias("ask"))
+    return held.unionByName(asked)
+
+
+def _matches(k: int, least: float):
     """Candidate pairs of each bucket; rows of one bucket come one after the other."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -189,7 +241,7 @@ def _matches(k: int, least: float, hot: int):
         found = []
         for low, high in zip([0, *edges], [*edges, len(key)], strict=True):
             if high - low > 1:
-                found += _bucket_pairs(key[low:high], code[low:high], own[low:high], ask[low:high], int(tbl[low]), DIGIT, k, least, hot)
+                found += _bucket_pairs(key[low:high], code[low:high], own[low:high], ask[low:high], k, least)
         if found:
             a, b, s = (np.concatenate(x) for x in zip(*found, strict=True))
             yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(s.astype(np.float32))], names=["a", "b", "s"])
@@ -224,8 +276,10 @@ def nearest(df: DataFrame, key: str, vector: str, k: int, least: float = -1.0, a
     radix = 2 * (1 << max(1, (width[0][0] - 1).bit_length())) if width else 2
     digits = max(1, round(np.log(max(n / target, 1.0)) / np.log(radix)))
     entries = classes.select("key", "ask", "v").mapInArrow(_hash_rows(tables, digits, probes), ENTRIES)
+    own = classes.select("key", F.lit(False).alias("ask"), "v").mapInArrow(_hash_rows(tables, digits, 0), ENTRIES)
+    entries = _cooled(entries, own, hot)
     entries = entries.repartition("tbl", "bucket").sortWithinPartitions("tbl", "bucket")
-    pairs = entries.mapInArrow(_matches(2 * k + 6, least - SLACK, hot), "a long, b long, s float").groupBy("a", "b").agg(F.max("s").alias("s"))
+    pairs = entries.mapInArrow(_matches(2 * k + 6, least - SLACK), "a long, b long, s float").groupBy("a", "b").agg(F.max("s").alias("s"))
     va, vb = classes.select(F.col("key").alias("a"), F.col("v").alias("va")), classes.select(F.col("key").alias("b"), F.col("v").alias("vb"), F.col("some").alias("b_some"))
     exact = F.aggregate(F.zip_with("va", "vb", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
     scored = pairs.drop("s").join(va, "a").join(vb, "b").select("a", "b_some", exact.alias("cosine")).where(F.col("cosine") >= least)
