@@ -69,7 +69,7 @@ def distinctive_terms(df: DataFrame, key: str, texts: list[str], head: int = HEA
     n_records = next((r["n"] for r in sums if r["all"]), 0)
     n_tokens, n_terms = next(((r["n"], r["terms"]) for r in sums if not r["all"]), (0, 0))
     vocabulary = counts.where(F.col("field_name") != RECORDS).select("term", "n", "n_records")
-    known = vocabulary.orderBy(F.col("n_records").desc(), "term").limit(head).toPandas()
+    known = _head(vocabulary, n_terms, head).toPandas()
     shared = spark.sparkContext.broadcast(dict(zip(known["term"], zip(known["n"].tolist(), known["n_records"].tolist(), strict=True), strict=True)))
     rows = records.withColumn("extra", F.lit(None).cast("map<string,struct<n:bigint,r:bigint>>"))
     if n_terms > head:  # the same counts by a join, for the records that need them
@@ -130,6 +130,19 @@ def distinctive_terms(df: DataFrame, key: str, texts: list[str], head: int = HEA
     return rows.select(*texts, "extra", "key").mapInArrow(run, TERMS).withColumnRenamed("key", key)
 
 
+def _head(vocabulary: DataFrame, n_terms: int, head: int) -> DataFrame:
+    """At most `head` of the terms in most records: those above a frequency step, so that only they leave the tasks."""
+    if n_terms <= head:
+        return vocabulary
+    step = F.floor(F.log2("n_records") * 8).cast("int")
+    left, least = head, None
+    for r in sorted(vocabulary.groupBy(step.alias("step")).count().collect(), key=lambda r: -r["step"]):  # some hundred steps
+        if r["count"] > left:
+            break
+        left, least = left - r["count"], r["step"]
+    return vocabulary.where(step >= least) if least is not None else vocabulary.where("false")
+
+
 def _tail(records: DataFrame, texts: list[str], vocabulary: DataFrame, shared) -> DataFrame:
     """key, extra: the counts of each record's terms that are not broadcast."""
 
