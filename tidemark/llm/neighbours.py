@@ -24,7 +24,7 @@ from ..runtime import cut
 
 TABLES, PROBES, TARGET, HOT = 8, 2, 8, 4096
 #: Settings for few asking vectors whose neighbours are far away (cosine below 0.6): larger buckets, more probes.
-WIDE_TARGET, WIDE_PROBES, WIDE_HOT = 4000, 8, 65_536
+WIDE_TABLES, WIDE_TARGET, WIDE_PROBES, WIDE_HOT = 8, 4000, 8, 65_536
 SLACK = 0.03
 SEED = 20240229
 #: Digits from here on are used to split hot buckets, so they never repeat those of the bucket keys.
@@ -265,12 +265,12 @@ def nearest(df: DataFrame, key: str, vector: str, k: int, least: float = -1.0, a
     cls = ["c1", "c2"]
     first = Window.partitionBy(*cls).orderBy("key")
     few = unit.select("key", *cls).withColumn("n", F.row_number().over(first)).where(F.col("n") <= k + 1)
+    reps = unit.select("key", "v", *cls).withColumn("n", F.row_number().over(first)).where("n = 1").drop("n")
     delegates = few.groupBy(*cls).agg(F.sort_array(F.collect_list("key")).alias("some"))
     sizes = unit.groupBy(*cls).agg(F.count("*").alias("members"), F.max(F.expr(asking or "true")).alias("ask"))
-    reps = few.where("n = 1").select("key", *cls)
-    classes = reps.join(sizes, cls).join(delegates, cls)
+    classes = reps.join(sizes, cls).join(delegates, cls)  # all by class: the vectors travel once
     # a class of more than k members needs no neighbours but its own
-    classes = cut(classes.join(unit.select("key", "v"), "key").withColumn("ask", F.col("ask") & (F.col("members") <= k)))
+    classes = cut(classes.withColumn("ask", F.col("ask") & (F.col("members") <= k)))
     n = classes.count()
     width = classes.select(F.size("v")).limit(1).collect()
     radix = 2 * (1 << max(1, (width[0][0] - 1).bit_length())) if width else 2

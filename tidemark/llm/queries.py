@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..runtime import read_table
 from .leakage import RUN, leaks
 from .names import name_clusters, name_variants
-from .neighbours import WIDE_HOT, WIDE_PROBES, WIDE_TARGET, nearest
+from .neighbours import WIDE_HOT, WIDE_PROBES, WIDE_TABLES, WIDE_TARGET, nearest
 from .packing import CAPACITY, pack_items
 from .parsimony import distinctive_terms
 from .rankagg import aggregate_ranks, top_by
@@ -108,7 +108,7 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p7_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five most similar records found for every record whose id is divisible by 50, against all records."""
     vectors = read_table(spark, sf_dir, "news_vectors")
-    near = nearest(vectors, "doc_id", "embedding", 5, asking="key % 50 = 0", target=WIDE_TARGET, probes=WIDE_PROBES, hot=WIDE_HOT)
+    near = nearest(vectors, "doc_id", "embedding", 5, asking="key % 50 = 0", tables=WIDE_TABLES, target=WIDE_TARGET, probes=WIDE_PROBES, hot=WIDE_HOT)
     return near.select(F.col("a").alias("doc_id"), F.col("b").alias("similar_id"), F.round("cosine", 6).alias("cosine"), "place")
 
 
