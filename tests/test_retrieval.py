@@ -167,6 +167,19 @@ def test_strategies_agree(spark, model, k):
     assert [tuple(r)[1:] for r in ranking.search_many(i, many, k, model).orderBy("rank").collect()] == want
 
 
+def test_batches_in_parts_and_with_nothing_to_find(spark, monkeypatch):
+    i = index(spark, {d: " ".join(["cat"] * (d % 4) + ["dog"] * (d % 3) + ["x"]) for d in range(60)})
+    rows = [(q, ["cat", "dog"] if q % 2 else ["dog"]) for q in range(9)] + [(100, ["absent"]), (101, [])]
+    queries = spark.createDataFrame(rows, "query_id long, terms array<string>")
+    want = sorted(map(tuple, ranking.search_many(i, queries, 4).collect()))
+    monkeypatch.setattr(ranking, "BATCH_WORDS", 3)
+    monkeypatch.setattr(ranking, "BATCH_PARTS", 7)
+    assert sorted(map(tuple, ranking.search_many(i, queries, 4).collect())) == want
+    assert {r[0] for r in want} == set(range(9))
+    assert ranking.search_many(i, queries.where("query_id > 99"), 4).count() == 0
+    assert ranking.search_many(index(spark, []), queries, 4).count() == 0
+
+
 def test_explicit_queries_rank_by_all_their_terms(spark):
     i = index(spark, MIXED)
     assert ranked(ranking.search(i, "NOT cat", 10)) == []

@@ -10,14 +10,21 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Letters may be joined by the first marks, figures by the second, up to _JOINS times in a word.
-_JOINS = 500
-_LETTERS = rf"\p{{L}}\p{{M}}*(?:['’.:·]\p{{L}}\p{{M}}*){{1,{_JOINS}}}"
-_FIGURES = rf"\p{{Nd}}\p{{M}}*(?:[.,;'’⁄]\p{{Nd}}\p{{M}}*){{1,{_JOINS}}}"
-_RUN = r"[\p{L}\p{Nd}\p{M}_]"
-#: A word: a run of letters, figures, marks and underscores, with joined letters or figures in it. Without look-around,
-#: so the JVM, Python and RE2 agree on it; plain runs are single loops, so long words need no stack.
-WORD = rf"(?:{_RUN}*(?:{_LETTERS}|{_FIGURES})){{1,{_JOINS}}}{_RUN}*|{_RUN}+"
+#: Most joins in a word; the JVM's matcher needs stack for each.
+JOINS = 500
+
+
+def word_pattern(times: str = f"{{1,{JOINS}}}") -> str:
+    """A word: a run of letters, figures, marks and underscores, with letters joined by one set of marks and figures by
+    another inside it, `times` as often. Without look-around, so the JVM, Python and RE2 agree on it (RE2 needs "+");
+    plain runs are single loops, so long words need no stack."""
+    letters = rf"\p{{L}}\p{{M}}*(?:['’.:·]\p{{L}}\p{{M}}*){times}"
+    figures = rf"\p{{Nd}}\p{{M}}*(?:[.,;'’⁄]\p{{Nd}}\p{{M}}*){times}"
+    run = r"[\p{L}\p{Nd}\p{M}_]"
+    return rf"(?:{run}*(?:{letters}|{figures})){times}{run}*|{run}+"
+
+
+WORD = word_pattern()
 _WORD = regex.compile(WORD)
 _IGNORABLE = regex.compile(r"\p{Default_Ignorable_Code_Point}+")
 

@@ -39,6 +39,7 @@ class Index:
     tokens: DataFrame
     block_size: int = BLOCK_SIZE
     saved: str | None = None
+    held_terms: DataFrame | None = None
 
     @property
     def spark(self) -> SparkSession:
@@ -67,15 +68,10 @@ class Index:
         words = self.tokens.select("doc_id", F.explode("tokens").alias("term"))
         return words.groupBy("term", "doc_id").agg(F.count("*").cast("int").alias("tf"))
 
-    def term_counts_of(self, wanted: DataFrame) -> DataFrame:
-        """term, doc_id, dl, tf of the terms in `wanted` (term): other words are dropped before anything is shuffled."""
-        if (stored := self._stored("postings")) is not None:
-            return stored.join(wanted, "term", "left_semi").select("term", "doc_id", "tf").join(self.doc_stats, "doc_id")
-        words = self.tokens.select("doc_id", "dl", F.explode("tokens").alias("term")).join(wanted, "term", "left_semi")
-        return words.groupBy("term", "doc_id", "dl").agg(F.count("*").cast("int").alias("tf"))
-
     @property
     def terms(self) -> DataFrame:
+        if self.held_terms is not None:
+            return self.held_terms
         if (stored := self._stored("terms")) is not None:
             return stored
         return self.term_counts.groupBy("term").agg(F.count("*").alias("df"), F.max("tf").alias("max_tf"))
@@ -175,7 +171,9 @@ class Index:
         return index
 
     def persist(self) -> Index:
-        return Index(self.tokens.persist(StorageLevel.MEMORY_AND_DISK), self.block_size, self.saved)
+        """The index with its tokens and term statistics kept by the executors (memory, then disk)."""
+        kept = Index(self.tokens.persist(StorageLevel.MEMORY_AND_DISK), self.block_size, self.saved)
+        return Index(kept.tokens, self.block_size, self.saved, kept.terms.persist(StorageLevel.MEMORY_AND_DISK))
 
 
 def _write_pointer(spark: SparkSession, path: str, text: str) -> None:

@@ -6,14 +6,18 @@ exchange of a ranked query is the one-row aggregate of N, lengths and document f
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from enum import Enum
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.query import Node, QueryError, free_terms, is_explicit, parse, scoring_terms
+from ..runtime import cut
 from .boolean import condition, has_phrase
 from .index import Index
 
@@ -181,33 +185,89 @@ def pruned(index: Index, terms: Sequence[str], k: int, ranking: Ranking = Rankin
     return score(index, terms, ranking, among=possible)
 
 
+#: Words of a batch that are broadcast at once, and (query, document) parts a task holds at once.
+BATCH_WORDS, BATCH_PARTS = 500_000, 2_000_000
+
+
 def search_many(index: Index, queries: DataFrame, k: int, ranking: Ranking = Ranking.BM25, k1: float = K1, b: float = B) -> DataFrame:
     """query_id, doc_id, score, rank for a batch of `queries` (query_id, terms ARRAY<STRING>, each term once).
 
-    One pass over the tokens for all queries: the words of the batch, whose number is checked, are broadcast, and
-    counts combine in each task before they are shuffled. A query that matches a third of all documents is cut to its
-    best k per share of documents before its rows meet.
+    One pass over the tokens for BATCH_WORDS words of queries at a time. A document's words are in one row, so each
+    task scores its documents for all queries by itself and keeps its own best k of each: only tasks * queries * k rows
+    are shuffled, however many documents a query matches.
     """
-    words = queries.select("query_id", F.posexplode("terms").alias("pos", "term"))
-    wanted = words.select("term").distinct()
-    if wanted.count() <= 100_000:
-        wanted = F.broadcast(wanted)
-    hits = index.term_counts_of(wanted)
-    dfs = hits.groupBy("term").agg(F.count("*").alias("df"))
-    one = index.size.select("n", "avgdl")
-    asked = words.join(dfs, "term").crossJoin(F.broadcast(one))
-    idf = prepared_idf(F.col("n"), F.col("df"))
-    rows = hits.join(asked, "term")
-    part = bm25(idf, F.col("tf"), F.col("dl"), F.col("avgdl"), k1, b) if ranking is Ranking.BM25 else tfidf(idf, F.col("tf"))
-    parts = rows.select("query_id", "doc_id", "pos", part.alias("part")).groupBy("query_id", "doc_id").agg(F.array_sort(F.collect_list(F.struct("pos", "part"))).alias("parts"))
-    scored = parts.select("query_id", "doc_id", F.aggregate("parts", F.lit(0.0), lambda s, x: s + x["part"]).alias("score")).where("score > 0")
-    order = [F.round("score", 9).desc(), F.col("doc_id")]
-    share = F.pmod(F.xxhash64("doc_id"), F.lit(16))
-    kept = scored.withColumn("_s", share).withColumn("_n", F.row_number().over(Window.partitionBy("query_id", "_s").orderBy(*order))).where(F.col("_n") <= k)
-    ranked = kept.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*order))).where(F.col("rank") <= k)
+    spark = index.spark
+    words = cut(queries.select("query_id", F.posexplode("terms").alias("pos", "term")))
+    groups = -(-words.count() // BATCH_WORDS)
+    size = index.size.first()
+    found = None
+    for g in range(groups):
+        mine = words.where(F.pmod(F.xxhash64("query_id"), F.lit(groups)) == g) if groups > 1 else words
+        known = mine.select("term").distinct().join(index.terms.select("term", "df"), "term")
+        prepared = mine.join(known, "term").select("query_id", "pos", "term", prepared_idf(F.lit(size["n"]), F.col("df")).alias("idf")).toPandas()
+        if prepared.empty:
+            continue
+        shared = spark.sparkContext.broadcast(prepared)
+        part = index.tokens.select("doc_id", "dl", "tokens").mapInArrow(_scorer(shared, k, ranking, k1, b, size["avgdl"]), "query_id long, doc_id long, score double")
+        found = part if found is None else found.unionByName(part)
+    if found is None:
+        return spark.createDataFrame([], "query_id long, doc_id long, score double, rank int")
+    best = Window.partitionBy("query_id").orderBy(F.round("score", 9).desc(), "doc_id")
+    ranked = found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
     return ranked.select("query_id", "doc_id", F.round("score", 6).alias("score"), "rank")
 
 
+def _scorer(shared, k: int, ranking: Ranking, k1: float, b: float, avgdl: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        plan = shared.value
+        terms, term_at = np.unique(plan["term"].to_numpy(dtype=object), return_inverse=True)
+        ids, query_at = np.unique(plan["query_id"].to_numpy(np.int64), return_inverse=True)
+        order = np.argsort(term_at, kind="stable")
+        query_of, pos_of = query_at[order], plan["pos"].to_numpy(np.int64)[order]
+        starts = np.searchsorted(term_at[order], np.arange(len(terms) + 1))
+        idf = np.zeros(len(terms))
+        idf[term_at] = plan["idf"].to_numpy(np.float64)
+        wanted = pa.array(terms.tolist(), pa.string())
+        best = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))  # query, document, score
+
+        def keep(q: np.ndarray, d: np.ndarray, s: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            by = np.lexsort((d, -np.round(s, 9), q))
+            q, d, s = q[by], d[by], s[by]
+            first = np.flatnonzero(np.r_[True, q[1:] != q[:-1]]) if len(q) else np.zeros(0, np.int64)
+            place = np.arange(len(q)) - np.repeat(first, np.diff(np.r_[first, len(q)]))
+            return q[place < k], d[place < k], s[place < k]
+
+        for batch in batches:
+            lists = batch.column(2)
+            at = pc.index_in(pc.list_flatten(lists), value_set=wanted)
+            hit = np.flatnonzero(pc.is_valid(at).to_numpy(zero_copy_only=False))
+            if not len(hit):
+                continue
+            doc = pc.list_parent_indices(lists).to_numpy(zero_copy_only=False)[hit].astype(np.int64)
+            pair, tf = np.unique(doc * len(terms) + pc.fill_null(at, 0).to_numpy(zero_copy_only=False)[hit], return_counts=True)
+            doc, term = pair // len(terms), pair % len(terms)
+            keys, dl = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            if ranking is Ranking.BM25:
+                part = idf[term] * (tf * (k1 + 1.0)) / (tf + k1 * (1.0 - b + b * dl[doc] / avgdl))
+            else:
+                part = tf * idf[term]
+            fan = starts[term + 1] - starts[term]
+            edges = [0, *np.flatnonzero(np.diff((np.cumsum(fan) - fan) // BATCH_PARTS)) + 1, len(fan)]
+            # a document must not be cut in two
+            edges = sorted({int(np.searchsorted(doc, doc[e])) if e < len(doc) else len(doc) for e in edges})
+            for low, high in zip(edges, edges[1:], strict=False):
+                n = fan[low:high]
+                spot = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(starts[term[low:high]], n)
+                q, d, p = query_of[spot], np.repeat(doc[low:high], n), np.repeat(part[low:high], n)
+                turn = np.argsort(pos_of[spot], kind="stable")  # parts add up in the order of the query's terms
+                key, which = np.unique(q[turn] * batch.num_rows + d[turn], return_inverse=True)
+                score = np.bincount(which, weights=p[turn], minlength=len(key))
+                best = keep(np.r_[best[0], key // batch.num_rows], np.r_[best[1], keys[key % batch.num_rows]], np.r_[best[2], score])
+        yield pa.RecordBatch.from_arrays([pa.array(ids[best[0]]), pa.array(best[1]), pa.array(best[2])], names=["query_id", "doc_id", "score"])
+
+    return run
+
+
 def explain(index: Index, query: str, doc_id: int, ranking: Ranking = Ranking.BM25) -> DataFrame:
     """One row: how `doc_id` scores for `query`, which is always parsed, free text too.
 

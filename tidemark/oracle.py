@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from .functions.text import WORD
+from .functions.text import word_pattern
 from .functions.web import DROPPED, LINE_TAGS, _PRIVATE
 from .operators.ranking import B, K1
 
 ORACLE: dict[str, str] = {}
 
-_WORD = WORD.replace("'", "''")
+_WORD = word_pattern("+").replace("'", "''")
 _TOKS = f"""
 toks AS (SELECT doc_id, regexp_extract_all(replace(lower(coalesce(text, '')), 'ß', 'ss'), '{_WORD}') AS tokens FROM documents WHERE doc_id IS NOT NULL),
 lens AS (SELECT doc_id, len(tokens)::INTEGER AS dl FROM toks),
