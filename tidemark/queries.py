@@ -14,7 +14,7 @@ from .operators.index import Index, build_index
 from .operators.multivalue import packed_values
 from .operators.ranking import Ranking, Strategy
 from .plans.query import parse
-from .runtime import read_table
+from .runtime import read_table, spread
 from .sources import news
 
 # Queries the catalogue runs, chosen from words of the corpus.
@@ -209,7 +209,7 @@ _MARKUP = (
 
 
 def html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = read_table(spark, sf_dir, "documents").select("doc_id", F.expr(_MARKUP).alias("html"))
+    pages = spread(read_table(spark, sf_dir, "documents").select("doc_id", "category", "text")).select("doc_id", F.expr(_MARKUP).alias("html"))
     return pages.select("doc_id", html_to_text(F.col("html")).alias("text"))
 
 
