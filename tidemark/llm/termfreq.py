@@ -100,13 +100,20 @@ def partial_counts(records: DataFrame, texts: list[str], values: list[str], join
     return records.select(*columns).mapInArrow(run, PARTIAL)
 
 
+def _spill(rows: DataFrame, bits: int, path: str) -> None:
+    """Write `rows` by the top `bits` of their hash. Rows of a partition come together first, in eight shares, so a
+    partition has a few files however many tasks made its rows."""
+    parted = rows.withColumn("radix", F.shiftrightunsigned("h", 64 - bits))
+    parted.repartition(F.col("radix"), F.pmod("h", F.lit(8))).write.partitionBy("radix").parquet(path)
+
+
 def merge_counts(partial: DataFrame, first_bits: int = FIRST_BITS, more_bits: int = MORE_BITS, leaf_rows: int = LEAF_ROWS) -> DataFrame:
     """Sums of `partial` by (field_name, term), by recursive radix spilling and DuckDB in each leaf."""
     spark = partial.sparkSession
     spill = scratch(spark, "radix")
     hashed = partial.withColumn("h", F.xxhash64("field_name", "term"))
     depth = first_bits
-    hashed.withColumn("radix", F.shiftrightunsigned("h", 64 - depth)).write.partitionBy("radix").parquet(f"{spill}/0")
+    _spill(hashed, depth, f"{spill}/0")
     level, leaves = 0, []
     while True:
         here = spark.read.schema(f"{PARTIAL}, h long, radix long").parquet(f"{spill}/{level}")
@@ -117,7 +124,7 @@ def merge_counts(partial: DataFrame, first_bits: int = FIRST_BITS, more_bits: in
             break
         leaves.append(here.where(~F.col("radix").isin(large)))
         depth += more_bits
-        here.where(F.col("radix").isin(large)).withColumn("radix", F.shiftrightunsigned("h", 64 - depth)).write.partitionBy("radix").parquet(f"{spill}/{level + 1}")
+        _spill(here.where(F.col("radix").isin(large)), depth, f"{spill}/{level + 1}")
         level += 1
     folder = local_part(spill)
 
