@@ -74,3 +74,37 @@ def test_rows(spark):
     df = spark.createDataFrame([(1, "Aa bb. Cc dd.", 5), (1, "Aa bb. Cc dd.", 5), (2, None, 5), (3, "", 5), (4, "  \n ", 5)], "id long, t string, start_pos int")
     assert sorted(map(tuple, split_sentences(df, "id", "t").collect())) == [(1, 0, 6), (1, 0, 6), (1, 7, 13), (1, 7, 13)]
     assert split_sentences(df.limit(0), "id", "t").count() == 0
+
+
+@pytest.mark.parametrize("n", [2, 3, 10])
+@pytest.mark.parametrize("marks", ["“”", '""', "«»", "»«", "„“"])
+def test_a_quotation_of_many_sentences_stays_in_its_sentence(n, marks):
+    quoted = " ".join(f"It is day {'ABCDEFGHIJ'[i]}x." for i in range(n - 1)) + " Go home,"
+    parts = ["The day was long.", f"He said, {marks[0]}{quoted}{marks[1]} and left.", "Nobody went.", f"{marks[0]}Why?{marks[1]} Bo asked."]
+    text = " ".join(parts[:3])
+    assert [text[a:b] for a, b in sentences(text)] == parts[:3]
+
+
+@pytest.mark.parametrize("n", [3, 10])
+def test_a_quotation_of_many_sentences_without_spaces(n):
+    for parts in (["会议很长。", "他说：“" + "今天不行。" * n + "明天再来”，然后离开。", "没有人走。"], ["会議は長い。", "彼は「" + "今日はだめだ。" * n + "明日来て」と言った。", "誰も帰らない。"]):
+        text = "".join(parts)
+        assert [text[a:b] for a, b in sentences(text)] == parts
+
+
+def test_only_unbalanced_quotations_are_split():
+    parts = ["He said, “It is late.", "We are tired.", "Go home and sleep.", "She wrote “One. Two. Three” twice.", "It rained."]
+    text = " ".join(parts)
+    assert [text[a:b] for a, b in sentences(text)] == parts
+    parts = ["A 5\" pipe broke.", "He said \"Go. Run. Now\" again.", "Then it held."]
+    text = " ".join(parts)
+    assert [text[a:b] for a, b in sentences(text)] == parts
+    parts = ["他说：“今天不行。", "明天再来。", "没有人走。"]
+    text = "".join(parts)
+    assert [text[a:b] for a, b in sentences(text)] == parts
+
+
+def test_a_sentence_may_pass_over_many_weak_nodes():
+    text = "He waited " + "… and waited " * 12 + "for long. Then he left."
+    assert [text[a:b] for a, b in sentences(text)] == [text[:-14], "Then he left."]
+    sentences("“A. " * 20_000 + "«(B. " * 20_000)

@@ -5,7 +5,8 @@ A text is cut at blank lines into blocks, and a block into sentences by the scri
 Spaced scripts: every run of terminators with its closing marks is a node of a lattice, and an edge between two nodes
 is a sentence. A node costs what its surroundings say against a boundary (abbreviations, initials, ordinals, a small
 letter or figure next, a reporting clause after a quotation); an edge costs more when it leaves a quotation or bracket
-open. The cheapest path from the start of the block to its end is the segmentation.
+open, and passes over the nodes inside an open quotation for nothing. The cheapest path from the start of the block to
+its end is the segmentation.
 
 Scripts without spaces (Chinese, Japanese, Thai, Lao, Khmer, Burmese): each gap - a terminator, or in Thai and its
 kin a blank - is classified from the word that ends before it and the word that opens after it. The words come from a
@@ -42,6 +43,7 @@ _NODE = re.compile(
 )
 _WORD_BEFORE = re.compile(r"(?:[^\W\d_][̀-ͯऀ-ॿ]*|[\d\-ªº]|(?<=\w)\.(?=\s?\w))+$")
 _CJK_NODE = re.compile(rf"(?:[。！？!?｡…]|\.(?=\s|$|[{_CLOSE}]))+(?:[{_CLOSE}]+)?")
+_CJK_OPEN = re.compile(r"[“「『\"]")
 _SCRIPTS = (
     ("thai", re.compile(r"[฀-໿က-႟ក-៿]")),
     ("kana", re.compile(r"[぀-ヿㇰ-ㇿ]")),
@@ -229,32 +231,53 @@ def _after_quotation(text: str, low: int, at: int, stop: int, nxt: int, high: in
     return DOUBT
 
 
-def _balance(text: str, low: int, high: int) -> int:
-    """Quotations and brackets that text[low:high] leaves open or closes without opening."""
-    depth: list[str] = []
-    wrong = 0
-    for m in _BALANCED.finditer(text, low, high):
-        ch = m.group()
-        if ch in "“«「『《【（([{‹":
-            if ch == "“" and depth and depth[-1] == "„":
-                depth.pop()
-            else:
-                depth.append(ch)
-        elif ch == "„":
-            depth.append(ch)
-        elif ch == '"':
-            if depth and depth[-1] == '"':
-                depth.pop()
-            else:
-                depth.append(ch)
-        elif depth and depth[-1] in _PAIR.get(ch, ""):
-            depth.pop()
+_BALANCED = re.compile("[“”„«»「」『』《》【】（）()\\[\\]{}‹›\"]")
+#: Marks open at once, beyond which the outermost one is taken for a slip.
+DEEP = 8
+
+
+def _marks(text: str, low: int, high: int) -> list[tuple[int, str, str]]:
+    """(place, mark, role) of the quotation marks and brackets of a block; role: "(" opens, ")" closes, "|" either.
+
+    Guillemets may point inwards, and a mark that has no partner in the block may stand on both sides. A straight mark
+    opens after a blank and closes before one.
+    """
+    found = [(m.start(), m.group()) for m in _BALANCED.finditer(text, low, high)]
+    kinds = {ch for _, ch in found}
+    inwards = next((ch for _, ch in found if ch in "«»"), "") == "»"
+    out = []
+    for at, ch in found:
+        if ch == '"':
+            before, after = at == low or text[at - 1].isspace() or text[at - 1] in OPENERS + "—–-", at + 1 >= high or text[at + 1].isspace()
+            role = "|" if before == after else "(" if before else ")"
+        elif ch == "”" and not kinds & {"“", "„"} or ch == "»" and inwards and "«" not in kinds:
+            role = "|"
+        elif ch in "«»" and inwards:
+            role = "(" if ch == "»" else ")"
+        elif ch == "“":
+            role = "|" if "„" in kinds else "("
         else:
-            wrong += ch not in ")’"
-    return wrong + sum(d not in "([{" for d in depth)
+            role = "(" if ch in "„«「『《【（([{‹" else ")"
+        out.append((at, ch, role))
+    return out
 
 
-_BALANCED = re.compile("[“”„«»「」『』《》【】（）()\\[\\]{}‹›\"]")
+_INWARDS = {"«": "»"}
+
+
+def _step(stack: tuple[str, ...], ch: str, role: str) -> tuple[tuple[str, ...], int]:
+    """The open marks after `ch`, and 1 where it closes nothing or drops an outermost mark."""
+    if role != "(":
+        partners = ch if role == "|" and ch != "“" else "„" if role == "|" else _PAIR.get(ch, ch) + _INWARDS.get(ch, "")
+        at = len(stack)
+        while at and stack[at - 1] in "([{" and stack[at - 1] not in partners:
+            at -= 1
+        if at and stack[at - 1] in partners:
+            return stack[: at - 1], 0
+        if role == ")":
+            return stack, int(ch not in ")’")
+    stack = (*stack, ch)
+    return (stack[1:], int(stack[0] not in "([{")) if len(stack) > DEEP else (stack, 0)
 
 
 def spaced(text: str, low: int, high: int) -> list[tuple[int, int]]:
@@ -284,30 +307,45 @@ def spaced(text: str, low: int, high: int) -> list[tuple[int, int]]:
     return out
 
 
-#: A sentence may pass over so many nodes; an open quotation longer than that is taken for a slip.
-REACH = 6
-
-
 def _cheapest(text: str, low: int, nodes: list[tuple[int, float]]) -> list[int]:
-    starts = [low] + [e for e, _ in nodes]
-    best, back = [0.0] + [1e18] * len(nodes), [0] * (len(nodes) + 1)
-    for j in range(1, len(nodes) + 1):
-        passed = 0.0
-        for i in range(j - 1, max(-1, j - 1 - REACH), -1):
-            cost = best[i] + nodes[j - 1][1] + passed + OPEN * _balance(text, starts[i], starts[j])
-            if cost < best[j]:
-                best[j], back[j] = cost, i
-            if i:
-                passed += max(0.0, SKIP * 2 - nodes[i - 1][1])
-    cuts, j = [], len(nodes)
-    while j:
-        cuts.append(starts[j])
-        j = back[j]
-    return cuts[::-1]
-
-
-def _cjk_inside(text: str, low: int, at: int, stop: int, high: int, kana: bool) -> bool:
-    """The terminators text[at:stop] belong inside a sentence."""
+    """Ends of the sentences on the cheapest path; of equal paths, the one that passes over the fewest nodes.
+
+    The marks open since the last boundary are the state of a path. Nodes inside an open quotation are passed over for
+    nothing, however many; what a boundary leaves open, and what closes without opening, costs OPEN each.
+    """
+    marks = _marks(text, low, nodes[-1][0])
+    at = 0
+    paths: dict[tuple[str, ...], tuple[float, int, tuple | None]] = {(): (0.0, 0, None)}
+    for end, node in nodes:
+        first = at
+        while at < len(marks) and marks[at][0] < end:
+            at += 1
+        after: dict[tuple[str, ...], tuple[float, int, tuple | None]] = {}
+        cut: tuple[float, int, tuple | None] | None = None
+        for stack, (cost, passed, cuts) in paths.items():
+            for _, ch, role in marks[first:at]:
+                stack, wrong = _step(stack, ch, role)
+                cost += OPEN * wrong
+            left = sum(d not in "([{" for d in stack)
+            here = (round(cost + node + OPEN * left, 6), passed, (end, cuts))
+            if cut is None or here[:2] < cut[:2]:
+                cut = here
+            on = (round(cost + (0.0 if left else max(0.0, SKIP * 2 - node)), 6), passed + 1, cuts)
+            if stack not in after or on[:2] < after[stack][:2]:
+                after[stack] = on
+        # a path that is dearer than a boundary here by all it has open can't become cheaper again
+        paths = {s: p for s, p in after.items() if p[0] < cut[0] + OPEN * len(s)}
+        if () not in paths or cut[:2] < paths[()][:2]:
+            paths[()] = cut
+    out, cuts = [], cut[2]
+    while cuts:
+        out.append(cuts[0])
+        cuts = cuts[1]
+    return out[::-1]
+
+
+def _cjk_inside(text: str, low: int, at: int, stop: int, high: int, kana: bool, start: int) -> bool:
+    """The terminators text[at:stop] belong inside a sentence; `start` is the last opening mark before them, or -1."""
     nxt = _next_char(text, stop, high)
     if nxt >= high:
         return False
@@ -321,9 +359,10 @@ def _cjk_inside(text: str, low: int, at: int, stop: int, high: int, kana: bool)
         return True
     if ch in "“「『‘\"《":
         return False
-    start = max(text.rfind(c, low, at) for c in "“「『\"")
-    before = text[low:start].rstrip() if start >= low else ""
-    if before and before[-1] in "：:，,、":
+    b = start
+    while b > low and text[b - 1].isspace():
+        b -= 1
+    if b > low and text[b - 1] in "：:，,、":
         return False
     if kana:  # a quoting particle carries on
         first = next(iter(lattice(text, nxt, min(high, nxt + 8), _KANA)), None)
@@ -335,13 +374,21 @@ def _cjk_inside(text: str, low: int, at: int, stop: int, high: int, kana: bool)
 
 
 def cjk(text: str, low: int, high: int, kana: bool) -> list[tuple[int, int]]:
-    out, start = [], low
+    """Sentences of a block of Chinese or Japanese: terminators that may end one are nodes of the same lattice."""
+    nodes, opener = [], -1
+    opens = _CJK_OPEN.finditer(text, low, high)
+    ahead = next(opens, None)
     for m in _CJK_NODE.finditer(text, low, high):
-        if _cjk_inside(text, start, m.start(), m.end(), high, kana):
-            continue
-        _take(text, start, m.end(), out)
-        start = m.end()
-    _take(text, start, high, out)
+        while ahead and ahead.start() < m.start():
+            opener, ahead = ahead.start(), next(opens, None)
+        if not _cjk_inside(text, low, m.start(), m.end(), high, kana, opener):
+            nodes.append((m.end(), CUT))
+    if not nodes or nodes[-1][0] < high:
+        nodes.append((high, 0.0))
+    out, start = [], low
+    for end in _cheapest(text, low, nodes):
+        _take(text, start, end, out)
+        start = end
     return out
 
 
