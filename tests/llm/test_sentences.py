@@ -108,3 +108,19 @@ def test_a_sentence_may_pass_over_many_weak_nodes():
     text = "He waited " + "… and waited " * 12 + "for long. Then he left."
     assert [text[a:b] for a, b in sentences(text)] == [text[:-14], "Then he left."]
     sentences("“A. " * 20_000 + "«(B. " * 20_000)
+
+
+@pytest.mark.parametrize(
+    "parts",
+    [
+        ["คุณลูนา คุณเวดนา และคุณทามินไม่เห็นด้วยกับท่าเรือเก่า", "ทำไมตลาดท้องถิ่นจึงปิด"],  # a list of names
+        ["ตลาดท้องถิ่นขายผัก ผลไม้ และปลา", "ชาวเกาะเพลารอสะพานไม้มานาน"],  # list items
+        ["คุณลูนาบอกว่า ท่าเรือเก่าต้องใช้เงิน 44.9 ล้านบาท", "ท่าเรือเก่าสร้างปัญหาให้ท่าดอรัน"],  # a word that leaves it open
+        ["ท่าเรือเก่าจะปิด เพราะสะพานไม้สร้างปัญหา", "กฎหมายใหม่ช่วยเมืองเวลมา", "กฎหมายใหม่ทำให้ตกใจ"],  # a conjunction; no sign at all
+        ["ดีมากค่ะ", "ตลาดใหม่เปิดครับ", "ผักสด"],  # final particles
+        ["ดีมาก ตลาดใหม่เปิด"],  # the same without one
+    ],
+)
+def test_thai_blanks_inside_and_between_sentences(parts):
+    text = " ".join(parts)
+    assert [text[a:b] for a, b in sentences(text)] == parts

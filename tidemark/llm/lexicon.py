@@ -21,9 +21,16 @@ MONTHS_DE = frozenset("januar jänner februar märz april mai juni juli august s
 THAI_OPEN = "คุณ ทำไม ตั้งแต่ ชาว เมื่อ แต่ และ แล้ว ดังนั้น อย่างไรก็ตาม นอกจากนี้ เพราะ ถ้า หาก ใน ที่ผ่านมา เขา เธอ ผม ฉัน เรา พวกเขา นาย นาง นางสาว ดร. ศาสตราจารย์ รัฐบาล บริษัท".split()
 THAI_CLOSE = "ครับ ค่ะ คะ นะ จ้ะ จ้า แล้ว เลย มานาน บาท ปิด ด้วย อีก ไหม หรือไม่ หรือ ล่ะ สิ".split()
 THAI_SINCE = "ตั้งแต่ เมื่อ ใน ภายใน ก่อน หลัง จนถึง ระหว่าง ปลาย ต้น กลาง ถึง".split()
+#: Thai: words that carry a sentence on after a blank or leave it open before one, and final particles that nothing follows.
+THAI_JOIN = "และ หรือ แต่ เพราะ เนื่องจาก ซึ่ง ที่ อัน โดย เพื่อ ว่า กับ แก่ ของ จาก ด้วย รวมถึง รวมทั้ง ตลอดจน เช่น ได้แก่ คือ จึง ก็ ทั้งนี้ พร้อม ส่วน".split()
+THAI_AHEAD = "และ หรือ แต่ เพราะ เนื่องจาก ซึ่ง ที่ โดย เพื่อ ว่า กับ แก่ ของ จาก รวมถึง รวมทั้ง ตลอดจน เช่น ได้แก่ คือ ถ้า หาก เมื่อ ใน".split()
+THAI_FINAL = "ครับ ค่ะ คะ นะ จ้ะ จ้า ไหม หรือไม่ ล่ะ".split()
+#: Thai: verbs; a stretch that holds one is a clause.
+THAI_VERBS = """ใช้ บอก ไม่ เห็น รอ ปิด เปิด ช่วย สร้าง ให้ ทำ ตกใจ เปลี่ยน จะ ได้ เป็น มี อยู่ ไป มา คือ กล่าว พูด ถาม ตอบ คิด รู้ ต้องการ กิน ดื่ม ซื้อ ขาย
+    เดิน วิ่ง นั่ง นอน อ่าน เขียน เรียน สอน ทำงาน เริ่ม จบ เกิด ตาย ชอบ รัก กลัว ประกาศ ยืนยัน พบ ต้อง""".split()
 #: Common words for the word lattice of scripts without spaces.
 THAI_WORDS = """ปี พ.ศ. ล้าน บาท แสน หมื่น พัน ร้อย เปอร์เซ็นต์ ต้อง ใช้ เงิน บอก ว่า ไม่ เห็น ด้วย กับ รอ มา นาน จึง ปิด เปิด ช่วย สร้าง ปัญหา ให้ ทำ ตกใจ ทั้ง
-    เปลี่ยน ชีวิต ของ เมือง บ้าน เกาะ ท่า เรือ เก่า ใหม่ กฎหมาย สะพาน ไม้ ตลาด ท้องถิ่น โรงเรียน ชนบท ที่ จะ ได้ เป็น มี อยู่ ไป การ ความ คน วัน เดือน นี้ นั้น""".split()
+    เปลี่ยน ชีวิต ของ เมือง บ้าน เกาะ ท่า เรือ เก่า ใหม่ กฎหมาย สะพาน ไม้ ตลาด ท้องถิ่น โรงเรียน ชนบท ที่ จะ ได้ เป็น มี อยู่ ไป การ ความ คน วัน เดือน นี้ นั้น มาก ดี""".split()
 JAPANESE_WORDS = "と は が を に の で も から まで より へ や か ね よ です ます した ました でした のか と述べた と語った と尋ねた という と言った".split()
 CHINESE_WORDS = "说 道 问 问道 说道 表示 认为 回答 喊道 写道 指出 告诉 称 的 了 在 是 和".split()
 

@@ -104,7 +104,7 @@ def lattice(text: str, low: int, high: int, trie: Trie) -> list[tuple[int, int,
     return path[::-1]
 
 
-_THAI = Trie([*lex.THAI_OPEN, *lex.THAI_CLOSE, *lex.THAI_SINCE, *lex.THAI_WORDS])
+_THAI = Trie([*lex.THAI_OPEN, *lex.THAI_CLOSE, *lex.THAI_SINCE, *lex.THAI_JOIN, *lex.THAI_AHEAD, *lex.THAI_FINAL, *lex.THAI_VERBS, *lex.THAI_WORDS])
 _KANA = Trie(lex.JAPANESE_WORDS)
 _HAN = Trie(lex.CHINESE_WORDS)
 
@@ -402,43 +402,65 @@ def _take(text: str, low: int, high: int, out: list[tuple[int, int]]) -> None:
 
 
 _THAI_GAP = re.compile(r"[.!?…]+[\"'”’)]*(?=\s|$)|[^\S\n]*\n[^\S\n]*|[^\S\n]+")
-_OPENS, _CLOSES, _SINCE = (frozenset(x) for x in (lex.THAI_OPEN, lex.THAI_CLOSE, lex.THAI_SINCE))
+_OPENS, _CLOSES, _SINCE, _JOIN, _AHEAD, _FINAL, _VERBS = (frozenset(x) for x in (lex.THAI_OPEN, lex.THAI_CLOSE, lex.THAI_SINCE, lex.THAI_JOIN, lex.THAI_AHEAD, lex.THAI_FINAL, lex.THAI_VERBS))
+#: A stretch of so many characters without a blank is taken for a clause, whatever its words.
+CLAUSE = 40
+#: What a missing clause on the left and on the right of a blank costs, and what an opening or closing word takes off.
+NO_LEFT, NO_RIGHT, SIGN = 2, 1, 1
 
 
-def _thai_boundary(text: str, low: int, at: int, stop: int, high: int) -> bool:
-    """The gap text[at:stop] parts two sentences."""
+def _clause(text: str, low: int, high: int) -> bool:
+    """The stretch text[low:high] is long or holds a verb."""
+    return high - low >= CLAUSE or any(known and text[a:b] in _VERBS for a, b, known in lattice(text, low, high, _THAI))
+
+
+def _thai_boundary(text: str, low: int, at: int, stop: int, end: int, high: int, clause: bool) -> bool:
+    """The gap text[at:stop] parts two sentences; `clause`: there is one on its left. The next stretch stops at `end`."""
     if at <= low or stop >= high:
         return False
     left, right = text[at - 1], text[stop]
     if right in "ๆฯ,;:)]”’" or left in "([“‘,;:":
         return False
     first = next(iter(lattice(text, stop, min(high, stop + 16), _THAI)), None)
-    opens = bool(first and first[2] and text[first[0] : first[1]] in _OPENS)
+    opener = text[first[0] : first[1]] if first and first[2] else ""
+    if opener in _JOIN:
+        return False
+    opens = opener in _OPENS
     if left.isdigit() or right.isdigit():
         head = text[low:at].split()[0] if left.isdigit() else ""
         return opens and left.isdigit() and not head.startswith(tuple(_SINCE)) and not right.isdigit()
     if left.isascii() and left.isalpha() or right.isascii() and right.isalpha():
         return opens
-    if opens or left in "\"'”’)":
+    if left in "\"'”’)":
         return True
     tail = max(low, at - 16)
     last = lattice(text, tail, at, _THAI)[-1]
-    if last[2] and text[last[0] : last[1]] in _CLOSES:
+    closer = text[last[0] : last[1]] if last[2] else ""
+    if closer in _FINAL:
         return True
-    return True  # a blank between Thai words parts clauses; without a sign to the contrary they stand as sentences
+    if closer in _AHEAD:
+        return False
+    # a sentence has a clause on either side of the blank; an opening word or one that often closes stands in for a doubt
+    cost = NO_LEFT * (not clause) + NO_RIGHT * (not _clause(text, stop, end)) - SIGN * (opens or closer in _CLOSES)
+    return cost <= 0
 
 
 def thai(text: str, low: int, high: int) -> list[tuple[int, int]]:
     out, start = [], low
-    for m in _THAI_GAP.finditer(text, low, high):
+    clause, since = False, low  # a stretch since the last boundary is a clause; where the stretch at hand starts
+    gaps = [*_THAI_GAP.finditer(text, low, high)]
+    for m, after in zip(gaps, [*gaps[1:], None], strict=False):
+        clause = clause or _clause(text, since, m.start())
+        since = m.end()
         if text[m.start()].isspace():
-            if m.start() > start and text[m.start() : m.end()].strip() == "" and "\n" not in m.group() and _thai_boundary(text, start, m.start(), m.end(), high):
+            end = after.start() if after else high
+            if m.start() > start and text[m.start() : m.end()].strip() == "" and "\n" not in m.group() and _thai_boundary(text, start, m.start(), m.end(), end, high, clause):
                 _take(text, start, m.start(), out)
-                start = m.end()
+                start, clause = m.end(), False
         elif not (m.end() - m.start() == 1 and m.start() > low and text[m.start() - 1 : m.start()].isascii() and not text[m.start() - 1].isdigit() and text[m.start()] == "."):
             if text[m.start()] != "." or not re.search(r"(?:^|\s)\S{1,3}$", text[start : m.start()]):
                 _take(text, start, m.end(), out)
-                start = m.end()
+                start, clause = m.end(), False
     _take(text, start, high, out)
     return out
 
