@@ -1,7 +1,7 @@
 import numpy as np
 import pytest
 
-from tidemark.llm.neighbours import hadamard, nearest
+from tidemark.llm.neighbours import code_error, hadamard, nearest
 
 WIDTH = 12
 
@@ -93,3 +93,25 @@ def test_a_bucket_that_holds_a_third_of_all_rows(spark, spread):
     near = nearest(frame(spark, vectors.items()), "id", "v", 5, least=0.9, hot=12)
     want = {i: b for i, b in brute(vectors, 5, 0.9).items() if i >= 9000}
     assert recall(found(near.where("a >= 9000")), want) >= 0.9
+
+
+@pytest.mark.parametrize("hot", [4096, 60])
+def test_a_third_of_all_rows_are_jittered_near_copies(spark, hot):
+    """They differ above 6 decimals and below the 8-bit step, so their codes are equal."""
+    rng = np.random.default_rng(11)
+    base = rng.normal(size=WIDTH)
+    near = {9000 + i: (base + 1e-4 * rng.normal(size=WIDTH)).tolist() for i in range(300)}
+    vectors = {i: np.float32(v).tolist() for i, v in (clustered(600) | near).items()}
+    got = found(nearest(frame(spark, vectors.items()), "id", "v", 5, least=0.9, hot=hot).where("a >= 9000"))
+    want = {i: b for i, b in brute(vectors, 5, 0.9).items() if i >= 9000}
+    assert recall(got, want) >= 0.99
+
+
+def test_the_error_of_the_codes_is_bounded():
+    rng = np.random.default_rng(3)
+    for v in (rng.normal(size=(400, 64)), rng.normal(size=(400, 64)) ** 7):
+        v /= np.linalg.norm(v, axis=1, keepdims=True)
+        code = np.rint(v / np.abs(v).max(axis=1, keepdims=True) * 127)
+        unit = code / np.linalg.norm(code, axis=1, keepdims=True)
+        error = code_error(code)
+        assert (np.abs(unit @ unit.T - v @ v.T) <= error[:, None] + error).all()

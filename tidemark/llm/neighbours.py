@@ -7,8 +7,10 @@
 3. A vector lies in its own bucket and also probes the PROBES buckets that are next best by the margin between the
    best and the second-best axis of one digit. Buckets above HOT members are split by further digits, with probing,
    before their rows meet; what digits can't part is compared in blocks, exactly.
-4. Within a bucket 8-bit copies of the vectors select candidates (the error of the estimate is below SLACK); only
-   (id, id) pairs leave the bucket. Distinct pairs are joined with the exact vectors and reranked in double precision.
+4. Within a bucket 8-bit copies of the vectors select candidates: all that can be among the k best, given the proven
+   error of the estimates; only (id, id) pairs leave the bucket. A row with more than PAIRS of them, such as one amid
+   near copies, is compared with the exact vectors of its candidates, bucket by bucket.
+5. Distinct pairs are joined with the exact vectors and reranked in double precision.
 """
 
 from __future__ import annotations
@@ -25,7 +27,8 @@ from ..runtime import cut
 TABLES, PROBES, TARGET, HOT = 8, 2, 8, 4096
 #: Settings for few asking vectors whose neighbours are far away (cosine below 0.6): larger buckets, more probes.
 WIDE_TABLES, WIDE_TARGET, WIDE_PROBES, WIDE_HOT = 8, 4000, 8, 65_536
-SLACK = 0.03
+#: Candidates of a row in a bucket that leave it as pairs; with more, the exact vectors decide.
+PAIRS = 64
 SEED = 20240229
 #: Digits from here on are used to split hot buckets, so they never repeat those of the bucket keys.
 DIGIT = 64
@@ -127,26 +130,45 @@ def _entries(table: int, bucket: np.ndarray, keys: pa.Array, packed: pa.Array, o
     return pa.RecordBatch.from_arrays(columns, names=["tbl", "bucket", "key", "code", "own", "ask"])
 
 
-def _bucket_pairs(key: np.ndarray, code: np.ndarray, own: np.ndarray, ask: np.ndarray, k: int, least: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(asking key, candidate key, estimate): per asking row its k best own rows of the bucket from `least` on."""
+def code_error(code: np.ndarray) -> np.ndarray:
+    """How far the unit vector of each 8-bit code (float rows) can be from the vector it stands for.
+
+    Rounding moves a component by half a step at most, so the sine of the angle is at most half the root of the width
+    over the code's length; the cosine of two codes is off by the sum of their errors at most.
+    """
+    sine = np.minimum(0.5 * np.sqrt(code.shape[1]) / np.maximum(np.linalg.norm(code, axis=1), 1e-9), 1.0)
+    return (sine / np.sqrt((1 + np.sqrt(1 - sine * sine)) / 2) + 1e-5).astype(np.float32)
+
+
+def _bucket_pairs(key: np.ndarray, code: np.ndarray, own: np.ndarray, ask: np.ndarray, k: int, least: float, most: int = PAIRS) -> Iterator[tuple[np.ndarray, np.ndarray, bool]]:
+    """(asking keys, candidate keys, False): every pair of the bucket that can reach `least` and be among the row's k best.
+
+    Rows with more than `most` candidates come as (their keys, the keys of all their candidates, True).
+    """
     if not own.any() or not ask.any() or len(key) < 2:
         return
     unit = code.astype(np.float32)
+    error = code_error(unit)
     unit /= np.maximum(np.linalg.norm(unit, axis=1, keepdims=True), 1e-9)
     base, asking = np.flatnonzero(own), np.flatnonzero(ask)
-    for low in range(0, len(asking), 1024):
-        rows = asking[low : low + 1024]
-        names, sims = np.zeros((len(rows), 0), np.int64), np.zeros((len(rows), 0), np.float32)
-        for left in range(0, len(base), 8192):  # the k best so far against the next part of the bucket
-            part = base[left : left + 8192]
-            new = unit[rows] @ unit[part].T
-            new[key[rows][:, None] == key[part][None, :]] = -2.0
-            names, sims = np.concatenate([names, np.broadcast_to(key[part], new.shape)], 1), np.concatenate([sims, new], 1)
-            if sims.shape[1] > k:
-                take = np.argpartition(sims, -k, axis=1)[:, -k:]
-                names, sims = np.take_along_axis(names, take, 1), np.take_along_axis(sims, take, 1)
-        r, c = np.nonzero(sims >= max(least, -1.5))
-        yield key[rows[r]], names[r, c], sims[r, c]
+    step = int(np.clip((1 << 23) // len(base), 16, 1024))
+    for low in range(0, len(asking), step):
+        rows = asking[low : low + step]
+        high = unit[rows] @ unit[base].T
+        high += error[rows][:, None]
+        high += error[base]
+        high[key[rows][:, None] == key[base][None, :]] = -9.0
+        keep = high >= max(least, -5.0)
+        if len(base) > most:
+            # the k-th best lower bound: what can't reach it is not among the k best
+            kth = np.partition(high - 2 * error[base], -k, axis=1)[:, -k] - 2 * error[rows]
+            keep &= high >= kth[:, None]
+            tied = keep.sum(axis=1) > most
+            if tied.any():
+                yield key[rows[tied]], key[base[keep[tied].any(axis=0)]], True
+                keep[tied] = False
+        r, c = np.nonzero(keep)
+        yield key[rows[r]], key[base[c]], False
 
 
 def _deeper(level: int):
@@ -213,18 +235,18 @@ def _blocks(rows: DataFrame, hot: int) -> DataFrame:
     return held.unionByName(asked)
 
 
-def _matches(k: int, least: float):
-    """Candidate pairs of each bucket; rows of one bucket come one after the other."""
+def _by_group(columns: list[str], emit):
+    """`emit` of the rows of each group of equal `columns`; rows of one group come one after the other."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest: list[pa.RecordBatch] = []  # of the last bucket, which may go on
+        rest: list[pa.RecordBatch] = []  # of the last group, which may go on
         for batch in batches:
-            tbl, bucket = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            if not len(tbl):
+            if not batch.num_rows:
                 continue
-            other = np.flatnonzero((tbl != tbl[-1]) | (bucket != bucket[-1]))
+            cols = [batch.column(c).to_numpy() for c in columns]
+            other = np.flatnonzero(np.logical_or.reduce([c != c[-1] for c in cols]))
             at = int(other[-1]) + 1 if len(other) else 0
-            if rest and (at or rest[-1].column(0)[-1].as_py() != tbl[0] or rest[-1].column(1)[-1].as_py() != bucket[0]):
+            if rest and (at or any(rest[-1].column(name)[-1].as_py() != c[0] for name, c in zip(columns, cols, strict=True))):
                 yield from emit(pa.Table.from_batches([*rest, batch.slice(0, at)]))
                 rest = []
             elif at:
@@ -233,20 +255,63 @@ def _matches(k: int, least: float):
         if rest:
             yield from emit(pa.Table.from_batches(rest))
 
+    return run
+
+
+#: A pair (a, b), or where `g` is given, an asking row `a` or a candidate `b` of a group that the exact vectors decide.
+MATCHES = "a long, b long, g long"
+
+
+def _matches(k: int, least: float, most: int = PAIRS):
+    """Candidate pairs of each bucket, and the groups of rows with too many of them."""
+
     def emit(table: pa.Table) -> Iterator[pa.RecordBatch]:
         tbl, bucket, key = (table[c].to_numpy() for c in ("tbl", "bucket", "key"))
         own, ask = (table[c].to_numpy(zero_copy_only=False) for c in ("own", "ask"))
         code = np.frombuffer(b"".join(table["code"].to_pylist()), dtype=np.int8).reshape(len(key), -1)
         edges = np.flatnonzero((np.diff(bucket) != 0) | (np.diff(tbl) != 0)) + 1
-        found = []
+        pairs, groups = [], []
         for low, high in zip([0, *edges], [*edges, len(key)], strict=True):
             if high - low > 1:
-                found += _bucket_pairs(key[low:high], code[low:high], own[low:high], ask[low:high], k, least)
-        if found:
-            a, b, s = (np.concatenate(x) for x in zip(*found, strict=True))
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(s.astype(np.float32))], names=["a", "b", "s"])
+                for a, b, tied in _bucket_pairs(key[low:high], code[low:high], own[low:high], ask[low:high], k, least, most):
+                    if tied:
+                        # groups whose numbers meet are decided together, which costs time only
+                        g = (int(bucket[low]) * 31 + int(tbl[low]) + 0x9E3779B97F4A7C15) % (1 << 63)
+                        groups.append((a, b, g))
+                    else:
+                        pairs.append((a, b))
+        if pairs:
+            a, b = (np.concatenate(x) for x in zip(*pairs, strict=True))
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.nulls(len(a), pa.int64())], names=["a", "b", "g"])
+        for a, b, g in groups:
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.nulls(len(a), pa.int64()), pa.array(np.full(len(a), g, np.int64))], names=["a", "b", "g"])
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(b), pa.int64()), pa.array(b), pa.array(np.full(len(b), g, np.int64))], names=["a", "b", "g"])
+
+    return _by_group(["tbl", "bucket"], emit)
+
+
+def _decided(k: int):
+    """The 2 k + 6 best candidates of each asking row of a group (g, key, ask, v), by the exact vectors."""
 
-    return run
+    def emit(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        every = table["g"].to_numpy()
+        edges = np.flatnonzero(np.diff(every)) + 1
+        for low, high in zip([0, *edges], [*edges, len(every)], strict=True):
+            part = table.slice(low, high - low).combine_chunks()
+            key, ask = part["key"].to_numpy(), part["ask"].to_numpy(zero_copy_only=False)
+            v = part["v"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(key), -1)
+            base, asking = np.flatnonzero(~ask), np.flatnonzero(ask)
+            step = int(np.clip((1 << 22) // max(1, len(base)), 16, 1024))
+            for at in range(0, len(asking) if len(base) else 0, step):
+                rows = asking[at : at + step]
+                s = v[rows] @ v[base].T
+                s[key[rows][:, None] == key[base][None, :]] = -2.0
+                n = min(2 * k + 6, len(base))
+                best = np.argpartition(s, -n, axis=1)[:, -n:]
+                r, c = np.nonzero(np.take_along_axis(s, best, 1) > -1.5)
+                yield pa.RecordBatch.from_arrays([pa.array(key[rows[r]]), pa.array(key[base[best[r, c]]])], names=["a", "b"])
+
+    return _by_group(["g"], emit)
 
 
 def nearest(df: DataFrame, key: str, vector: str, k: int, least: float = -1.0, asking: str | None = None, tables: int = TABLES, probes: int = PROBES, target: int = TARGET, hot: int = HOT) -> DataFrame:
@@ -279,10 +344,13 @@ def nearest(df: DataFrame, key: str, vector: str, k: int, least: float = -1.0, a
     own = classes.select("key", F.lit(False).alias("ask"), "v").mapInArrow(_hash_rows(tables, digits, 0), ENTRIES)
     entries = _cooled(entries, own, hot)
     entries = entries.repartition("tbl", "bucket").sortWithinPartitions("tbl", "bucket")
-    pairs = entries.mapInArrow(_matches(2 * k + 6, least - SLACK), "a long, b long, s float").groupBy("a", "b").agg(F.max("s").alias("s"))
+    matches = cut(entries.mapInArrow(_matches(k, least), MATCHES))
+    members = matches.where("g is not null").select("g", F.coalesce("a", "b").alias("key"), F.col("a").isNotNull().alias("ask")).distinct()
+    tied = members.join(classes.select("key", "v"), "key").select("g", "key", "ask", "v").repartition("g").sortWithinPartitions("g")
+    pairs = matches.where("g is null").select("a", "b").unionByName(tied.mapInArrow(_decided(k), "a long, b long")).distinct()
     va, vb = classes.select(F.col("key").alias("a"), F.col("v").alias("va")), classes.select(F.col("key").alias("b"), F.col("v").alias("vb"), F.col("some").alias("b_some"))
     exact = F.aggregate(F.zip_with("va", "vb", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    scored = pairs.drop("s").join(va, "a").join(vb, "b").select("a", "b_some", exact.alias("cosine")).where(F.col("cosine") >= least)
+    scored = pairs.join(va, "a").join(vb, "b").select("a", "b_some", exact.alias("cosine")).where(F.col("cosine") >= least)
     # members: neighbours in other classes, then in their own
     mine = unit.select("key", *cls).where(F.expr(asking or "true")).join(classes.select(F.col("key").alias("a"), *cls, "some", "members"), cls)
     outer = mine.where(F.col("members") <= k).select("key", "a").join(scored, "a").select("key", F.explode("b_some").alias("b"), "cosine")
