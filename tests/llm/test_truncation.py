@@ -99,3 +99,15 @@ def test_artificial_cuts_are_proper_prefixes():
 def test_features_of_odd_texts():
     for t in (" ", "\ud800", "…", "a" * 100_000, "(“"):
         assert len(features(t, {})) == len(features("x", {}))
+
+
+def test_whole_words_are_those_of_all_rows_not_of_the_sample(spark):
+    rows, _ = corpus(2000)
+    rare = [("t", "whole", 5000 + i, f"The seldom{'abcdefghij'[i // 3]} gate near Aton opened the bridge.", None) for i in range(30)]
+    df = spark.createDataFrame(rows + rare, SCHEMA)
+    broadcast, joined = fit_model(df, sample=300), fit_model(df, sample=300, most_words=5)
+    assert {f"seldom{c}" for c in "abcdefghij"} <= broadcast.words_known
+    assert joined.words is not None and {r.word for r in joined.words.collect()} == broadcast.words_known
+    assert (broadcast.weights == joined.weights).all()
+    scores = [sorted((r.row_id, r.p, r.cut) for r in truncated(df, m).collect()) for m in (broadcast, joined)]
+    assert scores[0] == scores[1]

@@ -11,7 +11,8 @@ with names and figures masked, the opening words together with the closing ones
 a stop but open alike), whether words of this shape close values elsewhere, and the distance to the source's limits.
 
 The model is fitted on a bounded sample of values (about SAMPLE rows, chosen by hash, documented and a parameter); the
-length histogram behind the limits covers all values and every value is scored.
+length histogram behind the limits and the words that tell whole from broken ones come from all values, and every
+value is scored.
 """
 
 from __future__ import annotations
@@ -21,13 +22,15 @@ import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..runtime import cut
+
 #: Values the model is fitted on, about.
 SAMPLE = 24_000
 #: Size of the hashed feature space.
@@ -41,6 +44,8 @@ SURE = -1.5
 #: Rounds of gradient steps, their size and the weight decay.
 EPOCHS, STEP, DECAY = 40, 0.5, 1e-6
 RARE = 50
+#: A word is whole if it stands so often before the end of a text; so many of them are broadcast, more are joined.
+LEAST_WORD, MOST_WORDS = 3, 500_000
 MARKS = ("…", "...", " …", " ...")
 
 _OMISSION = re.compile(r"\s*(?:…|\.\.\.+|\[…\]|\[\.\.\.\])\s*$")
@@ -58,12 +63,26 @@ def mask(word: str) -> str:
     return word
 
 
-def vocabulary(texts: list[str], least: int = 3) -> frozenset[str]:
-    """Small-letter words that stand `least` times or more before the end of a text."""
-    seen: Counter[str] = Counter()
-    for t in texts:
-        seen.update(_WORD.findall(t)[:-1])
-    return frozenset(w for w, n in seen.items() if n >= least and w.islower())
+def whole_words(rows: DataFrame, least: int = LEAST_WORD) -> DataFrame:
+    """word: small-letter words that stand `least` times or more before the end of a `text`, over all rows."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            seen: Counter[str] = Counter()
+            for t in batch.column(0).to_pylist():
+                seen.update(_WORD.findall(t)[:-1])
+            words = [w for w in seen if w.islower()]
+            yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array([seen[w] for w in words], pa.int64())], names=["word", "n"])
+
+    counts = rows.select("text").mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return counts.where(F.col("n") >= least).select("word")
+
+
+def last_word(text: str) -> str:
+    """The word a text closes with, without a mark of omission."""
+    marked = _OMISSION.search(text)
+    words = _WORD.findall((text[: marked.start()] if marked else text)[-48:])
+    return words[-1] if words else ""
 
 
 def features(text: str, limits: dict[int, float], words_known: frozenset[str] = frozenset()) -> list[int]:
@@ -223,17 +242,18 @@ def source_limits(lengths: list[tuple[str, int, int]], least: int = 8) -> dict[s
 
 @dataclass(frozen=True)
 class Model:
-    """Weights, limits by source, and the words that tell whole from broken ones."""
+    """Weights, limits by source, and the words that tell whole from broken ones; `words`: the table of them where they are too many to broadcast."""
 
     weights: np.ndarray
     limits: dict[str, dict[int, float]]
     words_known: frozenset[str]
+    words: DataFrame | None = None
 
 
-def fit_model(values: DataFrame, sample: int = SAMPLE, seed: int = 7) -> Model:
-    """The model of `values` (source, text, row_id): limits from all of them, weights from about `sample`.
+def fit_model(values: DataFrame, sample: int = SAMPLE, seed: int = 7, most_words: int = MOST_WORDS) -> Model:
+    """The model of `values` (source, text, row_id): limits and whole words from all of them, weights from about `sample`.
 
-    The histogram of lengths by source (sources are few) and the sample are all that comes to the driver. Rows are in
+    The histogram of lengths by source (sources are few), `most_words` words and the sample are all that comes to the driver. Rows are in
     the sample or not by the hash of their id and text, whatever the partitioning. Null and blank texts are left out.
     """
     rows = values.where(F.col("text").rlike(r"\S")).select(F.coalesce("source", F.lit("")).alias("source"), "text", "row_id")
@@ -246,8 +266,24 @@ def fit_model(values: DataFrame, sample: int = SAMPLE, seed: int = 7) -> Model:
     chance = F.pmod(F.xxhash64("row_id", "text", F.lit(seed)), F.lit(1_000_000))
     picked = sorted((r["source"], r["text"]) for r in rows.where(chance < int(share * 1_000_000)).select("source", "text").collect())
     random.Random(seed).shuffle(picked)
-    words_known = vocabulary([t for _, t in picked])
-    return Model(fit(picked, limits, words_known, seed).astype(np.float32), limits, words_known)
+    words = cut(whole_words(rows))
+    known = words.limit(most_words + 1).collect()
+    if len(known) <= most_words:
+        words_known = frozenset(r["word"] for r in known)
+        return Model(fit(picked, limits, words_known, seed).astype(np.float32), limits, words_known)
+    # the fit asks for words of the sample, whole or cut, and no others
+    parts = sorted({w[:n] for _, t in picked for w in _WORD.findall(t) for n in range(1, len(w) + 1) if w.islower()})
+    asked = values.sparkSession.createDataFrame([(w,) for w in parts], "word string")
+    words_known = frozenset(r["word"] for r in words.join(asked, "word", "left_semi").collect())
+    return Model(fit(picked, limits, words_known, seed).astype(np.float32), limits, frozenset(), words)
+
+
+ROWS = "text string, source string, parent string, tbl string, row_id long"
+
+
+def _with_last_word(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield batch.append_column("word", pa.array([last_word(t) for t in batch.column(0).to_pylist()], pa.string()))
 
 
 def truncated(values: DataFrame, model: Model) -> DataFrame:
@@ -257,17 +293,23 @@ def truncated(values: DataFrame, model: Model) -> DataFrame:
     stops. Null and blank texts are left out; rows are scored one by one, repeated ones alike.
     """
     rows = values.where(F.col("text").rlike(r"\S"))
-    shared = values.sparkSession.sparkContext.broadcast(model)
+    shared = values.sparkSession.sparkContext.broadcast(replace(model, words=None))
+    rows = rows.select("text", "source", "parent", "tbl", "row_id")
+    if model.words is not None:
+        ended = rows.mapInArrow(_with_last_word, f"{ROWS}, word string")
+        rows = ended.join(model.words.withColumn("whole", F.lit(True)), "word", "left").select("text", "source", "parent", "tbl", "row_id", F.when(F.col("whole"), F.col("word")).alias("whole"))
+    else:
+        rows = rows.withColumn("whole", F.lit(None).cast("string"))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = shared.value
         for batch in batches:
-            texts, sources, parents = (batch.column(i).to_pylist() for i in range(3))
+            texts, sources, parents, wholes = (batch.column(i).to_pylist() for i in (0, 1, 2, 5))
             if not texts:
                 continue
-            idx = np.array([features(t, known.limits.get(s or "", {}), known.words_known) for s, t in zip(sources, texts, strict=True)], dtype=np.int32)
+            idx = np.array([features(t, known.limits.get(s or "", {}), frozenset((w,)) if w else known.words_known) for s, t, w in zip(sources, texts, wholes, strict=True)], dtype=np.int32)
             p = 1.0 / (1.0 + np.exp(-known.weights[idx].sum(axis=1, dtype=np.float64)))
             goes_on = np.array([bool(o) and len(t.rstrip()) < len(o.rstrip()) and o.startswith(t.rstrip()) for t, o in zip(texts, parents, strict=True)], dtype=bool)
             yield pa.RecordBatch.from_arrays([batch.column(3), batch.column(1), batch.column(4), pa.array(p), pa.array((p >= THRESHOLD) | goes_on)], names=["tbl", "source", "row_id", "p", "cut"])
 
-    return rows.select("text", "source", "parent", "tbl", "row_id").mapInArrow(score, "tbl string, source string, row_id long, p double, cut boolean")
+    return rows.mapInArrow(score, "tbl string, source string, row_id long, p double, cut boolean")
