@@ -90,3 +90,11 @@ def test_empty_tables(spark):
     d = spark.createDataFrame([(1, text(30))], "id long, t string")
     assert leaks(d.limit(0), "id", "t", d, "id", "t").count() == 0
     assert leaks(d, "id", "t", d.limit(0), "id", "t").count() == 0
+
+
+def test_the_longest_run_is_found_behind_a_substituted_letter(spark):
+    item = normal("".join(RNG.choice(WORDS) for _ in range(90)))[:246]
+    leaked = item[:45] + ("z" if item[45] != "z" else "y") + item[46:]
+    d = spark.createDataFrame([(1, "0123456" + leaked + "987")], "id long, t string")
+    rows = leaks(d, "id", "t", spark.createDataFrame([(9, item)], "id long, t string"), "id", "t").toDF("d", "i", "windows", "similarity", "run").collect()
+    assert [(r.d, r.i, r.run) for r in rows] == [(1, 9, 200)]

@@ -157,6 +157,16 @@ def shared_run(a: str, i: int, b: str, j: int, size: int) -> int:
     return best
 
 
+def exact_run(a: str, i: int, b: str, j: int, size: int) -> tuple[int, int]:
+    """(start, stop) in `a` of the longest run that holds the equal windows a[i:i+size] and b[j:j+size]."""
+    begin, end, off = i, i + size, j - i
+    while begin > 0 and begin + off > 0 and a[begin - 1] == b[begin - 1 + off]:
+        begin -= 1
+    while end < len(a) and end + off < len(b) and a[end] == b[end + off]:
+        end += 1
+    return begin, end
+
+
 def _groups(items: DataFrame, key: str, text: str, limit: int) -> list[list[tuple[int, str]]]:
     """Items in normal form, in groups of at most `limit` characters (an item longer than that is a group)."""
     groups: list[list[tuple[int, str]]] = [[]]
@@ -202,7 +212,7 @@ def _searcher(shared, radius: int, similar: float):
                 text = normal(text)
                 q, w = index.near(fingerprints(text, STRIDE))
                 best: dict[int, list] = {}
-                done: set[tuple[int, int]] = set()
+                done: dict[tuple[int, int], int] = {}  # where the last exact run on a diagonal ends
                 for i, j in zip(q.tolist(), w.tolist(), strict=True):
                     item, at = int(index.item[j]), int(index.at[j])
                     a = i * STRIDE
@@ -214,12 +224,12 @@ def _searcher(shared, radius: int, similar: float):
                     entry = best.setdefault(item, [0, 0.0, 0])
                     entry[0] += 1
                     entry[1] = max(entry[1], similarity)
-                    if mine == theirs and (item, a - at) in done:
-                        continue  # the run on this diagonal was measured from an earlier window, unless it broke off
-                    length = shared_run(text, a, b, at, SIZE)
-                    entry[2] = max(entry[2], length)
-                    if mine == theirs and length >= RUN:
-                        done.add((item, a - at))
+                    if mine != theirs:
+                        entry[2] = max(entry[2], shared_run(text, a, b, at, SIZE))
+                    elif a + SIZE > done.get((item, a - at), 0):  # not inside the run measured last; windows come in order
+                        begin, end = exact_run(text, a, b, at, SIZE)
+                        entry[2] = max(entry[2], end - begin)
+                        done[item, a - at] = end
                 out += [(key, index.keys[item], *e) for item, e in best.items()]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.int32(), pa.float64(), pa.int32()))], names=["doc_key", "item_key", "windows", "similarity", "run"])
 
