@@ -1,9 +1,12 @@
 import random
+import resource
 
 import numpy as np
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
-from tidemark.llm.leakage import RADIUS, SIZE, STRIDE, Index, fingerprints, leaks, normal, shared_run
+from tidemark.llm.leakage import RADIUS, SIZE, STRIDE, Index, fingerprints, leaks, longest_run, matches, normal, weighted_similarity
 
 RNG = random.Random(4)
 WORDS = ["".join(RNG.choice("abcdefghij") for _ in range(RNG.randint(2, 8))) for _ in range(400)]
@@ -57,7 +60,7 @@ def test_altered_passages_are_found_by_similarity(spark):
     item = text(30)
     altered = " ".join(w if n % 9 else w[:-1] + "z" for n, w in enumerate(item.split()))
     d = spark.createDataFrame([(1, text(50) + " " + altered), (2, text(80))], "id long, t string")
-    rows = leaks(d, "id", "t", spark.createDataFrame([(9, item)], "id long, t string"), "id", "t").toDF("d", "i", "windows", "similarity", "run").collect()
+    rows = leaks(d, "id", "t", spark.createDataFrame([(9, item)], "id long, t string"), "id", "t").toDF("d", "i", "windows", "similarity", "run", "whole").collect()
     assert [(r.d, r.i) for r in rows] == [(1, 9)]
 
 
@@ -80,10 +83,82 @@ def test_strided_windows_are_every_seventh():
     assert len(fingerprints("a" * (SIZE - 1), STRIDE)) == 0 and len(fingerprints("a" * SIZE, STRIDE)) == 1
 
 
-def test_longest_run_around_a_window():
-    a, b = "xxxxx" + "abcdefghij" * 4 + "yy", "z" + "abcdefghij" * 4 + "q"
-    assert shared_run(a, 10, b, 6, 8) == 40
-    assert shared_run("abcd1efgh", 0, "abcd2efgh", 0, 9) == 4
+def brute_run(a, b):
+    best, last = 0, [0] * (len(b) + 1)
+    for x in a:
+        now = [0] * (len(b) + 1)
+        for j, y in enumerate(b, 1):
+            if x == y:
+                now[j] = last[j - 1] + 1
+        best, last = max(best, *now), now
+    return best
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.text("ab", max_size=90), st.text("abc", max_size=60))
+def test_longest_run_is_the_longest_common_substring(a, b):
+    assert longest_run(a, b) == brute_run(a, b)
+
+
+SHARED = normal(text(40))[:120]
+
+
+@pytest.mark.parametrize(
+    "doc, item",
+    [
+        (SHARED[:39], SHARED[:39]),
+        (SHARED[:38] + "0123", SHARED[:38]),
+        ("ab" * 200, "ab" * 60),
+        ("0" * 60, "0" * 50),
+        ("xy" + SHARED[:45] + "#" + SHARED[46:], SHARED),
+        ("9" * 10 + SHARED, SHARED + "8"),
+        (SHARED + "77", "5" + SHARED),
+        (SHARED[60:] + "00" + SHARED[:60], SHARED),
+        ("1234567" * 3 + SHARED[:41], SHARED[:41] + "w"),
+    ],
+)
+def test_runs_of_short_periodic_and_aligned_texts(doc, item):
+    found = list(matches(normal(doc), Index([(1, normal(item))])))
+    assert [run for _, _, _, run, _ in found] == [brute_run(normal(doc), normal(item))]
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.integers(0, 40), st.integers(0, 80), st.integers(20, 80), st.integers(0, 30))
+def test_runs_of_forty_and_no_others_are_reported_as_such(before, at, size, after):
+    item = SHARED
+    part = item[at : at + size]
+    doc = "Q" * before + part + "R" * after
+    doc = normal(doc)
+    runs = [run for _, _, _, run, _ in matches(doc, Index([(1, item)]))]
+    want = brute_run(doc, item)
+    assert (runs == [want]) if want >= SIZE + STRIDE - 1 else all(r == want for r in runs)
+
+
+def test_long_repetitive_texts_need_little_memory():
+    index = Index([(1, "0" * 3000), (2, "01" * 2000), (3, SHARED)])
+    before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    found = {item: run for item, _, _, run, _ in matches("0" * 1_000_000 + "01" * 2000 + SHARED, index)}
+    assert found == {0: 3000, 1: 4000, 2: 120}
+    assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 500_000  # KB
+
+
+def test_altered_passages_of_similarity_0_8_are_found():
+    rng = random.Random(8)
+    items = [(i, normal(text(rng.randint(25, 60)))) for i in range(40)]
+    index = Index(items)
+    total = found = 0
+    for n in range(400):
+        key, item = items[n % 40]
+        letters = list(item)
+        for _ in range(rng.randint(1, 6)):
+            letters[rng.randrange(len(letters))] = rng.choice("klmnopqrst")
+        altered = "".join(letters)
+        if weighted_similarity(altered, item) < 0.8:
+            continue
+        total += 1
+        hits = {index.keys[i]: whole for i, _, _, _, whole in matches(normal(text(40)) + altered + normal(text(40)), index)}
+        found += hits.get(key, 0) >= 0.7
+    assert total > 150 and found >= 0.98 * total, (found, total)
 
 
 def test_empty_tables(spark):
@@ -96,5 +171,5 @@ def test_the_longest_run_is_found_behind_a_substituted_letter(spark):
     item = normal("".join(RNG.choice(WORDS) for _ in range(90)))[:246]
     leaked = item[:45] + ("z" if item[45] != "z" else "y") + item[46:]
     d = spark.createDataFrame([(1, "0123456" + leaked + "987")], "id long, t string")
-    rows = leaks(d, "id", "t", spark.createDataFrame([(9, item)], "id long, t string"), "id", "t").toDF("d", "i", "windows", "similarity", "run").collect()
+    rows = leaks(d, "id", "t", spark.createDataFrame([(9, item)], "id long, t string"), "id", "t").toDF("d", "i", "windows", "similarity", "run", "whole").collect()
     assert [(r.d, r.i, r.run) for r in rows] == [(1, 9, 200)]

@@ -5,16 +5,24 @@ characters at every position; a document is a set of windows at every STRIDE-th
 SIZE + STRIDE - 1 characters or more holds a document window whole. Each window gets a 64-bit SimHash of its
 character GRAM-grams.
 
-The fingerprints of the items (their number is bounded by a checked limit, and they are broadcast) are indexed by
-RADIUS + 1 blocks of bits: two fingerprints within RADIUS differ nowhere in at least one block, so looking up every
-block finds all of them. Candidates are verified on the texts: the weighted similarity of the gram multisets, and the
-exact longest run around the match.
-
-Beyond the limit the item side is cut into groups that are broadcast one after the other; no item is left out.
+The fingerprints of a group of items (of bounded size, broadcast) are indexed by RADIUS + 1 blocks of bits: two
+fingerprints within RADIUS differ nowhere in at least one block, so looking up every block finds all of them. Equal
+fingerprints of a text are looked up once. Candidates are verified on the texts: the weighted similarity of the gram
+multisets of the two windows, and then, of document and item, the longest common run and the weighted similarity of
+the whole item with the item-sized window of the document that the matched windows lie in.
+
+Item-sized windows are verified, not fingerprinted: an item-sized window of similarity 0.8 or more has at most a ninth
+of its grams broken, which leaves an unbroken run of about 44 characters for long items, and more than 38 for all but
+evenly spaced changes of short ones; that run holds a small window whole. So the small windows find the item-sized
+ones, and passages that are only a part of an item besides.
+
+Items beyond GROUP_CHARS are dealt into groups that are broadcast one after the other; the driver holds one group at a
+time, and no item is left out.
 """
 
 from __future__ import annotations
 
+import re
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -23,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..runtime import spread
+from ..runtime import cut, spread
 
 #: Window and stride of documents; every shared run of SIZE + STRIDE - 1 = 38 characters holds a whole window.
 SIZE, STRIDE, GRAM = 32, 7, 5
@@ -38,14 +46,16 @@ SIMILAR = 0.8
 
 #: Texts are fingerprinted so many characters at a time, with overlap: memory is bounded for texts of any length.
 CHUNK = 7 * 8192
+#: Candidate pairs looked at together.
+PAIRS = 1_000_000
 _GRAMS = SIZE - GRAM + 1  # 28 = 4 strides
-LEAKS = "doc_key long, item_key long, windows int, similarity double, run int"
+LEAKS = "doc_key long, item_key long, windows int, similarity double, run int, whole double"
+_OTHER = re.compile(r"[\W_]+")
 
 
 def normal(text: str) -> str:
     """The letters and digits of `text` in lower case."""
-    text = text.lower()
-    return text if text.isalnum() else "".join(filter(str.isalnum, text))
+    return _OTHER.sub("", text.lower())
 
 
 def _gram_hashes(text: str) -> np.ndarray:
@@ -82,15 +92,20 @@ def _window_prints(text: str, stride: int) -> np.ndarray:
 
 
 class Index:
-    """The windows of a group of items, by the blocks of their fingerprints."""
+    """The windows of a group of items: each fingerprint of an item once, by the blocks of its bits."""
 
     def __init__(self, items: list[tuple[int, str]], radius: int = RADIUS) -> None:
         self.keys = [k for k, _ in items]
         self.texts = [t for _, t in items]
         prints = [fingerprints(t, 1) for t in self.texts]
-        self.item = np.repeat(np.arange(len(items)), [len(p) for p in prints]).astype(np.int32)
-        self.at = np.concatenate([np.arange(len(p)) for p in prints] or [np.zeros(0)]).astype(np.int32)
-        self.prints = np.concatenate(prints or [np.zeros(0, np.uint64)]).astype(np.uint64)
+        item = np.repeat(np.arange(len(items)), [len(p) for p in prints]).astype(np.int32)
+        at = np.concatenate([np.arange(len(p)) for p in prints] or [np.zeros(0)]).astype(np.int32)
+        every = np.concatenate(prints or [np.zeros(0, np.uint64)]).astype(np.uint64)
+        order = np.lexsort((at, every, item))
+        item, every, self.at = item[order], every[order], at[order]
+        first = np.flatnonzero(np.r_[True, (item[1:] != item[:-1]) | (every[1:] != every[:-1])]) if len(item) else np.zeros(0, np.int64)
+        self.edges = np.r_[first, len(item)]
+        self.item, self.prints = item[first], every[first]
         self.radius = radius
         edges = [64 * i // (radius + 1) for i in range(radius + 2)]
         self.blocks = []
@@ -101,29 +116,31 @@ class Index:
             np.add.at(starts, cells.astype(np.int64) + 1, 1)
             self.blocks.append((low, high, order, np.cumsum(starts, dtype=np.int32)))
 
+    def places(self, window: int) -> list[int]:
+        """Where in its item the windows with the fingerprint number `window` begin."""
+        return self.at[self.edges[window] : self.edges[window + 1]].tolist()
+
     @staticmethod
     def _block(prints: np.ndarray, low: int, high: int) -> np.ndarray:
         return (prints >> np.uint64(low)) & np.uint64((1 << (high - low)) - 1)
 
     def near(self, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(query, window) of every pair of fingerprints within the radius; found in several blocks, given once."""
-        qs, ws = [], []
+        found = []
         for low, high, order, starts in self.blocks:
             cells = self._block(prints, low, high).astype(np.int64)
             first, n = starts[cells], starts[cells + 1] - starts[cells]
             hit = np.flatnonzero(n)
-            if not len(hit):
-                continue
-            n = n[hit]
-            q = np.repeat(hit, n)
-            w = order[np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first[hit], n)]
-            close = np.bitwise_count(prints[q] ^ self.prints[w]) <= self.radius
-            qs.append(q[close])
-            ws.append(w[close])
-        if not qs:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        pair = np.unique(np.concatenate(qs).astype(np.int64) * len(self.prints) + np.concatenate(ws))
-        return pair // len(self.prints), pair % len(self.prints)
+            sums = np.cumsum(n[hit], dtype=np.int64)
+            # at most about PAIRS candidates are looked at together
+            for part in np.split(hit, np.searchsorted(sums, np.arange(PAIRS, int(sums[-1]), PAIRS)) if len(hit) else []):
+                m = n[part]
+                q = np.repeat(part, m)
+                w = order[np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m) + np.repeat(first[part], m)]
+                close = np.bitwise_count(prints[q] ^ self.prints[w]) <= self.radius
+                found.append(q[close].astype(np.int64) * len(self.prints) + w[close])
+        pair = np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
+        return pair // max(1, len(self.prints)), pair % max(1, len(self.prints))
 
 
 def weighted_similarity(a: str, b: str) -> float:
@@ -136,101 +153,116 @@ def weighted_similarity(a: str, b: str) -> float:
     return sum(min(c) for c in counts.values()) / most if most else 0.0
 
 
-def shared_run(a: str, i: int, b: str, j: int, size: int) -> int:
-    """Length of the longest common run that meets the aligned windows a[i:i+size] and b[j:j+size]."""
-    low = -min(i, j)
-    best = run = 0
-    # outwards to the left of the window, through it, and on to the right while the texts agree
-    left = 0
-    while -left > low and a[i + left - 1] == b[j + left - 1]:
-        left -= 1
-    k, end = left, min(len(a) - i, len(b) - j)
-    while k < end:
-        if a[i + k] == b[j + k]:
-            run += 1
-            best = max(best, run)
-        else:
-            if k >= size:
-                break
-            run = 0
-        k += 1
-    return best
-
-
-def exact_run(a: str, i: int, b: str, j: int, size: int) -> tuple[int, int]:
-    """(start, stop) in `a` of the longest run that holds the equal windows a[i:i+size] and b[j:j+size]."""
-    begin, end, off = i, i + size, j - i
-    while begin > 0 and begin + off > 0 and a[begin - 1] == b[begin - 1 + off]:
-        begin -= 1
-    while end < len(a) and end + off < len(b) and a[end] == b[end + off]:
-        end += 1
-    return begin, end
-
-
-def _groups(items: DataFrame, key: str, text: str, limit: int) -> list[list[tuple[int, str]]]:
-    """Items in normal form, in groups of at most `limit` characters (an item longer than that is a group)."""
-    groups: list[list[tuple[int, str]]] = [[]]
-    held = 0
-    for row in items.select(F.col(key).alias("k"), F.col(text).alias("t")).where("k is not null and t is not null").distinct().orderBy("k", "t").toLocalIterator():
-        t = normal(row["t"])
-        if len(t) < SIZE:
-            continue
-        if held and held + len(t) > limit:
-            groups.append([])
-            held = 0
-        groups[-1].append((row["k"], t))
-        held += len(t)
-    return [g for g in groups if g]
+_BASE = np.uint64(0x9E3779B97F4A7C15)
+_BACK = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+
+
+def _sums(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """Running sums of the mixed characters times the powers of a base, and the powers of its inverse."""
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
+    codes = (codes + np.uint64(1)) * np.uint64(0xBF58476D1CE4E5B9)
+    codes ^= codes >> np.uint64(31)
+    power = np.cumprod(np.full(len(codes), _BASE, np.uint64))
+    return np.r_[np.uint64(0), np.cumsum(codes * power)], np.r_[np.uint64(1), np.cumprod(np.full(len(codes), _BACK, np.uint64))]
+
+
+def longest_run(a: str, b: str) -> int:
+    """Length of the longest common run of two texts: a binary search over hashes of all runs of one length.
+
+    Runs that agree by their hash are compared as text, so a chance agreement can't lengthen the result.
+    """
+    (sa, pa_), (sb, pb) = _sums(a), _sums(b)
+
+    def shared(n: int) -> bool:
+        x, y = (sa[n:] - sa[:-n]) * pa_[: len(sa) - n], (sb[n:] - sb[:-n]) * pb[: len(sb) - n]
+        common, i, j = np.intersect1d(x, y, return_indices=True)
+        return any(a[p : p + n] == b[q : q + n] for p, q in zip(i.tolist(), j.tolist(), strict=True))
+
+    low, high = 0, min(len(a), len(b)) + 1
+    while high - low > 1:
+        middle = (low + high) // 2
+        low, high = (middle, high) if shared(middle) else (low, middle)
+    return low
+
+
+def _groups(items: DataFrame, key: str, text: str, limit: int) -> Iterator[list[tuple[int, str]]]:
+    """Items in normal form, in groups of about `limit` characters, dealt by hash; one group is on the driver at a time."""
+    rows = items.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t")).where(f"k is not null and length(t) >= {SIZE}").distinct()
+    rows = cut(rows)
+    total = rows.agg(F.coalesce(F.sum(F.length("t")), F.lit(0))).first()[0]
+    n = -(-total // limit)
+    for g in range(n):
+        part = rows.where(F.pmod(F.xxhash64("k", "t"), F.lit(n)) == g).collect()
+        group = sorted((r["k"], t) for r in part if len(t := normal(r["t"])) >= SIZE)
+        if group:
+            yield group
 
 
 def leaks(docs: DataFrame, doc_key: str, doc_text: str, items: DataFrame, item_key: str, item_text: str, radius: int = RADIUS, similar: float = SIMILAR, group_chars: int = GROUP_CHARS) -> DataFrame:
-    """doc_key, item_key, windows (matched), similarity (best window), run (longest exact run, in letters and digits).
+    """doc_key, item_key, windows (matched), similarity (best window), run (longest exact run, in letters and digits),
+    whole (best similarity of the whole item with an item-sized window).
 
     A row for each document and item with a window pair within `radius` whose weighted similarity is at least
     `similar`. Null texts and texts of fewer than SIZE letters and digits match nothing; repeated documents are
     compared row by row and give one row each document and item; keys must be BIGINT.
     """
     spark = docs.sparkSession
-    rows = spread(docs.select(F.col(doc_key).cast("long").alias("k"), F.col(doc_text).alias("t")).where("k is not null and length(t) >= 32"))
+    rows = spread(docs.select(F.col(doc_key).cast("long").alias("k"), F.col(doc_text).alias("t")).where(f"k is not null and length(t) >= {SIZE}"))
     found = None
     for group in _groups(items, item_key, item_text, group_chars):
         shared = spark.sparkContext.broadcast(group)
         part = rows.mapInArrow(_searcher(shared, radius, similar), LEAKS)
         found = part if found is None else found.unionByName(part)
     if found is None:
-        return spark.createDataFrame([], LEAKS).toDF(doc_key, item_key, "windows", "similarity", "run")
-    best = found.groupBy("doc_key", "item_key").agg(F.max("windows").alias("windows"), F.max("similarity").alias("similarity"), F.max("run").alias("run"))
-    return best.toDF(doc_key, item_key, "windows", "similarity", "run")
+        found = spark.createDataFrame([], LEAKS)
+    best = found.groupBy("doc_key", "item_key").agg(*[F.max(c).alias(c) for c in ("windows", "similarity", "run", "whole")])
+    return best.toDF(doc_key, item_key, "windows", "similarity", "run", "whole")
+
+
+def matches(text: str, index: Index, similar: float = SIMILAR) -> Iterator[tuple[int, int, float, int, float]]:
+    """(item number, windows, similarity, run, whole) of each item that a normal `text` holds similar windows of."""
+    prints = fingerprints(text, STRIDE)
+    unique, first, n = np.unique(prints, return_index=True, return_counts=True)
+    q, w = index.near(unique)
+    if not len(q):
+        return
+    order = np.argsort(prints, kind="stable") if len(unique) < len(prints) else first
+    ends = np.cumsum(n)
+    windows = lambda t, places: {t[p : p + SIZE]: p for p in reversed(places)}
+    owner = index.item[w]
+    by = np.argsort(owner, kind="stable")
+    for part in np.split(by, np.flatnonzero(np.diff(owner[by])) + 1):
+        item = int(owner[part[0]])
+        theirs_text = index.texts[item]
+        best, held, starts = 0.0, set(), set()
+        for i in part.tolist():
+            high = int(ends[q[i]])
+            mine = windows(text, [p * STRIDE for p in order[high - int(n[q[i]]) : high].tolist()])
+            theirs = windows(theirs_text, index.places(int(w[i])))
+            if same := mine.keys() & theirs.keys():
+                similarity = 1.0
+                starts.update(mine[t] - theirs[t] for t in same)
+            else:
+                similarity, start = max((weighted_similarity(a, b), mine[a] - theirs[b]) for a in mine for b in theirs)
+                if similarity < similar:
+                    continue
+                starts.add(start)
+            held.add(int(q[i]))
+            best = max(best, similarity)
+        if held:
+            size = len(theirs_text)
+            whole = max(weighted_similarity(text[max(0, s) : s + size], theirs_text) for s in starts)
+            yield item, int(n[list(held)].sum()), best, longest_run(text, theirs_text), whole
 
 
 def _searcher(shared, radius: int, similar: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = Index(shared.value, radius)
         for batch in batches:
-            out: list[tuple[int, int, int, float, int]] = []
+            out: list[tuple] = []
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                text = normal(text)
-                q, w = index.near(fingerprints(text, STRIDE))
-                best: dict[int, list] = {}
-                done: dict[tuple[int, int], int] = {}  # where the last exact run on a diagonal ends
-                for i, j in zip(q.tolist(), w.tolist(), strict=True):
-                    item, at = int(index.item[j]), int(index.at[j])
-                    a = i * STRIDE
-                    b = index.texts[item]
-                    mine, theirs = text[a : a + SIZE], b[at : at + SIZE]
-                    similarity = 1.0 if mine == theirs else weighted_similarity(mine, theirs)
-                    if similarity < similar:
-                        continue
-                    entry = best.setdefault(item, [0, 0.0, 0])
-                    entry[0] += 1
-                    entry[1] = max(entry[1], similarity)
-                    if mine != theirs:
-                        entry[2] = max(entry[2], shared_run(text, a, b, at, SIZE))
-                    elif a + SIZE > done.get((item, a - at), 0):  # not inside the run measured last; windows come in order
-                        begin, end = exact_run(text, a, b, at, SIZE)
-                        entry[2] = max(entry[2], end - begin)
-                        done[item, a - at] = end
-                out += [(key, index.keys[item], *e) for item, e in best.items()]
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.int32(), pa.float64(), pa.int32()))], names=["doc_key", "item_key", "windows", "similarity", "run"])
+                out += [(key, index.keys[item], *found) for item, *found in matches(normal(text), index, similar)]
+            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.float64(), pa.int32(), pa.float64())
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(kinds)], names=["doc_key", "item_key", "windows", "similarity", "run", "whole"])
 
     return run
