@@ -59,3 +59,14 @@ def test_dirty_sizes(spark):
 def test_equal_sizes(spark, n):
     rows = pack_items(frame(spark, [5] * n), "id", "n", 10).collect()
     assert len({r.container for r in rows}) <= n // 2 + 2
+
+
+def test_repeated_rows_are_items_of_their_own(spark):
+    df = spark.createDataFrame([(1, 10), (1, 10), (2, 25), (2, 25), (2, 25)] + [(3, 4)] * 900, "id long, n long")
+    rows = pack_items(df, "id", "n", 10, window=16).collect()
+    used = {}
+    for r in rows:
+        used[r.container] = used.get(r.container, 0) + r.size
+    assert max(used.values()) <= 10
+    assert sum(used.values()) == 20 + 75 + 3600
+    assert all(used[r.container] == r.used for r in rows)

@@ -26,7 +26,10 @@ WINDOW = 512
 #: Containers filled below this share go to the second round.
 LOOSE = 0.98
 
-PIECES = "item long, piece int, start long, stop long, size int"
+#: Windows that one task fills at most, where the session's number of shuffle partitions would give it more.
+TASK_WINDOWS = 2000
+
+PIECES = "row long, item long, piece int, start long, stop long, size int"
 
 
 def fill_window(sizes: list[int], capacity: int) -> list[int]:
@@ -73,9 +76,9 @@ def _fill(pieces: DataFrame, capacity: int, window: int, seed: int, name: str) -
     spark = pieces.sparkSession
     n = pieces.count()
     windows = max(1, -(-n // window))
-    tasks = max(1, min(windows, int(spark.conf.get("spark.sql.shuffle.partitions"))))
-    dealt = pieces.withColumn("_w", F.pmod(F.xxhash64("item", "piece", F.lit(seed)), F.lit(windows)))
-    dealt = dealt.repartition(tasks, "_w").sortWithinPartitions("_w", "item", "piece")
+    tasks = max(1, min(windows, int(spark.conf.get("spark.sql.shuffle.partitions"))), windows // TASK_WINDOWS)
+    dealt = pieces.withColumn("_w", F.pmod(F.xxhash64("row", "piece", F.lit(seed)), F.lit(windows)))
+    dealt = dealt.repartition(tasks, "_w").sortWithinPartitions("_w", "row", "piece")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rest = None
@@ -99,22 +102,24 @@ def _fill(pieces: DataFrame, capacity: int, window: int, seed: int, name: str) -
 
 
 def pack_items(df: DataFrame, key: str, size: str, capacity: int = CAPACITY, window: int = WINDOW, loose: float = LOOSE) -> DataFrame:
-    """One row per piece: `key`, piece (from 0), pieces, start, stop, size, container, used.
+    """One row per piece: `key`, piece (from 0), start, stop, size, container, used.
 
     `size` is the item's length; [start, stop) is the part of it in this container. Items within `capacity` are one
     piece. A null or negative size counts as 0 and an item of size 0 gets a row with no container (there is nothing to
-    store). Repeated rows are separate items; the row's own number keeps them apart. `key` must be BIGINT.
+    store). Repeated rows are separate items: rows are numbered once, in a checkpoint, and containers are named and
+    dealt by that number, so equal keys neither share a container by name nor crowd a window. `key` must be BIGINT.
     """
-    given = df.select(F.col(key).cast("long").alias("item"), F.greatest(F.coalesce(F.col(size).cast("long"), F.lit(0)), F.lit(0)).alias("total"))
+    total = F.greatest(F.coalesce(F.col(size).cast("long"), F.lit(0)), F.lit(0))
+    given = cut(df.select(F.monotonically_increasing_id().alias("row"), F.col(key).cast("long").alias("item"), total.alias("total")))
     cuts = F.when(F.col("total") > 0, F.sequence(F.lit(0), ((F.col("total") - 1) / capacity).cast("int"))).otherwise(F.array(F.lit(0)))
-    pieces = given.select("item", "total", F.explode(cuts).alias("piece"))
+    pieces = given.select("row", "item", "total", F.explode(cuts).alias("piece"))
     pieces = pieces.withColumn("start", F.col("piece").cast("long") * capacity).withColumn("stop", F.least("total", F.col("start") + capacity))
-    pieces = pieces.select("item", "piece", "start", "stop", (F.col("stop") - F.col("start")).cast("int").alias("size"))
-    whole = pieces.where(F.col("size") == capacity).select("*", F.col("size").alias("used"), F.concat(F.lit("full-"), F.col("item").cast("string"), F.lit("-"), F.col("piece").cast("string")).alias("container"))
+    pieces = pieces.select("row", "item", "piece", "start", "stop", (F.col("stop") - F.col("start")).cast("int").alias("size"))
+    whole = pieces.where(F.col("size") == capacity).select("*", F.col("size").alias("used"), F.concat(F.lit("full-"), F.col("row").cast("string"), F.lit("-"), F.col("piece").cast("string")).alias("container"))
     none = pieces.where(F.col("size") == 0).select("*", F.lit(0).alias("used"), F.lit(None).cast("string").alias("container"))
     open_ = pieces.where((F.col("size") > 0) & (F.col("size") < capacity))
     first = cut(_fill(open_, capacity, window, 1, "a"))
     tight = F.col("used") >= int(loose * capacity)
     second = _fill(first.where(~tight).drop("used", "container"), capacity, window, 2, "b")
     packed = first.where(tight).unionByName(second).unionByName(whole).unionByName(none)
-    return packed.withColumnRenamed("item", key)
+    return packed.drop("row").withColumnRenamed("item", key)
