@@ -61,3 +61,30 @@ dg AS (SELECT doc_id, substring(t, i, 40) AS g FROM (SELECT doc_id, t, unnest(ra
 eg AS (SELECT DISTINCT item_id, substring(t, i, 40) AS g FROM (SELECT item_id, t, unnest(range(1, length(t) - 38)) AS i FROM e))
 SELECT DISTINCT doc_id, item_id FROM dg JOIN eg USING (g)
 """
+
+ORACLE["p8_pieces"] = """
+WITH sizes AS (SELECT doc_id, octet_length(encode(coalesce(text, ''))) + 1 AS n FROM documents),
+pieces AS (SELECT doc_id, n, unnest(range(0, ((n - 1) // 4096) + 1)) AS piece FROM sizes)
+SELECT doc_id, piece::INTEGER AS piece, piece * 4096 AS token_start, least(n, piece * 4096 + 4096) AS token_stop, (least(n, piece * 4096 + 4096) - piece * 4096)::INTEGER AS size, TRUE AS within_capacity FROM pieces
+"""
+
+ORACLE["p9_runs"] = """
+WITH d AS (SELECT doc_id, regexp_replace(lower(text), '[^\\p{L}\\p{N}]', '', 'g') AS t FROM documents),
+e AS (SELECT item_id, regexp_replace(lower(text), '[^\\p{L}\\p{N}]', '', 'g') AS t FROM eval_items),
+dg AS (SELECT doc_id, i, substring(t, i, 40) AS g FROM (SELECT doc_id, t, unnest(range(1, length(t) - 38)) AS i FROM d)),
+eg AS (SELECT item_id, j, substring(t, j, 40) AS g FROM (SELECT item_id, t, unnest(range(1, length(t) - 38)) AS j FROM e)),
+met AS (SELECT doc_id, item_id, i, i - j AS diagonal FROM dg JOIN eg USING (g)),
+islands AS (SELECT *, i - row_number() OVER (PARTITION BY doc_id, item_id, diagonal ORDER BY i) AS island FROM met),
+runs AS (SELECT doc_id, item_id, count(*) + 39 AS run FROM islands GROUP BY doc_id, item_id, diagonal, island)
+SELECT doc_id, item_id, max(run)::INTEGER AS run FROM runs GROUP BY 1, 2
+"""
+
+ORACLE["p6_models"] = _P6.replace("WITH recs", "WITH RECURSIVE recs").rsplit("scored AS", 1)[0] + """
+grounds AS (SELECT term, sum(tf) / (SELECT sum(tf) FROM tfs)::DOUBLE AS bg FROM tfs GROUP BY 1),
+em AS (
+  SELECT 0 AS round, _id, term, tf::DOUBLE AS tf, bg, tf / sum(tf) OVER (PARTITION BY _id)::DOUBLE AS p, FALSE AS done FROM tfs JOIN grounds USING (term)
+  UNION ALL
+  SELECT round + 1, _id, term, tf, bg, CASE WHEN done THEN p ELSE fresh END, done OR max(abs(fresh - p)) OVER (PARTITION BY _id) < 1e-6::DOUBLE
+  FROM (SELECT *, e / sum(e) OVER (PARTITION BY _id) AS fresh FROM (SELECT *, tf * 0.1::DOUBLE * p / (0.1::DOUBLE * p + 0.9::DOUBLE * bg) AS e FROM em WHERE round < 50)))
+SELECT _id AS news_id, term, round(p, 6) AS p FROM em WHERE round = 50
+"""

@@ -33,19 +33,31 @@ TERMS = "key long, term string, tf int, df long, p double, weight double"
 
 
 def fit(tf: np.ndarray, bg: np.ndarray, starts: np.ndarray, mix: float = MIX, rounds: int = ROUNDS, eps: float = EPS) -> np.ndarray:
-    """Converged p of every term; `starts` are the offsets of the records in the flat arrays (none empty)."""
+    """Converged p of every term; `starts` are the offsets of the records in the flat arrays (none empty).
+
+    Each record stops by itself, once its own largest move is below `eps`, so its model doesn't depend on which records
+    are worked together.
+    """
     lengths = np.diff(np.append(starts, len(tf)))
     p = tf / np.repeat(np.add.reduceat(tf, starts), lengths)
-    floor = (1.0 - mix) * bg
+    out = np.empty_like(p)
+    at, floor = np.arange(len(tf)), (1.0 - mix) * bg
     for _ in range(rounds):
         own = mix * p
         e = tf * own / (own + floor)
         new = e / np.repeat(np.maximum(np.add.reduceat(e, starts), 1e-300), lengths)
-        moved = np.abs(new - p).max()
+        moving = np.maximum.reduceat(np.abs(new - p), starts) >= eps
         p = new
-        if moved < eps:
-            break
-    return p
+        if moving.all():
+            continue
+        still = np.repeat(moving, lengths)
+        out[at[~still]] = p[~still]
+        at, tf, floor, p, lengths = at[still], tf[still], floor[still], p[still], lengths[moving]
+        if not len(at):
+            return out
+        starts = np.cumsum(lengths) - lengths
+    out[at] = p
+    return out
 
 
 def background(records: DataFrame, texts: list[str]) -> DataFrame:

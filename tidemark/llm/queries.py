@@ -96,7 +96,7 @@ def p6_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p6_models(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every term with its converged share of the record's own model."""
     terms = distinctive_terms(read_table(spark, sf_dir, "stored_news"), "_id", ["headline", "short_description"])
-    return terms.selectExpr("_id AS news_id", "term", "p")
+    return terms.selectExpr("_id AS news_id", "term", "round(p, 6) AS p")
 
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -127,6 +127,23 @@ def p8_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _p8(spark, sf_dir).withColumnRenamed("start", "token_start").withColumnRenamed("stop", "token_stop")
 
 
+def p8_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pieces of every document and the fill of their containers as figures: full, more than full, or neither."""
+    rows = _p8(spark, sf_dir)
+    sums = rows.where("container is not null").groupBy("container").agg(F.sum("size").alias("content"), F.max("used").alias("used"))
+    checked = rows.join(sums.select("container", "content"), "container", "left")
+    sound = (F.col("content") <= CAPACITY) & (F.col("content") == F.col("used"))
+    return checked.select("doc_id", "piece", F.col("start").alias("token_start"), F.col("stop").alias("token_stop"), "size", sound.alias("within_capacity"))
+
+
+def p8_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row: containers used, the fewest there could be, tokens, and the share of the room that is filled."""
+    rows = _p8(spark, sf_dir).where("container is not null")
+    one = rows.agg(F.count_distinct("container").alias("containers"), F.sum("size").alias("tokens"))
+    fewest = F.ceil(F.col("tokens") / CAPACITY).cast("bigint")
+    return one.select("containers", fewest.alias("fewest"), "tokens", F.round(F.col("tokens") / (F.col("containers") * CAPACITY), 6).alias("filled"))
+
+
 def _p9(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, items = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "eval_items")
     return leaks(docs, "doc_id", "text", items, "item_id", "text")
@@ -137,8 +154,13 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _p9(spark, sf_dir).where(f"run >= {RUN}").select("doc_id", "item_id")
 
 
+def p9_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The longest common run of each document and item that share at least 40 letters or digits."""
+    return _p9(spark, sf_dir).where(f"run >= {RUN}").select("doc_id", "item_id", "run")
+
+
 def p9_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document and item with a similar window: matched windows, best similarity, longest run."""
+    """Every document and item with a similar window: matched windows, best similarity, longest run, similarity of the whole item."""
     return _p9(spark, sf_dir)
 
 
@@ -163,7 +185,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p7_neighbours": p7_neighbours,
     "p8_found": p8_found,
     "p8_containers": p8_containers,
+    "p8_pieces": p8_pieces,
+    "p8_fill": p8_fill,
     "p9_found": p9_found,
+    "p9_runs": p9_runs,
     "p9_leaks": p9_leaks,
     "p10_found": p10_found,
 }

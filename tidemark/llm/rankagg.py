@@ -55,14 +55,14 @@ def _numbered(rows: DataFrame, group: str, order: list[Column], tasks: int) -> D
 
 def places(rows: DataFrame, group: str, order: list[Column], hot_group: int = HOT_GROUP) -> DataFrame:
     """`rows` with `place` (BIGINT from 1 within `group` by `order`); groups above `hot_group` rows are spread."""
-    sizes = rows.groupBy(group).count()
-    hot = [r[0] for r in sizes.where(F.col("count") > hot_group).select(group).collect()]  # at most rows / hot_group values
+    hot = rows.groupBy(group).count().where(F.col("count") > hot_group).select(group)
     window = Window.partitionBy(group).orderBy(*order)
-    if not hot:
+    if hot.isEmpty():
         return rows.withColumn("place", F.row_number().over(window).cast("bigint"))
+    hot = cut(hot)  # at most rows / hot_group rows, and no more than that is ever joined
     tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    mild = rows.where(~F.col(group).isin(hot) | F.col(group).isNull()).withColumn("place", F.row_number().over(window).cast("bigint"))
-    return mild.unionByName(_numbered(rows.where(F.col(group).isin(hot)), group, order, tasks))
+    mild = rows.join(hot, group, "left_anti").withColumn("place", F.row_number().over(window).cast("bigint"))
+    return mild.unionByName(_numbered(rows.join(hot, group, "left_semi"), group, order, tasks))
 
 
 def beta_tail(k: int, m: int, r: Column) -> Column:
@@ -82,7 +82,7 @@ def aggregate_ranks(df: DataFrame, group: str, item: str, scores: list[str], con
     once = once.where("_g is not null and _i is not null").groupBy("_g", "_i").agg(*[F.max(f"_s{n}").alias(f"_s{n}") for n in range(len(scores))])
     m = len(scores)
     sizes = once.groupBy("_g").agg(*[F.count(f"_s{n}").alias(f"_n{n}") for n in range(m)], F.count("*").alias("_all"))
-    hot = [r[0] for r in sizes.where(F.col("_all") > hot_group).select("_g").collect()]  # at most rows / hot_group values
+    hot = not sizes.where(F.col("_all") > hot_group).isEmpty()
     if not hot:
         w = Window.partitionBy("_g")
         for n in range(m):

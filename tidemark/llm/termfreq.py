@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import os
 import re
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 
@@ -31,7 +32,7 @@ FLUSH = 400_000
 FIRST_BITS, MORE_BITS = 5, 4
 #: Partial rows in a leaf; about 100 bytes each in DuckDB.
 LEAF_ROWS = 2_000_000
-LEAF_MEMORY = "256MB"
+LEAF_MEMORY, UNSPILLED_MEMORY = "256MB", "1GB"
 
 PARTIAL = "field_name string, term string, n long, n_records long"
 #: Under this field name the number of records travels with the counts.
@@ -136,9 +137,11 @@ def merge_counts(partial: DataFrame, first_bits: int = FIRST_BITS, more_bits: in
         def merge() -> Iterator[pa.RecordBatch]:
             if not held:
                 return
-            con = duckdb.connect(config={"memory_limit": LEAF_MEMORY, "threads": 1} | ({"temp_directory": os.path.join(folder, "duckdb")} if folder else {}))
+            # each leaf has a folder of its own to spill to; without a mounted one a leaf, which is bounded, stays in memory
+            room = {"memory_limit": LEAF_MEMORY, "temp_directory": os.path.join(folder, "duckdb", uuid.uuid4().hex)} if folder else {"memory_limit": UNSPILLED_MEMORY, "temp_directory": ""}
+            con = duckdb.connect(config={"threads": 1} | room)
             part = pa.Table.from_batches(held)  # noqa: F841 (read by name below)
-            got = con.execute("SELECT field_name, term, sum(n)::BIGINT AS n, sum(n_records)::BIGINT AS n_records FROM part GROUP BY ALL").to_arrow_table()
+            got = con.sql("SELECT field_name, term, sum(n)::BIGINT AS n, sum(n_records)::BIGINT AS n_records FROM part GROUP BY ALL").to_arrow_table()
             con.close()
             held.clear()
             yield from got.to_batches()
