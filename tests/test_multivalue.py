@@ -1,3 +1,5 @@
+import time
+
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -49,6 +51,20 @@ def test_any_text_is_read_to_its_end(text):
     assert all(v == v.strip() and v for v, _ in parse_values(text))
 
 
+@pytest.mark.parametrize("piece", ["'a,", "(a,", '"a""', '"x"",', "a   ", "[", "'a''", "x" + " " * 50])
+def test_long_malformed_fields_take_linear_time(piece):
+    text = piece * 40_000
+    start = time.monotonic()
+    assert len(parse_values(text + ",z")) >= 1
+    assert time.monotonic() - start < 5
+
+
+def test_no_packed_field_is_passed_over(spark):
+    rows = [(1, "Ann Lee\u00a0and\u00a0Bob Ray"), (2, "a\x1cand\x1cb"), (3, "c\u2003WITH\u2003d"), (4, "Sandy Andrews")]
+    found = packed_values(spark.createDataFrame(rows, "id long, who string"), "id", "who")
+    assert sorted((r.id, r.item) for r in found.collect()) == [(1, "Ann Lee"), (1, "Bob Ray"), (2, "a"), (2, "b"), (3, "c"), (3, "d")]
+
+
 def test_rows(spark):
     rows = [(1, "a, b", "x"), (1, "a, b", "x"), (2, None, "x"), (3, "", "x"), (4, "c", "x"), (5, " ; ", "x"), (6, "d and " * 20000 + "e", "x")]
     df = spark.createDataFrame(rows, "id long, who string, item string")

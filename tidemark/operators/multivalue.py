@@ -38,39 +38,71 @@ BRACKETS = {"[": "]", "(": ")", "{": "}"}
 
 _WORD = "(?:" + "|".join(f"{w}|{w.upper()}" for w in WORDS) + ")"
 _MARK = f"[{re.escape(MARKS)}]"
-_STOP = re.compile(rf"\s*(?:$|{_MARK})|\s+{_WORD}(?=\s|$)")
-_GAP = re.compile(rf"(?:\s|{_MARK}|{_WORD}(?=\s|$))*")
-_DQUOTED = re.compile(r'"((?:[^"\\]|\\.|"")*)"', re.S)
-_SQUOTED_END = re.compile(rf"'(?=\s*(?:$|{_MARK})|\s+{_WORD}(?=\s|$))")
-_BARE = re.compile(rf"(?:(?!\s*(?:$|{_MARK})|\s+{_WORD}(?:\s|$)).)+", re.S)
+# every run of blanks is read from its start and at once, so long runs are read once
+_BLANK = r"[^\S\n\r]"
+_STOP = re.compile(rf"{_BLANK}*+(?:\Z|{_MARK})|{_BLANK}++{_WORD}(?=\s|\Z)")
+_NEXT_STOP = re.compile(rf"(?<!{_BLANK})(?:{_BLANK}*+(?:\Z|{_MARK})|{_BLANK}++{_WORD}(?=\s|\Z))")
+_GAP = re.compile(rf"(?:\s|{_MARK}|{_WORD}(?=\s|\Z))*+")
+_DQUOTED = re.compile(r'"((?:[^"\\]|\\.|"")*+)"', re.S)
 #: A field of this shape holds one bare value; most fields do, and need no grammar.
 _PLAIN = re.compile(rf"[^\s{re.escape(MARKS)}\"'\[({{][^{re.escape(MARKS)}\"\[({{]*")
 _HAS_WORD = re.compile(rf"(?:^|\s){_WORD}(?=\s|$)")
 
 
-def _quoted(text: str, at: int) -> tuple[str, int] | None:
+class _Field:
+    """What parsing one field remembers: results of the alternatives that look far ahead, so that a field full of
+    openers that never close is still read in linear time."""
+
+    def __init__(self, text: str) -> None:
+        self.text = text
+        self._single: dict[int, int] = {}
+        self._brackets: dict[int, int] | None = None
+
+    def single_end(self, at: int) -> int:
+        """Where the closing mark of a single-quoted value stands whose text begins at `at`, or -1."""
+        text, known, path = self.text, self._single, []
+        while at not in known:
+            path.append(at)
+            if at >= len(text):
+                known[at] = -1
+            elif text[at] == "\\" and at + 1 < len(text) or text.startswith("''", at):
+                at += 2
+            elif text[at] == "'" and _STOP.match(text, at + 1):
+                known[at] = at
+            else:
+                at += 1
+        for p in path:
+            known[p] = known[at]
+        return known[at]
+
+    def bracket_end(self, at: int) -> int:
+        """Where the bracket that opens at `at` is closed, or -1."""
+        if self._brackets is None:
+            self._brackets, open_ = {}, []
+            for i, ch in enumerate(self.text):
+                if ch in BRACKETS:
+                    open_.append(i)
+                elif open_ and ch == BRACKETS[self.text[open_[-1]]]:
+                    self._brackets[open_.pop()] = i
+        return self._brackets.get(at, -1)
+
+
+def _quoted(field: _Field, at: int) -> tuple[str, int] | None:
+    text = field.text
     if text[at] == '"':
         m = _DQUOTED.match(text, at)
         if m and _STOP.match(text, m.end()):
             return re.sub(r'\\(.)|""', lambda q: q.group(1) or '"', m.group(1), flags=re.S), m.end()
         return None
-    m = _SQUOTED_END.search(text, at + 1)
-    if not m:
+    end = field.single_end(at + 1)
+    if end < 0:
         return None
-    return re.sub(r"\\(.)|''", lambda q: q.group(1) or "'", text[at + 1 : m.start()], flags=re.S), m.end()
+    return re.sub(r"\\(.)|''", lambda q: q.group(1) or "'", text[at + 1 : end], flags=re.S), end + 1
 
 
-def _bracketed(text: str, at: int) -> tuple[str, int] | None:
-    want: list[str] = []
-    for i in range(at, len(text)):
-        ch = text[i]
-        if ch in BRACKETS:
-            want.append(BRACKETS[ch])
-        elif want and ch == want[-1]:
-            want.pop()
-            if not want:
-                return (text[at + 1 : i], i + 1) if _STOP.match(text, i + 1) else None
-    return None
+def _bracketed(field: _Field, at: int) -> tuple[str, int] | None:
+    end = field.bracket_end(at)
+    return (field.text[at + 1 : end], end + 1) if end >= 0 and _STOP.match(field.text, end + 1) else None
 
 
 def parse_values(text: str) -> list[tuple[str, str]]:
@@ -79,18 +111,19 @@ def parse_values(text: str) -> list[tuple[str, str]]:
         value = text.strip()
         return [(value, "")] if value else []
     out: list[tuple[str, str]] = []
+    field = _Field(text)
     at = _GAP.match(text).end()
     while at < len(text):
         ch, flag, got = text[at], "", None
         if ch in "\"'":
-            got = _quoted(text, at)
+            got = _quoted(field, at)
             flag = "" if got else "malformed_quote"
         elif ch in BRACKETS:
-            got = _bracketed(text, at)
+            got = _bracketed(field, at)
             flag = "" if got else "malformed_bracket"
         if got is None:
-            m = _BARE.match(text, at)
-            got = (m.group(), m.end())
+            end = _NEXT_STOP.search(text, at + 1).start()
+            got = (text[at:end], end)
         value = got[0].strip()
         if value:
             out.append((value, flag))
@@ -139,8 +172,9 @@ def split_values(df: DataFrame, key: str, column: str) -> DataFrame:
     return rows.mapInArrow(run, schema).withColumnRenamed("key", key)
 
 
-#: A field without any of these holds one value at most; Spark skips it before the rows reach Python.
-_MAY_PACK = r"[,;|/&\n\r]|\s(and|AND|with|WITH)\s"
+#: A field without any of these holds one value at most; Spark skips it before the rows reach Python. No blanks are
+#: asked for around the words, as the JVM and Python differ in what a blank is.
+_MAY_PACK = "|".join([f"[{MARKS}]", *(v for w in WORDS for v in (w, w.upper()))])
 
 
 def packed_values(df: DataFrame, key: str, column: str) -> DataFrame:
