@@ -45,7 +45,7 @@ def test_tokens(spark):
 
 
 def test_compatible_folding(spark):
-    rows = build_index(docs(spark, {1: "ﬁne ＡＢＣ", 2: "café", 3: "cafe\u0301"}), compatible=True)
+    rows = build_index(docs(spark, {1: "ﬁne ＡＢＣ", 2: "café", 3: "cafe\u0301"}))
     words = {r.doc_id: r.tokens for r in rows.tokens.collect()}
     assert words[1] == ["fine", "abc"] and words[2] == words[3]
 
@@ -86,7 +86,7 @@ def test_blocks(spark):
 
 def test_hot_terms_get_the_same_blocks(spark):
     i = index(spark, {d: "cat " * (1 + d % 5) for d in range(1, 300, 3)}, 8)
-    rows = i.term_counts.join(i.doc_stats, "doc_id")
+    rows = i.term_counts
     assert sorted(map(tuple, posting_blocks(rows, 8, hot=40).collect())) == sorted(map(tuple, posting_blocks(rows, 8).collect()))
 
 
@@ -237,7 +237,7 @@ def test_save_load_validate(spark, tmp_path):
         assert sorted(map(str, mine.select(*sorted(mine.columns)).collect())) == sorted(map(str, theirs.select(*sorted(mine.columns)).collect()))
     assert [tuple(r) for r in ranking.search(i, "cat dog", 6).collect()] == [tuple(r) for r in ranking.search(loaded, "cat dog", 6).collect()]
     second = index(spark, TINY).save(at)
-    assert first != second and Index.load(spark, at).corpus.first().n == 4
+    assert first != second and Index.load(spark, at, validate=True).corpus.first().n == 4
     # a damaged table is refused
     version = f"{at}/{second}"
     spark.read.parquet(f"{version}/terms").selectExpr("term", "df + 1 AS df", "max_tf").coalesce(1).write.parquet(f"{version}/terms2")
@@ -245,8 +245,9 @@ def test_save_load_validate(spark, tmp_path):
 
     shutil.rmtree(f"{tmp_path}/index/{second}/terms")
     shutil.move(f"{tmp_path}/index/{second}/terms2", f"{tmp_path}/index/{second}/terms")
+    assert Index.load(spark, at).saved
     with pytest.raises(InvalidIndex, match="term statistics"):
-        Index.load(spark, at)
+        Index.load(spark, at, validate=True)
     with pytest.raises(InvalidIndex, match="no readable index"):
         Index.load(spark, f"file://{tmp_path}/nothing")
 
@@ -281,3 +282,85 @@ def test_requests(spark):
     for bad in (dict(query=" "), dict(query="x", limit=0), dict(query="x", limit=101), dict(query="x", limit=True), dict(query="x", mode="ALL"), dict(query="x", mode="SEMANTIC")):
         with pytest.raises(RequestError):
             engine.request(**bad)
+
+
+def generated(spark, n=400):
+    return index(spark, {d: " ".join(["common"] * (1 + d % 3) + ["seldom"] * (d % 11 == 0) + ["rare"] * (d % 37 == 0) * (1 + d % 2) + ["filler"] * (d % 7)) for d in range(1, n)}, 16)
+
+
+@pytest.mark.parametrize("model", list(Ranking))
+@pytest.mark.parametrize("by_block", [False, True])
+def test_pruning_reads_postings_and_blocks_and_changes_nothing(spark, tmp_path, model, by_block):
+    generated(spark).save(f"file://{tmp_path}/g")
+    i = Index.load(spark, f"file://{tmp_path}/g", validate=True)
+    for k in (1, 3, 10):
+        want = [tuple(r) for r in ranking.top(ranking.score(i, ["common", "seldom", "rare"], model), k).collect()]
+        got = ranking.top(ranking.pruned(i, ["common", "seldom", "rare"], k, model, by_block, prune_from=0), k)
+        assert [tuple(r) for r in got.collect()] == want
+
+
+def test_queries_on_a_saved_index_read_the_postings_of_their_terms_only(spark, tmp_path):
+    generated(spark).save(f"file://{tmp_path}/g")
+    i = Index.load(spark, f"file://{tmp_path}/g")
+    for df in (
+        ranking.search(i, "seldom rare", 5),
+        ranking.search(i, '"seldom rare" OR filler', 5),
+        boolean.evaluate(i, parse("seldom AND rare")),
+        boolean.evaluate(i, parse('"common rare"')),
+        ranking.search_phrase(i, "common filler", 3),
+    ):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "tokens" not in plan and plan.count("FileScan") == plan.count("In(term")
+
+
+def test_an_own_model(spark):
+    i = index(spark, MIXED).persist()
+    coordination = ranking.Model(lambda idf, tf, dl, avgdl: tf * 0.0 + 1.0, lambda n, df: 1.0)
+    found = {r.doc_id: r.score for r in ranking.score(i, ["cat", "dog"], coordination).collect()}
+    assert found == {1: 2.0, 2: 1.0, 3: 1.0, 4: 1.0, 5: 2.0}
+    many = spark.createDataFrame([(7, ["cat", "dog"])], "query_id long, terms array<string>")
+    assert [(r.doc_id, r.score) for r in ranking.search_many(i, many, 2, coordination).orderBy("rank").collect()] == [(1, 2.0), (5, 2.0)]
+    assert ranked(ranking.search(i, "cat dog", 2, coordination, Strategy.WAND)) == [1, 5]
+    i.unpersist()
+
+
+def test_batches_over_postings_and_over_tokens_agree(spark, monkeypatch):
+    held, plain = generated(spark).persist(), generated(spark)
+    rows = [(q, [["common", "rare"], ["seldom"], ["rare", "seldom", "filler"]][q % 3]) for q in range(7)]
+    queries = spark.createDataFrame(rows, "query_id long, terms array<string>")
+    want = sorted(map(tuple, ranking.search_many(plain, queries, 6).collect()))
+    for cost in (0, 1e9):
+        monkeypatch.setattr(ranking, "POSTING_COST", cost)
+        assert sorted(map(tuple, ranking.search_many(held, queries, 6).collect())) == want
+    monkeypatch.setattr(ranking, "POSTING_COST", 0)
+    monkeypatch.setattr(ranking, "NAMED_TERMS", 1)
+    assert sorted(map(tuple, ranking.search_many(held, queries, 6).collect())) == want
+    held.unpersist()
+
+
+def test_one_folding_for_documents_and_queries(spark, tmp_path):
+    i = index(spark, {1: "ﬁne ＡＢＣ", 2: "café", 3: "café", 4: "towar­ds ½"})
+    assert ranked(ranking.search(i, "fine", 5)) == ranked(ranking.search(i, "ﬁne", 5)) == [1]
+    assert ranked(ranking.search(i, "CAFÉ", 5)) == [2, 3] and ranked(ranking.search(i, "towards", 5)) == [4]
+    i.save(f"file://{tmp_path}/f")
+    pointer = tmp_path / "f" / "CURRENT"
+    pointer.write_text(pointer.read_text().replace("nfkc_casefold", "lower"))
+    for crc in (tmp_path / "f").glob(".CURRENT*"):
+        crc.unlink()
+    with pytest.raises(InvalidIndex, match="folded"):
+        Index.load(spark, f"file://{tmp_path}/f")
+
+
+def test_not_is_refused_where_ids_are_hashed(spark):
+    i = index(spark, {1: "cat", 1 << 62: "dog"})
+    with pytest.raises(QueryError, match="number the documents"):
+        boolean.evaluate(i, parse("NOT cat"))
+    assert ids(boolean.evaluate(i, parse("dog AND NOT cat"))) == [1 << 62]
+
+
+def test_old_versions_are_removed_on_request(spark, tmp_path):
+    at = f"file://{tmp_path}/v"
+    for n in range(3):
+        index(spark, {1: f"word{n}"}).save(at, keep=2)
+    assert len([p for p in (tmp_path / "v").iterdir() if p.is_dir()]) == 2
+    assert ids(boolean.evaluate(Index.load(spark, at), parse("word2"))) == [1]

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from .operators import boolean, fusion, ranking, vector
 from .operators.index import BLOCK_SIZE, Index, InvalidIndex, build_index, check_unique
-from .operators.ranking import Ranking, Strategy
+from .operators.ranking import Model, Ranking, Strategy
 from .plans.query import parse
 
 MODES = ("HYBRID", "LEXICAL", "SEMANTIC")
@@ -56,14 +56,15 @@ class SearchEngine:
             self._final = True
         return self
 
-    def save(self, folder: str) -> str:
-        return self.index.save(folder)
+    def save(self, folder: str, keep: int | None = None) -> str:
+        return self.index.save(folder, keep)
 
-    def load(self, folder: str) -> SearchEngine:
-        """Take over a saved index, which is validated first; a failure leaves the engine as it was."""
+    def load(self, folder: str, validate: bool = False) -> SearchEngine:
+        """Take over a saved index, whose tables are checked first (all invariants with `validate`); a failure leaves
+        the engine as it was."""
         if self._final:
             raise InvalidIndex("the index is final")
-        self._index = Index.load(self.spark, folder)
+        self._index = Index.load(self.spark, folder, validate)
         self._final = True
         return self
 
@@ -71,13 +72,13 @@ class SearchEngine:
         """doc_id of a Boolean query; words without an operator between them are joined by AND."""
         return boolean.evaluate(self.index, parse(query))
 
-    def search(self, query: str, k: int = 10, ranking_model: Ranking = Ranking.BM25, strategy: Strategy = Strategy.TOP_K) -> DataFrame:
+    def search(self, query: str, k: int = 10, ranking_model: Ranking | Model = Ranking.BM25, strategy: Strategy = Strategy.TOP_K) -> DataFrame:
         return ranking.search(self.index, query, k, ranking_model, strategy)
 
     def search_phrase(self, text: str, k: int = 10) -> DataFrame:
         return ranking.search_phrase(self.index, text, k)
 
-    def explain(self, query: str, doc_id: int, ranking_model: Ranking = Ranking.BM25) -> DataFrame:
+    def explain(self, query: str, doc_id: int, ranking_model: Ranking | Model = Ranking.BM25) -> DataFrame:
         return ranking.explain(self.index, query, doc_id, ranking_model)
 
     def stats(self, query: str) -> DataFrame:

@@ -29,29 +29,49 @@ _WORD = regex.compile(WORD)
 _IGNORABLE = regex.compile(r"\p{Default_Ignorable_Code_Point}+")
 
 
-def fold(text: Column) -> Column:
-    """Lower case with sharp s written out; null counts as empty."""
-    return F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), "ß", "ss")
+def full_fold(text: str) -> str:
+    """Compatibility folding: NFKC with case folding, ignorable characters dropped."""
+    return _IGNORABLE.sub("", unicodedata.normalize("NFKC", unicodedata.normalize("NFKC", text).casefold()))
+
+
+def _plain_class() -> str:
+    """The characters of common scripts that the JVM's lower case folds fully, as a character class: letters and marks
+    that stand alone, neither combine with a neighbour nor have a compatibility form."""
+    blocks = [(0x00, 0x250), (0x400, 0x482), (0x48A, 0x530), (0x531, 0x557), (0x5D0, 0x5EB), (0x620, 0x64B), (0x660, 0x66E), (0x2010, 0x2017), (0x2018, 0x2024)]
+    blocks += [(0x3001, 0x3004), (0x3008, 0x3012), (0x3041, 0x3097), (0x30A1, 0x30FB), (0x4E00, 0x9FFD)]
+    plain = [c for low, high in blocks for c in range(low, high) if full_fold(chr(c)) == chr(c).lower().replace("ß", "ss")]
+    ends = [c for c, before in zip(plain, [-2, *plain], strict=False) if c != before + 1], [c for c, after in zip(plain, [*plain[1:], -1], strict=True) if after != c + 1]
+    return "".join(f"\\x{{{low:x}}}-\\x{{{high:x}}}" for low, high in zip(*ends, strict=True))
+
+
+_PLAIN = f"^[{_plain_class()}]*$"
 
 
 @F.pandas_udf(T.StringType())
 def nfkc_casefold(text: pd.Series) -> pd.Series:
-    """Full compatibility folding (NFKC, case folding, ignorable characters dropped), in Arrow batches."""
-    return text.map(lambda x: _IGNORABLE.sub("", unicodedata.normalize("NFKC", unicodedata.normalize("NFKC", x).casefold())) if x is not None else "")
+    """`full_fold` in Arrow batches; null stays null."""
+    return text.map(full_fold, na_action="ignore")
 
 
-def tokens(text: Column, compatible: bool = False) -> Column:
-    """The words of `text` in order, folded; a word's place in the array is its position.
+def fold(text: Column) -> Column:
+    """Compatibility folding (NFKC, case folding, ignorable characters dropped); null counts as empty.
 
-    With `compatible` the text is folded by `nfkc_casefold` first, for ligatures, full-width forms and the like.
+    Texts made of plain characters only are folded in the JVM; the others alone reach Python.
     """
-    folded = nfkc_casefold(F.coalesce(text, F.lit(""))) if compatible else fold(text)
-    return F.regexp_extract_all(folded, F.lit(WORD), F.lit(0))
+    given = F.coalesce(text, F.lit(""))
+    plain = given.rlike(_PLAIN)
+    lower = F.regexp_replace(F.lower(given), "ß", "ss")
+    return F.coalesce(nfkc_casefold(F.when(~plain, given)), lower)
+
+
+def tokens(text: Column) -> Column:
+    """The words of `text` in order, folded; a word's place in the array is its position."""
+    return F.regexp_extract_all(fold(text), F.lit(WORD), F.lit(0))
 
 
 def tokenise(text: str) -> list[str]:
     """`tokens` for a string on the driver (query text)."""
-    return _WORD.findall(text.lower().replace("ß", "ss"))
+    return _WORD.findall(full_fold(text))
 
 
 def normal_term(text: str) -> str | None:

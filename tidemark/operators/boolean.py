@@ -1,50 +1,66 @@
-"""Boolean and phrase retrieval: a query tree compiled to one condition on a document's tokens.
+"""Boolean and phrase retrieval: a query tree compiled to one condition on the gathered postings of its terms.
 
-A tree needs one pass over `tokens` and no shuffle. The set operators at the end do the same on sets of documents,
-for callers that hold such sets.
+`Index.gathered` gives a row per document that holds any term of the tree, with the terms' frequencies and, for
+phrases, their positions; the tree is a condition on that row. Documents that hold none of the terms all fare alike,
+so they are never read: where NOT lets them match, the result is the universe without the rows that fail. The set
+operators at the end do the same on sets of documents, for callers that hold such sets.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import normal_term, tokenise
-from ..plans.query import Kind, Node
+from ..plans.query import Kind, Node, QueryError, leaves
 from .index import Index
 
+#: NOT lists the ids from 1 to the largest, also those without a document; it is refused where the largest id exceeds
+#: this many times the number of documents (and a million), as with hashed ids.
+SPARSE = 1000
 
-def has_term(term: str, tokens: str = "tokens") -> Column:
-    return F.array_contains(tokens, term)
 
+def tree_terms(node: Node) -> tuple[list[str], list[str]]:
+    """The terms of all leaves, each once, and those of them that stand in phrases of several words."""
+    every: dict[str, None] = {}
+    placed: dict[str, None] = {}
+    for leaf in leaves(node):
+        words = tokenise(leaf.text) if leaf.kind is Kind.PHRASE else [t] if (t := normal_term(leaf.text)) is not None else []
+        every.update(dict.fromkeys(words))
+        if len(words) > 1:
+            placed.update(dict.fromkeys(words))
+    return list(every), list(placed)
 
-def has_phrase(terms: list[str], tokens: str = "tokens") -> Column:
-    """The terms stand one after the other; one term is a presence test, none is never true."""
-    if not terms:
+
+def has_phrase(words: list[str], terms: list[str]) -> Column:
+    """The words stand one after the other in a gathered row of `terms`; one word is a presence test, none is never true."""
+    if not words:
         return F.lit(False)
-    if len(terms) == 1:
-        return has_term(terms[0], tokens)
-    want, words = F.array(*map(F.lit, terms)), F.col(tokens)
-    n = len(terms)
-    starts = F.sequence(F.lit(1), F.size(words) - n + 1)
-    run = F.exists(starts, lambda i: (F.get(words, i - 1) == terms[0]) & (F.slice(words, i, n) == want))
-    present = F.lit(True)
-    for t in dict.fromkeys(terms):  # cheap tests first
-        present = present & has_term(t, tokens)
-    return present & F.when(F.size(words) >= n, run).otherwise(False)
+    at = [terms.index(w) for w in words]
+    present = reduce(lambda x, y: x & y, [F.col(f"tf{i}") > 0 for i in dict.fromkeys(at)])
+    if len(words) == 1:
+        return present
+
+    def starts(i: int, offset: int) -> Column:
+        return F.transform(f"p{i}", lambda p: p - offset)
 
+    met = reduce(F.array_intersect, [starts(i, offset) for offset, i in enumerate(at)])
+    return present & F.coalesce(F.size(met) > 0, F.lit(False))
 
-def condition(node: Node) -> Column:
-    """The tree as a condition on (doc_id, tokens).
+
+def condition(node: Node, terms: list[str]) -> Column:
+    """The tree as a condition on a gathered row of `terms`.
 
     A word that is not exactly one term matches nothing. NOT ranges over the ids 1, 2, ... only.
     """
     if node.kind is Kind.TERM:
         t = normal_term(node.text)
-        return has_term(t) if t is not None else F.lit(False)
+        return F.col(f"tf{terms.index(t)}") > 0 if t is not None else F.lit(False)
     if node.kind is Kind.PHRASE:
-        return has_phrase(tokenise(node.text))
-    parts = [condition(p) for p in node.parts]
+        return has_phrase(tokenise(node.text), terms)
+    parts = [condition(p, terms) for p in node.parts]
     if node.kind is Kind.AND:
         return parts[0] & parts[1]
     if node.kind is Kind.OR:
@@ -53,30 +69,50 @@ def condition(node: Node) -> Column:
 
 
 def holds_for_nothing(node: Node) -> bool:
-    """Whether an id without a document (above 0) is in the result."""
+    """Whether an id (above 0) without any term of the tree is in the result."""
     if node.kind in (Kind.TERM, Kind.PHRASE):
         return False
     parts = [holds_for_nothing(p) for p in node.parts]
     return all(parts) if node.kind is Kind.AND else any(parts) if node.kind is Kind.OR else not parts[0]
 
 
+def universe(index: Index) -> DataFrame:
+    """The ids 1 to the largest; QueryError where they are too sparse to list."""
+    whole = index.whole
+    if whole.max_doc_id > max(SPARSE * whole.n, 1_000_000):
+        raise QueryError(f"NOT would list {whole.max_doc_id} ids for {whole.n} documents; number the documents first")
+    return index.spark.range(1, whole.max_doc_id + 1).withColumnRenamed("id", "doc_id")
+
+
 def evaluate(index: Index, node: Node) -> DataFrame:
     """doc_id of the documents a tree matches; NOT takes the ids 1 to the largest, also where no document has one."""
-    found = index.tokens.where(condition(node)).select("doc_id")
-    if not holds_for_nothing(node):
-        return found
-    top = index.size.first()["max_doc_id"]
-    gaps = index.spark.range(1, top + 1).withColumnRenamed("id", "doc_id").join(index.tokens.select("doc_id"), "doc_id", "left_anti")
-    return found.unionByName(gaps)
+    terms, placed = tree_terms(node)
+    everywhere = holds_for_nothing(node)
+    if not terms:
+        return universe(index) if everywhere else index.tokens.where("false").select("doc_id")
+    rows = index.gathered(terms, placed)
+    test = condition(node, terms)
+    if not everywhere:
+        return rows.where(test).select("doc_id")
+    # a row of id 0 matches by its terms alone, a row above it fails by them
+    split = rows.select("doc_id", test.alias("holds"))
+    failing = split.where("doc_id >= 1 and not holds").select("doc_id")
+    return universe(index).join(failing, "doc_id", "left_anti").unionByName(split.where("doc_id < 1 and holds").select("doc_id"))
 
 
 def phrase_documents(index: Index, terms: list[str]) -> DataFrame:
-    return index.tokens.where(has_phrase(terms)).select("doc_id")
+    """Documents with the terms (as they are) one after the other."""
+    each = list(dict.fromkeys(terms))
+    if not each:
+        return index.tokens.where("false").select("doc_id")
+    return index.gathered(each, each if len(terms) > 1 else ()).where(has_phrase(terms, each)).select("doc_id")
 
 
 def term_documents(index: Index, term: str) -> DataFrame:
     """Documents with exactly this term (not normalised)."""
-    return index.tokens.where(has_term(term)).select("doc_id")
+    if index.inverted:
+        return index.postings.where(F.col("term") == term).select("doc_id")
+    return index.tokens.where(F.array_contains("tokens", term)).select("doc_id")
 
 
 def intersect(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -89,8 +125,7 @@ def unite(a: DataFrame, b: DataFrame) -> DataFrame:
 
 def complement(index: Index, a: DataFrame) -> DataFrame:
     """The ids 1 to the largest that are not in `a`."""
-    top = index.size.first()["max_doc_id"]
-    return index.spark.range(1, top + 1).withColumnRenamed("id", "doc_id").join(a.select("doc_id"), "doc_id", "left_anti")
+    return universe(index).join(a.select("doc_id"), "doc_id", "left_anti")
 
 
 def evaluate_by_sets(index: Index, node: Node) -> DataFrame:
@@ -108,11 +143,11 @@ def evaluate_by_sets(index: Index, node: Node) -> DataFrame:
 
 def and_query(index: Index, a: str, b: str) -> DataFrame:
     """Documents with both terms (terms as they are, not normalised)."""
-    return index.tokens.where(has_term(a) & has_term(b)).select("doc_id")
+    return intersect(term_documents(index, a), term_documents(index, b))
 
 
 def or_query(index: Index, a: str, b: str) -> DataFrame:
-    return index.tokens.where(has_term(a) | has_term(b)).select("doc_id")
+    return unite(term_documents(index, a), term_documents(index, b))
 
 
 def not_query(index: Index, a: str) -> DataFrame:
@@ -120,4 +155,4 @@ def not_query(index: Index, a: str) -> DataFrame:
 
 
 def matches_phrase(index: Index, doc_id: int, terms: list[str]) -> bool:
-    return index.tokens.where((F.col("doc_id") == doc_id) & has_phrase(terms)).limit(1).count() > 0
+    return phrase_documents(index, terms).where(F.col("doc_id") == doc_id).limit(1).count() > 0

@@ -1,14 +1,18 @@
-"""Ranked retrieval: BM25 and TF-IDF over an index, as expressions on a document's tokens.
+"""Ranked retrieval: BM25, TF-IDF or a model of one's own over the postings of a query's terms.
 
-A query's terms are few and known on the driver, so their frequencies in a document are array expressions; the only
-exchange of a ranked query is the one-row aggregate of N, lengths and document frequencies, and the top k.
+A query's terms are few and known on the driver. One small job looks up their document frequencies; then their
+postings, and no others, are read, gathered by document with counts combined before the shuffle, scored by one
+expression, and the best k are kept by every task.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+import math
+from collections.abc import Callable, Iterator, Sequence
+from dataclasses import dataclass
 from enum import Enum
 from functools import reduce
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
@@ -16,10 +20,11 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..plans.query import Node, QueryError, free_terms, is_explicit, parse, scoring_terms
+from ..plans.query import Kind, Node, QueryError, free_terms, is_explicit, leaves, parse, phrase, scoring_terms
+from ..functions.text import tokenise
 from ..runtime import cut
-from .boolean import condition, has_phrase
-from .index import Index
+from .boolean import condition, evaluate, has_phrase, tree_terms
+from .index import Facts, Index, by_document
 
 K1, B = 1.2, 0.75
 
@@ -57,39 +62,82 @@ def tfidf(idf: Column, tf: Column) -> Column:
     return F.when(tf > 0, tf * idf).otherwise(0.0)
 
 
-def frequencies(terms: Sequence[str], tokens: str = "tokens") -> list[Column]:
-    """How often each term occurs in a document."""
+def _idf(n: int, df: int) -> float:
+    return math.log(1.0 + (n - df + 0.5) / (df + 0.5))
 
-    def equals(t: str):
-        return lambda x: x == F.lit(t)
 
-    return [F.size(F.filter(F.col(tokens), equals(t))) for t in terms]
+@dataclass(frozen=True)
+class Model:
+    """A ranking model: a document's score is the sum of `part(idf, tf, dl, avgdl)` over the query's terms.
 
+    `part` is written with plain operators, so that it serves columns and numpy arrays alike, and must not be negative;
+    `idf` takes numbers (n, df). `bound(idf, max_tf, avgdl)` is the most a term can add to any document; without it
+    the pruning strategies read everything.
+    """
+
+    part: Callable[[Any, Any, Any, Any], Any]
+    idf: Callable[[int, int], float] = _idf
+    bound: Callable[[float, int, float], float] | None = None
+    block_bound: Callable[[Column, Column, Column, float], Column] | None = None
+
+
+def bm25_model(k1: float = K1, b: float = B) -> Model:
+    def part(idf: Any, tf: Any, dl: Any, avgdl: Any) -> Any:
+        return idf * (tf * (k1 + 1.0)) / (tf + k1 * (1.0 - b + b * dl / avgdl))
+
+    return Model(part, bound=lambda idf, max_tf, avgdl: idf * (k1 + 1.0), block_bound=lambda idf, tf, dl, avgdl: bm25(idf, tf, dl, F.lit(avgdl), k1, b))
+
+
+def tfidf_model(raw: bool = False) -> Model:
+    return Model(
+        lambda idf, tf, dl, avgdl: tf * idf,
+        (lambda n, df: math.log(n / df)) if raw else _idf,
+        lambda idf, max_tf, avgdl: max_tf * idf,
+        lambda idf, tf, dl, avgdl: tfidf(idf, tf),
+    )
+
+
+def model_of(ranking: Ranking | Model, raw: bool = False, k1: float = K1, b: float = B) -> Model:
+    if isinstance(ranking, Model):
+        return ranking
+    return bm25_model(k1, b) if ranking is Ranking.BM25 else tfidf_model(raw)
+
+
+def _scored(rows: DataFrame, each: Sequence[str], terms: Sequence[str], model: Model, facts: Facts) -> DataFrame:
+    """doc_id, score (above 0) of gathered rows of `each`; parts are added in the order of `terms`."""
+    parts = []
+    for t in terms:
+        if t not in facts.df:
+            continue
+        tf = F.col(f"tf{each.index(t)}")
+        part = model.part(F.lit(model.idf(facts.n, facts.df[t])), tf, F.col("dl"), F.lit(float(facts.avgdl)))
+        parts.append(F.when(tf > 0, part).otherwise(0.0))
+    return rows.select("doc_id", reduce(lambda x, y: x + y, parts, F.lit(0.0)).alias("score")).where("score > 0")
+
+
+def _nothing(index: Index) -> DataFrame:
+    return index.tokens.where("false").select("doc_id", F.lit(0.0).alias("score"))
 
-def score(index: Index, terms: Sequence[str], ranking: Ranking = Ranking.BM25, raw: bool = False, k1: float = K1, b: float = B, among: Column | None = None) -> DataFrame:
+
+def score(index: Index, terms: Sequence[str], ranking: Ranking | Model = Ranking.BM25, raw: bool = False, k1: float = K1, b: float = B, among: Node | None = None) -> DataFrame:
     """doc_id, score of every document with a positive score.
 
     `raw` takes TF-IDF with the plain idf (BM25 has one idf). `terms` are used as given: repeated ones count
-    repeatedly, so callers of the prepared form pass each term once. `among` limits the documents, not the
-    statistics. Parts are added in the order of the terms. No terms, no rows.
+    repeatedly, so callers of the prepared form pass each term once. `among` limits the documents to those a tree
+    matches, not the statistics. Parts are added in the order of the terms. No terms, no rows.
     """
     if not terms:
-        return index.tokens.where("false").select("doc_id", F.lit(0.0).alias("score"))
-    each = list(dict.fromkeys(terms))
-    # one array comparison skips the documents without any term before frequencies are counted
-    has = F.arrays_overlap("tokens", F.array(*map(F.lit, each)))
-    total = F.coalesce(F.sum("dl"), F.lit(0)).cast("double")
-    dfs = [F.count_if(F.array_contains("tokens", t)).alias(f"df{i}") for i, t in enumerate(each)]
-    stats = index.tokens.agg(F.count("*").alias("n"), F.coalesce(F.try_divide(total, F.count("*")), F.lit(0.0)).alias("avgdl"), *dfs)
-    docs = index.tokens.where(has if among is None else has & among)
-    docs = docs.select("doc_id", "dl", *[tf.alias(f"tf{i}") for i, tf in enumerate(frequencies(each))])
-    rows = docs.crossJoin(F.broadcast(stats))  # one row
-    parts = []
-    for t in terms:
-        i = each.index(t)
-        idf = (plain_idf if raw and ranking is Ranking.TFIDF else prepared_idf)(F.col("n"), F.col(f"df{i}"))
-        parts.append(bm25(idf, F.col(f"tf{i}"), F.col("dl"), F.col("avgdl"), k1, b) if ranking is Ranking.BM25 else tfidf(idf, F.col(f"tf{i}")))
-    return rows.select("doc_id", reduce(lambda x, y: x + y, parts, F.lit(0.0)).alias("score")).where("score > 0")
+        return _nothing(index)
+    facts, each = index.facts(terms), list(dict.fromkeys(terms))
+    if not facts.df:
+        return _nothing(index)
+    model = model_of(ranking, raw, k1, b)
+    if among is None:
+        each = [t for t in each if t in facts.df]
+        return _scored(index.gathered(each), each, terms, model, facts)
+    more, placed = tree_terms(among)
+    each = list(dict.fromkeys([*each, *more]))
+    return _scored(index.gathered(each, placed).where(condition(among, each)), each, terms, model, facts)
 
 
 def top(scored: DataFrame, k: int) -> DataFrame:
@@ -99,7 +147,7 @@ def top(scored: DataFrame, k: int) -> DataFrame:
     return best.select("doc_id", F.round("score", 6).alias("score"), rank.alias("rank"))
 
 
-def search(index: Index, query: str, k: int, ranking: Ranking = Ranking.BM25, strategy: Strategy = Strategy.TOP_K) -> DataFrame:
+def search(index: Index, query: str, k: int, ranking: Ranking | Model = Ranking.BM25, strategy: Strategy = Strategy.TOP_K) -> DataFrame:
     """doc_id, score, rank of the best k.
 
     Free text is disjunctive. A query with explicit syntax is parsed (QueryError where malformed), its matches are
@@ -107,12 +155,12 @@ def search(index: Index, query: str, k: int, ranking: Ranking = Ranking.BM25, st
     anything is parsed; blank free text gives nothing; free text with the BOOLEAN strategy is refused.
     """
     if k <= 0:
-        return top(score(index, []), 0)
+        return top(_nothing(index), 0)
     if is_explicit(query):
         return top(rank_candidates(index, parse(query), ranking), k)
     terms = free_terms(query)
     if not terms:
-        return top(score(index, []), 0)
+        return top(_nothing(index), 0)
     if strategy is Strategy.BOOLEAN:
         raise QueryError("BOOLEAN retrieval needs explicit query syntax")
     if strategy is Strategy.TOP_K:
@@ -120,22 +168,18 @@ def search(index: Index, query: str, k: int, ranking: Ranking = Ranking.BM25, st
     return top(pruned(index, terms, k, ranking, by_block=strategy is Strategy.BLOCK_MAX_WAND), k)
 
 
-def rank_candidates(index: Index, node: Node, ranking: Ranking = Ranking.BM25) -> DataFrame:
-    return score(index, scoring_terms(node), ranking, among=condition(node))
+def rank_candidates(index: Index, node: Node, ranking: Ranking | Model = Ranking.BM25) -> DataFrame:
+    return score(index, scoring_terms(node), ranking, among=node)
 
 
 def search_phrase(index: Index, text: str, k: int) -> DataFrame:
     """Documents with the words of `text` one after the other, ranked by BM25."""
-    from ..functions.text import tokenise
-
-    words = tokenise(text)
-    return top(score(index, list(dict.fromkeys(words)), among=has_phrase(words)), k)
+    return top(score(index, list(dict.fromkeys(tokenise(text))), among=phrase(text)), k)
 
 
 def term_bounds(index: Index, ranking: Ranking = Ranking.BM25, raw: bool = False, k1: float = K1) -> DataFrame:
     """term, df, max_tf, max_score: the most a term can add to any document's score."""
-    n = index.size.select("n")
-    rows = index.terms.crossJoin(F.broadcast(n))  # one row
+    rows = index.terms.withColumn("n", F.lit(index.whole.n))
     if ranking is Ranking.BM25:
         most = prepared_idf(F.col("n"), F.col("df")) * (k1 + 1.0)
     else:
@@ -145,70 +189,101 @@ def term_bounds(index: Index, ranking: Ranking = Ranking.BM25, raw: bool = False
 
 def block_bounds(index: Index, ranking: Ranking = Ranking.BM25, k1: float = K1, b: float = B) -> DataFrame:
     """The blocks with max_score: no posting of a block adds more than that."""
-    one = index.size.select("n", "avgdl")
-    rows = index.blocks.join(index.terms.select("term", "df"), "term").crossJoin(F.broadcast(one))  # one row
+    rows = index.blocks.join(index.terms.select("term", "df"), "term").withColumns({"n": F.lit(index.whole.n), "avgdl": F.lit(float(index.whole.avgdl))})
     idf = prepared_idf(F.col("n"), F.col("df"))
     most = bm25(idf, F.col("max_tf"), F.col("min_dl"), F.col("avgdl"), k1, b) if ranking is Ranking.BM25 else tfidf(idf, F.col("max_tf"))
     return rows.select("term", "block_id", "begin", "end", "first_doc", "last_doc", "max_tf", "min_dl", most.alias("max_score"))
 
 
-def pruned(index: Index, terms: Sequence[str], k: int, ranking: Ranking = Ranking.BM25, by_block: bool = False) -> DataFrame:
+#: Postings of a query from which pruning is worth its extra jobs; below, all of them are scored at once.
+PRUNE_FROM = 5_000_000
+#: Ranges of documents for block bounds; what is broadcast is at most so many numbers.
+RANGES = 65_536
+
+
+def pruned(index: Index, terms: Sequence[str], k: int, ranking: Ranking | Model = Ranking.BM25, by_block: bool = False, prune_from: int = PRUNE_FROM) -> DataFrame:
     """`score` without the documents that cannot be among the best k.
 
-    The k-th best score among the documents with the rarest term is a threshold that the k-th best overall reaches.
-    A document whose terms' bounds add up to less cannot pass it. `by_block` takes the bound of the document's own
-    frequency and length class in place of the term's. One small job finds df, bounds and threshold.
+    The k-th best part of the rarest term that k documents hold is a threshold: the k-th best score is no lower. Terms
+    whose bounds add up to less than it are optional: a document that holds no other term can't reach it, so their
+    postings are read only for documents of the other terms. `by_block` first drops the ranges of documents in which
+    the bounds of the blocks of all terms add up to less. The result is that of `score`; with fewer postings than
+    `prune_from` it is `score`, as reading them costs less than finding out which to leave.
     """
-    each = list(dict.fromkeys(terms))
-    tfs = frequencies(each)
-    found = index.tokens.agg(
-        F.count("*").alias("n"),
-        (F.coalesce(F.sum("dl"), F.lit(0)) / F.greatest(F.count("*"), F.lit(1))).alias("avgdl"),
-        *[F.count_if(F.array_contains("tokens", t)).alias(f"df{i}") for i, t in enumerate(each)],
-        *[F.max(tf).alias(f"tf{i}") for i, tf in enumerate(tfs)],
-    ).first()
-    present = [i for i in range(len(each)) if found[f"df{i}"]]
-    if not present:
-        return score(index, [])
-    rarest = each[min(present, key=lambda i: found[f"df{i}"])]
-    floor = score(index, each, ranking, among=F.array_contains("tokens", rarest)).orderBy(F.desc("score")).limit(k).agg(F.min("score"), F.count("*")).first()
-    if floor[1] < k:
+    facts, model = index.facts(terms), model_of(ranking)
+    present = [t for t in dict.fromkeys(terms) if t in facts.df]
+    full = [t for t in present if facts.df[t] >= k]
+    if not full or model.bound is None or not index.inverted or sum(facts.df[t] for t in present) < prune_from:
         return score(index, terms, ranking)
-    n, avgdl = F.lit(float(found["n"])), F.lit(float(found["avgdl"]))
-    bounds = []
-    for i in present:
-        idf = prepared_idf(n, F.lit(found[f"df{i}"]))
-        tf = F.lit(found[f"tf{i}"])
-        most = tfidf(idf, tf) if ranking is Ranking.TFIDF else bm25(idf, tf, F.col("dl"), avgdl) if by_block else idf * (K1 + 1.0)
-        bounds.append(F.when(F.array_contains("tokens", each[i]), most).otherwise(0.0))
-    possible = reduce(lambda x, y: x + y, bounds) * (1.0 + 1e-9) >= F.lit(floor[0])
-    return score(index, terms, ranking, among=possible)
+    idf = {t: model.idf(facts.n, facts.df[t]) for t in present}
+    rarest = min(full, key=lambda t: (facts.df[t], t))
+    parts = _scored(index.gathered([rarest]), [rarest], [rarest], model, facts)
+    theta = parts.orderBy(F.desc("score")).limit(k).agg(F.min("score")).first()[0] * (1.0 - 1e-9)
+    bound = {t: model.bound(idf[t], facts.max_tf[t], facts.avgdl) for t in present}
+    optional, total = [], 0.0
+    for t in sorted(present, key=lambda t: bound[t]):
+        total += bound[t]
+        if total >= theta:
+            break
+        optional.append(t)
+    rows = index.postings.where(F.col("term").isin(present)).select("term", "doc_id", "tf", "dl")
+    if by_block and model.block_bound is not None:
+        rows = _in_ranges(index, rows, present, model, facts, idf, theta)
+    if optional:
+        needed = rows.where(~F.col("term").isin(optional))
+        rows = needed.unionByName(rows.where(F.col("term").isin(optional)).join(needed.select("doc_id").distinct(), "doc_id", "left_semi"))
+    return _scored(by_document(rows, present), present, terms, model, facts)
+
+
+def _in_ranges(index: Index, rows: DataFrame, terms: list[str], model: Model, facts: Facts, idf: dict[str, float], theta: float) -> DataFrame:
+    """`rows` without the ranges of documents whose block bounds add up to less than `theta`.
+
+    The blocks of a term don't overlap, so they meet at most RANGES ranges more than there are blocks.
+    """
+    width = max(index.block_size, -(-(facts.max_doc_id + 1) // RANGES))
+    known = F.create_map(*[F.lit(x) for t in terms for x in (t, idf[t])])
+    blocks = index.blocks.where(F.col("term").isin(terms))
+    most = model.block_bound(known[F.col("term")], F.col("max_tf"), F.col("min_dl"), float(facts.avgdl))
+    reach = F.sequence(F.floor(F.col("first_doc") / width), F.floor(F.col("last_doc") / width))
+    each = blocks.select("term", F.explode(reach).alias("span"), most.alias("most")).groupBy("span", "term").agg(F.max("most").alias("most"))
+    kept = each.groupBy("span").agg(F.sum("most").alias("all")).where(F.col("all") * (1.0 + 1e-9) >= theta).select("span")
+    return rows.withColumn("span", F.floor(F.col("doc_id") / width)).join(F.broadcast(kept), "span", "left_semi").drop("span")
 
 
 #: Words of a batch that are broadcast at once, and (query, document) parts a task holds at once.
 BATCH_WORDS, BATCH_PARTS = 500_000, 2_000_000
 
 
-def search_many(index: Index, queries: DataFrame, k: int, ranking: Ranking = Ranking.BM25, k1: float = K1, b: float = B) -> DataFrame:
+def search_many(index: Index, queries: DataFrame, k: int, ranking: Ranking | Model = Ranking.BM25, k1: float = K1, b: float = B) -> DataFrame:
     """query_id, doc_id, score, rank for a batch of `queries` (query_id, terms ARRAY<STRING>, each term once).
 
-    One pass over the tokens for BATCH_WORDS words of queries at a time. A document's words are in one row, so each
-    task scores its documents for all queries by itself and keeps its own best k of each: only tasks * queries * k rows
-    are shuffled, however many documents a query matches.
+    A document's words of the batch are in one row, so each task scores its documents for all queries by itself and
+    keeps its own best k of each: only tasks * queries * k rows meet, however many documents a query matches. Where the
+    batch's terms make up a small part of an inverted index, their postings are gathered by document; else one pass
+    over the tokens is cheaper. Batches beyond BATCH_WORDS words are worked in groups of queries.
     """
-    spark = index.spark
-    words = cut(queries.select("query_id", F.posexplode("terms").alias("pos", "term")))
-    groups = -(-words.count() // BATCH_WORDS)
-    size = index.size.first()
-    found = None
-    for g in range(groups):
-        mine = words.where(F.pmod(F.xxhash64("query_id"), F.lit(groups)) == g) if groups > 1 else words
-        known = mine.select("term").distinct().join(index.terms.select("term", "df"), "term")
-        prepared = mine.join(known, "term").select("query_id", "pos", "term", prepared_idf(F.lit(size["n"]), F.col("df")).alias("idf")).toPandas()
+    spark, model = index.spark, model_of(ranking, k1=k1, b=b)
+    words = queries.select("query_id", F.posexplode("terms").alias("pos", "term")).join(index.terms.select("term", "df"), "term").select("query_id", "pos", "term", "df")
+    first = words.limit(BATCH_WORDS + 1).toPandas()
+    groups: list = [first]
+    if len(first) > BATCH_WORDS:
+        words = cut(words)
+        n = -(-words.count() // BATCH_WORDS)
+        groups = [words.where(F.pmod(F.xxhash64("query_id"), F.lit(n)) == g) for g in range(n)]
+    whole, found = index.whole, None
+    for group in groups:
+        prepared = group if isinstance(group, type(first)) else group.toPandas()
         if prepared.empty:
             continue
+        prepared["idf"] = [model.idf(whole.n, df) for df in prepared["df"].tolist()]
+        dfs = dict(zip(prepared["term"], prepared["df"], strict=True))
         shared = spark.sparkContext.broadcast(prepared)
-        part = index.tokens.select("doc_id", "dl", "tokens").mapInArrow(_scorer(shared, k, ranking, k1, b, size["avgdl"]), "query_id long, doc_id long, score double")
+        kernel = _scorer(shared, k, model, whole.avgdl)
+        if index.inverted and sum(dfs.values()) * POSTING_COST < whole.n * whole.avgdl:
+            rows = _batch_postings(index, sorted(dfs))
+        else:
+            rows = index.tokens.select("doc_id", "dl", F.col("tokens").alias("words"), F.lit(None).cast("array<int>").alias("tfs"))
+        part = rows.mapInArrow(kernel, "query_id long, doc_id long, score double")
         found = part if found is None else found.unionByName(part)
     if found is None:
         return spark.createDataFrame([], "query_id long, doc_id long, score double, rank int")
@@ -217,7 +292,23 @@ def search_many(index: Index, queries: DataFrame, k: int, ranking: Ranking = Ran
     return ranked.select("query_id", "doc_id", F.round("score", 6).alias("score"), "rank")
 
 
-def _scorer(shared, k: int, ranking: Ranking, k1: float, b: float, avgdl: float):
+#: How much dearer a posting is to gather than a token is to pass over.
+POSTING_COST = 3
+#: Terms that are named in the scan's filter; more are joined.
+NAMED_TERMS = 1000
+
+
+def _batch_postings(index: Index, terms: list[str]) -> DataFrame:
+    """doc_id, dl, words, tfs: the documents with any of `terms`, with the words they hold."""
+    rows = index.postings.select("term", "doc_id", "tf", "dl")
+    if len(terms) <= NAMED_TERMS:
+        rows = rows.where(F.col("term").isin(terms))
+    else:
+        rows = rows.join(index.spark.createDataFrame([(t,) for t in terms], "term string"), "term", "left_semi")
+    return rows.groupBy("doc_id").agg(F.max("dl").alias("dl"), F.collect_list(F.struct("term", "tf")).alias("w")).select("doc_id", "dl", F.col("w.term").alias("words"), F.col("w.tf").alias("tfs"))
+
+
+def _scorer(shared, k: int, model: Model, avgdl: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         plan = shared.value
         terms, term_at = np.unique(plan["term"].to_numpy(dtype=object), return_inverse=True)
@@ -244,13 +335,15 @@ def _scorer(shared, k: int, ranking: Ranking, k1: float, b: float, avgdl: float)
             if not len(hit):
                 continue
             doc = pc.list_parent_indices(lists).to_numpy(zero_copy_only=False)[hit].astype(np.int64)
-            pair, tf = np.unique(doc * len(terms) + pc.fill_null(at, 0).to_numpy(zero_copy_only=False)[hit], return_counts=True)
+            pair = doc * len(terms) + pc.fill_null(at, 0).to_numpy(zero_copy_only=False)[hit]
+            if batch.column(3).null_count:  # words as they stand, to be counted
+                pair, tf = np.unique(pair, return_counts=True)
+            else:
+                turn = np.argsort(pair, kind="stable")
+                pair, tf = pair[turn], pc.list_flatten(batch.column(3)).to_numpy(zero_copy_only=False)[hit][turn]
             doc, term = pair // len(terms), pair % len(terms)
             keys, dl = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            if ranking is Ranking.BM25:
-                part = idf[term] * (tf * (k1 + 1.0)) / (tf + k1 * (1.0 - b + b * dl[doc] / avgdl))
-            else:
-                part = tf * idf[term]
+            part = model.part(idf[term], tf.astype(np.float64), dl[doc].astype(np.float64), avgdl)
             fan = starts[term + 1] - starts[term]
             edges = [0, *np.flatnonzero(np.diff((np.cumsum(fan) - fan) // BATCH_PARTS)) + 1, len(fan)]
             # a document must not be cut in two
@@ -261,14 +354,15 @@ def _scorer(shared, k: int, ranking: Ranking, k1: float, b: float, avgdl: float)
                 q, d, p = query_of[spot], np.repeat(doc[low:high], n), np.repeat(part[low:high], n)
                 turn = np.argsort(pos_of[spot], kind="stable")  # parts add up in the order of the query's terms
                 key, which = np.unique(q[turn] * batch.num_rows + d[turn], return_inverse=True)
-                score = np.bincount(which, weights=p[turn], minlength=len(key))
-                best = keep(np.r_[best[0], key // batch.num_rows], np.r_[best[1], keys[key % batch.num_rows]], np.r_[best[2], score])
+                total = np.bincount(which, weights=p[turn], minlength=len(key))
+                key, total = key[total > 0], total[total > 0]
+                best = keep(np.r_[best[0], key // batch.num_rows], np.r_[best[1], keys[key % batch.num_rows]], np.r_[best[2], total])
         yield pa.RecordBatch.from_arrays([pa.array(ids[best[0]]), pa.array(best[1]), pa.array(best[2])], names=["query_id", "doc_id", "score"])
 
     return run
 
 
-def explain(index: Index, query: str, doc_id: int, ranking: Ranking = Ranking.BM25) -> DataFrame:
+def explain(index: Index, query: str, doc_id: int, ranking: Ranking | Model = Ranking.BM25) -> DataFrame:
     """One row: how `doc_id` scores for `query`, which is always parsed, free text too.
 
     matched_terms, frequencies and idfs are in query order; phrase_match is set by any phrase of the query that the
@@ -276,24 +370,24 @@ def explain(index: Index, query: str, doc_id: int, ranking: Ranking = Ranking.BM
     """
     node = parse(query)
     terms = scoring_terms(node)
-    from ..functions.text import tokenise
-    from ..plans.query import Kind, leaves
-
-    n_terms = len(terms)
-    dfs = [F.count_if(F.array_contains("tokens", t)).alias(f"df{i}") for i, t in enumerate(terms)]
-    stats = index.tokens.agg(F.count("*").alias("n"), (F.coalesce(F.sum("dl"), F.lit(0)) / F.greatest(F.count("*"), F.lit(1))).alias("avgdl"), *dfs)
-    doc = index.tokens.where(F.col("doc_id") == doc_id).crossJoin(F.broadcast(stats))  # one row by one row
+    more, placed = tree_terms(node)
+    each = list(dict.fromkeys([*terms, *more]))
+    n_terms, facts, model = len(terms), index.facts(each), model_of(ranking)
+    doc = index.doc_stats_of(doc_id)  # one row
+    if each:
+        rows = index.gathered(each, placed, among=F.col("doc_id") == doc_id).drop("dl")
+        doc = doc.join(rows, "doc_id", "left").fillna(0, [f"tf{i}" for i in range(len(each))])
     entries = []
-    for i, (t, tf) in enumerate(zip(terms, frequencies(terms), strict=True)):
-        idf = prepared_idf(F.col("n"), F.col(f"df{i}"))
-        part = bm25(idf, tf, F.col("dl"), F.col("avgdl")) if ranking is Ranking.BM25 else tfidf(idf, tf)
+    for t in terms:
+        tf, idf = F.col(f"tf{each.index(t)}"), F.lit(model.idf(facts.n, facts.df[t]) if t in facts.df else 0.0)
+        part = F.when(tf > 0, model.part(idf, tf, F.col("dl"), F.lit(float(facts.avgdl)))).otherwise(0.0)
         entries.append(F.struct(F.lit(t).alias("term"), tf.alias("tf"), idf.alias("idf"), part.alias("part")))
     empty = F.array().cast("array<struct<term:string,tf:int,idf:double,part:double>>")
     matched = F.filter(F.array(*entries), lambda e: e["tf"] > 0) if entries else empty
-    phrases = [has_phrase(tokenise(leaf.text)) for leaf in leaves(node) if leaf.kind is Kind.PHRASE]
-    phrase = reduce(lambda x, y: x | y, phrases) if phrases else F.lit(False)
+    phrases = [has_phrase(tokenise(leaf.text), each) for leaf in leaves(node) if leaf.kind is Kind.PHRASE]
+    phrased = reduce(lambda x, y: x | y, phrases) if phrases else F.lit(False)
     explicit = is_explicit(query)
-    row = doc.select("doc_id", matched.alias("m"), phrase.alias("phrase_match"), (condition(node) if explicit else F.size(matched) == n_terms).alias("matched_query"))
+    row = doc.select("doc_id", matched.alias("m"), phrased.alias("phrase_match"), (condition(node, each) if explicit else F.size(matched) == n_terms).alias("matched_query"))
     mode = F.when(F.col("phrase_match"), "PHRASE").otherwise("BOOLEAN" if explicit else "LEXICAL")
     total = F.round(F.aggregate("m", F.lit(0.0), lambda s, e: s + e["part"]), 6)
     return row.select(
@@ -317,16 +411,14 @@ def retrieval_stats(index: Index, query: str) -> DataFrame:
     explicit = is_explicit(query)
     node = parse(query) if explicit else None
     terms = scoring_terms(node) if node else free_terms(query)
-    has = F.arrays_overlap("tokens", F.array(*map(F.lit, terms))) if terms else F.lit(False)
-    within = condition(node) if node else has
-    dfs = [F.count_if(F.array_contains("tokens", t)) for t in terms]
-    visited = reduce(lambda x, y: x + y, dfs) if dfs else F.lit(0)
-    present = reduce(lambda x, y: x + y, [(d > 0).cast("bigint") for d in dfs]) if dfs else F.lit(0)
-    return index.tokens.agg(
-        F.count_if(within & has).alias("documents_scored"),
-        visited.cast("bigint").alias("postings_visited"),
+    facts = index.facts(terms)
+    among = score(index, terms, among=node) if node else score(index, terms)
+    candidates = evaluate(index, node).agg(F.count("*").alias("candidates_considered")) if node else None
+    rows = among.agg(F.count("*").alias("documents_scored")).select(
+        "documents_scored",
+        F.lit(sum(facts.df.values())).cast("bigint").alias("postings_visited"),
         F.lit(len(terms)).cast("bigint").alias("query_terms"),
-        present.cast("bigint").alias("matched_terms"),
-        (F.count_if(within) if explicit else F.lit(0)).cast("bigint").alias("candidates_considered"),
-        F.lit(0).cast("bigint").alias("blocks_skipped"),
+        F.lit(len(facts.df)).cast("bigint").alias("matched_terms"),
     )
+    rows = rows.crossJoin(candidates) if candidates is not None else rows.withColumn("candidates_considered", F.lit(0).cast("bigint"))  # one row by one row
+    return rows.withColumn("blocks_skipped", F.lit(0).cast("bigint"))

@@ -21,7 +21,7 @@ def bucket_of(share: Column) -> Column:
 
 def df_buckets(index: Index) -> DataFrame:
     """bucket, term, df, n: every term with the bucket of its share of documents."""
-    rows = index.terms.select("term", "df").crossJoin(F.broadcast(index.size.select("n")))  # one row
+    rows = index.terms.select("term", "df", F.lit(index.whole.n).cast("bigint").alias("n"))
     return rows.withColumn("bucket", bucket_of(F.col("df") / F.col("n"))).where("bucket is not null").select("bucket", "term", "df", "n")
 
 
