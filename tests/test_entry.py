@@ -20,7 +20,7 @@ def test_core_imports_without_the_training_data_folder():
         "class Block(importlib.abc.MetaPathFinder):\n"
         "    def find_spec(self, name, path=None, target=None):\n"
         "        if name.startswith('tidemark.llm'):\n"
-        "            raise ModuleNotFoundError(name)\n"
+        "            raise ModuleNotFoundError(name, name=name)\n"
         "sys.meta_path.insert(0, Block())\n"
         "import __spark_entry__ as e\n"
         "assert 'p3_found' in e.queries() and 'p1_found' not in e.queries() and 'bm25_topk' in e.oracle_sql()\n"

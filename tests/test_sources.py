@@ -36,7 +36,7 @@ def test_scalars(spark):
 
 def test_html(spark):
     page = "<html><!-- c --><script>x<y</script><h1>A&amp;B</h1><p>one<br>two &#233;&#x41;</p><li>three</li><nav>menu</nav><b>bold</b></html>"
-    text = spark.createDataFrame([(page,), (None,), ("",)], "x string").select(html_to_text(F.col("x"), numeric=True)).collect()
+    text = spark.createDataFrame([(page,), (None,), ("",)], "x string").select(html_to_text(F.col("x"))).collect()
     assert [r[0] for r in text] == ["A&B\none\ntwo éA\nthree\nbold", "", ""]
 
 
@@ -53,6 +53,16 @@ def test_html(spark):
         ("https://172.40.1.1/", True),
         ("https://100.64.0.1/", False),
         ("https://[::1]/", False),
+        ("https://127.1/", False),
+        ("https://2130706433/", False),
+        ("https://0x7f.1/", False),
+        ("https://0177.0.0.1./x", False),
+        ("https://0xa000001/", False),
+        ("https://999999999999999999999/", False),
+        ("https://256.1.1.1/", False),
+        ("https://8.8/", True),
+        ("https://134744072/", True),
+        ("https://1.example/", True),
         ("https://", False),
         (None, False),
     ],

@@ -36,9 +36,9 @@ def numeric_entities(text: pd.Series) -> pd.Series:
     return text.map(lambda x: _REFERENCE.sub(_character, x) if x and "&#" in x else x)
 
 
-def html_to_text(markup: Column, numeric: bool = False) -> Column:
+def html_to_text(markup: Column, numeric: bool = True) -> Column:
     """The readable text of a page: comments and `DROPPED` blocks removed, line tags as line breaks, other tags as
-    blanks, entities decoded, white space evened out. Null counts as empty."""
+    blanks, entities decoded (`numeric` ones too), white space evened out. Null counts as empty."""
     text = F.regexp_replace(F.coalesce(markup, F.lit("")), r"(?s)<!--.*?-->", " ")
     for tag in DROPPED:
         text = F.regexp_replace(text, rf"(?is)<{tag}[^>]*>.*?</{tag}\s*>", " ")
@@ -59,8 +59,26 @@ _PRIVATE = (
 )
 
 
+def _plain_host(host: Column) -> Column:
+    """`host` with a number in any of the forms that browsers take for an IPv4 address (one to four parts, decimal,
+    octal or hexadecimal) as four decimal parts; null where such a number is too large."""
+    parts = F.split(F.regexp_replace(host, r"\.$", ""), r"\.")
+    n = F.size(parts)
+    numeric = host.rlike(r"(?i)^(?:0x[0-9a-f]*|[0-9]+)(?:\.(?:0x[0-9a-f]*|[0-9]+)){0,3}\.?$")
+    value = lambda p: (
+        F.when(F.length(p) > 14, F.lit(None).cast("string")).when(p.rlike("(?i)^0x$"), F.lit("0")).when(p.rlike("(?i)^0x"), F.conv(F.substring(p, 3, 64), 16, 10)).when(p.rlike("^0[0-7]+$"), F.conv(p, 8, 10)).otherwise(p).try_cast("bigint")
+    )
+    values = F.transform(parts, value)
+    head = F.aggregate(F.slice(values, 1, n - 1), F.lit(0).cast("bigint"), lambda s, x: s * 256 + F.when(x < 256, x))
+    last = F.element_at(values, -1)
+    room = F.pow(F.lit(256.0), 5 - n).cast("bigint")
+    number = head * room + F.when(last < room, last)
+    dotted = F.concat_ws(".", *[F.pmod(F.shiftright(number, shift), F.lit(256)).cast("string") for shift in (24, 16, 8, 0)])
+    return F.when(numeric, F.when(number.isNotNull(), dotted)).otherwise(host)
+
+
 def valid_address(url: Column) -> Column:
-    """True for https addresses without credentials whose host is not a private name or number."""
+    """True for https addresses without credentials whose host is not a private name or number, in whatever form."""
     sound = url.rlike(r"(?i)^https://[^\s/?#@]+([/?#]\S*)?$")
-    host = F.regexp_extract(url, r"(?i)^https://(\[[^\]]*\]|[^\s/?#:]+)", 1)
+    host = _plain_host(F.regexp_extract(url, r"(?i)^https://(\[[^\]]*\]|[^\s/?#:]+)", 1))
     return F.coalesce(sound & ~host.rlike(_PRIVATE) & (host != ""), F.lit(False))

@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..runtime import cut
+
 CONSTANT = 60.0
 #: Each list goes this deep at least before fusion.
 CANDIDATES = 100
@@ -36,7 +38,8 @@ def fuse(lexical: DataFrame, semantic: DataFrame, limit: int, constant: float =
 
 def hydrate(hits: DataFrame, documents: DataFrame, key: str = "_id") -> DataFrame:
     """Hits with the stored document of the same id as `document`; null where there is none. Hits are few: they are
-    broadcast, and the documents stream past them. Clashing names are kept apart in the struct."""
+    materialised once and broadcast, and the documents stream past them. Clashing names are kept apart in the struct."""
+    hits = cut(hits)
     fields = F.struct(*[F.col(c) for c in documents.columns])
     stored = documents.select(F.col(key).cast("bigint").alias("_key"), fields.alias("document"))
     found = stored.join(F.broadcast(hits.select(F.col("doc_id").alias("_key"))), "_key", "left_semi")

@@ -19,7 +19,7 @@ def usable_sources(df: DataFrame, group: str, order: str, most: int | None = MOS
     """The sources (group, order, id, headline, url, description) fit to be fetched, with place within the group.
 
     Fields are trimmed and cut; a source without a headline or with an address that may not be fetched is left out,
-    and of one address only the first by `order` stays. `most` per group, None for all.
+    and of one address only the first by `order` (nulls last) stays. `most` per group, None for all.
     """
     rows = df.select(
         group,
@@ -29,14 +29,14 @@ def usable_sources(df: DataFrame, group: str, order: str, most: int | None = MOS
         F.substring(strip(F.col("url")), 1, FIELD["url"]).alias("url"),
         F.substring(F.coalesce("description", F.lit("")), 1, FIELD["description"]).alias("description"),
     ).where((F.col("headline") != "") & valid_address(F.col("url")))
-    first = rows.withColumn("_n", F.row_number().over(Window.partitionBy(group, "url").orderBy(order, "id"))).where("_n = 1").drop("_n")
-    placed = first.withColumn("place", F.row_number().over(Window.partitionBy(group).orderBy(order, "id")))
+    first = rows.withColumn("_n", F.row_number().over(Window.partitionBy(group, "url").orderBy(F.col(order).asc_nulls_last(), "id"))).where("_n = 1").drop("_n")
+    placed = first.withColumn("place", F.row_number().over(Window.partitionBy(group).orderBy(F.col(order).asc_nulls_last(), "id")))
     return placed if most is None else placed.where(F.col("place") <= most)
 
 
 def readable(df: DataFrame, markup: str) -> DataFrame:
     """`df` with `content`, the page's text up to LONGEST characters; pages with less than SHORTEST are left out."""
-    return df.withColumn("content", html_to_text(F.col(markup), numeric=True)).where(F.length("content") >= SHORTEST).withColumn("content", F.substring("content", 1, LONGEST))
+    return df.withColumn("content", html_to_text(F.col(markup))).where(F.length("content") >= SHORTEST).withColumn("content", F.substring("content", 1, LONGEST))
 
 
 def source_block(df: DataFrame, group: str) -> DataFrame:

@@ -33,14 +33,11 @@ def bucket_summary(index: Index) -> DataFrame:
 def workload_terms(index: Index, per_bucket: int = PER_BUCKET) -> DataFrame:
     """bucket, place, term, df: the most frequent terms of each bucket, of the rare one the rarest; ties by term.
 
-    Each task keeps its own first terms before the last window, so no bucket is gathered whole.
+    Spark keeps each task's own first terms before the shuffle (WindowGroupLimit), so no bucket is gathered whole.
     """
-    rows = df_buckets(index)
     key = F.when(F.col("bucket") == "rare_df", F.col("df")).otherwise(-F.col("df"))
-    w = Window.partitionBy("bucket", F.pmod(F.xxhash64("term"), F.lit(16))).orderBy(key, "term")
-    kept = rows.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= per_bucket)
-    placed = kept.withColumn("place", F.row_number().over(Window.partitionBy("bucket").orderBy(key, "term"))).where(F.col("place") <= per_bucket)
-    return placed.select("bucket", "place", "term", "df")
+    place = F.row_number().over(Window.partitionBy("bucket").orderBy(key, "term"))
+    return df_buckets(index).withColumn("place", place).where(F.col("place") <= per_bucket).select("bucket", "place", "term", "df")
 
 
 def workload(index: Index, per_bucket: int = PER_BUCKET) -> DataFrame:

@@ -144,40 +144,39 @@ def _replaced(text: str, steps: list[tuple[str, str]]) -> str:
 _NL = "chr(10)"
 _PAGE = (
     "concat('<html><head><style>p{}</style></head><body><!-- page --><nav>menu</nav><h1 class=\"t\">', coalesce(category, ''), '</h1><p>', "
-    f"replace(replace(coalesce(text, ''), '&', '&amp;'), {_NL} || {_NL}, '</p>' || {_NL} || {_NL} || ' <p>'), '</p><br/>&lt;end&gt;<script>var a = 1;</script><footer>foot</footer></body></html>')"
+    f"replace(replace(coalesce(text, ''), '&', '&amp;'), {_NL} || {_NL}, '</p>' || {_NL} || {_NL} || ' <p>'), '</p><br/>&lt;end&gt; &#8364;&#x41;<script>var a = 1;</script><footer>foot</footer></body></html>')"
 )
-ORACLE["html_text"] = (
-    "SELECT doc_id, "
-    + _replaced(
-        _PAGE,
-        [
-            ("(?s)<!--.*?-->", "' '"),
-            *[(f"(?is)<{t}[^>]*>.*?</{t}\\s*>", "' '") for t in DROPPED],
-            (f"(?i)<(?:br|/(?:{'|'.join(LINE_TAGS)}))\\b[^>]*>", _NL),
-            ("(?s)<[^>]+>", "' '"),
-            ("(?i)&nbsp;", "' '"),
-            ("(?i)&amp;", "'&'"),
-            ("(?i)&quot;", "'\"'"),
-            ("(?i)&#39;|&apos;", "chr(39)"),
-            ("(?i)&lt;", "'<'"),
-            ("(?i)&gt;", "'>'"),
-            ("[\\t\\r ]+", "' '"),
-            ("\\n\\s+", _NL),
-            ("\\n{3,}", f"{_NL} || {_NL}"),
-            ("^\\s+|\\s+$", "''"),
-        ],
-    )
-    + " AS text FROM documents"
+_READ = _replaced(
+    _PAGE,
+    [
+        ("(?s)<!--.*?-->", "' '"),
+        *[(f"(?is)<{t}[^>]*>.*?</{t}\\s*>", "' '") for t in DROPPED],
+        (f"(?i)<(?:br|/(?:{'|'.join(LINE_TAGS)}))\\b[^>]*>", _NL),
+        ("(?s)<[^>]+>", "' '"),
+        ("(?i)&nbsp;", "' '"),
+        ("(?i)&amp;", "'&'"),
+        ("(?i)&quot;", "'\"'"),
+        ("(?i)&#39;|&apos;", "chr(39)"),
+        ("(?i)&lt;", "'<'"),
+        ("(?i)&gt;", "'>'"),
+        ("&#8364;", "'€'"),
+        ("&#x41;", "'A'"),
+        ("[\\t\\r ]+", "' '"),
+        ("\\n\\s+", _NL),
+        ("\\n{3,}", f"{_NL} || {_NL}"),
+        ("^\\s+|\\s+$", "''"),
+    ],
 )
+ORACLE["html_text"] = f"SELECT doc_id, {_READ} AS text FROM documents"
 
 _STRIP = "regexp_replace(coalesce({}, ''), '^[\\s\\x{{A0}}\\x{{FEFF}}]+|[\\s\\x{{A0}}\\x{{FEFF}}]+$', '', 'g')"
 _VALID = f"""(regexp_matches({{0}}, '(?i)^https://[^\\s/?#@]+([/?#]\\S*)?$') AND NOT regexp_matches(regexp_extract({{0}}, '(?i)^https://(\\[[^\\]]*\\]|[^\\s/?#:]+)', 1), '{_PRIVATE.replace("{", "{{").replace("}", "}}")}'))"""
 _S = lambda c: _STRIP.format(c)
-ORACLE["source_dedup"] = f"""WITH {_STORE}, hits AS (SELECT DISTINCT query_id, hit_rank, doc_id FROM semantic_hits WHERE hit_rank IS NOT NULL),
+ORACLE["source_dedup"] = f"""WITH {_STORE}, hits AS (SELECT DISTINCT query_id, hit_rank, doc_id FROM semantic_hits),
 rows AS (SELECT query_id, hit_rank, substring(doc_id::VARCHAR, 1, 80) AS id, substring({_S('headline')}, 1, 300) AS headline, substring({_S('link')}, 1, 2048) AS url FROM hits JOIN store ON _id = doc_id),
 sound AS (SELECT * FROM rows WHERE headline <> '' AND {_VALID.format('url')}),
-firsts AS (SELECT * FROM sound QUALIFY row_number() OVER (PARTITION BY query_id, url ORDER BY hit_rank, id) = 1)
-SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY hit_rank, id)::INTEGER AS place, id, headline, url FROM firsts QUALIFY place <= 5"""
+firsts AS (SELECT * FROM sound QUALIFY row_number() OVER (PARTITION BY query_id, url ORDER BY hit_rank NULLS LAST, id) = 1)
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY hit_rank NULLS LAST, id)::INTEGER AS place, id, headline, url FROM firsts QUALIFY place <= 5"""
 ORACLE["address_check"] = f"SELECT feed, coalesce({_VALID.format('link')}, FALSE) AS valid, count(*) AS n_rows FROM stored_news GROUP BY 1, 2"
 ORACLE["ndjson_ingest"] = f"""SELECT _id AS source_id, {_S('headline')} AS headline, {_S('short_description')} AS short_description, {_S('category')} AS category, {_S('authors')} AS authors, {_S('date')} AS date, {_S('link')} AS link
 FROM stored_news WHERE {_S('headline')} <> ''"""
@@ -191,3 +190,56 @@ ORACLE["text_file_stats"] = f"""WITH {_STORE}, files AS (SELECT CASE WHEN length
   octet_length(encode({_tidy('headline')} || chr(10) || chr(10) || {_tidy('short_description')} || chr(10))) AS n_bytes FROM store WHERE {_S('headline')} <> '')
 SELECT count(*) AS files, sum(n_bytes)::BIGINT AS total_bytes, round(avg(n_bytes), 6) AS mean_bytes, max(n_bytes) AS largest_bytes, (SELECT file_name FROM files ORDER BY n_bytes DESC, file_name LIMIT 1) AS largest_file FROM files"""
 ORACLE["repeated_queries"] = "SELECT lower(regexp_replace(trim(query_text), '\\s+', ' ', 'g')) AS query_key, count(*) AS n, min(query_id) AS first_id FROM search_queries GROUP BY 1"
+
+ORACLE["set_operators"] = f"""WITH {_TOKS}, {_UNIVERSE}, a AS (SELECT doc_id FROM toks WHERE {_has('harbour')}), b AS (SELECT doc_id FROM toks WHERE {_has('council')}),
+nested AS ({ORACLE["bool_nested"]})
+SELECT 'term' AS operator, doc_id FROM a UNION ALL (SELECT 'intersect', doc_id FROM (SELECT * FROM a INTERSECT SELECT * FROM b)) UNION ALL (SELECT 'unite', doc_id FROM (SELECT * FROM a UNION SELECT * FROM b))
+UNION ALL (SELECT 'complement', doc_id FROM (SELECT * FROM universe EXCEPT SELECT * FROM a)) UNION ALL (SELECT 'and_query', doc_id FROM toks WHERE {_has('harbour')} AND {_has('election')})
+UNION ALL (SELECT 'or_query', doc_id FROM toks WHERE {_has('lighthouse')} OR {_has('vaccine')}) UNION ALL (SELECT 'not_query', doc_id FROM (SELECT * FROM universe EXCEPT SELECT doc_id FROM toks WHERE {_has('the')}))
+UNION ALL (SELECT 'by_sets', doc_id FROM nested)"""
+ORACLE["posting_lookup"] = f"""WITH {_TOKS}, asked(term, doc_id) AS (VALUES ('the', 1::BIGINT), ('harbour', 3), ('council', 17), ('nowhere', 5), ('the', 999999999)),
+found AS (SELECT a.term, a.doc_id, count(w.position)::INTEGER AS tf, coalesce(string_agg(w.position::VARCHAR, ',' ORDER BY w.position), '') AS positions FROM asked a LEFT JOIN words w ON w.term = a.term AND w.doc_id = a.doc_id GROUP BY 1, 2)
+SELECT f.*, coalesce(df, 0)::BIGINT AS df, coalesce(dl, 0)::INTEGER AS dl FROM found f LEFT JOIN terms ON terms.term = f.term LEFT JOIN lens ON lens.doc_id = f.doc_id"""
+ORACLE["repeated_ids"] = "SELECT _id, count(*) AS n FROM stored_news GROUP BY 1 HAVING count(*) > 1"
+ORACLE["posting_blocks_64"] = ORACLE["posting_blocks"].replace("r // 128", "r // 64").replace(_BM25, f"tf * {_IDF}")
+ORACLE["saved_engine_search"] = ORACLE["bm25_topk"]
+ORACLE["phrase_check"] = f"WITH {_TOKS} SELECT d.doc_id, {_phrase('water', 'board').replace('doc_id IN', 'd.doc_id IN')} AS holds FROM (SELECT unnest(range(1, 13)) AS doc_id) d"
+ORACLE["parse_errors"] = """SELECT * FROM (VALUES ('', 'query is empty'), ('   ', 'query is empty'), ('cat )', 'unexpected token in query'), ('NOT', 'NOT requires an operand'), ('(cat', 'missing closing parenthesis'),
+('AND cat', 'expected query term'), ('cat OR', 'expected query term'), ('"cat', 'unterminated query phrase'), ('cat ""', 'empty query phrase'), ('cat AND dog', '')) AS t(query, error)"""
+ORACLE["own_model_topk"] = _ranked(_FREE, f"{_IDF} * tf / (tf + 1.0::DOUBLE)")
+ORACLE["vector_dimensions"] = f"WITH {_QVEC} SELECT count(*) AS n, max(len(qvec))::INTEGER AS width FROM quant"
+ORACLE["vector_file_topk"] = ORACLE["vector_topk"]
+ORACLE["search_modes"] = f"""WITH {_fusion(10)}, lexical AS ({_ranked(_FREE, _BM25, 10)}),
+semantic AS ({ORACLE["vector_topk"]} )
+SELECT 'HYBRID' AS mode, rank, doc_id, round(score, 6) AS score FROM best UNION ALL SELECT 'LEXICAL', rank, doc_id, round(score, 6) FROM lexical UNION ALL SELECT 'SEMANTIC', rank, doc_id, round(score, 6) FROM semantic WHERE rank <= 10"""
+ORACLE["fusion_counts"] = f"WITH {_TOKS} SELECT 'RRF' AS algorithm, 60.0::DOUBLE AS constant, (SELECT least(100, count(DISTINCT doc_id)) FROM posts WHERE term IN ('port', 'authority', 'election')) AS lexical_candidates, (SELECT least(100, count(*)) FROM embeddings) AS semantic_candidates"
+ORACLE["ranking_differences"] = f"""WITH a AS ({_ranked(_FREE, _BM25, 50)}), b AS ({_ranked(_FREE, f"tf * {_IDF}", 50)})
+SELECT 'models' AS compared, rank, a.doc_id AS doc_a, b.doc_id AS doc_b FROM a FULL JOIN b USING (rank) WHERE a.doc_id IS DISTINCT FROM b.doc_id"""
+ORACLE["retrieval_stats_explicit"] = f"""WITH {_TOKS}, found AS ({ORACLE["bool_nested"]}), hits AS (SELECT * FROM posts WHERE term IN ('harbour', 'port', 'authority', 'election', 'council'))
+SELECT (SELECT count(DISTINCT doc_id) FROM hits WHERE doc_id IN (SELECT doc_id FROM found)) AS documents_scored, (SELECT count(*) FROM hits) AS postings_visited, 5::BIGINT AS query_terms,
+(SELECT count(DISTINCT term) FROM hits) AS matched_terms, (SELECT count(*) FROM found) AS candidates_considered, 0::BIGINT AS blocks_skipped"""
+ORACLE["folded_terms"] = """SELECT place::INTEGER AS place, folded, term FROM (VALUES (0, 'strasse', 'strasse'), (1, 'abc', 'abc'), (2, 'fine', 'fine'), (3, 'e-mail', ''), (4, 'viii', 'viii'), (5, 'café', 'café'), (6, '!!!', ''),
+(7, 'two words', ''), (8, 'don’t', 'don’t'), (9, '3.14', '3.14')) AS t(place, folded, term)"""
+_SHOWN = "query_id * query_id * 977"
+ORACLE["scalar_functions"] = f"""SELECT query_id, coalesce(query_text, '') AS decoded, 'malformed' AS refused, CASE WHEN query_id % 5 <> 0 THEN top_n::BIGINT ELSE -1 END AS size, CASE WHEN query_id % 7 = 0 THEN -1.0::DOUBLE ELSE query_id - 2.5::DOUBLE END AS vector_sum,
+CASE WHEN {_SHOWN} < 1024 THEN ({_SHOWN})::VARCHAR || ' B' WHEN {_SHOWN} < 1048576 THEN printf('%.2f', ({_SHOWN}) / 1024.0::DOUBLE) || ' KB' WHEN {_SHOWN} < 1073741824 THEN printf('%.2f', ({_SHOWN}) / 1048576.0::DOUBLE) || ' MB'
+ELSE printf('%.2f', ({_SHOWN}) / 1073741824.0::DOUBLE) || ' GB' END AS shown FROM search_queries"""
+ORACLE["readable_pages"] = f"WITH pages AS (SELECT doc_id, {_READ} AS content FROM documents WHERE news_id IS NOT NULL) SELECT doc_id, least(length(content), 9000)::INTEGER AS n_chars, substring(content, 1, 60) AS opening FROM pages WHERE length(content) >= 250"
+ORACLE["source_blocks"] = f"""WITH {_STORE}, hits AS (SELECT DISTINCT query_id, hit_rank, doc_id FROM semantic_hits),
+rows AS (SELECT query_id, hit_rank, substring(doc_id::VARCHAR, 1, 80) AS id, substring({_S('headline')}, 1, 300) AS headline, substring({_S('link')}, 1, 2048) AS url, substring(coalesce(short_description, ''), 1, 700) AS content FROM hits JOIN store ON _id = doc_id),
+sound AS (SELECT * FROM rows WHERE headline <> '' AND {_VALID.format('url')}),
+firsts AS (SELECT * FROM sound QUALIFY row_number() OVER (PARTITION BY query_id, url ORDER BY hit_rank NULLS LAST, id) = 1),
+placed AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY hit_rank NULLS LAST, id) AS place FROM firsts QUALIFY place <= 5)
+SELECT query_id, string_agg('SOURCE ' || place || {_NL} || 'ID: ' || id || {_NL} || 'HEADLINE: ' || headline || {_NL} || 'URL: ' || url || {_NL} || 'ARTICLE TEXT:' || {_NL} || content, {_NL} || {_NL} || '---' || {_NL} || {_NL} ORDER BY place) AS block FROM placed GROUP BY 1"""
+ORACLE["ndjson_documents"] = f"""WITH {_STORE} SELECT row_number() OVER (ORDER BY _id) AS doc_id, (length({_S('headline')}) + 1 + length({_S('short_description')}))::INTEGER AS n_chars FROM store WHERE {_S('headline')} <> ''"""
+ORACLE["ndjson_faults"] = f"WITH {_STORE} SELECT count(*) + count(*) FILTER (_id % 10 = 0) AS lines, count(*) FILTER (_id % 10 = 0) AS invalid FROM store"
+ORACLE["headline_corpus"] = f"WITH {_STORE}, worded AS (SELECT _id, coalesce(headline, '') AS text FROM store WHERE regexp_matches({_folded('headline')}, '{_WORD}')) SELECT row_number() OVER (ORDER BY _id) - 1 AS doc_id, text FROM worded"
+ORACLE["vector_ingest"] = f"""WITH {_STORE}, inputs AS (SELECT row_number() OVER (ORDER BY _id) AS doc_id FROM store WHERE {_S('headline')} <> ''),
+given AS (SELECT doc_id, count(*) AS n, any_value(embedding) AS v FROM news_vectors GROUP BY 1),
+judged AS (SELECT CASE WHEN n IS NULL THEN 'missing' WHEN n > 1 THEN 'repeated' WHEN v IS NULL OR len(v) <> 64 THEN 'length'
+  WHEN len(list_filter(v, lambda x: x IS NULL OR NOT isfinite(x))) > 0 OR len(list_filter(v, lambda x: x <> 0)) = 0 THEN 'value' ELSE 'usable' END AS state FROM inputs LEFT JOIN given USING (doc_id))
+SELECT state, count(*) AS n FROM judged GROUP BY 1"""
+ORACLE["text_folder"] = f"""WITH {_STORE}, files AS (SELECT CASE WHEN length(_id::VARCHAR) < 6 THEN lpad(_id::VARCHAR, 6, '0') ELSE _id::VARCHAR END || '.txt' AS file_name,
+  {_tidy('headline')} || chr(10) || chr(10) || {_tidy('short_description')} || chr(10) AS content FROM store WHERE {_S('headline')} <> '')
+SELECT row_number() OVER (ORDER BY file_name) AS doc_id, file_name, length(content)::INTEGER AS n_chars FROM files"""
+ORACLE["store_roundtrip"] = f"WITH {_STORE} SELECT category, count(*) AS n, sum(length(concat(headline, authors, link)))::BIGINT AS n_chars FROM store GROUP BY 1"

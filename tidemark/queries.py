@@ -7,15 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions.text import cache_key, strip, tokens
+from .engine import SearchEngine
+from .functions.text import cache_key, format_bytes, fold, normal_term, parse_size, parse_vector, percent_decode, strip, tokens
 from .functions.web import html_to_text, valid_address
 from .operators import boolean, fusion, ranking, survey, vector, workload
-from .operators.index import Index, build_index
+from .operators.index import Index, build_index, duplicate_ids
 from .operators.multivalue import packed_values
-from .operators.ranking import Ranking, Strategy
-from .plans.query import parse
-from .runtime import read_table, spread
-from .sources import news
+from .operators.ranking import Model, Ranking, Strategy
+from .plans.query import QueryError, parse
+from .runtime import cut, drop_path, read_table, scratch, spread
+from .sources import news, vectors as vector_files
 
 # Queries the catalogue runs, chosen from words of the corpus.
 FREE = "port authority election"
@@ -218,7 +219,7 @@ def value_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
 #: Markup around a document's text for the page functions; the same string is built in SQL.
 _MARKUP = (
     "concat('<html><head><style>p{}</style></head><body><!-- page --><nav>menu</nav><h1 class=\"t\">', coalesce(category, ''), '</h1><p>', "
-    "replace(replace(coalesce(text, ''), '&', '&amp;'), '\\n\\n', '</p>\\n\\n <p>'), '</p><br/>&lt;end&gt;<script>var a = 1;</script><footer>foot</footer></body></html>')"
+    "replace(replace(coalesce(text, ''), '&', '&amp;'), '\\n\\n', '</p>\\n\\n <p>'), '</p><br/>&lt;end&gt; &#8364;&#x41;<script>var a = 1;</script><footer>foot</footer></body></html>')"
 )
 
 
@@ -229,7 +230,7 @@ def html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hits of the semantic searches as sources of an answer."""
-    hits = read_table(spark, sf_dir, "semantic_hits").select("query_id", "hit_rank", "doc_id").where("hit_rank is not null").distinct()
+    hits = read_table(spark, sf_dir, "semantic_hits").select("query_id", "hit_rank", "doc_id").distinct()
     stored = _store(spark, sf_dir).selectExpr("_id", "headline", "link AS url", "short_description AS description")
     return hits.join(stored, hits["doc_id"] == stored["_id"]).selectExpr("query_id", "hit_rank", "doc_id AS id", "headline", "url", "description")
 
@@ -259,6 +260,221 @@ def repeated_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("query_key").agg(F.count("*").alias("n"), F.min("query_id").alias("first_id"))
 
 
+def set_operators(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Term lookup, intersection, union, complement and their shorthands, by name."""
+    index = documents_index(spark, sf_dir)
+    a, b = boolean.term_documents(index, "harbour"), boolean.term_documents(index, "council")
+    found = {
+        "term": a,
+        "intersect": boolean.intersect(a, b),
+        "unite": boolean.unite(a, b),
+        "complement": boolean.complement(index, a),
+        "and_query": boolean.and_query(index, "harbour", "election"),
+        "or_query": boolean.or_query(index, "lighthouse", "vaccine"),
+        "not_query": boolean.not_query(index, "the"),
+        "by_sets": boolean.evaluate_by_sets(index, parse(NESTED)),
+    }
+    rows = None
+    for name, df in found.items():
+        part = df.select(F.lit(name).alias("operator"), "doc_id")
+        rows = part if rows is None else rows.unionByName(part)
+    return rows
+
+
+def posting_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frequency and positions of single terms in single documents, 0 and none where they are absent."""
+    index = documents_index(spark, sf_dir)
+    asked = [("the", 1), ("harbour", 3), ("council", 17), ("nowhere", 5), ("the", 999_999_999)]
+    rows = [(t, d, index.term_frequency(t, d), ",".join(map(str, index.term_positions(t, d))), index.document_frequency(t), index.document_length(d)) for t, d in asked]
+    return spark.createDataFrame(rows, "term string, doc_id long, tf int, positions string, df long, dl int")
+
+
+def repeated_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return duplicate_ids(read_table(spark, sf_dir, "stored_news"), "_id")
+
+
+def posting_blocks_64(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Blocks of another size, with the bounds of the other model."""
+    index = Index(documents_index(spark, sf_dir).tokens, 64)
+    return ranking.block_bounds(index, Ranking.TFIDF).withColumn("max_score", F.round("max_score", 6))
+
+
+def saved_engine_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The way of an index: added, made final, saved, loaded with full validation elsewhere, searched."""
+    at = scratch(spark, "engine")
+    SearchEngine(spark).add(read_table(spark, sf_dir, "documents")).finalize().save(at)
+    found = cut(SearchEngine(spark).load(at, validate=True).search(FREE, 10))
+    drop_path(spark, at)
+    return found
+
+
+def phrase_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether single documents hold the phrase."""
+    index = documents_index(spark, sf_dir)
+    return spark.createDataFrame([(d, boolean.matches_phrase(index, d, PHRASE.split())) for d in range(1, 13)], "doc_id long, holds boolean")
+
+
+def parse_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is said of malformed queries."""
+
+    def fault(text: str) -> str:
+        try:
+            parse(text)
+        except QueryError as e:
+            return str(e)
+        return ""
+
+    texts = ["", "   ", "cat )", "NOT", "(cat", "AND cat", "cat OR", '"cat', 'cat ""', "cat AND dog"]
+    return spark.createDataFrame([(t, fault(t)) for t in texts], "query string, error string")
+
+
+#: A model of one's own: frequencies that level off.
+LEVELLING = Model(lambda idf, tf, dl, avgdl: idf * tf / (tf + 1.0))
+
+
+def own_model_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranking.search(documents_index(spark, sf_dir), FREE, 10, LEVELLING)
+
+
+def vector_dimensions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector.dimensions(_vectors(spark, sf_dir))
+
+
+def vector_file_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The vectors written, read back and searched; the legacy layout made from a part of them and converted, too."""
+    at = scratch(spark, "vectors")
+    vector_files.write_vectors(_vectors(spark, sf_dir), at)
+    found = cut(vector.search(vector_files.read_vectors(spark, at), _one_embedding(spark, sf_dir), 20))
+    drop_path(spark, at)
+    return found
+
+
+def search_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One request in each mode, through the public interface."""
+    engine = SearchEngine(spark, vectors=_vectors(spark, sf_dir), _index=documents_index(spark, sf_dir), _final=True)
+    rows = None
+    for mode in ("HYBRID", "LEXICAL", "SEMANTIC"):
+        part = engine.request(FREE, 10, mode, _one_embedding(spark, sf_dir)).select(F.lit(mode).alias("mode"), "rank", "doc_id", F.round(F.col("score").cast("double"), 6).alias("score"))
+        rows = part if rows is None else rows.unionByName(part)
+    return rows
+
+
+def fusion_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lexical = ranking.search(documents_index(spark, sf_dir), FREE, fusion.candidate_depth(20))
+    return fusion.fusion_stats(lexical, vector.search(_vectors(spark, sf_dir), _one_embedding(spark, sf_dir), fusion.candidate_depth(20)))
+
+
+def ranking_differences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Places at which BM25 and TF-IDF rank other documents, and (none) at which two strategies do."""
+    index = documents_index(spark, sf_dir)
+    bm25, tfidf = ranking.search(index, FREE, 50), ranking.search(index, FREE, 50, Ranking.TFIDF)
+    models = workload.differences(bm25, tfidf, tolerance=1e9).select(F.lit("models").alias("compared"), "rank", "doc_a", "doc_b")
+    same = workload.differences(bm25, ranking.search(index, FREE, 50, strategy=Strategy.BLOCK_MAX_WAND))
+    return models.unionByName(same.select(F.lit("strategies").alias("compared"), "rank", "doc_a", "doc_b"))
+
+
+def retrieval_stats_explicit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranking.retrieval_stats(documents_index(spark, sf_dir), NESTED)
+
+
+def folded_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Folding and the single-term rule on words of the corpus and on forms that only full folding brings together."""
+    words = ["Straße", "ＡＢＣ", "ﬁne", "e-mail", "Ⅷ", "CAFÉ", "!!!", "two words", "don’t", "3.14"]
+    mine = spark.createDataFrame([(n, w, normal_term(w)) for n, w in enumerate(words)], "place int, word string, term string")
+    return mine.select("place", fold(F.col("word")).alias("folded"), F.coalesce("term", F.lit("")).alias("term"))
+
+
+def scalar_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Decoding and parsing of request fields, on the recorded searches and what is made of them."""
+    rows = read_table(spark, sf_dir, "search_queries").select("query_id", "query_text", "top_n")
+    size = F.when(F.col("query_id") % 5 == 0, F.lit("12x")).otherwise(F.col("top_n").cast("string"))
+    numbers = F.when(F.col("query_id") % 7 == 0, F.lit("1 nan")).otherwise(F.concat(F.lit(" "), F.col("query_id").cast("string"), F.lit("\t-2.5 ")))
+    encoded = F.replace(F.url_encode(F.coalesce("query_text", F.lit(""))), F.lit("+"), F.lit("%20"))
+    return rows.select(
+        "query_id",
+        percent_decode(encoded).alias("decoded"),
+        F.coalesce(percent_decode(F.concat(encoded, F.lit("%4"))), F.lit("malformed")).alias("refused"),
+        F.coalesce(parse_size(size), F.lit(-1).cast("bigint")).alias("size"),
+        F.coalesce(F.aggregate(parse_vector(numbers), F.lit(0.0), lambda s, x: s + x), F.lit(-1.0)).alias("vector_sum"),
+        format_bytes(F.col("query_id") * F.col("query_id") * 977).alias("shown"),
+    )
+
+
+def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fetched sources of the searches: each source's page is made of the article that opens with its headline."""
+    docs = read_table(spark, sf_dir, "documents").where("news_id is not null").select("doc_id", "news_id", "category", "text")
+    pages = spread(docs).select("doc_id", F.col("news_id").cast("string").alias("id"), F.expr(_MARKUP).alias("html"))
+    return survey.readable(pages, "html")
+
+
+def readable_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages with enough text to be used, and the length of what is kept of it."""
+    return _pages(spark, sf_dir).select("doc_id", F.length("content").alias("n_chars"), F.substring("content", 1, 60).alias("opening"))
+
+
+def source_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The numbered source block of every search whose usable sources have a readable description."""
+    sources = survey.usable_sources(_sources(spark, sf_dir), "query_id", "hit_rank").withColumn("content", F.col("description"))
+    return survey.source_block(sources, "query_id")
+
+
+def _lines(spark: SparkSession, sf_dir: str, at: str) -> None:
+    """The stored news as a folder of JSON lines, in the order of their ids, with faulty and blank lines between."""
+    rows = _store(spark, sf_dir).withColumn("line", F.to_json(F.struct(*news.FIELDS)))
+    faulty = F.when(F.col("_id") % 10 == 0, F.concat("line", F.lit("\n{broken"))).when(F.col("_id") % 10 == 1, F.concat("line", F.lit("\n \n"))).otherwise(F.col("line"))
+    rows.repartitionByRange(1, "_id").sortWithinPartitions("_id").select(faulty.alias("value")).write.text(at)
+
+
+def ndjson_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """JSON lines read back, numbered by line order: ids, and what is indexed, of every record with a headline."""
+    at = scratch(spark, "lines")
+    _lines(spark, sf_dir, at)
+    found = cut(news.index_documents(news.read_ndjson(spark, at)))
+    drop_path(spark, at)
+    return found.select("doc_id", F.length("text").alias("n_chars"))
+
+
+def ndjson_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    at = scratch(spark, "lines")
+    _lines(spark, sf_dir, at)
+    found = cut(news.count_invalid(spark, at))
+    drop_path(spark, at)
+    return found
+
+
+def headline_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Headlines that hold a word, numbered from 0 in line order."""
+    lines = _store(spark, sf_dir).select(F.col("_id").alias("line_no"), *[F.coalesce(f, F.lit("")).alias(f) for f in news.FIELDS])
+    return news.headline_corpus(lines)
+
+
+def vector_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many of the first 1,000,000 records have an embedding that can be used, and what is wrong with the others."""
+    lines = _store(spark, sf_dir).select(F.col("_id").alias("line_no"), *[strip(F.col(f)).alias(f) for f in news.FIELDS]).where("headline <> ''")
+    inputs = news.vector_inputs(lines, 1_000_000)
+    checked = news.checked_embeddings(inputs, read_table(spark, sf_dir, "news_vectors"), 64)
+    return checked.groupBy(F.coalesce("fault", F.lit("usable")).alias("state")).agg(F.count("*").alias("n"))
+
+
+def text_folder(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records written as single text files and read back as a folder of documents, numbered by path."""
+    at = scratch(spark, "texts")
+    news.write_files(news.text_files(_store(spark, sf_dir).where(strip(F.col("headline")) != "")), at)
+    found = cut(news.read_folder(spark, at))
+    drop_path(spark, at)
+    return found.select("doc_id", F.regexp_extract("path", "[^/]+$", 0).alias("file_name"), F.length("text").alias("n_chars"))
+
+
+def store_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The document store written and read back: records and length of their fields by category."""
+    at = scratch(spark, "store")
+    news.write_store(_store(spark, sf_dir), at)
+    rows = spark.read.parquet(at)
+    found = cut(rows.groupBy("category").agg(F.count("*").alias("n"), F.sum(F.length(F.concat_ws("", "headline", "authors", "link"))).alias("n_chars")))
+    drop_path(spark, at)
+    return found
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "tokenize_positions": tokenize_positions,
     "doc_lengths": doc_lengths,
@@ -303,5 +519,29 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "ndjson_ingest": ndjson_ingest,
     "text_file_stats": text_file_stats,
     "repeated_queries": repeated_queries,
+    "set_operators": set_operators,
+    "posting_lookup": posting_lookup,
+    "repeated_ids": repeated_ids,
+    "posting_blocks_64": posting_blocks_64,
+    "saved_engine_search": saved_engine_search,
+    "phrase_check": phrase_check,
+    "parse_errors": parse_errors,
+    "own_model_topk": own_model_topk,
+    "vector_dimensions": vector_dimensions,
+    "vector_file_topk": vector_file_topk,
+    "search_modes": search_modes,
+    "fusion_counts": fusion_counts,
+    "ranking_differences": ranking_differences,
+    "retrieval_stats_explicit": retrieval_stats_explicit,
+    "folded_terms": folded_terms,
+    "scalar_functions": scalar_functions,
+    "readable_pages": readable_pages,
+    "source_blocks": source_blocks,
+    "ndjson_documents": ndjson_documents,
+    "ndjson_faults": ndjson_faults,
+    "headline_corpus": headline_corpus,
+    "vector_ingest": vector_ingest,
+    "text_folder": text_folder,
+    "store_roundtrip": store_roundtrip,
     "p3_found": p3_found,
 }

@@ -35,8 +35,12 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Materialise `df` in the shared folder and forget its lineage; survives the loss of any executor."""
+    """Materialise `df` in the shared folder and forget its lineage; survives the loss of any executor.
+
+    Spark removes the files once no plan refers to them, also where the session was not started with that setting.
+    """
     sc = df.sparkSession.sparkContext
+    sc._jsc.sc().conf().set("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
@@ -61,11 +65,6 @@ def local_part(path: str) -> str | None:
     return path if path.startswith(os.sep) else None
 
 
-def tasks_for(spark: SparkSession) -> int:
-    """Number of tasks for one wave of Python work after a shuffle."""
-    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
-
-
 def spread(df: DataFrame) -> DataFrame:
     """`df` over at least as many partitions as there are cores, for CPU-heavy row-wise work on few, small files."""
     cores = df.sparkSession.sparkContext.defaultParallelism

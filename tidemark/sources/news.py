@@ -25,8 +25,8 @@ def numbered(rows: DataFrame, name: str, start: int = 1, settle: bool = False) -
     """`rows` with `name`, consecutive numbers in their present order (as read, or as sorted).
 
     Rows are numbered within their partition, and the rows of earlier partitions (one count per partition) are added;
-    a scan gives the same partitions each time it runs. Sorted rows do not once columns are pruned, so they are
-    materialised first (`settle`).
+    with `settle` the marked rows are materialised first, so the numbers are made once, whatever a plan does to the
+    scan or the sort above it.
     """
     mark = F.monotonically_increasing_id()
     marked = rows.withColumn("_mark", mark).withColumn("_part", F.shiftright("_mark", 33)).withColumn("_at", F.col("_mark").bitwiseAND(F.lit((1 << 33) - 1)))
@@ -57,7 +57,7 @@ def records_of(lines: DataFrame, keep_blank_headlines: bool = False) -> DataFram
 
 def read_ndjson(spark: SparkSession, path: str, keep_blank_headlines: bool = False) -> DataFrame:
     """`records_of` the lines of text files, numbered in the order they are read."""
-    return records_of(numbered(spark.read.text(path), "line_no"), keep_blank_headlines)
+    return records_of(numbered(spark.read.text(path), "line_no", settle=True), keep_blank_headlines)
 
 
 def count_invalid(spark: SparkSession, path: str) -> DataFrame:
@@ -130,30 +130,46 @@ def file_stats(files: DataFrame) -> DataFrame:
 
 
 def write_files(files: DataFrame, folder: str) -> None:
-    """One text file per record below `folder`, written by the tasks through Hadoop's file systems or a mounted path."""
+    """One text file per record below `folder`, written by the tasks on any file system that Arrow has a driver for
+    (mounted folders, HDFS, object stores); each file appears whole."""
     files.select("file_name", "content").foreachPartition(_writer(folder))
 
 
 def _writer(folder: str):
-    from ..runtime import local_part
-
-    at = local_part(folder)
-    if at is None:
-        raise SourceError("single files are written to mounted folders only")
-
     def write(rows) -> None:
-        import os
+        from pyarrow import fs
 
-        os.makedirs(at, exist_ok=True)
+        where, at = fs.FileSystem.from_uri(folder)
+        where.create_dir(at, recursive=True)
         for r in rows:
-            beside = os.path.join(at, f".{r['file_name']}.part")
-            with open(beside, "w", encoding="utf-8", newline="") as f:
-                f.write(r["content"])
-            os.replace(beside, os.path.join(at, r["file_name"]))
+            beside = f"{at}/.{r['file_name']}.part"
+            with where.open_output_stream(beside) as f:
+                f.write(r["content"].encode("utf-8"))
+            where.move(beside, f"{at}/{r['file_name']}")
 
     return write
 
 
+def vector_inputs(records: DataFrame, limit: int | None = None) -> DataFrame:
+    """doc_id (from 1), text: what is embedded of each record with a headline, the first `limit` of them."""
+    found = with_ids(records, "doc_id").select("doc_id", search_text(F.col("headline"), F.col("short_description")).alias("text"))
+    return found if limit is None else found.where(F.col("doc_id") <= limit)
+
+
+def checked_embeddings(inputs: DataFrame, embeddings: DataFrame, width: int, key: str = "doc_id", vector: str = "embedding") -> DataFrame:
+    """doc_id, embedding, fault: every input with its embedding, or null and why there is none that can be used.
+
+    `fault` is missing, repeated, length (other than `width`) or value (null, infinite, NaN or all zero).
+    """
+    from ..operators.vector import usable
+
+    found = embeddings.groupBy(F.col(key).cast("bigint").alias("doc_id")).agg(F.count("*").alias("n"), F.first(vector).alias("v"))
+    rows = inputs.select("doc_id").join(found, "doc_id", "left")
+    fault = F.when(F.col("n").isNull(), "missing").when(F.col("n") > 1, "repeated").when(F.col("v").isNull() | (F.size("v") != width), "length").when(~usable(F.col("v"), width), "value")
+    rows = rows.select("doc_id", "v", fault.alias("fault"))
+    return rows.select("doc_id", F.when(F.col("fault").isNull(), F.col("v")).alias("embedding"), "fault")
+
+
 def write_store(documents: DataFrame, path: str, by: str | None = None) -> None:
     """The document store as Parquet, replaced as a whole; `by` partitions it for filters on that column."""
     writer = documents.write.mode("overwrite")
