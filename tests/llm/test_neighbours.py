@@ -1,7 +1,7 @@
 import numpy as np
 import pytest
 
-from tidemark.llm.neighbours import code_error, hadamard, nearest
+from tidemark.llm.neighbours import buckets, code_error, hadamard, nearest, padded, plan_for
 
 WIDTH = 12
 
@@ -115,3 +115,40 @@ def test_the_error_of_the_codes_is_bounded():
         unit = code / np.linalg.norm(code, axis=1, keepdims=True)
         error = code_error(code)
         assert (np.abs(unit @ unit.T - v @ v.T) <= error[:, None] + error).all()
+
+
+@pytest.mark.parametrize("n", [10_000, 3_000_000, 400_000_000, 10**11])
+@pytest.mark.parametrize("cosine, recall", [(0.85, 0.99), (0.6, 0.9)])
+def test_planned_tables_reach_the_recall_at_every_size(n, cosine, recall):
+    """Pairs of just that cosine, made apart from those the plan is measured on, meet in some table of the plan."""
+    plan = plan_for(n, 64, cosine, recall)
+    rng = np.random.default_rng(77)
+    x, y = rng.normal(size=(2, 1500, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    y -= x * (x * y).sum(axis=1, keepdims=True)
+    y = cosine * x + np.sqrt(1 - cosine**2) * y / np.linalg.norm(y, axis=1, keepdims=True)
+    x, y = padded(x.astype(np.float32)), padded(y.astype(np.float32))
+    met = np.zeros(1500, bool)
+    for t in range(plan.tables):
+        (a, pa_), (b, pb) = buckets(x, t, plan.digits, plan.probes), buckets(y, t, plan.digits, plan.probes)
+        met |= (a == b) | (pa_ == b[:, None]).any(axis=1) | (pb == a[:, None]).any(axis=1)
+    assert met.mean() >= recall - 0.02
+
+
+@pytest.mark.parametrize("digits", [(1,), (2,), (3,), (4,)])
+def test_recall_with_any_number_of_digits(spark, digits):
+    vectors = clustered(400)
+    near = nearest(frame(spark, vectors.items()), "id", "v", 5, least=0.85, digits=digits)
+    assert recall(found(near), brute(vectors, 5, 0.85)) >= 0.9
+
+
+def test_all_rows_asking_without_a_bound(spark):
+    vectors = clustered(600, spread=0.4)
+    assert recall(found(nearest(frame(spark, vectors.items()), "id", "v", 5)), brute(vectors, 5)) >= 0.9
+
+
+@pytest.mark.parametrize("hot", [4096, 30])
+def test_exact_neighbours_are_those_of_brute_force(spark, hot):
+    vectors = clustered(150, spread=0.5)
+    near = nearest(frame(spark, vectors.items()), "id", "v", 4, exact=True, asking="key % 6 = 0", hot=hot)
+    assert {a: sorted(b) for a, b in found(near).items()} == {i: sorted(b) for i, b in brute(vectors, 4).items() if i % 6 == 0}

@@ -1,12 +1,14 @@
 """Most similar vectors for every vector: cross-polytope hashing with multiprobe and exact reranking.
 
 1. Unusable vectors are left out; equal directions form a class with one representative, so copies cost nothing.
-2. Each of TABLES tables rotates a unit vector by three rounds of random signs and a fast Hadamard transform, and
-   takes the axis with the largest component and its sign; `digits` independent rotations make one bucket key. The
-   number of digits follows from the number of vectors, so that buckets keep about TARGET members.
-3. A vector lies in its own bucket and also probes the PROBES buckets that are next best by the margin between the
-   best and the second-best axis of one digit. Buckets above HOT members are split by further digits, with probing,
-   before their rows meet; what digits can't part is compared in blocks, exactly.
+2. Each of several tables rotates a unit vector by three rounds of random signs and a fast Hadamard transform, and
+   takes the axis with the largest component and its sign; `digits` independent rotations make one bucket key.
+3. A vector lies in its own bucket and also probes buckets that are next best by the margin between the best and
+   another axis of one digit. How many digits, probes and tables there are is planned: for every choice the chance that
+   two vectors of the cosine at hand meet in a table is measured on random pairs, the tables follow from it and the
+   recall asked for, and the cheapest choice at the number of vectors is taken. So recall does not depend on the size.
+   Buckets above HOT members are split by further digits, several times over so that pairs are not lost, before their
+   rows meet; what a digit does not part well is compared in blocks, exactly.
 4. Within a bucket 8-bit copies of the vectors select candidates: all that can be among the k best, given the proven
    error of the estimates; only (id, id) pairs leave the bucket. A row with more than PAIRS of them, such as one amid
    near copies, is compared with the exact vectors of its candidates, bucket by bucket.
@@ -16,6 +18,8 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -24,16 +28,25 @@ from pyspark.sql import functions as F
 
 from ..runtime import cut
 
-TABLES, PROBES, TARGET, HOT = 8, 2, 8, 4096
-#: Settings for few asking vectors whose neighbours are far away (cosine below 0.6): larger buckets, more probes.
-WIDE_TABLES, WIDE_TARGET, WIDE_PROBES, WIDE_HOT = 8, 4000, 8, 65_536
+#: Members of a bucket that are compared in one task.
+HOT = 4096
+#: Recall of pairs at the planned cosine. Above the lower bound COSINE that bound is planned for; below it, the cosine
+#: that all but a share FAR of the last neighbours reach, measured on SAMPLE asking rows against all rows.
+RECALL, COSINE, FAR, SAMPLE = 0.95, 0.6, 0.1, 64
+#: Choices of the plan, and its costs in seconds: of an entry that is shuffled, of a comparison, of a digit.
+DIGITS, PROBES = (1, 2, 3, 4), (0, 1, 2, 4, 8, 16)
+ENTRY, PAIR, HASH = 6e-6, 1.2e-8, 2e-6
 #: Candidates of a row in a bucket that leave it as pairs; with more, the exact vectors decide.
 PAIRS = 64
 SEED = 20240229
 #: Digits from here on are used to split hot buckets, so they never repeat those of the bucket keys.
 DIGIT = 64
 #: How often hot buckets are split by a digit before they are compared in blocks.
-LEVELS = 6
+LEVELS = 3
+#: Share of the pairs that a split of a hot bucket keeps together, and the most repeats that are worth it.
+SPLIT, REPEATS = 0.95, 4
+#: A digit must leave at most this share of a hot bucket together to be worth taking.
+PARTED = 0.5
 
 
 def hadamard(x: np.ndarray) -> np.ndarray:
@@ -91,6 +104,81 @@ def usable(df: DataFrame, key: str, vector: str) -> DataFrame:
 ENTRIES = "tbl int, bucket long, key long, code binary, own boolean, ask boolean"
 
 
+Parts = list[tuple[np.ndarray, np.ndarray]]
+
+
+def combined(parts: Parts, radix: int, probes: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of each row its own bucket by all digits (`parts`), and the `probes` next best ones by what they cost in margin."""
+    own = np.zeros(len(parts[0][0]), dtype=np.int64)
+    for at, _ in parts:
+        own = own * radix + at[:, 0]
+    if not probes:
+        return own, np.zeros((len(own), 0), dtype=np.int64)
+    costs = np.concatenate([cost[:, :probes] for _, cost in parts], axis=1)
+    steps = np.concatenate([(at[:, 1 : probes + 1] - at[:, :1]) * np.int64(radix) ** (len(parts) - 1 - g) for g, (at, _) in enumerate(parts)], axis=1)
+    order = np.argsort(costs, axis=1, kind="stable")[:, :probes]
+    return own, own[:, None] + np.take_along_axis(steps, order, 1)
+
+
+def buckets(wide: np.ndarray, table: int, digits: int, probes: int) -> tuple[np.ndarray, np.ndarray]:
+    """`combined` of rows (padded) in a table."""
+    return combined([cross_polytope(wide, table, g, max(1, probes)) for g in range(digits)], 2 * wide.shape[1], probes)
+
+
+@lru_cache(maxsize=64)
+def meeting(width: int, cosine: float, both: bool, pairs: int = 1000, tables: int = 4) -> dict[tuple[int, int], float]:
+    """(digits, probes) -> the chance that two vectors of that cosine meet in one table, measured on random pairs (the
+    same every time); `both`: each probes, else the first alone."""
+    rng = np.random.default_rng((SEED, width))
+    x, y = rng.standard_normal((2, pairs, width))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    y -= x * (x * y).sum(axis=1, keepdims=True)
+    y = cosine * x + np.sqrt(max(0.0, 1.0 - cosine * cosine)) * y / np.maximum(np.linalg.norm(y, axis=1, keepdims=True), 1e-12)
+    x, y = padded(x.astype(np.float32)), padded(y.astype(np.float32))
+    radix = 2 * x.shape[1]
+    met = dict.fromkeys([(g, p) for g in DIGITS for p in PROBES], 0)
+    for t in range(tables):
+        parts = [[cross_polytope(v, t, g, max(PROBES)) for g in range(max(DIGITS))] for v in (x, y)]
+        for g, p in met:
+            (a, pa_), (b, pb) = (combined(of[:g], radix, p) for of in parts)
+            met[g, p] += int(((a == b) | (pa_ == b[:, None]).any(axis=1) | (both & (pb == a[:, None]).any(axis=1))).sum())
+    trials = pairs * tables
+    # two standard errors less than measured, as the cheapest choice would otherwise be one that was measured too high
+    return {choice: max(0.0, n / trials - 2 * np.sqrt(max(n, 1) * (1 - n / trials)) / trials) for choice, n in met.items()}
+
+
+def tables_for(chance: float, recall: float) -> int:
+    """Tables in which a pair that meets with `chance` in each meets somewhere with the chance `recall`."""
+    return 1 if chance >= recall else int(np.ceil(np.log(1.0 - recall) / np.log(1.0 - chance)))
+
+
+@dataclass(frozen=True)
+class Plan:
+    tables: int
+    digits: int
+    probes: int
+    repeats: int
+
+
+def plan_for(n: int, width: int, cosine: float, recall: float, ask: float = 1.0, digits: tuple[int, ...] = DIGITS) -> Plan:
+    """The cheapest tables, digits and probes for `n` vectors of which a share `ask` asks; see the module's text."""
+    cosine = round(min(max(cosine, 0.1), 0.999), 2)
+    radix = 2 * (1 << max(1, (width - 1).bit_length()))
+    best, choice, chances = np.inf, None, meeting(width, cosine, ask >= 1.0)
+    for g in digits:
+        for p in PROBES:
+            chance = chances[g, p]
+            if chance < 1e-3:
+                continue
+            tables = tables_for(chance, recall)
+            cost = tables * ((1 + ask * p) * ENTRY + ask * (1 + p) * n / radix**g * PAIR + g * HASH)
+            if cost < best:
+                best, choice = cost, (tables, g, p)
+    if choice is None:  # the cosine is too low for hashing to help
+        choice = (tables_for(1e-3, recall), digits[0], PROBES[-1])
+    return Plan(*choice, tables_for(max(chances[1, 1], 1e-3), SPLIT))
+
+
 def _hash_rows(tables: int, digits: int, probes: int):
     """A row of (key, ask, v) becomes one entry per table in its own bucket and, where `ask`, the probing entries."""
 
@@ -104,26 +192,52 @@ def _hash_rows(tables: int, digits: int, probes: int):
             packed = pa.array([r.tobytes() for r in code], pa.binary())
             wide, keys, ask = padded(x), batch.column(0), batch.column(1).to_numpy(zero_copy_only=False)
             asking = np.flatnonzero(ask)
-            radix = 2 * wide.shape[1]
+            rows = pa.array(asking)
             for t in range(tables):
-                parts = [cross_polytope(wide, t, g, probes) for g in range(digits)]
-                bucket = np.zeros(n, dtype=np.int64)
-                for at, _ in parts:
-                    bucket = bucket * radix + at[:, 0]
+                bucket, probing = buckets(wide, t, digits, probes if len(asking) else 0)
                 yield _entries(t, bucket, keys, packed, True, ask)
-                if not len(asking):
-                    continue
-                costs = np.concatenate([cost for _, cost in parts], axis=1)[asking]
-                steps = np.concatenate([(at[:, 1:] - at[:, :1]) * np.int64(radix) ** (digits - 1 - g) for g, (at, _) in enumerate(parts)], axis=1)[asking]
-                order = np.argsort(costs, axis=1, kind="stable")[:, :probes]
-                rows = pa.array(asking)
-                for rank in range(order.shape[1]):
-                    probe = bucket[asking] + np.take_along_axis(steps, order[:, rank : rank + 1], 1)[:, 0]
-                    yield _entries(t, probe, keys.take(rows), packed.take(rows), False, np.ones(len(asking), bool))
+                for rank in range(probing.shape[1]):
+                    yield _entries(t, probing[asking, rank], keys.take(rows), packed.take(rows), False, np.ones(len(asking), bool))
 
     return run
 
 
+def usual_cosine(rows: DataFrame, k: int, sample: int = SAMPLE, far: float = FAR) -> float:
+    """The cosine that all but a share `far` of the k-th neighbours reach: `sample` asking rows of (key, ask, v), chosen
+    by hash, against all rows. Each task keeps its own k best of each."""
+    chosen = rows.where("ask").orderBy(F.xxhash64("key"), "key").limit(sample).select("key", "v").collect()
+    if not chosen:
+        return COSINE
+    shared = rows.sparkSession.sparkContext.broadcast((np.array([r["key"] for r in chosen]), np.array([r["v"] for r in chosen])))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, asked = shared.value
+        best = np.full((len(keys), 0), -2.0)
+        for batch in batches:
+            if batch.num_rows:
+                v = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+                s = asked @ v.T
+                s[keys[:, None] == batch.column(0).to_numpy()[None, :]] = -2.0
+                best = np.concatenate([best, s], axis=1)
+                best = np.partition(best, -k, axis=1)[:, -k:] if best.shape[1] > k else best
+        q, c = np.nonzero(best > -1.5)
+        yield pa.RecordBatch.from_arrays([pa.array(keys[q]), pa.array(best[q, c])], names=["q", "cosine"])
+
+    found = rows.select("key", "v").mapInArrow(run, "q long, cosine double")
+    kth = found.groupBy("q").agg(F.slice(F.sort_array(F.collect_list("cosine"), asc=False), 1, k).alias("c"))  # tasks * k of each
+    return float(np.quantile([r["low"] for r in kth.select(F.element_at("c", -1).alias("low")).collect()] or [COSINE], far))
+
+
+def _one_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Every row of (key, ask, v) as an entry of one bucket."""
+    for batch in batches:
+        if batch.num_rows:
+            x = batch.column(2).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1).astype(np.float32)
+            code = np.clip(np.rint(x / np.abs(x).max(axis=1, keepdims=True) * 127), -127, 127).astype(np.int8)
+            packed = pa.array([r.tobytes() for r in code], pa.binary())
+            yield _entries(0, np.zeros(len(x), np.int64), batch.column(0), packed, True, batch.column(1).to_numpy(zero_copy_only=False))
+
+
 def _entries(table: int, bucket: np.ndarray, keys: pa.Array, packed: pa.Array, own: bool, ask: np.ndarray) -> pa.RecordBatch:
     n = len(bucket)
     columns = [pa.array(np.full(n, table, np.int32)), pa.array(bucket), keys, packed, pa.array(np.full(n, own)), pa.array(ask.astype(bool))]
@@ -171,8 +285,9 @@ def _bucket_pairs(key: np.ndarray, code: np.ndarray, own: np.ndarray, ask: np.nd
         yield key[rows[r]], key[base[c]], False
 
 
-def _deeper(level: int):
-    """Entries with one more digit in their bucket; asking rows also probe their second-best vertex."""
+def _deeper(level: int, repeats: int, probing: bool = True):
+    """Entries with one more digit in their bucket, `repeats` times by different ones; asking rows also probe their
+    second-best vertex."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -182,43 +297,50 @@ def _deeper(level: int):
             tbl, bucket = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             code = np.frombuffer(b"".join(batch.column(3).to_pylist()), dtype=np.int8).reshape(n, -1)
             unit = padded(code.astype(np.float32))
-            at = np.zeros((n, 2), dtype=np.int64)
-            for t in np.unique(tbl):
-                rows = np.flatnonzero(tbl == t)
-                at[rows] = cross_polytope(unit[rows], int(t), DIGIT + level, 1)[0]
-            mixed = (bucket[:, None] ^ ((at + 1) * np.int64(0x9E3779B97F4A7C1))) * np.int64(0x2545F4914F6CDD1D)
             asking = np.flatnonzero(batch.column(5).to_numpy(zero_copy_only=False))
-            yield batch.set_column(1, "bucket", pa.array(mixed[:, 0]))
-            probes = batch.take(pa.array(asking))
-            yield probes.set_column(1, "bucket", pa.array(mixed[asking, 1])).set_column(4, "own", pa.array(np.zeros(len(asking), bool)))
+            for r in range(repeats):
+                at = np.zeros((n, 2), dtype=np.int64)
+                for t in np.unique(tbl):
+                    rows = np.flatnonzero(tbl == t)
+                    at[rows] = cross_polytope(unit[rows], int(t), DIGIT + 64 * level + r, 1)[0]
+                mixed = (bucket[:, None] ^ ((at + 1 + 4096 * r) * np.int64(0x9E3779B97F4A7C1))) * np.int64(0x2545F4914F6CDD1D)
+                yield batch.set_column(1, "bucket", pa.array(mixed[:, 0]))
+                if probing:
+                    probes = batch.take(pa.array(asking))
+                    yield probes.set_column(1, "bucket", pa.array(mixed[asking, 1])).set_column(4, "own", pa.array(np.zeros(len(asking), bool)))
 
     return run
 
 
-def _cooled(entries: DataFrame, own: DataFrame, hot: int) -> DataFrame:
+def _crowded(own: DataFrame, hot: int) -> DataFrame:
+    """tbl, bucket, members of the buckets with more than `hot` rows of their own (at most entries / hot)."""
+    return own.where("own").groupBy("tbl", "bucket").agg(F.count("*").alias("members")).where(F.col("members") > hot)
+
+
+def _largest(entries: DataFrame) -> int:
+    return entries.groupBy("tbl", "bucket").count().agg(F.max("count")).first()[0]
+
+
+def _cooled(entries: DataFrame, own: DataFrame, hot: int, repeats: int) -> DataFrame:
     """`entries` with every bucket of more than `hot` own rows split before the rows of a bucket meet in a task.
 
-    Hot buckets get further digits. Where a digit no longer parts them, or after LEVELS of them, their own rows and
-    their asking rows are dealt into blocks, and each block meets each: whatever is left is compared exactly, in
-    tasks of bounded size. `own` are the entries that hold rows, to be counted.
+    Hot buckets get a further digit, `repeats` times over. Where a digit hardly parts them, or after LEVELS of them,
+    their own rows and their asking rows are dealt into blocks, and each block meets each: whatever is left is
+    compared exactly, in tasks of bounded size. `own` are the entries that hold rows, to be counted.
     """
-    parts, spark = [], entries.sparkSession
-    before: int | None = None
+    parts = []
     for level in range(LEVELS + 1):
-        counts = own.where("own").groupBy("tbl", "bucket").count().where(F.col("count") > hot)
-        found = [tuple(r) for r in counts.collect()]  # at most entries / hot buckets
-        if not found:
+        table = cut(_crowded(own, hot))
+        most = table.agg(F.max("members")).first()[0]
+        if most is None:
             parts.append(entries)
             break
-        table = F.broadcast(spark.createDataFrame(found, "tbl int, bucket long, members long"))
-        parts.append(entries.join(table.drop("members"), ["tbl", "bucket"], "left_anti"))
-        rows = cut(entries.join(table, ["tbl", "bucket"]).select("tbl", "bucket", "key", "code", "own", "ask", "members"))
-        most = max(n for _, _, n in found)
-        if level == LEVELS or before is not None and most > 0.9 * before:
+        parts.append(entries.join(table, ["tbl", "bucket"], "left_anti"))
+        rows = cut(entries.join(table, ["tbl", "bucket"], "left_semi").select("tbl", "bucket", "key", "code", "own", "ask"))
+        if level == LEVELS or repeats > REPEATS or _largest(rows.where("own").mapInArrow(_deeper(level, 1, False), ENTRIES)) > PARTED * most:
             parts.append(_blocks(rows, hot))
             break
-        before = most
-        entries = own = cut(rows.drop("members").mapInArrow(_deeper(level), ENTRIES))
+        entries = own = cut(rows.mapInArrow(_deeper(level, repeats), ENTRIES))
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)
@@ -227,11 +349,14 @@ def _cooled(entries: DataFrame, own: DataFrame, hot: int) -> DataFrame:
 
 def _blocks(rows: DataFrame, hot: int) -> DataFrame:
     """Every block of own rows of a bucket with every block of its asking rows, as buckets of their own."""
-    n = F.ceil(F.col("members") / hot).cast("int")
-    every, mine = F.sequence(F.lit(0), n - 1), F.pmod(F.xxhash64("key"), n.cast("bigint")).cast("int")
-    bucket = lambda i, j: F.xxhash64("bucket", i, j).alias("bucket")
-    held = rows.where("own").withColumn("i", mine).withColumn("j", F.explode(every)).select("tbl", bucket("i", "j"), "key", "code", F.lit(True).alias("own"), F.lit(False).alias("ask"))
-    asked = rows.where("ask").withColumn("j", mine).withColumn("i", F.explode(every)).select("tbl", bucket("i", "j"), "key", "code", F.lit(False).alias("own"), F.lit(True).alias("ask"))
+    sizes = rows.groupBy("tbl", "bucket").agg(F.count_if("own").alias("n_own"), F.count_if("ask").alias("n_ask"))
+    number = lambda n: F.greatest(F.ceil(F.col(n) / hot), F.lit(1)).cast("int")
+    dealt = rows.join(sizes.select("tbl", "bucket", number("n_own").alias("ni"), number("n_ask").alias("nj")), ["tbl", "bucket"])
+    mine = lambda n: F.pmod(F.xxhash64("key"), F.col(n).cast("bigint")).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    bucket = F.xxhash64(F.lit("block"), F.col("bucket"), F.col("i"), F.col("j")).alias("bucket")
+    held = dealt.where("own").withColumn("i", mine("ni")).withColumn("j", every("nj")).select("tbl", bucket, "key", "code", F.lit(True).alias("own"), F.lit(False).alias("ask"))
+    asked = dealt.where("ask").withColumn("j", mine("nj")).withColumn("i", every("ni")).select("tbl", bucket, "key", "code", F.lit(False).alias("own"), F.lit(True).alias("ask"))
     return held.unionByName(asked)
 
 
@@ -314,9 +439,13 @@ def _decided(k: int):
     return _by_group(["g"], emit)
 
 
-def nearest(df: DataFrame, key: str, vector: str, k: int, least: float = -1.0, asking: str | None = None, tables: int = TABLES, probes: int = PROBES, target: int = TARGET, hot: int = HOT) -> DataFrame:
+def nearest(
+    df: DataFrame, key: str, vector: str, k: int, least: float = -1.0, asking: str | None = None, recall: float = RECALL, cosine: float | None = None, exact: bool = False, hot: int = HOT, digits: tuple[int, ...] = DIGITS
+) -> DataFrame:
     """a, b, cosine, place: for each key its `k` most similar other keys with cosine >= `least`, as far as found.
 
+    A pair of the cosine `cosine` is found with the chance `recall`, a closer pair more often; it is `least` by default
+    or, where that is below COSINE, where the k-th neighbours usually are (`usual_cosine`). `exact` compares all asking rows with all rows, in blocks, and finds them all.
     `asking` is a SQL condition on the BIGINT `key` (named "key") for the vectors that ask; all are asked for. Equal
     cosines are ordered by key. Null, empty, zero and non-finite vectors and those of another length take no part;
     repeated rows of one key count once; other columns are ignored; an empty table gives no row.
@@ -336,13 +465,17 @@ def nearest(df: DataFrame, key: str, vector: str, k: int, least: float = -1.0, a
     classes = reps.join(sizes, cls).join(delegates, cls)  # all by class: the vectors travel once
     # a class of more than k members needs no neighbours but its own
     classes = cut(classes.withColumn("ask", F.col("ask") & (F.col("members") <= k)))
-    n = classes.count()
-    width = classes.select(F.size("v")).limit(1).collect()
-    radix = 2 * (1 << max(1, (width[0][0] - 1).bit_length())) if width else 2
-    digits = max(1, round(np.log(max(n / target, 1.0)) / np.log(radix)))
-    entries = classes.select("key", "ask", "v").mapInArrow(_hash_rows(tables, digits, probes), ENTRIES)
-    own = classes.select("key", F.lit(False).alias("ask"), "v").mapInArrow(_hash_rows(tables, digits, 0), ENTRIES)
-    entries = _cooled(entries, own, hot)
+    facts = classes.agg(F.count("*").alias("n"), F.count_if("ask").alias("asks"), F.max(F.size("v")).alias("width")).first()
+    rows = classes.select("key", "ask", "v")
+    if exact:
+        entries = _blocks(cut(rows.mapInArrow(_one_bucket, ENTRIES)), hot)
+    else:
+        if cosine is None:
+            cosine = least if least >= COSINE else max(least, usual_cosine(rows, k))
+        plan = plan_for(facts["n"], facts["width"] or 1, cosine, recall, facts["asks"] / max(1, facts["n"]), digits)
+        entries = rows.mapInArrow(_hash_rows(plan.tables, plan.digits, plan.probes), ENTRIES)
+        own = rows.withColumn("ask", F.lit(False)).mapInArrow(_hash_rows(plan.tables, plan.digits, 0), ENTRIES)
+        entries = _cooled(entries, own, hot, plan.repeats)
     entries = entries.repartition("tbl", "bucket").sortWithinPartitions("tbl", "bucket")
     matches = cut(entries.mapInArrow(_matches(k, least), MATCHES))
     members = matches.where("g is not null").select("g", F.coalesce("a", "b").alias("key"), F.col("a").isNotNull().alias("ask")).distinct()

@@ -88,3 +88,10 @@ em AS (
   FROM (SELECT *, e / sum(e) OVER (PARTITION BY _id) AS fresh FROM (SELECT *, tf * 0.1::DOUBLE * p / (0.1::DOUBLE * p + 0.9::DOUBLE * bg) AS e FROM em WHERE round < 50)))
 SELECT _id AS news_id, term, round(p, 6) AS p FROM em WHERE round = 50
 """
+
+ORACLE["p7_exact"] = """
+WITH recs AS (SELECT doc_id, min(embedding)::DOUBLE[] AS v FROM news_vectors WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64
+  AND list_aggregate(list_transform(embedding, lambda x: abs(x)), 'max') > 0 GROUP BY 1),
+pairs AS (SELECT a.doc_id AS doc_id, b.doc_id AS similar_id, list_cosine_similarity(a.v, b.v) AS c FROM recs a JOIN recs b ON a.doc_id <> b.doc_id AND a.doc_id % 50 = 0)
+SELECT doc_id, similar_id, round(c, 6) AS cosine, row_number() OVER (PARTITION BY doc_id ORDER BY round(c, 12) DESC, similar_id)::INTEGER AS place FROM pairs QUALIFY place <= 5
+"""

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..runtime import read_table
 from .leakage import RUN, leaks
 from .names import name_clusters, name_variants
-from .neighbours import WIDE_HOT, WIDE_PROBES, WIDE_TABLES, WIDE_TARGET, nearest
+from .neighbours import nearest
 from .packing import CAPACITY, pack_items
 from .parsimony import distinctive_terms
 from .rankagg import aggregate_ranks, top_by
@@ -101,15 +101,30 @@ def p6_models(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of cosine 0.85 or more where one is among the five most similar to the other."""
-    near = nearest(read_table(spark, sf_dir, "news_vectors"), "doc_id", "embedding", 5, least=0.85)
+    near = nearest(read_table(spark, sf_dir, "news_vectors"), "doc_id", "embedding", 5, least=0.85, recall=0.9995)
     return near.select(F.least("a", "b").alias("doc_a"), F.greatest("a", "b").alias("doc_b")).distinct()
 
 
+def _p7(spark: SparkSession, sf_dir: str, exact: bool) -> DataFrame:
+    near = nearest(read_table(spark, sf_dir, "news_vectors"), "doc_id", "embedding", 5, asking="key % 50 = 0", exact=exact)
+    return near.select(F.col("a").alias("doc_id"), F.col("b").alias("similar_id"), F.round("cosine", 6).alias("cosine"), "place")
+
+
 def p7_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five most similar records found for every record whose id is divisible by 50, against all records."""
-    vectors = read_table(spark, sf_dir, "news_vectors")
-    near = nearest(vectors, "doc_id", "embedding", 5, asking="key % 50 = 0", tables=WIDE_TABLES, target=WIDE_TARGET, probes=WIDE_PROBES, hot=WIDE_HOT)
-    return near.select(F.col("a").alias("doc_id"), F.col("b").alias("similar_id"), F.round("cosine", 6).alias("cosine"), "place")
+    return _p7(spark, sf_dir, False)
+
+
+def p7_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same by comparing every asking record with all records, in blocks."""
+    return _p7(spark, sf_dir, True)
+
+
+def p7_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row: the neighbours there are, how many of them hashing found, and the share."""
+    truth, found = p7_exact(spark, sf_dir), p7_neighbours(spark, sf_dir).select("doc_id", "similar_id", F.lit(1).alias("hit"))
+    one = truth.join(found, ["doc_id", "similar_id"], "left").agg(F.count("*").alias("n"), F.count("hit").alias("n_found"))
+    return one.withColumn("recall", F.round(F.col("n_found") / F.col("n"), 4))
 
 
 def _p8(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -183,6 +198,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p6_models": p6_models,
     "p7_found": p7_found,
     "p7_neighbours": p7_neighbours,
+    "p7_exact": p7_exact,
+    "p7_recall": p7_recall,
     "p8_found": p8_found,
     "p8_containers": p8_containers,
     "p8_pieces": p8_pieces,
