@@ -3,21 +3,30 @@
 1. Each distinct value becomes a normal form: accents, case, titles, suffixes, nicknames in quotes, middle initials
    and legal forms are dropped, a surname-first form is turned round, known abbreviations are written out, and a short
    form of a given name is replaced by that name. Roles denote nobody and are left out.
-2. The normal form is kept in two token orders, as typed and sorted, so permuted tokens meet.
+   A given name that is one edit from just one known given name is also kept as that one.
+2. The normal form is kept in its token orders - all of them for up to three tokens, the rotations and the sorted one
+   beyond - so that permuted tokens meet, misspelt or not.
 3. Names are sharded: two names within one edit (insertion, deletion, substitution or exchange of neighbours) share a
    prefix and a suffix that leave out at most a third of the characters, so each name goes to the shards of its
-   PARTS splits, as itself and as the longer partner. A shard with more than HOT names is split again, by finer parts.
+   splits, as itself and as the longer partner. Shards with more than HOT names are split again by finer parts, down
+   to names that differ in three characters at most.
 4. In each shard the middles form a trie, which is walked once per name with a Levenshtein automaton (with exchange).
-5. Pairs that differ in two known given names are relatives, not variants. The others are links; labels flow along
-   the links until nothing changes, and an initial joins the one name of that initial and surname, if there is one.
+5. Pairs that differ in two known given names are relatives, not variants, and a very short token or name needs a known
+   given name on one side (`relatives`). The others are links; labels flow along the links until nothing changes.
+6. A chain of links can lead from one person to another: every spelling must be within two edits of the most frequent
+   spelling of its cluster, in some order of tokens; those that are not form clusters of their own.
+7. An initial joins the one name of that initial and surname, if there is one, or of a surname one edit away.
 """
 
 from __future__ import annotations
 
 import re
 import unicodedata
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import permutations
+from string import ascii_lowercase
 
 import numpy as np
 import pyarrow as pa
@@ -28,10 +37,14 @@ from pyspark.sql import functions as F
 from ..operators.multivalue import parse_values
 from ..runtime import cut
 
-#: Edits two spellings may differ by, splits per name, names of a shard before it is split further.
-DISTANCE, PARTS, FINE, HOT = 1, 3, 8, 20_000
-#: Shorter names (letters and digits) are linked only when equal.
-LEAST = 8
+#: Edits two spellings may differ by, splits per name at each level of sharding, names of a shard before it is split further.
+DISTANCE, PARTS, HOT = 1, (3, 8, 64), 20_000
+#: A name of a single token needs so many letters to be taken for a misspelling of another.
+ALONE = 8
+#: Letters of a given name, and of a surname after an initial, from which one edit in it is looked up.
+MISSPELT = 5
+#: Values of a cluster that are paired in one task.
+BLOCK = 2000
 #: Given names and short forms that are broadcast at most.
 MOST_GIVEN = 100_000
 
@@ -80,6 +93,35 @@ def is_role(tokens: list[str]) -> bool:
     return bool(tokens) and all(not _ROLE_PART.sub("", t) for t in tokens)
 
 
+def orders_of(tokens: list[str]) -> Iterator[list[str]]:
+    """The token orders a name is kept in, as typed first."""
+    if len(tokens) <= 3:
+        yield from map(list, permutations(tokens))
+        return
+    for i in range(len(tokens)):
+        yield tokens[i:] + tokens[:i]
+    yield sorted(tokens)
+
+
+def near_given(token: str, given: frozenset[str]) -> str | None:
+    """The one known given name that is one edit from `token`, or None where there is none or several."""
+    found = {t for t in _one_edit(token) if t in given}
+    return found.pop() if len(found) == 1 else None
+
+
+def _one_edit(word: str) -> Iterator[str]:
+    for i in range(len(word) + 1):
+        head, tail = word[:i], word[i:]
+        if tail:
+            yield head + tail[1:]
+        if len(tail) > 1:
+            yield head + tail[1] + tail[0] + tail[2:]
+        for ch in ascii_lowercase:
+            yield head + ch + tail
+            if tail:
+                yield head + ch + tail[1:]
+
+
 def normal_form(value: str, short_forms: dict[str, str], given: frozenset[str]) -> Form | None:
     """None for roles and for values without letters."""
     text = "".join(c for c in unicodedata.normalize("NFKD", value) if not unicodedata.combining(c)).casefold()
@@ -114,14 +156,13 @@ def normal_form(value: str, short_forms: dict[str, str], given: frozenset[str])
     if initials and len(core) == 1:
         return Form((), initials[0], " ".join(sorted(tokens)))
     first = next((t for t in tokens if t in given or t in short_forms), tokens[0])
-    orders = [tokens, sorted(tokens)]
+    orders = list(orders_of(tokens))
     name = short_forms.get(first)
+    if name is None and first not in given and len(tokens) > 1 and len(first) >= MISSPELT:
+        name = near_given(first, given)
     if name and name != first:
-        orders += [[name if t == first else t for t in tokens]]
-        orders += [sorted(orders[-1])]
-        first_letter = name[0]
-    else:
-        first_letter = first[0]
+        orders += orders_of([name if t == first else t for t in tokens])
+    first_letter = (short_forms.get(first) or first)[0]
     keys = tuple(dict.fromkeys(" ".join(o) for o in orders))
     rest = list(tokens)
     rest.remove(first)
@@ -190,13 +231,20 @@ def trie_pairs(names: list[str], most: int = DISTANCE) -> Iterator[tuple[str, st
 
 
 def relatives(a: str, b: str, given: frozenset[str]) -> bool:
-    """The two forms differ in nothing but two known given names, or in a token too short to be misspelt."""
+    """The two forms, one edit apart, denote different persons.
+
+    So they do where they differ in nothing but two known given names. Tokens under four letters and single tokens
+    under ALONE letters are too short for one edit to mean a slip, unless just one of the two is a known given name.
+    """
     x, y = a.split(), b.split()
     only = sorted(set(x) - set(y)), sorted(set(y) - set(x))
     if len(only[0]) != 1 or len(only[1]) != 1:
         return False
     p, q = only[0][0], only[1][0]
-    return p in given and q in given or max(len(p), len(q)) < 4
+    if p in given and q in given:
+        return True
+    short = max(len(p), len(q)) < 4 or len(x) == len(y) == 1 and max(len(p), len(q)) < ALONE
+    return short and (p in given) == (q in given)
 
 
 SHARDS = "shard long, prefix int, suffix int, name string"
@@ -224,14 +272,18 @@ def _shard(names: DataFrame, parts: int) -> DataFrame:
     return names.select("shard", "name").mapInArrow(run, SHARDS)
 
 
-def trie_join(names: DataFrame, given: frozenset[str] = frozenset(), hot: int = HOT) -> DataFrame:
-    """a, b: pairs of distinct `name`s within one edit that are not relatives (see `relatives`)."""
-    shards = _shard(names.select(F.lit(0).cast("long").alias("shard"), "name"), PARTS)
-    large = shards.groupBy("shard").count().where(F.col("count") > hot).select("shard")
-    big = [r["shard"] for r in large.limit(10_000).collect()]  # names * 2 * PARTS / hot at most, few in fact
-    if big:
-        fine = _shard(shards.where(F.col("shard").isin(big)), FINE)
-        shards = shards.where(~F.col("shard").isin(big)).unionByName(fine)
+def trie_join(names: DataFrame, given: frozenset[str] = frozenset(), hot: int = HOT, differ=relatives) -> DataFrame:
+    """a, b: pairs of distinct `name`s within one edit that are not different by `differ` (see `relatives`)."""
+    shards = _shard(names.select(F.lit(0).cast("long").alias("shard"), "name"), PARTS[0])
+    done = None
+    for parts in PARTS[1:]:
+        crowded = cut(shards.groupBy("shard").count().where(F.col("count") > hot).select("shard"))  # few, and never collected
+        if crowded.isEmpty():
+            break
+        cool = shards.join(crowded, "shard", "left_anti")
+        done = cool if done is None else done.unionByName(cool)
+        shards = _shard(shards.join(crowded, "shard", "left_semi"), parts)
+    shards = shards if done is None else done.unionByName(shards)
     rows = shards.repartition("shard").sortWithinPartitions("shard")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -261,7 +313,7 @@ def trie_join(names: DataFrame, given: frozenset[str] = frozenset(), hot: int =
             whole = {n[p : len(n) - s]: n for n in set(group["name"].to_pylist())}
             for a, b in trie_pairs(list(whole)):
                 a, b = whole[a], whole[b]
-                if not relatives(a, b, given):
+                if not differ(a, b, given):
                     left.append(min(a, b))
                     right.append(max(a, b))
         if left:
@@ -286,7 +338,49 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-FORMS = "value string, name string, first boolean, initial string, surname string"
+FORMS = "value string, n long, name string, first boolean, initial string, surname string"
+
+
+def within(a: str, b: str, most: int) -> bool:
+    """Whether two names are within `most` edits."""
+    if abs(len(a) - len(b)) > most:
+        return False
+    auto = Automaton(a, most)
+    state = auto.start()
+    for ch in b:
+        state = auto.step(state, ch)
+        if state is None:
+            return False
+    return auto.accepts(state)
+
+
+def guarded(members: DataFrame, most: int = 2 * DISTANCE) -> DataFrame:
+    """value, cluster of `members` (value, n, cluster, keys): values far from their cluster's main spelling set apart.
+
+    The main spelling is the one of the most frequent value. Two spellings of one name, each `DISTANCE` edits from it
+    at most, are within `most` edits of each other in some order of tokens. The values that are not form a cluster of
+    their own, named after their own main spelling, and are looked at again until all are near theirs.
+    """
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            mine, main = batch.column(1).to_pylist(), batch.column(2).to_pylist()
+            fine = [not set(k).isdisjoint(m) or any(within(x, y, most) for x in k for y in m) for k, m in zip(mine, main, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fine, pa.bool_())], names=["value", "near"])
+
+    done, left = None, members
+    while True:
+        lead = left.groupBy("cluster").agg(F.max(F.struct("n", F.col("value").alias("v"), "keys")).alias("m"), F.count("*").alias("size"))
+        several = left.join(lead.where("size > 1").select("cluster", F.col("m.keys").alias("main")), "cluster")
+        far = cut(several.select("value", "keys", "main").mapInArrow(near, "value string, near boolean").where("not near").select("value"))
+        if far.isEmpty():
+            rest = left.select("value", "cluster")
+            return rest if done is None else done.unionByName(rest)
+        kept = left.join(far, "value", "left_anti").select("value", "cluster")
+        done = kept if done is None else done.unionByName(kept)
+        apart = left.join(far, "value", "left_semi")
+        own = apart.groupBy("cluster").agg(F.max_by(F.element_at("keys", 1), F.struct("n", "value")).alias("own"))
+        left = cut(apart.join(own, "cluster").select("value", "n", F.col("own").alias("cluster"), "keys"))
 
 
 def name_clusters(df: DataFrame, column: str, given_names: DataFrame | None = None, hot: int = HOT) -> DataFrame:
@@ -305,38 +399,66 @@ def name_clusters(df: DataFrame, column: str, given_names: DataFrame | None = No
 
     def values(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = {v for x in batch.column(0).to_pylist() for v, _ in parse_values(x)}
-            yield pa.RecordBatch.from_arrays([pa.array(sorted(found), pa.string())], names=["value"])
+            found: Counter[str] = Counter()
+            for x, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                for v in {v for v, _ in parse_values(x)}:
+                    found[v] += n
+            yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())], names=["value", "n"])
 
     def forms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         short_forms, given = shared.value
         for batch in batches:
             out = []
-            for v in batch.column(0).to_pylist():
+            for v, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 form = normal_form(v, short_forms, given)
                 if form is not None:
-                    out += [(v, k, not i, form.initial, form.surname) for i, k in enumerate(form.keys or (None,))]
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate((pa.string(), pa.string(), pa.bool_(), pa.string(), pa.string()))], names=["value", "name", "first", "initial", "surname"])
+                    out += [(v, n, k, not i, form.initial, form.surname) for i, k in enumerate(form.keys or (None,))]
+            kinds = (pa.string(), pa.int64(), pa.string(), pa.bool_(), pa.string(), pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(kinds)], names=["value", "n", "name", "first", "initial", "surname"])
 
-    fields = df.select(F.col(column).alias("field")).where("field is not null and field <> ''")
-    distinct = fields.mapInArrow(values, "value string").distinct()
+    fields = df.select(F.col(column).alias("field")).where("field is not null and field <> ''").groupBy("field").count()
+    distinct = fields.mapInArrow(values, "value string, n long").groupBy("value").agg(F.sum("n").alias("n"))
     form = cut(distinct.mapInArrow(forms, FORMS))
     names = form.where("name is not null").select("name").distinct()
-    long = names.where(F.length(F.replace("name", F.lit(" "), F.lit(""))) >= LEAST)
-    near = trie_join(long, shared.value[1], hot)
+    known = shared.value[1] | frozenset(shared.value[0])
+    near = trie_join(names, known, hot)
     own = form.where("first").select("value", F.col("name").alias("a")).join(form.where("not first").select("value", F.col("name").alias("b")), "value").select("a", "b").distinct()
     labels = components(near.unionByName(own))
-    main = form.where("first and name is not null").join(labels, "name", "left")
-    main = cut(main.select("value", "initial", "surname", F.coalesce("label", "name").alias("cluster")))
-    people = main.where("initial is not null").groupBy("initial", "surname").agg(F.min("cluster").alias("low"), F.max("cluster").alias("high"))
+    named = form.where("first and name is not null").join(labels, "name", "left").select("value", "initial", "surname", F.coalesce("label", "name").alias("cluster"))
+    keys = form.where("name is not null").groupBy("value").agg(F.max("n").alias("n"), F.sort_array(F.collect_list(F.struct(~F.col("first"), "name"))).alias("k"))
+    members = cut(named.select("value", "cluster").join(keys, "value").select("value", "n", "cluster", F.col("k.name").alias("keys")))
+    main = cut(named.drop("cluster").join(guarded(members), "value"))
+    people = cut(main.where("initial is not null").groupBy("initial", "surname").agg(F.min("cluster").alias("low"), F.max("cluster").alias("high")))
     short = form.where("name is null").join(people, ["initial", "surname"], "left")
+    misspelt = _misspelt_surnames(short.where("low is null"), people, hot)
+    short = short.join(misspelt, ["initial", "surname"], "left").withColumns({"low": F.coalesce("low", "near_low"), "high": F.coalesce("high", "near_high")})
     alone = F.concat(F.col("initial"), F.lit(". "), F.col("surname"))
     fits = F.when(F.col("low").isNull(), alone).when(F.col("low") == F.col("high"), F.col("low")).otherwise(F.concat(alone, F.lit(" / "), F.col("value")))
     return main.select("value", "cluster").unionByName(short.select("value", fits.alias("cluster")))
 
 
-def name_variants(df: DataFrame, column: str, given_names: DataFrame | None = None, hot: int = HOT) -> DataFrame:
-    """name_a < name_b (by code points): the spellings of one person or organisation, as pairs."""
+def _misspelt_surnames(unknown: DataFrame, people: DataFrame, hot: int) -> DataFrame:
+    """initial, surname, near_low, near_high: the people one edit away from surnames after an initial that nobody has,
+    where they are one person."""
+    wanted = cut(unknown.where(F.length("surname") >= MISSPELT).select("initial", "surname").distinct())
+    surnames = wanted.select(F.col("surname").alias("name")).union(people.where(F.length("surname") >= MISSPELT).select("surname")).distinct()
+    pairs = trie_join(surnames, hot=hot, differ=lambda a, b, given: False)
+    both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    near = wanted.join(both, wanted["surname"] == both["a"]).select("initial", "surname", F.col("b").alias("other"))
+    found = near.join(people.select("initial", F.col("surname").alias("other"), "low", "high"), ["initial", "other"])
+    one = found.groupBy("initial", "surname").agg(F.min("low").alias("near_low"), F.max("high").alias("near_high"))
+    return one.where("near_low = near_high")
+
+
+def name_variants(df: DataFrame, column: str, given_names: DataFrame | None = None, hot: int = HOT, block: int = BLOCK) -> DataFrame:
+    """name_a < name_b (by code points): the spellings of one person or organisation, as pairs.
+
+    `name_clusters` is the form without pairs. Clusters of more than `block` values are dealt into blocks, and each
+    pair of blocks meets by itself, so no cluster is paired in one task.
+    """
     clusters = cut(name_clusters(df, column, given_names, hot))
-    a, b = clusters.withColumnRenamed("value", "name_a"), clusters.withColumnRenamed("value", "name_b")
-    return a.join(b, "cluster").where("name_a < name_b").select("name_a", "name_b")
+    sizes = clusters.groupBy("cluster").agg(F.ceil(F.count("*") / block).cast("int").alias("n"))
+    dealt = clusters.join(sizes, "cluster").withColumn("part", F.pmod(F.xxhash64("value"), F.col("n").cast("bigint")).cast("int"))
+    a = dealt.select("cluster", F.col("value").alias("name_a"), F.col("part").alias("i"), F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("j"))
+    b = dealt.select("cluster", F.col("value").alias("name_b"), F.col("part").alias("j"), F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("i"))
+    return a.join(b, ["cluster", "i", "j"]).where("name_a < name_b").select("name_a", "name_b")
