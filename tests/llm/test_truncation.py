@@ -3,7 +3,7 @@ import random
 import numpy as np
 from pyspark.sql import functions as F
 
-from tidemark.llm.truncation import features, fit_model, source_limits, truncate, truncated
+from tidemark.llm.truncation import features, fit_model, source_limits, truncate, truncated, truncated_copies
 
 RNG = random.Random(8)
 NOUNS = "harbour bridge market tunnel school library garden vaccine border ferry census museum".split()
@@ -111,3 +111,17 @@ def test_whole_words_are_those_of_all_rows_not_of_the_sample(spark):
     assert (broadcast.weights == joined.weights).all()
     scores = [sorted((r.row_id, r.p, r.cut) for r in truncated(df, m).collect()) for m in (broadcast, joined)]
     assert scores[0] == scores[1]
+
+
+def test_copies_share_the_verdict_of_their_record(spark):
+    rows, _ = corpus(1500)
+    model = fit_model(spark.createDataFrame(rows, SCHEMA))
+    stored = spark.createDataFrame([("c", "f", i, t) for i, t in enumerate(sorted({r[3] for r in rows if r[3] and r[3].strip()})[:300])] * 2, "tbl string, source string, row_id long, text string")
+    copies = stored.selectExpr("'d' AS tbl", "'worker' AS source", "row_id + 10000 AS row_id", "text", "row_id AS parent_id").where("row_id % 3 <> 0")
+    cuts = spark.createDataFrame([("d", "worker", 99999, "It ended her", 1_000_000)], copies.schema)
+    long = spark.createDataFrame([("c", "f", 1_000_000, "It ended here in the end.")], stored.schema)
+    got = {(r.tbl, r.row_id): r.cut for r in truncated_copies(stored.unionByName(long), copies.unionByName(cuts), model).collect()}
+    assert got["d", 99999]
+    mine = {i: c for (t, i), c in got.items() if t == "c"}
+    assert any(mine.values()) and not all(mine.values())
+    assert all(c == mine[i - 10000] for (t, i), c in got.items() if t == "d" and i != 99999)

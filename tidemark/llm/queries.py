@@ -16,7 +16,7 @@ from .parsimony import distinctive_terms
 from .rankagg import aggregate_ranks, top_by
 from .sentences import split_sentences
 from .termfreq import term_counts
-from .truncation import fit_model, truncated
+from .truncation import THRESHOLD, fit_model, truncated_copies
 
 
 def _p1(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,9 +26,14 @@ def _p1(spark: SparkSession, sf_dir: str) -> DataFrame:
     stored = news.selectExpr("'stored_news' AS tbl", "feed AS source", "_id AS row_id", "short_description AS text")
     copies = hits.selectExpr("'semantic_hits' AS tbl", "worker AS source", "hit_id AS row_id", "short_description AS text", "doc_id")
     model = fit_model(stored.unionByName(copies.drop("doc_id")))
-    parents = news.selectExpr("_id AS doc_id", "short_description AS parent")
-    with_parent = copies.join(parents, "doc_id", "left").drop("doc_id")
-    return truncated(stored.withColumn("parent", F.lit(None).cast("string")), model).unionByName(truncated(with_parent, model))
+    return truncated_copies(stored, copies.withColumnRenamed("doc_id", "parent_id"), model)
+
+
+def p1_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How the rows found fall to the model alone and to the stored record a copy is held against."""
+    rows = _p1(spark, sf_dir).groupBy("tbl", "row_id").agg(F.max("cut").alias("cut"), F.max("p").alias("p"))
+    by_model = F.col("p") >= THRESHOLD
+    return rows.groupBy("tbl").agg(F.count("*").alias("n_rows"), F.count_if("cut").alias("n_cut"), F.count_if(F.col("cut") & by_model).alias("n_cut_by_model"), F.count_if(~F.col("cut") & by_model).alias("n_overruled"))
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -187,6 +192,7 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p1_rates": p1_rates,
+    "p1_model": p1_model,
     "p2_found": p2_found,
     "p2_counts": p2_counts,
     "p4_found": p4_found,

@@ -278,7 +278,8 @@ def fit_model(values: DataFrame, sample: int = SAMPLE, seed: int = 7, most_words
     return Model(fit(picked, limits, words_known, seed).astype(np.float32), limits, frozenset(), words)
 
 
-ROWS = "text string, source string, parent string, tbl string, row_id long"
+ROWS = "text string, source string, parent string, parent_cut boolean, tbl string, row_id long"
+SCORED = "tbl string, source string, row_id long, text string, p double, cut boolean"
 
 
 def _with_last_word(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -287,29 +288,48 @@ def _with_last_word(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 
 
 def truncated(values: DataFrame, model: Model) -> DataFrame:
-    """tbl, source, row_id, p (the probability that the text was cut), cut of `values` (tbl, source, row_id, text, parent).
+    """tbl, source, row_id, text, p (the probability that the text was cut), cut of `values` (tbl, source, row_id, text,
+    parent, parent_cut).
 
-    `cut`: p is at least THRESHOLD, or `parent` (the stored copy of a delivered text, or null) goes on where the text
-    stops. Null and blank texts are left out; rows are scored one by one, repeated ones alike.
+    `cut`: p is at least THRESHOLD. Where `parent` (the stored record of a delivered text, or null) is the same text,
+    its verdict `parent_cut` counts instead; where it goes on after the text stops, the text is cut. Null and blank
+    texts are left out; rows are scored one by one, repeated ones alike.
     """
     rows = values.where(F.col("text").rlike(r"\S"))
+    if "parent_cut" not in values.columns:
+        rows = rows.withColumn("parent_cut", F.lit(None).cast("boolean"))
     shared = values.sparkSession.sparkContext.broadcast(replace(model, words=None))
-    rows = rows.select("text", "source", "parent", "tbl", "row_id")
+    names = ["text", "source", "parent", "parent_cut", "tbl", "row_id"]
+    rows = rows.select(*names)
     if model.words is not None:
         ended = rows.mapInArrow(_with_last_word, f"{ROWS}, word string")
-        rows = ended.join(model.words.withColumn("whole", F.lit(True)), "word", "left").select("text", "source", "parent", "tbl", "row_id", F.when(F.col("whole"), F.col("word")).alias("whole"))
+        rows = ended.join(model.words.withColumn("whole", F.lit(True)), "word", "left").select(*names, F.when(F.col("whole"), F.col("word")).alias("whole"))
     else:
         rows = rows.withColumn("whole", F.lit(None).cast("string"))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = shared.value
         for batch in batches:
-            texts, sources, parents, wholes = (batch.column(i).to_pylist() for i in (0, 1, 2, 5))
+            texts, sources, parents, verdicts, wholes = (batch.column(i).to_pylist() for i in (0, 1, 2, 3, 6))
             if not texts:
                 continue
             idx = np.array([features(t, known.limits.get(s or "", {}), frozenset((w,)) if w else known.words_known) for s, t, w in zip(sources, texts, wholes, strict=True)], dtype=np.int32)
             p = 1.0 / (1.0 + np.exp(-known.weights[idx].sum(axis=1, dtype=np.float64)))
-            goes_on = np.array([bool(o) and len(t.rstrip()) < len(o.rstrip()) and o.startswith(t.rstrip()) for t, o in zip(texts, parents, strict=True)], dtype=bool)
-            yield pa.RecordBatch.from_arrays([batch.column(3), batch.column(1), batch.column(4), pa.array(p), pa.array((p >= THRESHOLD) | goes_on)], names=["tbl", "source", "row_id", "p", "cut"])
-
-    return rows.mapInArrow(score, "tbl string, source string, row_id long, p double, cut boolean")
+            cut_ = p >= THRESHOLD
+            for i, (t, o, v) in enumerate(zip(texts, parents, verdicts, strict=True)):
+                if o is not None and (t := t.rstrip()) == (o := o.rstrip()):
+                    cut_[i] = cut_[i] if v is None else v
+                elif o and o.startswith(t):
+                    cut_[i] = True
+            yield pa.RecordBatch.from_arrays([batch.column(4), batch.column(1), batch.column(5), batch.column(0), pa.array(p), pa.array(cut_)], names=["tbl", "source", "row_id", "text", "p", "cut"])
+
+    return rows.mapInArrow(score, SCORED)
+
+
+def truncated_copies(stored: DataFrame, copies: DataFrame, model: Model) -> DataFrame:
+    """`truncated` of stored rows (tbl, source, row_id, text) and of delivered copies (with `parent_id`, the row_id of
+    the stored record). Stored rows are scored first, and their verdict goes along with their copies."""
+    first = cut(truncated(stored.withColumn("parent", F.lit(None).cast("string")), model))
+    # a record delivered again is one parent
+    parents = first.groupBy(F.col("row_id").alias("parent_id"), F.col("text").alias("parent")).agg(F.max("cut").alias("parent_cut"))
+    return first.unionByName(truncated(copies.join(parents, "parent_id", "left").drop("parent_id"), model))
