@@ -124,3 +124,24 @@ def test_a_sentence_may_pass_over_many_weak_nodes():
 def test_thai_blanks_inside_and_between_sentences(parts):
     text = " ".join(parts)
     assert [text[a:b] for a, b in sentences(text)] == parts
+
+
+@pytest.mark.parametrize(
+    "text, parts",
+    [
+        ("They climbed Mt. Everest in May. It was cold.", 2),
+        ("He came on Jan. 5 and left. She stayed.", 2),
+        ("ខ្ញុំទៅផ្សារ។ គាត់នៅផ្ទះ។", 2),
+        ("ကျွန်ုပ်သွားသည်။ သူနေသည်။", 2),
+        ("ຂ້ອຍໄປຕະຫຼາດ ລາວຢູ່ເຮືອນ", 1),
+        ("“天气很冷。”记者王小明在现场透露。我们走吧。", 2),
+    ],
+)
+def test_more_abbreviations_and_terminators(text, parts):
+    assert len(sentences(text)) == parts
+
+
+def test_a_quotation_is_looked_for_however_far_back():
+    inner = "क " * 3000
+    text = "उसने कहा, “" + inner + "अंत।” वह गया।"
+    assert sentences(text) == sentences(text.replace(inner, inner)) and len(sentences(text)) == len(sentences("उसने कहा, “" + "क " * 3 + "अंत।” वह गया।"))

@@ -8,15 +8,19 @@ letter or figure next, a reporting clause after a quotation); an edge costs more
 open, and passes over the nodes inside an open quotation for nothing. The cheapest path from the start of the block to
 its end is the segmentation.
 
-Scripts without spaces (Chinese, Japanese, Thai, Lao, Khmer, Burmese): each gap - a terminator, or in Thai and its
-kin a blank - is classified from the word that ends before it and the word that opens after it. The words come from a
-lattice over a dictionary; its best path has the fewest characters outside the dictionary and then the fewest words.
+Scripts without spaces (Chinese, Japanese, Thai): each gap - a terminator, or in Thai a blank - is classified from the
+word that ends before it and the word that opens after it. The words come from a lattice over a dictionary; its best
+path has the fewest characters outside the dictionary and then the fewest words. There are dictionaries for these
+three only. Khmer, Burmese and Tibetan are cut at their own terminators, and Lao at the common ones, like a spaced
+script: a blank alone parts no sentences there.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -31,21 +35,21 @@ CLOSERS = "”’»」』》〉】）)]}\"'›"
 _PAIR = {"”": "“„", "’": "‘‚", "»": "«", "」": "「", "』": "『", "》": "《", "】": "【", "）": "（", ")": "(", "]": "[", "}": "{", "›": "‹"}
 _CLOSE = re.escape(CLOSERS)
 #: Terminators of spaced scripts; a stop between letters or figures without a blank is none.
-_END = ".!?…‽؟۔।॥։።፧"
+_END = ".!?…‽؟۔।॥։።፧។៕။།༎"
 #: Thin and hard blanks, which French puts before its marks.
 _HARD = "\u00a0\u202f"
 #: Every loop is possessive and a node starts where a run of terminators starts, so long runs are read once.
 _NODE = re.compile(
     rf"(?<![{_END}])[{_END}]++(?:[{_HARD} ][!?]++)*+(?:[{_HARD}]?[{_CLOSE}]++)*+(?=\s|$|[{re.escape('“«„¿¡—–')}])"
     rf"|(?<![{_END}])[!?؟।॥…]++(?:[{_HARD}]?[{_CLOSE}])++(?=\w)"
-    rf"|(?<![{_END}])[।॥؟]++(?=\w)"
+    rf"|(?<![{_END}])[।॥؟។៕။།༎]++(?=\w)"
     rf"|(?<=\w\w)[.!?]++(?:[{_CLOSE}]++)?+(?=[^\W\d_])"
 )
 _WORD_BEFORE = re.compile(r"(?:[^\W\d_][̀-ͯऀ-ॿ]*|[\d\-ªº]|(?<=\w)\.(?=\s?\w))+$")
 _CJK_NODE = re.compile(rf"(?:[。！？!?｡…]|\.(?=\s|$|[{_CLOSE}]))+(?:[{_CLOSE}]+)?")
 _CJK_OPEN = re.compile(r"[“「『\"]")
 _SCRIPTS = (
-    ("thai", re.compile(r"[฀-໿က-႟ក-៿]")),
+    ("thai", re.compile(r"[฀-๿]")),
     ("kana", re.compile(r"[぀-ヿㇰ-ㇿ]")),
     ("han", re.compile(r"[㐀-䶿一-鿿豈-﫿]")),
 )
@@ -53,6 +57,8 @@ _LETTER = re.compile(r"[^\W\d_]")
 
 #: Costs of the lattice. A boundary pays CUT when it is surely one; from STAY on it is taken for inner punctuation.
 CUT, DOUBT, STAY, NEVER, OPEN = 0.0, 0.8, 2.5, 50.0, 1.2
+#: A reporting word follows a quotation within so many characters, the speaker's name between them.
+SPEAKER = 24
 #: Passing over a node that could be a boundary.
 SKIP = 1.0
 
@@ -127,6 +133,14 @@ def _may_open(text: str, at: int, end: int) -> bool:
     return False
 
 
+#: No part of an abbreviation of several parts is longer.
+LONGEST_PART = 3
+_ABBREVIATED = lex.INSIDE | lex.BEFORE_NAME | lex.BEFORE_NUMBER | lex.MAY_END
+_PARTS_BEFORE = re.compile(r"((?:[^\W\d_]{1,3}\.\s?)+)$")
+_BLANKS = re.compile(r"\s")
+_PART_END = re.compile(r"[.\s]")
+
+
 def _quoted_before(text: str, low: int, at: int, stop: int) -> bool:
     """The terminators in [at, stop) are followed by a mark that closes a quotation."""
     return any(c in "”’»\"'›“" for c in text[at:stop])
@@ -157,10 +171,15 @@ def node_cost(text: str, low: int, at: int, stop: int, high: int, caseless: bool
     if marks.startswith(("…", "...")) or marks[0] == "…":
         return CUT if _may_open(text, nxt, high) and text[at - 1 : at].strip() and ch.isupper() else STAY
     if marks[0] == ".":
+        b = at
+        while b > low and text[b - 1].isalpha():
+            b -= 1
+        if at - b > LONGEST_PART and (b == low or text[b - 1].isspace()) and text[b:at].lower() not in _ABBREVIATED:
+            return CUT if _may_open(text, nxt, high) else STAY if lower else DOUBT if ch.isdigit() else STAY  # a common word
         word_at = _WORD_BEFORE.search(text, max(low, at - 24), at)
         word = word_at.group() if word_at else ""
-        key = re.sub(r"\s", "", word).lower().lstrip("-")
-        last = re.split(r"[.\s]", key)[-1]
+        key = _BLANKS.sub("", word).lower().lstrip("-")
+        last = _PART_END.split(key)[-1]
         opens = _may_open(text, nxt, high)
         if word_at and stop - at == 1:
             spaced = _spaced_key(text, low, word_at.start(), key)
@@ -196,10 +215,10 @@ def _unspaced(text: str, at: int, nxt: int, high: int) -> float:
 
 def _spaced_key(text: str, low: int, start: int, key: str) -> str:
     """`key` together with the abbreviations before it: "т. д" and "p. ex" become "т.д" and "p.ex"."""
-    m = re.search(r"((?:[^\W\d_]{1,3}\.\s?)+)$", text[max(low, start - 8) : start])
+    m = _PARTS_BEFORE.search(text[max(low, start - 8) : start])
     if not m or (b := max(low, start - 8) + m.start()) > low and text[b - 1].isalnum():
         return key
-    return re.sub(r"\s", "", m.group(1)).lower() + key
+    return _BLANKS.sub("", m.group(1)).lower() + key
 
 
 def _ordinal(text: str, start: int, nxt: int, low: int, high: int) -> bool:
@@ -224,13 +243,21 @@ def _after_quotation(text: str, low: int, at: int, stop: int, nxt: int, high: in
     if ch.isupper() or ch.isdigit():
         return CUT
     if ch.isalpha():  # no case: look for a clause up to the next terminator that is closed by no quotation mark
-        near = max(low, at - 2000)
-        start = max(text.rfind(c, near, at) for c in "“«„\"‘")
-        before = text[near:start].rstrip() if start >= near else ""
-        return STAY if not before or before[-1] not in ",:،" else CUT
+        openers = _openers(text, low, high)
+        i = bisect_left(openers, at)
+        b = openers[i - 1] if i else low
+        while b > low and text[b - 1].isspace():
+            b -= 1
+        return STAY if not i or b == low or text[b - 1] not in ",:،" else CUT
     return DOUBT
 
 
+@lru_cache(maxsize=4)
+def _openers(text: str, low: int, high: int) -> list[int]:
+    """Places of the marks of a block that may open a quotation."""
+    return [low + m.start() for m in re.finditer("[“«„\"‘]", text[low:high])]
+
+
 _BALANCED = re.compile("[“”„«»「」『』《》【】（）()\\[\\]{}‹›\"]")
 #: Marks open at once, beyond which the outermost one is taken for a slip.
 DEEP = 8
@@ -369,7 +396,7 @@ def _cjk_inside(text: str, low: int, at: int, stop: int, high: int, kana: bool,
         return bool(first and first[2] and text[first[0] : first[1]].startswith(lex.JAPANESE_AFTER))
     # a speaker and a reporting word before the next stop carry on
     m = re.compile(r"[^。！？!?，,；;“「]*").match(text, nxt, high)
-    clause = lattice(text, nxt, min(m.end(), nxt + 24), _HAN)
+    clause = lattice(text, nxt, min(m.end(), nxt + SPEAKER), _HAN)
     return any(known and text[a:b].startswith(lex.CHINESE_SAID) for a, b, known in clause)
 
 
