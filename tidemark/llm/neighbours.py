@@ -23,6 +23,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -89,16 +90,33 @@ def usable(df: DataFrame, key: str, vector: str) -> DataFrame:
 
     Of several rows of one key, the smallest usable vector counts (they are equal as delivered).
     """
-    v = F.col("v")
-    rows = df.select(F.col(key).cast("long").alias("key"), F.col(vector).cast("array<double>").alias("v")).where("key is not null and v is not null")
-    rows = rows.where((F.size(v) > 0) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))))
-    top = rows.groupBy(F.size(v).alias("n")).count().orderBy(F.col("count").desc(), "n").limit(1).collect()  # one row
+    rows = df.select(F.col(key).cast("long").alias("key"), F.col(vector).cast("array<double>").alias("v")).where("key is not null and v is not null and size(v) > 0")
+    unit = rows.mapInArrow(_unit_rows, "key long, v array<double>, n int")
+    top = unit.groupBy("n").count().orderBy(F.col("count").desc(), "n").limit(1).collect()  # one row
     if not top:
-        return rows
-    norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x))
-    rows = rows.where(F.size(v) == top[0]["n"]).withColumn("norm", norm).where("norm > 0")
-    unit = F.transform(v, lambda x: x / F.col("norm"))
-    return rows.select("key", unit.alias("v")).groupBy("key").agg(F.min("v").alias("v"))
+        return unit.select("key", "v")
+    return unit.where(F.col("n") == top[0]["n"]).groupBy("key").agg(F.min("v").alias("v"))
+
+
+def _unit_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """key, unit vector, length of the rows (key, v) that are finite and not zero."""
+    for batch in batches:
+        lists = batch.column(1)
+        sizes = pc.list_value_length(lists).to_numpy(zero_copy_only=False)
+        starts = np.cumsum(sizes) - sizes
+        x = lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64)  # null components become NaN
+        if not len(x):
+            continue
+        with np.errstate(divide="ignore", invalid="ignore"):
+            tall = np.maximum.reduceat(np.abs(x), starts)
+            fine = np.isfinite(tall) & (tall > 0)
+            x = x / np.repeat(tall, sizes)  # so that squares stay in range
+            x /= np.repeat(np.sqrt(np.add.reduceat(x * x, starts)), sizes)
+        kept = x[np.repeat(fine, sizes)]
+        edges = np.concatenate([[0], np.cumsum(sizes[fine])]).astype(np.int32)
+        yield pa.RecordBatch.from_arrays(
+            [batch.column(0).filter(pa.array(fine)), pa.ListArray.from_arrays(pa.array(edges), pa.array(kept)), pa.array(sizes[fine].astype(np.int32))], names=["key", "v", "n"]
+        )
 
 
 ENTRIES = "tbl int, bucket long, key long, code binary, own boolean, ask boolean"
@@ -265,23 +283,31 @@ def _bucket_pairs(key: np.ndarray, code: np.ndarray, own: np.ndarray, ask: np.nd
     error = code_error(unit)
     unit /= np.maximum(np.linalg.norm(unit, axis=1, keepdims=True), 1e-9)
     base, asking = np.flatnonzero(own), np.flatnonzero(ask)
-    step = int(np.clip((1 << 23) // len(base), 16, 1024))
+    slack = least - float(error[base].max())
+    step = int(np.clip((1 << 22) // len(base), 16, 1024))
+    held = unit[base].T.copy()
     for low in range(0, len(asking), step):
         rows = asking[low : low + step]
-        high = unit[rows] @ unit[base].T
-        high += error[rows][:, None]
-        high += error[base]
-        high[key[rows][:, None] == key[base][None, :]] = -9.0
-        keep = high >= max(least, -5.0)
-        if len(base) > most:
-            # the k-th best lower bound: what can't reach it is not among the k best
-            kth = np.partition(high - 2 * error[base], -k, axis=1)[:, -k] - 2 * error[rows]
-            keep &= high >= kth[:, None]
+        near = unit[rows] @ held
+        # first what passes with the largest error of the block, in one look at the products; then each with its own
+        r, c = np.nonzero(near >= slack - float(error[rows].max()))
+        fine = (near[r, c] + error[rows[r]] + error[base[c]] >= least) & (key[rows[r]] != key[base[c]])
+        r, c = r[fine], c[fine]
+        n = np.bincount(r, minlength=len(rows))
+        many = np.flatnonzero(n > most)
+        if len(many):
+            # of rows with many candidates: the k-th best lower bound; what can't reach it is not among the k best
+            high = near[many] + error[rows[many]][:, None] + error[base]
+            high[key[rows[many]][:, None] == key[base][None, :]] = -9.0
+            kth = np.partition(high - 2 * error[base], -k, axis=1)[:, -k] - 2 * error[rows[many]]
+            keep = (high >= kth[:, None]) & (high >= max(least, -5.0))
             tied = keep.sum(axis=1) > most
             if tied.any():
-                yield key[rows[tied]], key[base[keep[tied].any(axis=0)]], True
+                yield key[rows[many[tied]]], key[base[keep[tied].any(axis=0)]], True
                 keep[tied] = False
-        r, c = np.nonzero(keep)
+            few = n[r] <= most
+            mr, mc = np.nonzero(keep)
+            r, c = np.concatenate([r[few], many[mr]]), np.concatenate([c[few], mc])
         yield key[rows[r]], key[base[c]], False
 
 
