@@ -118,8 +118,8 @@ SHARED = normal(text(40))[:120]
     ],
 )
 def test_runs_of_short_periodic_and_aligned_texts(doc, item):
-    found = list(matches(normal(doc), Index([(1, normal(item))])))
-    assert [run for _, _, _, run, _ in found] == [brute_run(normal(doc), normal(item))]
+    found = list(matches([normal(doc)], Index([(1, normal(item))])))
+    assert [f[4] for f in found] == [brute_run(normal(doc), normal(item))]
 
 
 @settings(max_examples=60, deadline=None)
@@ -129,7 +129,7 @@ def test_runs_of_forty_and_no_others_are_reported_as_such(before, at, size, afte
     part = item[at : at + size]
     doc = "Q" * before + part + "R" * after
     doc = normal(doc)
-    runs = [run for _, _, _, run, _ in matches(doc, Index([(1, item)]))]
+    runs = [f[4] for f in matches([doc], Index([(1, item)]))]
     want = brute_run(doc, item)
     assert (runs == [want]) if want >= SIZE + STRIDE - 1 else all(r == want for r in runs)
 
@@ -137,7 +137,7 @@ def test_runs_of_forty_and_no_others_are_reported_as_such(before, at, size, afte
 def test_long_repetitive_texts_need_little_memory():
     index = Index([(1, "0" * 3000), (2, "01" * 2000), (3, SHARED)])
     before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
-    found = {item: run for item, _, _, run, _ in matches("0" * 1_000_000 + "01" * 2000 + SHARED, index)}
+    found = {f[1]: f[4] for f in matches(["0" * 1_000_000 + "01" * 2000 + SHARED], index)}
     assert found == {0: 3000, 1: 4000, 2: 120}
     assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 500_000  # KB
 
@@ -156,7 +156,7 @@ def test_altered_passages_of_similarity_0_8_are_found():
         if weighted_similarity(altered, item) < 0.8:
             continue
         total += 1
-        hits = {index.keys[i]: whole for i, _, _, _, whole in matches(normal(text(40)) + altered + normal(text(40)), index)}
+        hits = {index.keys[f[1]]: f[5] for f in matches([normal(text(40)) + altered + normal(text(40))], index)}
         found += hits.get(key, 0) >= 0.7
     assert total > 150 and found >= 0.98 * total, (found, total)
 
@@ -173,3 +173,12 @@ def test_the_longest_run_is_found_behind_a_substituted_letter(spark):
     d = spark.createDataFrame([(1, "0123456" + leaked + "987")], "id long, t string")
     rows = leaks(d, "id", "t", spark.createDataFrame([(9, item)], "id long, t string"), "id", "t").toDF("d", "i", "windows", "similarity", "run", "whole").collect()
     assert [(r.d, r.i, r.run) for r in rows] == [(1, 9, 200)]
+
+
+def test_texts_looked_up_together_give_what_each_gives_alone():
+    docs, items = corpus()
+    index = Index([(k, t) for k, t in ((k, normal(t or "")) for k, t in items) if len(t) >= SIZE])
+    texts = [normal(t or "") for _, t in docs if len(t or "") < 50_000]
+    together = sorted(matches(texts, index))
+    alone = sorted((i, *f[1:]) for i, t in enumerate(texts) for f in matches([t], index))
+    assert together == alone and len(alone) > 50

@@ -46,6 +46,8 @@ SIMILAR = 0.8
 
 #: Texts are fingerprinted so many characters at a time, with overlap: memory is bounded for texts of any length.
 CHUNK = 7 * 8192
+#: Characters of texts that are looked up together, about.
+TOGETHER = 100_000
 #: Candidate pairs looked at together.
 PAIRS = 1_000_000
 _GRAMS = SIZE - GRAM + 1  # 28 = 4 strides
@@ -219,40 +221,52 @@ def leaks(docs: DataFrame, doc_key: str, doc_text: str, items: DataFrame, item_k
     return best.toDF(doc_key, item_key, "windows", "similarity", "run", "whole")
 
 
-def matches(text: str, index: Index, similar: float = SIMILAR) -> Iterator[tuple[int, int, float, int, float]]:
-    """(item number, windows, similarity, run, whole) of each item that a normal `text` holds similar windows of."""
-    prints = fingerprints(text, STRIDE)
-    unique, first, n = np.unique(prints, return_index=True, return_counts=True)
+def matches(texts: list[str], index: Index, similar: float = SIMILAR) -> Iterator[tuple[int, int, int, float, int, float]]:
+    """(number in `texts`, item number, windows, similarity, run, whole) of each item that a normal text holds similar
+    windows of. The texts are fingerprinted and looked up together, laid out so that windows start where they would
+    alone; windows over two texts are left out."""
+    sizes = np.array([len(t) for t in texts], dtype=np.int64)
+    room = -(-sizes // STRIDE) * STRIDE
+    starts = np.cumsum(room) - room
+    prints = fingerprints("".join(t + " " * int(r - n) for t, n, r in zip(texts, sizes.tolist(), room.tolist(), strict=True)), STRIDE)
+    at = np.arange(len(prints)) * STRIDE
+    owner = np.searchsorted(starts, at, side="right") - 1
+    held = np.flatnonzero(at + SIZE <= starts[owner] + sizes[owner]) if len(at) else np.zeros(0, np.int64)
+    unique, first = np.unique(prints[held], return_inverse=True)
     q, w = index.near(unique)
     if not len(q):
         return
-    order = np.argsort(prints, kind="stable") if len(unique) < len(prints) else first
-    ends = np.cumsum(n)
-    windows = lambda t, places: {t[p : p + SIZE]: p for p in reversed(places)}
-    owner = index.item[w]
-    by = np.argsort(owner, kind="stable")
-    for part in np.split(by, np.flatnonzero(np.diff(owner[by])) + 1):
-        item = int(owner[part[0]])
-        theirs_text = index.texts[item]
-        best, held, starts = 0.0, set(), set()
-        for i in part.tolist():
-            high = int(ends[q[i]])
-            mine = windows(text, [p * STRIDE for p in order[high - int(n[q[i]]) : high].tolist()])
-            theirs = windows(theirs_text, index.places(int(w[i])))
+    order = held[np.argsort(first, kind="stable")]
+    ends = np.cumsum(np.bincount(first, minlength=len(unique)))
+    # each text and item with the fingerprints they meet in: the text's windows are order[low:high]
+    met: dict[tuple[int, int], list[tuple[int, int, int]]] = defaultdict(list)
+    for u, window in zip(q.tolist(), w.tolist(), strict=True):
+        low, high = int(ends[u - 1]) if u else 0, int(ends[u])
+        mine = owner[order[low:high]]
+        edges = [0, *(np.flatnonzero(np.diff(mine)) + 1).tolist(), high - low]
+        for i, j in zip(edges, edges[1:], strict=False):
+            met[int(mine[i]), int(index.item[window])].append((window, low + i, low + j))
+    for (number, item), pairs in met.items():
+        text, theirs_text = texts[number], index.texts[item]
+        best, spots, places = 0.0, set(), set()
+        for window, low, high in pairs:
+            own = [int(p) * STRIDE - int(starts[number]) for p in order[low:high]]
+            mine = {text[p : p + SIZE]: p for p in reversed(own)}
+            theirs = {theirs_text[p : p + SIZE]: p for p in reversed(index.places(window))}
             if same := mine.keys() & theirs.keys():
                 similarity = 1.0
-                starts.update(mine[t] - theirs[t] for t in same)
+                places.update(mine[t] - theirs[t] for t in same)
             else:
-                similarity, start = max((weighted_similarity(a, b), mine[a] - theirs[b]) for a in mine for b in theirs)
+                similarity, place = max((weighted_similarity(a, b), mine[a] - theirs[b]) for a in mine for b in theirs)
                 if similarity < similar:
                     continue
-                starts.add(start)
-            held.add(int(q[i]))
+                places.add(place)
+            spots.update(own)
             best = max(best, similarity)
-        if held:
+        if spots:
             size = len(theirs_text)
-            whole = max(weighted_similarity(text[max(0, s) : s + size], theirs_text) for s in starts)
-            yield item, int(n[list(held)].sum()), best, longest_run(text, theirs_text), whole
+            whole = max(weighted_similarity(text[max(0, p) : p + size], theirs_text) for p in places)
+            yield number, item, len(spots), best, longest_run(text, theirs_text), whole
 
 
 def _searcher(shared, radius: int, similar: float):
@@ -260,8 +274,12 @@ def _searcher(shared, radius: int, similar: float):
         index = Index(shared.value, radius)
         for batch in batches:
             out: list[tuple] = []
-            for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                out += [(key, index.keys[item], *found) for item, *found in matches(normal(text), index, similar)]
+            keys, texts = batch.column(0).to_pylist(), [normal(t) for t in batch.column(1).to_pylist()]
+            sums = np.cumsum([len(t) for t in texts])
+            edges = [0, *np.searchsorted(sums, np.arange(TOGETHER, int(sums[-1]) if len(sums) else 0, TOGETHER)).tolist(), len(texts)]
+            for low, high in zip(edges, edges[1:], strict=False):
+                if high > low:
+                    out += [(keys[low + i], index.keys[item], *found) for i, item, *found in matches(texts[low:high], index, similar)]
             kinds = (pa.int64(), pa.int64(), pa.int32(), pa.float64(), pa.int32(), pa.float64())
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(kinds)], names=["doc_key", "item_key", "windows", "similarity", "run", "whole"])
 
