@@ -4,8 +4,8 @@
    and legal forms are dropped, a surname-first form is turned round, known abbreviations are written out, and a short
    form of a given name is replaced by that name. Roles denote nobody and are left out.
    A given name that is one edit from just one known given name is also kept as that one.
-2. The normal form is kept in its token orders - all of them for up to three tokens, the rotations and the sorted one
-   beyond - so that permuted tokens meet, misspelt or not.
+2. The normal form is kept in several token orders - its rotations and the sorted one - so that permuted tokens meet,
+   and tokens turned round even where they are misspelt.
 3. Names are sharded: two names within one edit (insertion, deletion, substitution or exchange of neighbours) share a
    prefix and a suffix that leave out at most a third of the characters, so each name goes to the shards of its
    splits, as itself and as the longer partner. Shards with more than HOT names are split again by finer parts, down
@@ -25,7 +25,6 @@ import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import permutations
 from string import ascii_lowercase
 
 import numpy as np
@@ -95,9 +94,6 @@ def is_role(tokens: list[str]) -> bool:
 
 def orders_of(tokens: list[str]) -> Iterator[list[str]]:
     """The token orders a name is kept in, as typed first."""
-    if len(tokens) <= 3:
-        yield from map(list, permutations(tokens))
-        return
     for i in range(len(tokens)):
         yield tokens[i:] + tokens[:i]
     yield sorted(tokens)
@@ -272,9 +268,15 @@ def _shard(names: DataFrame, parts: int) -> DataFrame:
     return names.select("shard", "name").mapInArrow(run, SHARDS)
 
 
-def trie_join(names: DataFrame, given: frozenset[str] = frozenset(), hot: int = HOT, differ=relatives) -> DataFrame:
-    """a, b: pairs of distinct `name`s within one edit that are not different by `differ` (see `relatives`)."""
+def trie_join(names: DataFrame, given: frozenset[str] = frozenset(), hot: int = HOT, differ=relatives, asked: DataFrame | None = None) -> DataFrame:
+    """a, b: pairs of distinct `name`s within one edit that are not different by `differ` (see `relatives`).
+
+    With `asked` (name), only shards that hold one of these names are looked at.
+    """
     shards = _shard(names.select(F.lit(0).cast("long").alias("shard"), "name"), PARTS[0])
+    if asked is not None:
+        wanted = _shard(asked.select(F.lit(0).cast("long").alias("shard"), "name"), PARTS[0]).select("shard").distinct()
+        shards = shards.join(wanted, "shard", "left_semi")
     done = None
     for parts in PARTS[1:]:
         crowded = cut(shards.groupBy("shard").count().where(F.col("count") > hot).select("shard"))  # few, and never collected
@@ -441,8 +443,9 @@ def _misspelt_surnames(unknown: DataFrame, people: DataFrame, hot: int) -> DataF
     """initial, surname, near_low, near_high: the people one edit away from surnames after an initial that nobody has,
     where they are one person."""
     wanted = cut(unknown.where(F.length("surname") >= MISSPELT).select("initial", "surname").distinct())
-    surnames = wanted.select(F.col("surname").alias("name")).union(people.where(F.length("surname") >= MISSPELT).select("surname")).distinct()
-    pairs = trie_join(surnames, hot=hot, differ=lambda a, b, given: False)
+    asked = wanted.select(F.col("surname").alias("name")).distinct()
+    surnames = asked.union(people.where(F.length("surname") >= MISSPELT).select("surname")).distinct()
+    pairs = trie_join(surnames, hot=hot, differ=lambda a, b, given: False, asked=asked)
     both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
     near = wanted.join(both, wanted["surname"] == both["a"]).select("initial", "surname", F.col("b").alias("other"))
     found = near.join(people.select("initial", F.col("surname").alias("other"), "low", "high"), ["initial", "other"])
