@@ -72,6 +72,9 @@ def cross_polytope(x: np.ndarray, table: int, digit: int, more: int = 1) -> tupl
         x = hadamard(x * signs)
     size = np.abs(x)
     more = min(more, x.shape[1] - 1)
+    if not more:
+        at = size.argmax(axis=1)[:, None]
+        return 2 * at + (np.take_along_axis(x, at, 1) < 0), np.zeros((len(x), 0), x.dtype)
     at = np.argpartition(size, -more - 1, axis=1)[:, -more - 1 :]
     tall = np.take_along_axis(size, at, 1)
     order = np.argsort(-tall, axis=1, kind="stable")
@@ -140,7 +143,7 @@ def combined(parts: Parts, radix: int, probes: int) -> tuple[np.ndarray, np.ndar
 
 def buckets(wide: np.ndarray, table: int, digits: int, probes: int) -> tuple[np.ndarray, np.ndarray]:
     """`combined` of rows (padded) in a table."""
-    return combined([cross_polytope(wide, table, g, max(1, probes)) for g in range(digits)], 2 * wide.shape[1], probes)
+    return combined([cross_polytope(wide, table, g, probes) for g in range(digits)], 2 * wide.shape[1], probes)
 
 
 @lru_cache(maxsize=64)
@@ -338,25 +341,36 @@ def _deeper(level: int, repeats: int, probing: bool = True):
     return run
 
 
-def _crowded(own: DataFrame, hot: int) -> DataFrame:
-    """tbl, bucket, members of the buckets with more than `hot` rows of their own (at most entries / hot)."""
-    return own.where("own").groupBy("tbl", "bucket").agg(F.count("*").alias("members")).where(F.col("members") > hot)
+def _bucket_counts(tables: int, digits: int):
+    """How many rows of each batch (key, ask, v) lie in each bucket: tbl, bucket, members."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                wide = padded(batch.column(2).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1).astype(np.float32))
+                for t in range(tables):
+                    bucket, n = np.unique(buckets(wide, t, digits, 0)[0], return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), t, np.int32)), pa.array(bucket), pa.array(n.astype(np.int64))], names=["tbl", "bucket", "members"])
+
+    return run
 
 
 def _largest(entries: DataFrame) -> int:
     return entries.groupBy("tbl", "bucket").count().agg(F.max("count")).first()[0]
 
 
-def _cooled(entries: DataFrame, own: DataFrame, hot: int, repeats: int) -> DataFrame:
+def _cooled(entries: DataFrame, counts: DataFrame, hot: int, repeats: int) -> DataFrame:
     """`entries` with every bucket of more than `hot` own rows split before the rows of a bucket meet in a task.
 
     Hot buckets get a further digit, `repeats` times over. Where a digit hardly parts them, or after LEVELS of them,
     their own rows and their asking rows are dealt into blocks, and each block meets each: whatever is left is
-    compared exactly, in tasks of bounded size. `own` are the entries that hold rows, to be counted.
+    compared exactly, in tasks of bounded size. `counts` (tbl, bucket, members) are the rows of the buckets' own, in
+    parts.
     """
     parts = []
     for level in range(LEVELS + 1):
-        table = cut(_crowded(own, hot))
+        # at most entries / hot buckets
+        table = cut(counts.groupBy("tbl", "bucket").agg(F.sum("members").alias("members")).where(F.col("members") > hot))
         most = table.agg(F.max("members")).first()[0]
         if most is None:
             parts.append(entries)
@@ -366,7 +380,8 @@ def _cooled(entries: DataFrame, own: DataFrame, hot: int, repeats: int) -> DataF
         if level == LEVELS or repeats > REPEATS or _largest(rows.where("own").mapInArrow(_deeper(level, 1, False), ENTRIES)) > PARTED * most:
             parts.append(_blocks(rows, hot))
             break
-        entries = own = cut(rows.mapInArrow(_deeper(level, repeats), ENTRIES))
+        entries = cut(rows.mapInArrow(_deeper(level, repeats), ENTRIES))
+        counts = entries.where("own").select("tbl", "bucket", F.lit(1).cast("bigint").alias("members"))
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)
@@ -500,8 +515,8 @@ def nearest(
             cosine = least if least >= COSINE else max(least, usual_cosine(rows, k))
         plan = plan_for(facts["n"], facts["width"] or 1, cosine, recall, facts["asks"] / max(1, facts["n"]), digits)
         entries = rows.mapInArrow(_hash_rows(plan.tables, plan.digits, plan.probes), ENTRIES)
-        own = rows.withColumn("ask", F.lit(False)).mapInArrow(_hash_rows(plan.tables, plan.digits, 0), ENTRIES)
-        entries = _cooled(entries, own, hot, plan.repeats)
+        counts = rows.mapInArrow(_bucket_counts(plan.tables, plan.digits), "tbl int, bucket long, members long")
+        entries = _cooled(entries, counts, hot, plan.repeats)
     entries = entries.repartition("tbl", "bucket").sortWithinPartitions("tbl", "bucket")
     matches = cut(entries.mapInArrow(_matches(k, least), MATCHES))
     members = matches.where("g is not null").select("g", F.coalesce("a", "b").alias("key"), F.col("a").isNotNull().alias("ask")).distinct()
