@@ -341,10 +341,11 @@ def vector_dimensions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def vector_file_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The vectors written, read back and searched; the legacy layout made from a part of them and converted, too."""
+    """The vectors written as binary files, converted, read back and searched."""
     at = scratch(spark, "vectors")
-    vector_files.write_vectors(_vectors(spark, sf_dir), at)
-    found = cut(vector.search(vector_files.read_vectors(spark, at), _one_embedding(spark, sf_dir), 20))
+    vector_files.write_binary(_vectors(spark, sf_dir), f"{at}/binary")
+    vector_files.convert(spark, f"{at}/binary", f"{at}/parquet")
+    found = cut(vector.search(vector_files.read_vectors(spark, f"{at}/parquet"), _one_embedding(spark, sf_dir), 20))
     drop_path(spark, at)
     return found
 

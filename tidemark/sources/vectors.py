@@ -78,3 +78,36 @@ def read_vectors(spark: SparkSession, path: str) -> DataFrame:
     rows = spark.read.parquet(path).select("doc_id", "qvec")
     sound = F.forall("qvec", lambda x: x != -128)
     return rows.select("doc_id", F.when(sound, F.col("qvec")).otherwise(F.raise_error(F.lit("a component is out of range")).cast("array<tinyint>")).alias("qvec"))
+
+
+def write_binary(vectors: DataFrame, folder: str) -> None:
+    """The quantised vectors as version 2 files below `folder`, one per task, on any file system Arrow has a driver for.
+    Ids must fit 32 bits; a task's vectors are in memory at once."""
+    vectors.select("doc_id", "qvec").foreachPartition(_binary_writer(folder))
+
+
+def _binary_writer(folder: str):
+    def write(rows) -> None:
+        import uuid
+
+        from pyarrow import fs
+
+        found = list(rows)
+        if not found:
+            return
+        ids = np.array([r["doc_id"] for r in found], dtype=np.int64)
+        if ids.min() < 0 or ids.max() >= 1 << 32:
+            raise InvalidVector("an id does not fit 32 bits")
+        where, at = fs.FileSystem.from_uri(folder)
+        where.create_dir(at, recursive=True)
+        name = uuid.uuid4().hex
+        with where.open_output_stream(f"{at}/.{name}.part") as f:
+            f.write(encode(ids, np.array([r["qvec"] for r in found], dtype=np.int8)))
+        where.move(f"{at}/.{name}.part", f"{at}/{name}.bin")
+
+    return write
+
+
+def convert(spark: SparkSession, source: str, target: str) -> None:
+    """Binary files of either version as Parquet; float32 vectors are quantised on the way."""
+    write_vectors(read_binary(spark, source), target)
