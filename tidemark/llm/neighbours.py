@@ -40,6 +40,8 @@ ENTRY, PAIR, HASH = 6e-6, 1.2e-8, 2e-6
 #: Candidates of a row in a bucket that leave it as pairs; with more, the exact vectors decide.
 PAIRS = 64
 SEED = 20240229
+#: Vectors up to this width are rotated by a matrix product.
+DENSE = 256
 #: Digits from here on are used to split hot buckets, so they never repeat those of the bucket keys.
 DIGIT = 64
 #: How often hot buckets are split by a digit before they are compared in blocks.
@@ -66,10 +68,23 @@ def rotation_signs(table: int, digit: int, width: int) -> np.ndarray:
     return np.random.default_rng((SEED, table, digit)).choice(np.array([-1.0, 1.0], np.float32), size=(3, width))
 
 
+@lru_cache(maxsize=1024)
+def rotation(table: int, digit: int, width: int) -> np.ndarray:
+    """The same rotation as a matrix: the transform of the unit vectors. For narrow vectors one product with it is
+    faster than the transform's passes over memory."""
+    x = np.eye(width, dtype=np.float32)
+    for signs in rotation_signs(table, digit, width):
+        x = hadamard(x * signs)
+    return x
+
+
 def cross_polytope(x: np.ndarray, table: int, digit: int, more: int = 1) -> tuple[np.ndarray, np.ndarray]:
     """Of each row the best vertex and the `more` next ones, and by how much those are shorter; vertex = 2 * axis + sign."""
-    for signs in rotation_signs(table, digit, x.shape[1]):
-        x = hadamard(x * signs)
+    if x.shape[1] <= DENSE:
+        x = x @ rotation(table, digit, x.shape[1])
+    else:
+        for signs in rotation_signs(table, digit, x.shape[1]):
+            x = hadamard(x * signs)
     size = np.abs(x)
     more = min(more, x.shape[1] - 1)
     if not more:
@@ -89,20 +104,21 @@ def padded(x: np.ndarray) -> np.ndarray:
 
 
 def usable(df: DataFrame, key: str, vector: str) -> DataFrame:
-    """key, v (unit vector, ARRAY<DOUBLE>): each key once, in the most frequent length, finite and not zero.
+    """key, v (unit vector, ARRAY<DOUBLE>), c1, c2 (two hashes of it, rounded to 6 decimals): each key once, in the most
+    frequent length, finite and not zero.
 
     Of several rows of one key, the smallest usable vector counts (they are equal as delivered).
     """
     rows = df.select(F.col(key).cast("long").alias("key"), F.col(vector).cast("array<double>").alias("v")).where("key is not null and v is not null and size(v) > 0")
-    unit = rows.mapInArrow(_unit_rows, "key long, v array<double>, n int")
+    unit = rows.mapInArrow(_unit_rows, "key long, v array<double>, c1 long, c2 long, n int")
     top = unit.groupBy("n").count().orderBy(F.col("count").desc(), "n").limit(1).collect()  # one row
     if not top:
-        return unit.select("key", "v")
-    return unit.where(F.col("n") == top[0]["n"]).groupBy("key").agg(F.min("v").alias("v"))
+        return unit.drop("n")
+    return unit.where(F.col("n") == top[0]["n"]).groupBy("key").agg(F.min(F.struct("v", "c1", "c2")).alias("m")).select("key", "m.v", "m.c1", "m.c2")
 
 
 def _unit_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """key, unit vector, length of the rows (key, v) that are finite and not zero."""
+    """key, unit vector, its two hashes and length of the rows (key, v) that are finite and not zero."""
     for batch in batches:
         lists = batch.column(1)
         sizes = pc.list_value_length(lists).to_numpy(zero_copy_only=False)
@@ -116,10 +132,19 @@ def _unit_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             x = x / np.repeat(tall, sizes)  # so that squares stay in range
             x /= np.repeat(np.sqrt(np.add.reduceat(x * x, starts)), sizes)
         kept = x[np.repeat(fine, sizes)]
-        edges = np.concatenate([[0], np.cumsum(sizes[fine])]).astype(np.int32)
-        yield pa.RecordBatch.from_arrays(
-            [batch.column(0).filter(pa.array(fine)), pa.ListArray.from_arrays(pa.array(edges), pa.array(kept)), pa.array(sizes[fine].astype(np.int32))], names=["key", "v", "n"]
-        )
+        sizes = sizes[fine]
+        edges = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+        if not len(sizes):
+            continue
+        place = np.arange(len(kept)) - np.repeat(edges[:-1], sizes)
+        cells = np.rint(kept * 1e6).astype(np.int64).view(np.uint64)
+        hashes = []
+        for salt in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F):
+            mixed = (cells + (place.astype(np.uint64) + np.uint64(1)) * np.uint64(salt)) * np.uint64(0xBF58476D1CE4E5B9)
+            mixed = (mixed ^ (mixed >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
+            hashes.append(pa.array(np.add.reduceat(mixed ^ (mixed >> np.uint64(32)), edges[:-1]).view(np.int64)))
+        lists = pa.ListArray.from_arrays(pa.array(edges), pa.array(kept))
+        yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(fine)), lists, *hashes, pa.array(sizes.astype(np.int32))], names=["key", "v", "c1", "c2", "n"])
 
 
 ENTRIES = "tbl int, bucket long, key long, code binary, own boolean, ask boolean"
@@ -495,8 +520,7 @@ def nearest(
     of a class of more than k has its neighbours among the class's first k + 1 members, so copies cost k rows each.
     """
     unit = usable(df, key, vector)
-    code = F.transform("v", lambda x: F.round(x, 6) + 0.0)
-    unit = cut(unit.select("key", "v", F.xxhash64(code).alias("c1"), F.xxhash64(code, F.lit(1)).alias("c2")))
+    unit = cut(unit.select("key", "v", "c1", "c2"))
     cls = ["c1", "c2"]
     first = Window.partitionBy(*cls).orderBy("key")
     few = unit.select("key", *cls).withColumn("n", F.row_number().over(first)).where(F.col("n") <= k + 1)
