@@ -28,6 +28,8 @@ from .termfreq import RECORDS, TERM, distinct_records, partial_counts
 HEAD = 100_000
 #: Weight of the record's own model, and when to stop.
 MIX, ROUNDS, EPS = 0.1, 50, 1e-6
+#: Share of records that have stopped from which they are left out of further rounds.
+SETTLED = 0.3
 
 TERMS = "key long, term string, tf int, df long, p double, weight double"
 
@@ -41,22 +43,26 @@ def fit(tf: np.ndarray, bg: np.ndarray, starts: np.ndarray, mix: float = MIX, ro
     lengths = np.diff(np.append(starts, len(tf)))
     p = tf / np.repeat(np.add.reduceat(tf, starts), lengths)
     out = np.empty_like(p)
-    at, floor = np.arange(len(tf)), (1.0 - mix) * bg
+    at, ratio = np.arange(len(tf)), (1.0 - mix) / mix * bg
+    done = np.zeros(len(starts), dtype=bool)
     for _ in range(rounds):
-        own = mix * p
-        e = tf * own / (own + floor)
+        e = tf * p / (p + ratio)
         new = e / np.repeat(np.maximum(np.add.reduceat(e, starts), 1e-300), lengths)
-        moving = np.maximum.reduceat(np.abs(new - p), starts) >= eps
+        settled = (np.maximum.reduceat(np.abs(new - p), starts) < eps) & ~done
         p = new
-        if moving.all():
+        if not settled.any():
             continue
-        still = np.repeat(moving, lengths)
-        out[at[~still]] = p[~still]
-        at, tf, floor, p, lengths = at[still], tf[still], floor[still], p[still], lengths[moving]
-        if not len(at):
-            return out
-        starts = np.cumsum(lengths) - lengths
-    out[at] = p
+        mine = np.repeat(settled, lengths)
+        out[at[mine]] = p[mine]
+        done |= settled
+        if done.mean() > SETTLED:  # the rest goes on without those that are done
+            still = np.repeat(~done, lengths)
+            at, tf, ratio, p, lengths = at[still], tf[still], ratio[still], p[still], lengths[~done]
+            if not len(at):
+                return out
+            starts, done = np.cumsum(lengths) - lengths, np.zeros(len(lengths), dtype=bool)
+    mine = np.repeat(~done, lengths)
+    out[at[mine]] = p[mine]
     return out
 
 
