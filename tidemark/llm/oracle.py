@@ -95,3 +95,5 @@ WITH recs AS (SELECT doc_id, min(embedding)::DOUBLE[] AS v FROM news_vectors WHE
 pairs AS (SELECT a.doc_id AS doc_id, b.doc_id AS similar_id, list_cosine_similarity(a.v, b.v) AS c FROM recs a JOIN recs b ON a.doc_id <> b.doc_id AND a.doc_id % 50 = 0)
 SELECT doc_id, similar_id, round(c, 6) AS cosine, row_number() OVER (PARTITION BY doc_id ORDER BY round(c, 12) DESC, similar_id)::INTEGER AS place FROM pairs QUALIFY place <= 5
 """
+
+ORACLE["p10_cover"] = "SELECT doc_id, length(regexp_replace(text, '[^\\p{L}\\p{N}]', '', 'g')) AS n_letters FROM documents WHERE regexp_matches(text, '\\S')"

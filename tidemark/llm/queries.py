@@ -189,6 +189,14 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return split_sentences(read_table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
+def p10_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The letters and digits of every document that its sentences hold: all of them, each once."""
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    held = docs.join(split_sentences(docs, "doc_id", "text"), "doc_id")
+    part = F.expr("length(regexp_replace(substring(text, start_pos + 1, end_pos - start_pos), '[^\\\\p{L}\\\\p{N}]', ''))")
+    return held.groupBy("doc_id").agg(F.sum(part).alias("n_letters"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p1_rates": p1_rates,
@@ -214,4 +222,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p9_runs": p9_runs,
     "p9_leaks": p9_leaks,
     "p10_found": p10_found,
+    "p10_cover": p10_cover,
 }
