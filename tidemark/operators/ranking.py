@@ -119,16 +119,17 @@ def _nothing(index: Index) -> DataFrame:
     return index.tokens.where("false").select("doc_id", F.lit(0.0).alias("score"))
 
 
-def score(index: Index, terms: Sequence[str], ranking: Ranking | Model = Ranking.BM25, raw: bool = False, k1: float = K1, b: float = B, among: Node | None = None) -> DataFrame:
+def score(index: Index, terms: Sequence[str], ranking: Ranking | Model = Ranking.BM25, raw: bool = False, k1: float = K1, b: float = B, among: Node | None = None, facts: Facts | None = None) -> DataFrame:
     """doc_id, score of every document with a positive score.
 
     `raw` takes TF-IDF with the plain idf (BM25 has one idf). `terms` are used as given: repeated ones count
     repeatedly, so callers of the prepared form pass each term once. `among` limits the documents to those a tree
-    matches, not the statistics. Parts are added in the order of the terms. No terms, no rows.
+    matches, not the statistics. Parts are added in the order of the terms. No terms, no rows. `facts` are those of
+    the terms, where the caller has looked them up.
     """
     if not terms:
         return _nothing(index)
-    facts, each = index.facts(terms), list(dict.fromkeys(terms))
+    facts, each = facts or index.facts(terms), list(dict.fromkeys(terms))
     if not facts.df:
         return _nothing(index)
     model = model_of(ranking, raw, k1, b)
@@ -214,7 +215,7 @@ def pruned(index: Index, terms: Sequence[str], k: int, ranking: Ranking | Model
     present = [t for t in dict.fromkeys(terms) if t in facts.df]
     full = [t for t in present if facts.df[t] >= k]
     if not full or model.bound is None or not index.inverted or sum(facts.df[t] for t in present) < prune_from:
-        return score(index, terms, ranking)
+        return score(index, terms, ranking, facts=facts)
     idf = {t: model.idf(facts.n, facts.df[t]) for t in present}
     rarest = min(full, key=lambda t: (facts.df[t], t))
     parts = _scored(index.gathered([rarest]), [rarest], [rarest], model, facts)
