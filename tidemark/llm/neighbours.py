@@ -26,6 +26,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..runtime import cut
 
@@ -97,6 +98,13 @@ def cross_polytope(x: np.ndarray, table: int, digit: int, more: int = 1) -> tupl
     return 2 * at + (np.take_along_axis(x, at, 1) < 0), tall[:, :1] - tall[:, 1:]
 
 
+def matrix(lists: pa.Array) -> np.ndarray:
+    """Vectors of one length as the unit rows of a matrix, in double precision."""
+    x = lists.flatten().to_numpy(zero_copy_only=False).reshape(len(lists), -1).astype(np.float64)
+    x /= np.maximum(np.abs(x).max(axis=1, keepdims=True), 1e-300)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
 def padded(x: np.ndarray) -> np.ndarray:
     """Rows widened with zeros to the next power of two."""
     width = 1 << max(1, (x.shape[1] - 1).bit_length())
@@ -104,34 +112,39 @@ def padded(x: np.ndarray) -> np.ndarray:
 
 
 def usable(df: DataFrame, key: str, vector: str) -> DataFrame:
-    """key, v (unit vector, ARRAY<DOUBLE>), c1, c2 (two hashes of it, rounded to 6 decimals): each key once, in the most
-    frequent length, finite and not zero.
+    """key, v (the vector as given, single precision where it came so), norm, c1, c2 (two hashes of the unit vector,
+    rounded to 6 decimals): each key once, in the most frequent length, finite and not zero.
 
     Of several rows of one key, the smallest usable vector counts (they are equal as delivered).
     """
-    rows = df.select(F.col(key).cast("long").alias("key"), F.col(vector).cast("array<double>").alias("v")).where("key is not null and v is not null and size(v) > 0")
-    unit = rows.mapInArrow(_unit_rows, "key long, v array<double>, c1 long, c2 long, n int")
+    kind = "float" if isinstance(df.schema[vector].dataType, T.ArrayType) and isinstance(df.schema[vector].dataType.elementType, T.FloatType) else "double"
+    rows = df.select(F.col(key).cast("long").alias("key"), F.col(vector).cast(f"array<{kind}>").alias("v")).where("key is not null and v is not null and size(v) > 0")
+    unit = rows.mapInArrow(_unit_rows, f"key long, v array<{kind}>, norm double, c1 long, c2 long, n int")
     top = unit.groupBy("n").count().orderBy(F.col("count").desc(), "n").limit(1).collect()  # one row
     if not top:
         return unit.drop("n")
-    return unit.where(F.col("n") == top[0]["n"]).groupBy("key").agg(F.min(F.struct("v", "c1", "c2")).alias("m")).select("key", "m.v", "m.c1", "m.c2")
+    return unit.where(F.col("n") == top[0]["n"]).groupBy("key").agg(F.min(F.struct("v", "norm", "c1", "c2")).alias("m")).select("key", "m.*")
 
 
 def _unit_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """key, unit vector, its two hashes and length of the rows (key, v) that are finite and not zero."""
+    """key, vector, norm, two hashes of the unit vector and length of the rows (key, v) that are finite and not zero."""
     for batch in batches:
         lists = batch.column(1)
         sizes = pc.list_value_length(lists).to_numpy(zero_copy_only=False)
         starts = np.cumsum(sizes) - sizes
-        x = lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64)  # null components become NaN
+        given = lists.flatten().to_numpy(zero_copy_only=False)  # null components become NaN
+        x = given.astype(np.float64)
         if not len(x):
             continue
         with np.errstate(divide="ignore", invalid="ignore"):
             tall = np.maximum.reduceat(np.abs(x), starts)
             fine = np.isfinite(tall) & (tall > 0)
             x = x / np.repeat(tall, sizes)  # so that squares stay in range
-            x /= np.repeat(np.sqrt(np.add.reduceat(x * x, starts)), sizes)
-        kept = x[np.repeat(fine, sizes)]
+            length = np.sqrt(np.add.reduceat(x * x, starts))
+            x /= np.repeat(length, sizes)
+            norm = (length * tall)[fine]
+        mine = np.repeat(fine, sizes)
+        kept, given = x[mine], given[mine]
         sizes = sizes[fine]
         edges = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
         if not len(sizes):
@@ -143,8 +156,8 @@ def _unit_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             mixed = (cells + (place.astype(np.uint64) + np.uint64(1)) * np.uint64(salt)) * np.uint64(0xBF58476D1CE4E5B9)
             mixed = (mixed ^ (mixed >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
             hashes.append(pa.array(np.add.reduceat(mixed ^ (mixed >> np.uint64(32)), edges[:-1]).view(np.int64)))
-        lists = pa.ListArray.from_arrays(pa.array(edges), pa.array(kept))
-        yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(fine)), lists, *hashes, pa.array(sizes.astype(np.int32))], names=["key", "v", "c1", "c2", "n"])
+        lists = pa.ListArray.from_arrays(pa.array(edges), pa.array(given))
+        yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(fine)), lists, pa.array(norm), *hashes, pa.array(sizes.astype(np.int32))], names=["key", "v", "norm", "c1", "c2", "n"])
 
 
 ENTRIES = "tbl int, bucket long, key long, code binary, own boolean, ask boolean"
@@ -233,7 +246,7 @@ def _hash_rows(tables: int, digits: int, probes: int):
             n = batch.num_rows
             if not n:
                 continue
-            x = batch.column(2).flatten().to_numpy(zero_copy_only=False).reshape(n, -1).astype(np.float32)
+            x = matrix(batch.column(2)).astype(np.float32)
             code = np.clip(np.rint(x / np.abs(x).max(axis=1, keepdims=True) * 127), -127, 127).astype(np.int8)
             packed = pa.array([r.tobytes() for r in code], pa.binary())
             wide, keys, ask = padded(x), batch.column(0), batch.column(1).to_numpy(zero_copy_only=False)
@@ -254,15 +267,14 @@ def usual_cosine(rows: DataFrame, k: int, sample: int = SAMPLE, far: float = FAR
     chosen = rows.where("ask").orderBy(F.xxhash64("key"), "key").limit(sample).select("key", "v").collect()
     if not chosen:
         return COSINE
-    shared = rows.sparkSession.sparkContext.broadcast((np.array([r["key"] for r in chosen]), np.array([r["v"] for r in chosen])))
+    shared = rows.sparkSession.sparkContext.broadcast((np.array([r["key"] for r in chosen]), matrix(pa.array([r["v"] for r in chosen], pa.list_(pa.float64())))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, asked = shared.value
         best = np.full((len(keys), 0), -2.0)
         for batch in batches:
             if batch.num_rows:
-                v = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
-                s = asked @ v.T
+                s = asked @ matrix(batch.column(1)).T
                 s[keys[:, None] == batch.column(0).to_numpy()[None, :]] = -2.0
                 best = np.concatenate([best, s], axis=1)
                 best = np.partition(best, -k, axis=1)[:, -k:] if best.shape[1] > k else best
@@ -278,7 +290,7 @@ def _one_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Every row of (key, ask, v) as an entry of one bucket."""
     for batch in batches:
         if batch.num_rows:
-            x = batch.column(2).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1).astype(np.float32)
+            x = matrix(batch.column(2)).astype(np.float32)
             code = np.clip(np.rint(x / np.abs(x).max(axis=1, keepdims=True) * 127), -127, 127).astype(np.int8)
             packed = pa.array([r.tobytes() for r in code], pa.binary())
             yield _entries(0, np.zeros(len(x), np.int64), batch.column(0), packed, True, batch.column(1).to_numpy(zero_copy_only=False))
@@ -372,7 +384,7 @@ def _bucket_counts(tables: int, digits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                wide = padded(batch.column(2).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1).astype(np.float32))
+                wide = padded(matrix(batch.column(2)).astype(np.float32))
                 for t in range(tables):
                     bucket, n = np.unique(buckets(wide, t, digits, 0)[0], return_counts=True)
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), t, np.int32)), pa.array(bucket), pa.array(n.astype(np.int64))], names=["tbl", "bucket", "members"])
@@ -490,7 +502,7 @@ def _decided(k: int):
         for low, high in zip([0, *edges], [*edges, len(every)], strict=True):
             part = table.slice(low, high - low).combine_chunks()
             key, ask = part["key"].to_numpy(), part["ask"].to_numpy(zero_copy_only=False)
-            v = part["v"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(key), -1)
+            v = matrix(part["v"].combine_chunks())
             base, asking = np.flatnonzero(~ask), np.flatnonzero(ask)
             step = int(np.clip((1 << 22) // max(1, len(base)), 16, 1024))
             for at in range(0, len(asking) if len(base) else 0, step):
@@ -520,11 +532,11 @@ def nearest(
     of a class of more than k has its neighbours among the class's first k + 1 members, so copies cost k rows each.
     """
     unit = usable(df, key, vector)
-    unit = cut(unit.select("key", "v", "c1", "c2"))
+    unit = cut(unit.select("key", "v", "norm", "c1", "c2"))
     cls = ["c1", "c2"]
     first = Window.partitionBy(*cls).orderBy("key")
     few = unit.select("key", *cls).withColumn("n", F.row_number().over(first)).where(F.col("n") <= k + 1)
-    reps = unit.select("key", "v", *cls).withColumn("n", F.row_number().over(first)).where("n = 1").drop("n")
+    reps = unit.select("key", "v", "norm", *cls).withColumn("n", F.row_number().over(first)).where("n = 1").drop("n")
     delegates = few.groupBy(*cls).agg(F.sort_array(F.collect_list("key")).alias("some"))
     sizes = unit.groupBy(*cls).agg(F.count("*").alias("members"), F.max(F.expr(asking or "true")).alias("ask"))
     classes = reps.join(sizes, cls).join(delegates, cls)  # all by class: the vectors travel once
@@ -546,9 +558,9 @@ def nearest(
     members = matches.where("g is not null").select("g", F.coalesce("a", "b").alias("key"), F.col("a").isNotNull().alias("ask")).distinct()
     tied = members.join(classes.select("key", "v"), "key").select("g", "key", "ask", "v").repartition("g").sortWithinPartitions("g")
     pairs = matches.where("g is null").select("a", "b").unionByName(tied.mapInArrow(_decided(k), "a long, b long")).distinct()
-    va, vb = classes.select(F.col("key").alias("a"), F.col("v").alias("va")), classes.select(F.col("key").alias("b"), F.col("v").alias("vb"), F.col("some").alias("b_some"))
-    exact = F.aggregate(F.zip_with("va", "vb", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    scored = pairs.join(va, "a").join(vb, "b").select("a", "b_some", exact.alias("cosine")).where(F.col("cosine") >= least)
+    va, vb = classes.select(F.col("key").alias("a"), F.col("v").alias("va"), F.col("norm").alias("na")), classes.select(F.col("key").alias("b"), F.col("v").alias("vb"), F.col("norm").alias("nb"), F.col("some").alias("b_some"))
+    dot = F.aggregate(F.zip_with("va", "vb", lambda x, y: (x.cast("double") / F.col("na")) * (y.cast("double") / F.col("nb"))), F.lit(0.0), lambda s, x: s + x)
+    scored = pairs.join(va, "a").join(vb, "b").select("a", "b_some", dot.alias("cosine")).where(F.col("cosine") >= least)
     # members: neighbours in other classes, then in their own
     mine = unit.select("key", *cls).where(F.expr(asking or "true")).join(classes.select(F.col("key").alias("a"), *cls, "some", "members"), cls)
     outer = mine.where(F.col("members") <= k).select("key", "a").join(scored, "a").select("key", F.explode("b_some").alias("b"), "cosine")
