@@ -524,8 +524,8 @@ def nearest(
 
     A pair of the cosine `cosine` is found with the chance `recall`, a closer pair more often; it is `least` by default
     or, where that is below COSINE, where the k-th neighbours usually are (`usual_cosine`). `exact` compares all asking rows with all rows, in blocks, and finds them all.
-    `asking` is a SQL condition on the BIGINT `key` (named "key") for the vectors that ask; all are asked for. Equal
-    cosines are ordered by key. Null, empty, zero and non-finite vectors and those of another length take no part;
+    `asking` is a SQL condition on the BIGINT `key` (named "key") for the vectors that ask; all are asked for. Cosines
+    equal to 12 decimals are ordered by key. Null, empty, zero and non-finite vectors and those of another length take no part;
     repeated rows of one key count once; other columns are ignored; an empty table gives no row.
 
     Vectors of equal direction (to 6 decimals) are one class: the neighbours of a class are found once, and a member
@@ -566,5 +566,5 @@ def nearest(
     outer = mine.where(F.col("members") <= k).select("key", "a").join(scored, "a").select("key", F.explode("b_some").alias("b"), "cosine")
     inner = mine.where("members > 1").select("key", F.explode("some").alias("b"), F.lit(1.0).alias("cosine")).where("key <> b")
     both = outer.unionByName(inner.where(F.col("cosine") >= least))
-    best = Window.partitionBy("key").orderBy(F.col("cosine").desc(), "b")
+    best = Window.partitionBy("key").orderBy(F.round("cosine", 12).desc(), "b")
     return both.withColumn("place", F.row_number().over(best)).where(F.col("place") <= k).select(F.col("key").alias("a"), "b", "cosine", "place")
