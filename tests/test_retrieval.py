@@ -1,7 +1,9 @@
 import math
 
+import numpy as np
 import pytest
 
+from tidemark import queries as core_queries
 from tidemark.engine import RequestError, SearchEngine
 from tidemark.operators import boolean, ranking
 from tidemark.operators.index import Index, InvalidIndex, build_index, check_unique, posting_blocks
@@ -364,3 +366,36 @@ def test_old_versions_are_removed_on_request(spark, tmp_path):
         index(spark, {1: f"word{n}"}).save(at, keep=2)
     assert len([p for p in (tmp_path / "v").iterdir() if p.is_dir()]) == 2
     assert ids(boolean.evaluate(Index.load(spark, at), parse("word2"))) == [1]
+
+
+def test_a_batch_scores_repeated_queries_once_and_leaves_out_what_cannot_be_among_the_best(spark):
+    words = ["the", *[f"w{i}" for i in range(30)]]
+    i = index(spark, {d: " ".join(["the"] * (1 + d % 5) + [words[1 + (d * j) % 30] for j in (1, 7, 11) if d % j == 0] + ["lake"] * (d % 40 == 3) + ["pad"] * (d % 9)) for d in range(600)})
+    rows = [["the", "lake"], ["lake", "the", "w3"], ["w7", "the"], ["the"], ["w1", "w2", "w3", "w4"], ["pad", "absent", "w5"], ["the", "pad"]]
+
+    def part(idf, tf, dl, avgdl):
+        return idf * (tf * 2.2) / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))
+
+    queries = spark.createDataFrame([(q, rows[q % len(rows)]) for q in range(700)], "query_id long, terms array<string>")
+    for k in (1, 5, 1000):
+        found = ranking.search_many(i, queries, k, ranking.Model(part))
+        got = {}
+        for r in found.orderBy("query_id", "rank").collect():
+            got.setdefault(r.query_id, []).append((r.doc_id, r.score, r["rank"]))
+        for q, terms in enumerate(rows):
+            want = [tuple(r) for r in ranking.search(i, " ".join(terms), k).orderBy("rank").collect()]
+            assert all(got[at] == want for at in range(q, 700, len(rows)))
+    assert "postings" not in i.held
+    asked = [[0, 1]] * 3
+    term, doc = np.repeat([0, 1], [1000, 20]), np.r_[np.arange(1000), np.arange(0, 1000, 50)]
+    q, d, s = ranking._best_of(asked, term, doc, np.r_[np.full(1000, 0.1), np.arange(20) + 5.0], 1000, 3, np.zeros(3))
+    assert d.tolist() == [850, 900, 950] * 3 and len(s) == 9  # not the 1,000 that match
+    q, d, s = ranking._best_of(asked[:1], term, doc, np.r_[np.full(1000, 0.1), np.arange(20) + 5.0], 1000, 3, np.array([30.0]))
+    assert not len(d)
+
+
+def test_the_recorded_searches_need_no_inverted_index(spark, small, monkeypatch):
+    monkeypatch.setattr(Index, "persist", lambda self: pytest.fail("the index is held"))
+    monkeypatch.setattr(Index, "postings", property(lambda self: pytest.fail("the index is inverted")))
+    monkeypatch.setattr(core_queries, "_held", {})
+    assert core_queries.bm25_batch(spark, small).count() > 0

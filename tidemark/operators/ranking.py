@@ -251,46 +251,61 @@ def _in_ranges(index: Index, rows: DataFrame, terms: list[str], model: Model, fa
     return rows.withColumn("span", F.floor(F.col("doc_id") / width)).join(F.broadcast(kept), "span", "left_semi").drop("span")
 
 
-#: Words of a batch that are broadcast at once, and (query, document) parts a task holds at once.
-BATCH_WORDS, BATCH_PARTS = 500_000, 2_000_000
+#: Words of a batch that are broadcast at once, and postings that a task scores at once.
+BATCH_WORDS, BATCH_PARTS = 500_000, 4_000_000
 
 
 def search_many(index: Index, queries: DataFrame, k: int, ranking: Ranking | Model = Ranking.BM25, k1: float = K1, b: float = B) -> DataFrame:
     """query_id, doc_id, score, rank for a batch of `queries` (query_id, terms ARRAY<STRING>, each term once).
 
-    A document's words of the batch are in one row, so each task scores its documents for all queries by itself and
-    keeps its own best k of each: only tasks * queries * k rows meet, however many documents a query matches. Where the
-    batch's terms make up a small part of an inverted index, their postings are gathered by document; else one pass
-    over the tokens is cheaper. Batches beyond BATCH_WORDS words are worked in groups of queries.
+    Queries of the same terms are scored once. A document's words of the batch are in one row, so each task scores its
+    documents for all queries by itself and keeps its own best k of each: only tasks * queries * k rows meet, however
+    many documents a query matches. Where the batch's terms make up a small part of an inverted index, their postings
+    are gathered by document; else one pass over the tokens is cheaper. An index that isn't inverted is not inverted
+    for a batch: that pass keeps the batch's words of each document in the shared folder, and what scoring needs to
+    know is counted from them. Batches beyond BATCH_WORDS words are worked in groups of queries.
     """
-    spark, model = index.spark, model_of(ranking, k1=k1, b=b)
-    words = queries.select("query_id", F.posexplode("terms").alias("pos", "term")).join(index.terms.select("term", "df"), "term").select("query_id", "pos", "term", "df")
-    first = words.limit(BATCH_WORDS + 1).toPandas()
-    groups: list = [first]
-    if len(first) > BATCH_WORDS:
+    spark, model, found = index.spark, model_of(ranking, k1=k1, b=b), None
+    alike = queries.groupBy("terms").agg(F.min("query_id").cast("bigint").alias("lead"))
+    words = alike.select("lead", F.posexplode("terms").alias("pos", "term"))
+    if index.inverted:
+        words = words.join(index.terms.select("term", "df"), "term")
+    first = words.limit(BATCH_WORDS + 1).toPandas() if k > 0 else None
+    groups: list = [first] if k > 0 else []
+    if k > 0 and len(first) > BATCH_WORDS:
         words = cut(words)
         n = -(-words.count() // BATCH_WORDS)
-        groups = [words.where(F.pmod(F.xxhash64("query_id"), F.lit(n)) == g) for g in range(n)]
-    whole, found = index.whole, None
+        groups = [words.where(F.pmod(F.xxhash64("lead"), F.lit(n)) == g) for g in range(n)]
     for group in groups:
         prepared = group if isinstance(group, type(first)) else group.toPandas()
         if prepared.empty:
             continue
-        prepared["idf"] = [model.idf(whole.n, df) for df in prepared["df"].tolist()]
-        dfs = dict(zip(prepared["term"], prepared["df"], strict=True))
-        shared = spark.sparkContext.broadcast(prepared)
-        kernel = _scorer(shared, k, model, whole.avgdl)
-        if index.inverted and sum(dfs.values()) * POSTING_COST < whole.n * whole.avgdl:
-            rows = _batch_postings(index, sorted(dfs))
+        terms, term_at = np.unique(prepared["term"].to_numpy(dtype=object), return_inverse=True)
+        known = spark.sparkContext.broadcast(terms.tolist())
+        if index.inverted:
+            whole, dfs = index.whole, np.zeros(len(terms), np.int64)
+            dfs[term_at] = prepared["df"]
+            if dfs.sum() * POSTING_COST < whole.n * whole.avgdl:
+                rows = _batch_postings(index, terms.tolist())
+            else:
+                rows = _batch_tokens(index)
+            coded = rows.mapInArrow(_coder(known), CODED)
         else:
-            rows = index.tokens.select("doc_id", "dl", F.col("tokens").alias("words"), F.lit(None).cast("array<int>").alias("tfs"))
-        part = rows.mapInArrow(kernel, "query_id long, doc_id long, score double")
+            coded = cut(_batch_tokens(index).mapInArrow(_coder(known), CODED))
+            whole, dfs = _batch_facts(coded, len(terms))
+            coded = coded.coalesce(max(spark.sparkContext.defaultParallelism, -(-int(dfs.sum()) // BATCH_PARTS)))
+        order = np.lexsort((prepared["pos"].to_numpy(np.int64), leads := prepared["lead"].to_numpy(np.int64)))
+        ids, starts = np.unique(leads[order], return_index=True)
+        idf = np.array([model.idf(whole.n, df) if df else 0.0 for df in dfs.tolist()])
+        plan = spark.sparkContext.broadcast((ids, np.r_[starts, len(order)], term_at[order].astype(np.int32), idf))
+        part = coded.mapInArrow(_scorer(plan, k, model, whole.avgdl), "lead long, doc_id long, score double")
         found = part if found is None else found.unionByName(part)
     if found is None:
         return spark.createDataFrame([], "query_id long, doc_id long, score double, rank int")
-    best = Window.partitionBy("query_id").orderBy(F.round("score", 9).desc(), "doc_id")
+    best = Window.partitionBy("lead").orderBy(F.round("score", 9).desc(), "doc_id")
     ranked = found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
-    return ranked.select("query_id", "doc_id", F.round("score", 6).alias("score"), "rank")
+    asked = queries.select(F.col("query_id").cast("bigint").alias("query_id"), "terms").join(alike, "terms").select("query_id", "lead")
+    return asked.join(ranked, "lead").select("query_id", "doc_id", F.round("score", 6).alias("score"), "rank")
 
 
 #: How much dearer a posting is to gather than a token is to pass over.
@@ -309,60 +324,168 @@ def _batch_postings(index: Index, terms: list[str]) -> DataFrame:
     return rows.groupBy("doc_id").agg(F.max("dl").alias("dl"), F.collect_list(F.struct("term", "tf")).alias("w")).select("doc_id", "dl", F.col("w.term").alias("words"), F.col("w.tf").alias("tfs"))
 
 
-def _scorer(shared, k: int, model: Model, avgdl: float):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        plan = shared.value
-        terms, term_at = np.unique(plan["term"].to_numpy(dtype=object), return_inverse=True)
-        ids, query_at = np.unique(plan["query_id"].to_numpy(np.int64), return_inverse=True)
-        order = np.argsort(term_at, kind="stable")
-        query_of, pos_of = query_at[order], plan["pos"].to_numpy(np.int64)[order]
-        starts = np.searchsorted(term_at[order], np.arange(len(terms) + 1))
-        idf = np.zeros(len(terms))
-        idf[term_at] = plan["idf"].to_numpy(np.float64)
-        wanted = pa.array(terms.tolist(), pa.string())
-        best = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))  # query, document, score
+def _batch_tokens(index: Index) -> DataFrame:
+    """doc_id, dl, words, tfs: every document with its words as they stand, to be counted."""
+    return index.tokens.select("doc_id", "dl", F.col("tokens").alias("words"), F.lit(None).cast("array<int>").alias("tfs"))
 
-        def keep(q: np.ndarray, d: np.ndarray, s: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-            by = np.lexsort((d, -np.round(s, 9), q))
-            q, d, s = q[by], d[by], s[by]
-            first = np.flatnonzero(np.r_[True, q[1:] != q[:-1]]) if len(q) else np.zeros(0, np.int64)
-            place = np.arange(len(q)) - np.repeat(first, np.diff(np.r_[first, len(q)]))
-            return q[place < k], d[place < k], s[place < k]
 
+CODED = "doc_id long, dl int, at array<int>, tfs array<int>"
+
+
+def _coder(known) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """doc_id, dl, at, tfs of rows (doc_id, dl, words, tfs): places of a document's words in `known`, others left out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wanted = pa.array(known.value, pa.string())
         for batch in batches:
             lists = batch.column(2)
             at = pc.index_in(pc.list_flatten(lists), value_set=wanted)
             hit = np.flatnonzero(pc.is_valid(at).to_numpy(zero_copy_only=False))
-            if not len(hit):
-                continue
             doc = pc.list_parent_indices(lists).to_numpy(zero_copy_only=False)[hit].astype(np.int64)
-            pair = doc * len(terms) + pc.fill_null(at, 0).to_numpy(zero_copy_only=False)[hit]
-            if batch.column(3).null_count:  # words as they stand, to be counted
+            pair = doc * len(wanted) + pc.fill_null(at, 0).to_numpy(zero_copy_only=False)[hit]
+            if batch.column(3).null_count:
                 pair, tf = np.unique(pair, return_counts=True)
             else:
                 turn = np.argsort(pair, kind="stable")
                 pair, tf = pair[turn], pc.list_flatten(batch.column(3)).to_numpy(zero_copy_only=False)[hit][turn]
-            doc, term = pair // len(terms), pair % len(terms)
-            keys, dl = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            part = model.part(idf[term], tf.astype(np.float64), dl[doc].astype(np.float64), avgdl)
-            fan = starts[term + 1] - starts[term]
-            edges = [0, *np.flatnonzero(np.diff((np.cumsum(fan) - fan) // BATCH_PARTS)) + 1, len(fan)]
-            # a document must not be cut in two
-            edges = sorted({int(np.searchsorted(doc, doc[e])) if e < len(doc) else len(doc) for e in edges})
-            for low, high in zip(edges, edges[1:], strict=False):
-                n = fan[low:high]
-                spot = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(starts[term[low:high]], n)
-                q, d, p = query_of[spot], np.repeat(doc[low:high], n), np.repeat(part[low:high], n)
-                turn = np.argsort(pos_of[spot], kind="stable")  # parts add up in the order of the query's terms
-                key, which = np.unique(q[turn] * batch.num_rows + d[turn], return_inverse=True)
-                total = np.bincount(which, weights=p[turn], minlength=len(key))
-                key, total = key[total > 0], total[total > 0]
-                best = keep(np.r_[best[0], key // batch.num_rows], np.r_[best[1], keys[key % batch.num_rows]], np.r_[best[2], total])
-        yield pa.RecordBatch.from_arrays([pa.array(ids[best[0]]), pa.array(best[1]), pa.array(best[2])], names=["query_id", "doc_id", "score"])
+            ends = pa.array(np.searchsorted(pair, np.arange(batch.num_rows + 1) * len(wanted)).astype(np.int32))
+            at, tfs = (pa.ListArray.from_arrays(ends, pa.array(x.astype(np.int32))) for x in (pair % len(wanted), tf))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), at, tfs], names=["doc_id", "dl", "at", "tfs"])
+
+    return run
+
+
+def _batch_facts(coded: DataFrame, n_terms: int) -> tuple[Facts, np.ndarray]:
+    """Facts of all documents and the document frequency of each of a batch's terms (at most BATCH_WORDS)."""
+    whole, dfs = Index(coded).whole, np.zeros(n_terms, np.int64)
+    counts = coded.select(F.explode("at").alias("at")).groupBy("at").agg(F.count("*").alias("df")).toPandas()
+    dfs[counts["at"].to_numpy(np.int64)] = counts["df"]
+    return whole, dfs
+
+
+#: Sums of the same parts in another order differ by less; scores are ordered after rounding to 9 decimals.
+SLACK = 3e-9
+
+
+def _slack(score: float) -> float:
+    """The least a sum may be for its score to come up to `score` after rounding."""
+    return score - SLACK - 1e-12 * score
+
+
+def _scorer(plan, k: int, model: Model, avgdl: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """lead, doc_id, score: the best k of a task's documents (CODED rows) for each query."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, starts, terms, idf = plan.value
+        asked = [terms[a:b].tolist() for a, b in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True)]
+        best = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))  # query, document, score
+        theta = np.zeros(len(ids))  # the k-th best score so far
+        held: list[tuple[np.ndarray, ...]] = []
+
+        def settle() -> None:
+            nonlocal best
+            keys, sizes, dl, at, tf = (np.concatenate(x) for x in zip(*held, strict=True))
+            held.clear()
+            doc = np.repeat(np.arange(len(keys), dtype=np.int32), sizes)
+            part = model.part(idf[at], tf.astype(np.float64), dl[doc].astype(np.float64), avgdl)
+            found = _best_of(asked, at, doc, part, len(keys), k, theta)
+            q, d, s = (np.concatenate([x, y]) for x, y in zip(best, (found[0], keys[found[1]], found[2]), strict=True))
+            by = np.lexsort((d, -np.round(s, 9), q))
+            q, d, s = q[by], d[by], s[by]
+            first = np.flatnonzero(np.r_[True, q[1:] != q[:-1]]) if len(q) else np.zeros(0, np.int64)
+            place = np.arange(len(q)) - np.repeat(first, np.diff(np.r_[first, len(q)]))
+            best = q[place < k], d[place < k], s[place < k]
+            theta[q[place == k - 1]] = s[place == k - 1]
+
+        n = 0
+        for batch in batches:
+            at, tfs = (pc.list_flatten(batch.column(c)).to_numpy(zero_copy_only=False) for c in (2, 3))
+            if not len(at):
+                continue
+            held.append((batch.column(0).to_numpy(), pc.list_value_length(batch.column(2)).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(), at, tfs))
+            n += len(at)
+            if n >= BATCH_PARTS:
+                settle()
+                n = 0
+        if held:
+            settle()
+        for at in range(0, len(best[0]), 65_536):
+            q, d, s = (x[at : at + 65_536] for x in best)
+            yield pa.RecordBatch.from_arrays([pa.array(ids[q]), pa.array(d), pa.array(s)], names=["lead", "doc_id", "score"])
 
     return run
 
 
+def _best_of(asked: list[list[int]], term: np.ndarray, doc: np.ndarray, part: np.ndarray, n_docs: int, k: int, theta: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """query, document, score: what may be among the best k of each query (the terms of each in `asked`), exactly.
+
+    `doc` rises and `part` is what a posting adds to a score; `theta` are scores that a document must reach. The k-th
+    best part of a term is such a score, too. Terms whose greatest parts add up to less than it are optional: documents
+    are taken from the postings of the others, and looked up in those of the optional ones while they can still reach
+    it. Scores of what is left are added up in the order of the query's terms.
+    """
+    turn = np.argsort(term, kind="stable")
+    term, doc, part = term[turn], doc[turn], part[turn]
+    used, first = np.unique(term, return_index=True)
+    docs: dict[int, np.ndarray] = {}
+    parts: dict[int, np.ndarray] = {}
+    most: dict[int, float] = {}
+    kth: dict[int, float] = {}
+    for t, a, b in zip(used.tolist(), first.tolist(), [*first[1:].tolist(), len(term)], strict=True):
+        docs[t], parts[t] = doc[a:b], (p := part[a:b])
+        most[t] = float(p.max())
+        kth[t] = float(np.partition(p, len(p) - k)[len(p) - k]) if len(p) >= k else 0.0
+
+    def found_in(t: int, rows: np.ndarray) -> np.ndarray:
+        spot = np.minimum(docs[t].searchsorted(rows), len(docs[t]) - 1)
+        return np.where(docs[t][spot] == rows, parts[t][spot], 0.0)
+
+    sums = np.zeros(n_docs)
+    out: list[tuple[int, np.ndarray, np.ndarray]] = []
+    for q, terms in enumerate(asked):
+        present = [t for t in terms if t in most]
+        if not present:
+            continue
+        by = sorted(present, key=most.__getitem__)
+        bar = _slack(max(float(theta[q]), *(kth[t] for t in present)))
+        rest, optional = 0.0, 0
+        while optional < len(by) and rest + most[by[optional]] < bar:
+            rest += most[by[optional]]
+            optional += 1
+        needed = by[optional:]
+        if not needed:
+            continue
+        if len(needed) == 1:
+            rows, scores = docs[needed[0]], parts[needed[0]]
+        else:
+            for t in needed:
+                sums[docs[t]] += parts[t]
+            if sum(len(docs[t]) for t in needed) > n_docs // 16:
+                rows = np.flatnonzero(sums)
+            else:
+                rows = np.unique(np.concatenate([docs[t] for t in needed]))
+            scores = sums[rows]
+            sums[rows] = 0.0
+        for t in [*by[:optional][::-1], -1]:
+            if len(rows) > k:
+                bar = max(bar, _slack(float(np.partition(scores, len(rows) - k)[len(rows) - k])))
+            kept = np.flatnonzero(scores + rest >= bar)
+            if len(kept) < len(rows):
+                rows, scores = rows[kept], scores[kept]
+            if t >= 0 and len(rows):
+                scores = scores + found_in(t, rows)
+                rest = max(0.0, rest - most[t]) + 1e-12 * rest
+        if len(present) > 1 and len(rows):
+            scores = np.zeros(len(rows))
+            for t in present:
+                scores += found_in(t, rows)
+        above = scores > 0
+        out.append((q, rows[above], scores[above]))
+    if not out:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+    return np.repeat([q for q, _, _ in out], [len(r) for _, r, _ in out]).astype(np.int64), np.concatenate([r for _, r, _ in out]).astype(np.int64), np.concatenate([s for _, _, s in out])
+
+
 def explain(index: Index, query: str, doc_id: int, ranking: Ranking | Model = Ranking.BM25) -> DataFrame:
     """One row: how `doc_id` scores for `query`, which is always parsed, free text too.
 
