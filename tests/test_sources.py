@@ -200,3 +200,19 @@ def test_streaming(spark, tmp_path):
     query = ingest.arrivals(stream(), "at", "doc_id").writeStream.format("memory").queryName("arrived").outputMode("complete").trigger(availableNow=True).start()
     query.awaitTermination(120)
     assert sum(r.n_docs for r in spark.sql("SELECT * FROM arrived").collect()) == 2
+
+
+def test_a_folder_is_listed_and_emptied_by_tasks(spark, tmp_path, monkeypatch):
+    at = tmp_path / "texts"
+    (at / "below").mkdir(parents=True)
+    for name, content in {"b %41.txt": "é\n".encode(), "a.txt": b"", "c.txt": b"x" * 70_000, ".hidden": b"?", "_hidden": b"?", "below/d.txt": b"?"}.items():
+        (at / name).write_bytes(content)
+    monkeypatch.setattr(type(spark), "read", property(lambda self: pytest.fail("Spark's reader lists the files in the driver")))
+    monkeypatch.setattr(news, "READ", 4)
+    for folder in (f"file://{at}", str(at)):
+        rows = news.read_folder(spark, folder).orderBy("doc_id").collect()
+        assert [(r.doc_id, r.path, len(r.text)) for r in rows] == [(1, f"file:{at}/a.txt", 0), (2, f"file:{at}/b %41.txt", 2), (3, f"file:{at}/c.txt", 70_000)]
+    news.drop_files(spark, str(at))
+    assert [f.name for f in at.iterdir()] == ["below"]
+    news.write_files(spark.createDataFrame([(f"{n}.txt", "é\n") for n in range(9)], "file_name string, content string").repartition(3), f"file://{at}")
+    assert sorted(f.name for f in at.iterdir()) == [*[f"{n}.txt" for n in range(9)], "below"]

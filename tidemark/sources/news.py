@@ -6,12 +6,18 @@ counts are added, so numbering is distributed and exact.
 
 from __future__ import annotations
 
+import os
+import uuid
+from collections.abc import Iterator
+from itertools import islice
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import strip, unify_newlines
-from ..runtime import cut
+from ..runtime import cut, local_part, spread
 
 FIELDS = ("headline", "short_description", "category", "authors", "date", "link")
 RECORD = T.StructType([*[T.StructField(f, T.StringType()) for f in FIELDS], T.StructField("_bad", T.StringType())])
@@ -99,15 +105,100 @@ def headline_corpus(records: DataFrame, limit: int | None = None) -> DataFrame:
 
 
 def read_folder(spark: SparkSession, folder: str) -> DataFrame:
-    """doc_id, path, text of the files right in `folder`, numbered from 1 by path; SourceError where it is missing."""
+    """doc_id, path, text of the files right in `folder`, numbered from 1 by path; SourceError where it is missing.
+
+    A task lists the folder, and the tasks that read the files know them by their paths, so the driver holds no names.
+    """
     jvm = spark.sparkContext._jvm
     at = jvm.org.apache.hadoop.fs.Path(folder)
     fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     if not fs.exists(at) or not fs.getFileStatus(at).isDirectory():
         raise SourceError(f"no folder {folder}")
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "false").load(folder)
-    ids = numbered(files.select("path").orderBy("path"), "doc_id", settle=True)  # names only; the contents are read once
-    return files.join(ids, "path").select("doc_id", "path", F.decode("content", "UTF-8").alias("text"))
+    base = fs.makeQualified(at).toString()
+    paths = spark.range(0, 1, 1, 1).mapInArrow(_lister(base), "path string")
+    ids = spread(numbered(paths.orderBy("path"), "doc_id", settle=True).select("doc_id", "path"))
+    files = ids.mapInArrow(_reader(base), "doc_id long, path string, content binary")
+    return files.select("doc_id", "path", F.decode("content", "UTF-8").alias("text"))
+
+
+#: Paths that go into a batch at once, and bytes of files.
+LISTED, READ = 10_000, 1 << 24
+
+
+def _lister(base: str):
+    def names() -> Iterator[str]:
+        if (here := local_part(base)) is not None:
+            with os.scandir(here) as found:  # a name at a time, however many there are
+                yield from (f.name for f in found if f.is_file())
+        else:
+            from pyarrow import fs
+
+            where, at = fs.FileSystem.from_uri(base)
+            yield from (f.base_name for f in where.get_file_info(fs.FileSelector(at)) if f.is_file)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _ in batches:
+            shown = (f"{base.rstrip('/')}/{n}" for n in names() if not n.startswith((".", "_")))  # others are hidden, as for Spark
+            while some := list(islice(shown, LISTED)):
+                yield pa.RecordBatch.from_arrays([pa.array(some, pa.string())], names=["path"])
+
+    return run
+
+
+def _reader(base: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        read = _opened(base)
+        for batch in batches:
+            paths, begin, size, contents = batch.column(1).to_pylist(), 0, 0, []
+            for n, path in enumerate(paths, 1):
+                contents.append(read(path))
+                size += len(contents[-1])
+                if size >= READ or n == len(paths):
+                    yield pa.RecordBatch.from_arrays([batch.column(0)[begin:n], batch.column(1)[begin:n], pa.array(contents, pa.binary())], names=["doc_id", "path", "content"])
+                    begin, size, contents = n, 0, []
+
+    return run
+
+
+def _opened(base: str):
+    """What reads a file right in `base` by its path."""
+    if local_part(base) is not None:
+
+        def read(path: str) -> bytes:
+            with open(local_part(path), "rb", buffering=0) as f:
+                return f.readall()
+
+        return read
+    from pyarrow import fs
+
+    where, at = fs.FileSystem.from_uri(base)
+
+    def fetch(path: str) -> bytes:
+        with where.open_input_stream(f"{at.rstrip('/')}/{path.rpartition('/')[2]}") as f:
+            return f.read()
+
+    return fetch
+
+
+def drop_files(spark: SparkSession, folder: str) -> None:
+    """Remove the files right in `folder` by a task, one name at a time on a mounted file system; what removes a
+    folder as a whole lists it in the driver first."""
+
+    def drop(_) -> None:
+        if (here := local_part(folder)) is not None:
+            with os.scandir(here) as found:
+                for f in found:
+                    if not f.is_dir(follow_symlinks=False):
+                        os.unlink(f.path)
+        else:
+            from pyarrow import fs
+
+            where, at = fs.FileSystem.from_uri(folder)
+            for f in where.get_file_info(fs.FileSelector(at)):
+                if f.is_file:
+                    where.delete_file(f.path)
+
+    spark.sparkContext.parallelize([0], 1).foreach(drop)
 
 
 def text_files(documents: DataFrame) -> DataFrame:
@@ -141,11 +232,22 @@ def _writer(folder: str):
 
         where, at = fs.FileSystem.from_uri(folder)
         where.create_dir(at, recursive=True)
-        for r in rows:
-            beside = f"{at}/.{r['file_name']}.part"
-            with where.open_output_stream(beside) as f:
-                f.write(r["content"].encode("utf-8"))
-            where.move(beside, f"{at}/{r['file_name']}")
+        own = f"{at}/.{uuid.uuid4().hex}"  # tasks that create files in one folder wait for each other
+        where.create_dir(own)
+        mounted = isinstance(where, fs.LocalFileSystem)
+        try:
+            for r in rows:
+                beside, content = f"{own}/{r['file_name']}", r["content"].encode("utf-8")
+                if mounted:
+                    with open(beside, "wb") as f:
+                        f.write(content)
+                    os.replace(beside, f"{at}/{r['file_name']}")
+                else:
+                    with where.open_output_stream(beside) as f:
+                        f.write(content)
+                    where.move(beside, f"{at}/{r['file_name']}")
+        finally:
+            where.delete_dir(own)
 
     return write
 
